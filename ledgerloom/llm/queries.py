@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import near_dedup
-from .common import table
+from . import decontaminate, near_dedup, quality_rules
+from .common import save, table
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +14,15 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = quality_rules.measure(table(spark, sf_dir, "documents")).select("doc_id", "lang", "rules")
+    judged = quality_rules.judge(save(measured, "measured"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *[f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op6_decontaminate, op7_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
