@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontaminate, near_dedup, quality_rules
+from . import decontaminate, near_dedup, quality_rules, secret_scan
 from .common import save, table
 
 
@@ -14,6 +14,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,5 +28,5 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op6_decontaminate, op7_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_secrets, op6_decontaminate, op7_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
