@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontaminate, near_dedup, quality_rules, secret_scan
+from . import decontaminate, near_dedup, piece_codec, quality_rules, secret_scan
 from .common import save, table
 
 
@@ -28,5 +28,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_secrets, op6_decontaminate, op7_quality_rules)}
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return piece_codec.digests(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_secrets, op6_decontaminate, op7_quality_rules, op10_pieces)}
 ORACLE_SQL: dict[str, str] = {}
