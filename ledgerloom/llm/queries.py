@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontaminate, near_dedup, piece_codec, quality_rules, secret_scan
+from . import decontaminate, near_dedup, piece_codec, quality_rules, secret_scan, token_files
 from .common import save, table
 
 
@@ -18,6 +18,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return token_files.round_trip(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=2)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,5 +38,5 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_secrets, op6_decontaminate, op7_quality_rules, op10_pieces)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_secrets, op4_token_files, op6_decontaminate, op7_quality_rules, op10_pieces)}
 ORACLE_SQL: dict[str, str] = {}
