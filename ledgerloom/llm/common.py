@@ -36,7 +36,7 @@ def save(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
@@ -47,19 +47,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def by_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-        yield batch.slice(at, ROWS_AT_ONCE)
-
-
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in small slices; ``make`` runs once a task and returns the function for a slice."""
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = ROWS_AT_ONCE) -> DataFrame:
+    """mapInArrow in slices of so many rows; ``make`` runs once a task and returns the function for a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for part in by_rows(batch):
-                yield step(part)
+            for at in range(0, batch.num_rows, rows):
+                yield step(batch.slice(at, rows))
 
     return df.mapInArrow(run, schema)
 

@@ -10,9 +10,9 @@ The plan, all on Spark:
    others, and links its members to it: edges grow with the members, not their square.
 3. Edges are confirmed on full shingle sets, and connected components follow.
 4. A star can miss a link between two members that are both unlike the hub. So
-   buckets that still hold several components are searched once more in blocks of
-   signatures, only between components; pairs that the signatures leave possible are
-   confirmed on full sets. Nothing is capped, so no link of a shared bucket is lost.
+   buckets that still hold several components are searched once more in blocks, only
+   between components: pairs that the signatures leave possible are confirmed on full
+   sets within the block. Nothing is capped, so no link of a shared bucket is lost.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ BINS = 256
 ROWS = 8
 BANDS = BINS // ROWS
 #: At 0.85, one pair in 26,000 shares no band; at 0.5, one in nine does.
-#: A signature pair is left out of step 4 below this many standard errors under the threshold.
-MARGIN = 6.0
-#: Members of one side of a block in step 4.
-BLOCK = 2048
+#: A pair of signatures is ruled out in step 4 from this many standard errors under the threshold.
+MARGIN = 4.5
+#: Members of one side of a block in step 4, and their shingle hashes (12 MB): about so many at most.
+BLOCK_ROWS, BLOCK_HASHES = 2048, 1_500_000
 #: Up to so many ids are broadcast to pick texts (24 MB); beyond, the texts are joined by a shuffle.
 MOST_BROADCAST_IDS = 1_000_000
 
@@ -111,7 +111,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         hashed = Hashed()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingles(text, hashed).view(np.int64) for text in batch.column(1).to_pylist()]
+            sets = [np.sort(shingles(text, hashed).view(np.int64)) for text in batch.column(1).to_pylist()]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
         return step
@@ -168,19 +168,23 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _possible(percent: int):
-    """For one block pair of one bucket: pairs of different components that the signatures leave possible."""
+def _block_links(percent: int):
+    """For one block pair of one bucket: confirmed links between components, each pair of which needs one.
+
+    Signatures rule out most pairs; the others are confirmed on full sets here, so what
+    leaves the block is at most one link for each two components that it joins.
+    """
     s = percent / 100
     least = int(np.ceil(BINS * (s - MARGIN * np.sqrt(s * (1 - s) / BINS))))
 
-    def pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         bucket, i, j = key
         rows = rows.sort_values(["block", "n_shingles", "node"], kind="stable")
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), BINS)
-        bands = np.stack(rows["bands"].to_numpy())
-        node, comp, n, side = (rows[c].to_numpy() for c in ("node", "component", "n_shingles", "block"))
+        bands, sets = np.stack(rows["bands"].to_numpy()), rows["hashes"].to_numpy()
+        node, comp, n, side = (rows[c].to_numpy().copy() for c in ("node", "component", "n_shingles", "block"))
         second = 0 if i == j else int(np.searchsorted(side, i, "right"))
-        left, right = [], []
+        out = []
         for x in range(len(rows) if i == j else second):
             start = x + 1 if i == j else second
             lo, hi = start + np.searchsorted(n[start:], [int(np.ceil(n[x] * s)), int(n[x] / s) + 1])  # sets of like size only
@@ -191,12 +195,17 @@ def _possible(percent: int):
             if len(other):
                 met = (bands[other] == bands[x]).argmax(axis=1)
                 other = other[bands[x][met] == bucket]  # only in the first bucket that the two share
-                left.append(np.minimum(node[other], node[x]))
-                right.append(np.maximum(node[other], node[x]))
-        none = [np.zeros(0, np.int64)]
-        return pd.DataFrame({"a": np.concatenate(left or none), "b": np.concatenate(right or none)})
+            for y in other:
+                if comp[y] == comp[x]:
+                    continue
+                at = np.searchsorted(sets[x], sets[y])
+                inter = int((sets[x][np.minimum(at, n[x] - 1)] == sets[y]).sum())
+                if 100 * inter >= percent * (int(n[x]) + int(n[y]) - inter):
+                    out.append((min(node[x], node[y]), max(node[x], node[y])))
+                    comp[comp == comp[y]] = comp[x]
+        return pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
 
-    return pairs
+    return links
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -212,7 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     worded = base.where("n_shingles > 0 and doc_id is not null")
     classes = save(worded.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
     nodes = save(worded.join(classes.select(F.col("node").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"]).withColumnRenamed("doc_id", "node"), "nodes")
-    met = nodes.select("node", F.explode("bands").alias("bucket"))
+    met = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = save(met.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     members = save(met.join(shared, "bucket"), "members")
     central = save(members.groupBy("node").agg(F.sum("size").alias("meets")), "central")
@@ -223,16 +232,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     comp = save(components(links), "components")
 
     # Links that the stars can't see run between components that still share a bucket.
-    labelled = members.select("bucket", "node", "size").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = members.select("bucket", "node", "n_shingles").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = save(labelled, "labelled")
-    split = save(labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket"), "split")
-    left = labelled.join(split, "bucket").join(nodes.select("node", "n_shingles", "sig", "bands"), "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    left = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"), F.sum("n_shingles").alias("hashes")).where("lo <> hi")
+    split = save(split.select("bucket", F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("hashes") / BLOCK_HASHES)).cast("int").alias("blocks")), "split")
+    left = save(labelled.drop("n_shingles").join(split, "bucket"), "left")
+    sets = save(full_sets(docs, left.select("node").distinct()), "sets")
+    about = save(nodes.select("node", "n_shingles", "sig", "bands").join(sets, "node"), "about")
+    left = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    found = left.select("bucket", "i", "j", "block", "node", "component", "n_shingles", "sig", "bands").groupBy("bucket", "i", "j").applyInPandas(_possible(percent), "a long, b long")
-    more = confirmed(docs, found.distinct(), percent)
-    comp = save(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+    left = left.select("bucket", "i", "j", "block", "node", "component").join(about, "node")
+    wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of our own, as these tasks are short of bytes but not of work
+    found = left.repartition(wide, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
+    comp = save(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)), "components")
 
     of_class = save(classes.join(comp, "node", "left").select("set_key", F.coalesce("component", "node").alias("component")), "class_components")
     out = base.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
