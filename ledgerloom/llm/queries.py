@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontaminate, near_dedup, piece_codec, quality_rules, secret_scan, token_files
+from . import chat_format, decontaminate, near_dedup, piece_codec, quality_classifier, quality_rules, secret_scan, token_files, toxicity, url_filter
 from .common import save, table
 
 
@@ -23,6 +23,19 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=2)
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-1, 0, "user", chat_format.ODD_TEXT), (-1, 1, "assistant", chat_format.ODD_TEXT)], turns.schema)
+    return chat_format.digests(chat_format.from_turn_rows(turns.unionByName(odd)))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,10 +46,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], "kept")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.RULES)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return piece_codec.digests(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_secrets, op4_token_files, op6_decontaminate, op7_quality_rules, op10_pieces)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_secrets, op3_chat, op4_token_files, op5_toxicity, op6_decontaminate, op7_quality_rules, op8_url_filter, op9_quality, op10_pieces)}
 ORACLE_SQL: dict[str, str] = {}
