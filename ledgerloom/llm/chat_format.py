@@ -146,7 +146,7 @@ def from_turn_rows(turns: DataFrame) -> DataFrame:
 
 #: Markers by role, before and after a text; any other role is named, percent-encoded, in its own marker.
 MARKERS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
-_REST = r"(?=(?:/?s>|/?INST\]|<?/?SYS>>|\|))"
+_REST = r"(?=(?:/?s>|/?INST\]|/?SYS>>|\|))"
 _RAISE = re.compile(r"([<\[])(\\*)" + _REST)
 _LOWER = re.compile(r"([<\[])\\(\\*)" + _REST)
 
