@@ -3,24 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import near_dedup
+from ledgerloom.llm import decontaminate, near_dedup, piece_codec, quality_rules, secret_scan
 from ledgerloom.llm.common import save, table
 from ledgerloom.session import ship_package
 
+#: The vocabulary file of the last stage, as public_tokenizers.path() knows it.
+MODEL = "piece_bpe_32k.model"
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    measured = save(quality_rules.measure(docs, into="_rules"), "measured")
+    judged = quality_rules.judge(measured, table(spark, sf_dir, "labels"), rules="_rules", kept="_kept")
+    return judged.where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the least doc_id."""
+    """Of each group of near copies, the document of the least doc_id stays."""
     ship_package(spark)
-    kept = near_dedup.near_duplicates(docs, percent=85).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    kept = save(near_dedup.near_duplicates(docs, percent=85).where("kept").select("doc_id").distinct(), "kept")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    met = save(decontaminate.hits(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")), "contaminated")
+    return docs.join(met, docs["doc_id"].eqNullSafe(met["_doc"]) & (F.xxhash64(docs["text"]) == met["_hash"]), "left_anti")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are cut out of the texts; every document stays."""
+    return secret_scan.redact(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's SentencePiece ids, counted and digested, and the digest of their text again."""
+    ship_package(spark)
+    return piece_codec.digests(docs, MODEL)
+
 
+STAGES = [("quality_rules", keep_good), ("near_dedup", drop_near_copies), ("decontaminate", drop_contaminated), ("secrets", redact_secrets), ("pieces", encode)]
 
-STAGES = [("near_dedup", drop_near_copies)]
+#: SQL can't express the stages; tests hold the result against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each but the last written and reread as the next one's input."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir), name)
