@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, save
+from .common import map_rows, save, scratch
 
 #: Labelled documents of each label that a model is fitted on, at most.
 SAMPLE = 3000
 #: Features, at most, and documents of the sample that one must be in.
 FEATURES, LEAST_DOCS = 2048, 4
-#: The chi-squared statistic that a feature must pass: one chance in ten million, as some hundred thousand are tried.
-LEAST_CHI = 28.4
+#: The chi-squared statistic that a feature must pass: one chance in ten thousand, as many are tried.
+LEAST_CHI = 15.1
 #: Grades above none.
 GRADES = 3
 #: Words whose features a task keeps, at most.
@@ -89,51 +90,62 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     Without documents of both labels there are no features and every severity is 0.
     """
+    with scratch(docs.sparkSession):
+        return _fit(docs, labels, sample)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, sample: int) -> Model:
     known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").distinct()
     by_hash = lambda v: known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(sample)
     picked = save(by_hash(0).union(by_hash(1)), "toxic_sample")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text").collect()  # 2 * sample rows at most
-    label = np.array([r["toxic"] for r in rows], np.int64)
-    bags = [Counter(words(r["text"])) for r in rows]
     spread = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
+    texts = save(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.col("toxic").cast("int"), F.col("text").cast("string")), "toxic_texts")
+    n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     none = Model({}, np.zeros(0), np.full(GRADES, 40.0))
-    if len(set(label.tolist())) < 2:
+    if len(n) < 2:
         return none
-    own: dict[str, set[str]] = {}
-    seen = [Counter(), Counter()]
-    for bag, y in zip(bags, label, strict=True):
-        found: set[str] = set()
-        for w in bag:
-            if w not in own:
-                own[w] = word_features(w)
-            found |= own[w]
-        seen[y].update(found)
-    n0, n1 = int((label == 0).sum()), int((label == 1).sum())
-    ranked = []
-    for f in seen[1].keys() | seen[0].keys():
-        b, a = seen[1][f], seen[0][f]
-        if a + b >= LEAST_DOCS:
-            n, rest = n0 + n1, (n0 + n1) - a - b
-            chi = n * (b * (n0 - a) - a * (n1 - b)) ** 2 / max(1, (a + b) * rest * n0 * n1)
-            ranked.append((-chi, f))
-    ranked.sort()
-    features = {f: i for i, (c, f) in enumerate(ranked[:FEATURES]) if -c > LEAST_CHI}
-    if not features:
+
+    def bags() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [list(set().union(*map(word_features, set(words(t))))) for t in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["toxic", "features"])
+
+        return step
+
+    # How many documents of the sample hold each feature: counted by Spark, so only the chosen ones reach the driver.
+    held = map_rows(texts, bags, "toxic int, features array<string>", rows=16).select("toxic", F.explode("features").alias("feature"))
+    a, b, total = F.col("a").cast("double"), F.col("b").cast("double"), n[0] + n[1]
+    chi = total * (b * (n[0] - a) - a * (n[1] - b)) ** 2 / ((a + b) * F.greatest(total - a - b, F.lit(1.0)) * n[0] * n[1])
+    counted = held.groupBy("feature").agg(F.count_if(F.col("toxic") == 0).alias("a"), F.count_if(F.col("toxic") == 1).alias("b")).where(F.col("a") + F.col("b") >= LEAST_DOCS)
+    chosen = counted.withColumn("chi", chi).where(F.col("chi") > LEAST_CHI).orderBy(F.desc("chi"), "feature").limit(FEATURES).collect()
+    if not chosen:
         return none
-    marks = {f for f in features if seen[1][f] / n1 > 50 * (seen[0][f] + 0.5) / n0 / 10 and seen[0][f] <= seen[1][f] / 20}
+    features = {r["feature"]: i for i, r in enumerate(chosen)}
+    marks = {r["feature"] for r in chosen if r["b"] / n[1] > 5 * (r["a"] + 0.5) / n[0] and r["a"] <= r["b"] / 20}
+
+    def sparse() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            at, counts, marked = [], [], []
+            for text in batch.column(1).to_pylist():
+                own: Counter = Counter()
+                hits = 0
+                for w, c in Counter(words(text)).items():
+                    hit = word_features(w) & features.keys()
+                    own.update(dict.fromkeys((features[f] for f in hit), c))
+                    hits += c * bool(hit & marks)
+                at.append(list(own)), counts.append(list(own.values())), marked.append(hits)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(marked, pa.int64())], ["toxic", "at", "counts", "marked"])
+
+        return step
+
+    rows = map_rows(texts, sparse, "toxic int, at array<int>, counts array<int>, marked long", rows=64).collect()  # 2 * sample short rows at most
     x = np.zeros((len(rows), len(features)), np.float32)
-    held = np.zeros(len(rows))
-    for i, bag in enumerate(bags):
-        for w, c in bag.items():
-            hit = own[w] & features.keys()
-            for f in hit:
-                x[i, features[f]] += c
-            held[i] += c * bool(hit & marks)
-    x = np.log1p(x)
-    toxic = label == 1
-    cuts = np.quantile(held[toxic], [1 / 3, 2 / 3])
-    grade = np.where(toxic, 1 + np.searchsorted(cuts, held, "left"), 0)
-    weights, thresholds = fit_ordinal(x.astype(np.float64), grade, np.where(toxic, spread[1] / n1, spread[0] / n0))
+    for i, r in enumerate(rows):
+        x[i, r["at"]] = np.log1p(np.array(r["counts"], np.float32))
+    toxic, marked = np.array([r["toxic"] == 1 for r in rows]), np.array([r["marked"] for r in rows])
+    cuts = np.quantile(marked[toxic], [1 / 3, 2 / 3])
+    grade = np.where(toxic, 1 + np.searchsorted(cuts, marked, "left"), 0)
+    weights, thresholds = fit_ordinal(x, grade, np.where(toxic, spread[1] / n[1], spread[0] / n[0]))
     return Model(features, weights, thresholds)
 
 
