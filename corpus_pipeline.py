@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, near_dedup, piece_codec, quality_rules, secret_scan
-from ledgerloom.llm.common import save, table
+from ledgerloom.llm.common import free_prefix, save, scratch, table
 from ledgerloom.session import ship_package
 
 #: The vocabulary file of the last stage, as public_tokenizers.path() knows it.
@@ -15,21 +15,27 @@ MODEL = "piece_bpe_32k.model"
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    measured = save(quality_rules.measure(docs, into="_rules"), "measured")
-    judged = quality_rules.judge(measured, table(spark, sf_dir, "labels"), rules="_rules", kept="_kept")
-    return judged.where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    labels, own = table(spark, sf_dir, "labels"), free_prefix(docs)
+    rules, kept = f"{own}rules", f"{own}kept"
+    with scratch(spark):  # cutoffs need labelled documents only; texts are measured again rather than written with their counts
+        known = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+        sample = save(quality_rules.measure(known, into=rules).select("doc_id", "lang", rules), "measured")
+        cutoffs = quality_rules.learnt(sample, labels, rules)
+    judged = quality_rules.judge_by(quality_rules.measure(docs, into=rules), cutoffs, rules, kept)
+    return judged.where(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document of the least doc_id stays."""
     ship_package(spark)
-    kept = save(near_dedup.near_duplicates(docs, percent=85).where("kept").select("doc_id").distinct(), "kept")
+    kept = near_dedup.near_duplicates(docs, percent=85).where("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    met = save(decontaminate.hits(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")), "contaminated")
+    with scratch(spark):
+        met = save(decontaminate.hits(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")), "contaminated", keep=True)
     return docs.join(met, docs["doc_id"].eqNullSafe(met["_doc"]) & (F.xxhash64(docs["text"]) == met["_hash"]), "left_anti")
 
 

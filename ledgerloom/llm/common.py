@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +30,45 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def save(df: DataFrame, label: str) -> DataFrame:
+_open: ContextVar[list[str] | None] = ContextVar("open", default=None)
+
+
+def _place(spark: SparkSession, path: str):
+    """A path and its file system, as the JVM knows them."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is saved inside and not kept is deleted at the end, however it comes."""
+    paths: list[str] = []
+    before = _open.set(paths)
+    try:
+        yield
+    finally:
+        _open.reset(before)
+        for path in paths:
+            place, fs = _place(spark, path)
+            fs.delete(place, True)
+
+
+def save(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends here.
 
     The table outlives any executor, so a lost one costs only its running tasks. It is
-    deleted when the driver's JVM ends.
+    deleted with the innermost scratch() around, or, outside of one or with ``keep``, when
+    the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    place, fs = _place(spark, path)
+    paths = _open.get()
+    if paths is None or keep:
+        fs.deleteOnExit(place)
+    else:
+        paths.append(path)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -85,6 +114,14 @@ class Hashed(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix of names that no column of ``df`` begins with, for columns of one's own."""
+    prefix = "_own_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 #: Odd multiplier of the rolling word-sequence hash.
 STEP = np.uint64(0x9E3779B97F4A7C15)
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, save
+from .common import ascii_lower, save, scratch
 
 #: Words of a window.
 WINDOW = 10
@@ -92,7 +92,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     items without words or without an id have no windows; repeated rows get equal results;
     other columns are ignored.
     """
-    met = save(hits(docs, items), "hits")
+    with scratch(docs.sparkSession):
+        met = save(hits(docs, items), "hits", keep=True)
     covered = "aggregate(array_sort(spans), named_struct('e', 0, 'c', 0L), (a, s) -> named_struct('e', greatest(a.e, s.start + s.size), 'c', a.c + greatest(0, s.start + s.size - greatest(a.e, s.start))), a -> a.c)"
     met = met.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.expr(covered).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join(F.array_sort("items"), ",").alias("_i"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), n_words_of(F.col("text")).alias("n_words"))

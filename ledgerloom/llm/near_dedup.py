@@ -7,7 +7,8 @@ The plan, all on Spark:
    digest of its full shingle set. Documents of equal sets form one class and go
    on as one node, so a group of exact copies costs nothing further.
 2. Nodes meet in band buckets. Each bucket names one hub, the node that meets most
-   others, and links its members to it: edges grow with the members, not their square.
+   others, and each node is linked to the best hub of its buckets: edges grow with the
+   nodes, not with the square of a group.
 3. Edges are confirmed on full shingle sets, and connected components follow.
 4. A star can miss a link between two members that are both unlike the hub. So
    buckets that still hold several components are searched once more in blocks, only
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP, Hashed, map_rows, mix64, save, shingles
+from .common import STEP, Hashed, map_rows, mix64, save, scratch, shingles
 
 BINS = 256
 ROWS = 8
@@ -217,6 +218,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     as one document with links of them all. A null doc_id gets a null component_id and
     is kept. An empty table gives an empty result; other columns are ignored.
     """
+    with scratch(docs.sparkSession):
+        return save(_near_duplicates(docs, percent), "near_duplicates", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     base = save(sketches(docs), "sketches")
     worded = base.where("n_shingles > 0 and doc_id is not null")
     classes = save(worded.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
@@ -226,8 +232,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = save(met.join(shared, "bucket"), "members")
     central = save(members.groupBy("node").agg(F.sum("size").alias("meets")), "central")
     members = save(members.join(central, "node"), "members")
-    hubs = save(members.groupBy("bucket").agg(F.min(F.struct((-F.col("meets")).alias("m"), "node")).alias("hub")).select("bucket", F.col("hub.node").alias("hub")), "hubs")
-    stars = members.join(hubs, "bucket").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    hubs = save(members.groupBy("bucket").agg(F.min(F.struct((-F.col("meets")).alias("m"), "node")).alias("hub")), "hubs")
+    # of the hubs it meets, a node is linked to the one that meets most: an edge a node at most
+    own = members.join(hubs, "bucket").where("node <> hub.node").groupBy("node").agg(F.min("hub").alias("hub"))
+    stars = own.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
     links = confirmed(docs, stars, percent)
     comp = save(components(links), "components")
 

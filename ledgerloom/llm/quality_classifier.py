@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, save
+from .common import map_rows, save, scratch
 
 #: Documents of each label that a dictionary is built from, and that the curve is fitted on, at most.
 SAMPLE, CALIBRATION = 1000, 1000
@@ -74,6 +74,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, calibration: i
 
     With only one label, or none, every document scores that label's share, or a half.
     """
+    with scratch(docs.sparkSession):
+        return _fit(docs, labels, sample, calibration)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, sample: int, calibration: int) -> Model:
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", "quality").distinct()
     by_hash = lambda v: known.where(F.col("quality") == v).orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(sample + calibration)
     picked = save(by_hash(0).union(by_hash(1)), "quality_sample")

@@ -12,12 +12,13 @@ only the base rules reject.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import save
+from .common import free_prefix, save, scratch
 
 #: At most this share of a stratum's good documents may be rejected by the method ...
 ALPHA = 0.02
@@ -47,12 +48,14 @@ def measure(docs: DataFrame, into: str = "rules") -> DataFrame:
     share a hash are compared word by word.
     """
     t = "coalesce(cast(text as string), '')"
+    p = free_prefix(docs)
+    own = lambda sql: re.sub(r"(?<![\w'])_(?=[a-z]\b)", p, sql)  # noqa: E731  _t, _w and so on are columns of our own
     # counted where words and lines are known; Catalyst keeps such projections apart
-    step = docs.selectExpr("*", f"{t} as _t", f"array_remove(split({t}, '{_SPACE}'), '') as _w", f"filter(split({t}, '\\n'), x -> x rlike '{_WORD}') as _l")
-    step = step.selectExpr("*", "size(_w) as _n", "cast(ceil(log2(size(_w) + 2)) as int) as _b")
-    step = step.selectExpr("*", "if(_n < 3, cast(array() as array<bigint>), sort_array(transform(sequence(0, _n - 3), i -> shiftleft(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)), _b) | i))) as _s")
-    step = step.selectExpr("*", "if(size(_s) < 2, cast(array() as array<struct<p:int,q:int>>), filter(zip_with(slice(_s, 1, size(_s) - 1), slice(_s, 2, size(_s) - 1), (x, y) -> if(shiftright(x ^ y, _b) = 0, struct(cast(x & (shiftleft(1L, _b) - 1) as int) as p, cast(y & (shiftleft(1L, _b) - 1) as int) as q), null)), z -> z is not null)) as _z")
-    step = step.selectExpr("*", "array_sort(array_distinct(flatten(transform(filter(_z, z -> get(_w, z.p) = get(_w, z.q) and get(_w, z.p + 1) = get(_w, z.q + 1) and get(_w, z.p + 2) = get(_w, z.q + 2)), z -> array(z.p, z.q))))) as _p")
+    step = docs.selectExpr("*", *map(own, (f"{t} as _t", f"array_remove(split({t}, '{_SPACE}'), '') as _w", f"filter(split({t}, '\\n'), x -> x rlike '{_WORD}') as _l",)))
+    step = step.selectExpr("*", *map(own, ("size(_w) as _n", "cast(ceil(log2(size(_w) + 2)) as int) as _b",)))
+    step = step.selectExpr("*", *map(own, ("if(_n < 3, cast(array() as array<bigint>), sort_array(transform(sequence(0, _n - 3), i -> shiftleft(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)), _b) | i))) as _s",)))
+    step = step.selectExpr("*", *map(own, ("if(size(_s) < 2, cast(array() as array<struct<p:int,q:int>>), filter(zip_with(slice(_s, 1, size(_s) - 1), slice(_s, 2, size(_s) - 1), (x, y) -> if(shiftright(x ^ y, _b) = 0, struct(cast(x & (shiftleft(1L, _b) - 1) as int) as p, cast(y & (shiftleft(1L, _b) - 1) as int) as q), null)), z -> z is not null)) as _z",)))
+    step = step.selectExpr("*", *map(own, ("array_sort(array_distinct(flatten(transform(filter(_z, z -> get(_w, z.p) = get(_w, z.q) and get(_w, z.p + 1) = get(_w, z.q + 1) and get(_w, z.p + 2) = get(_w, z.q + 2)), z -> array(z.p, z.q))))) as _p",)))
     counts = {
         "n_words": "cast(_n as bigint)",
         "word_chars": "cast(length(translate(_t, ' \\t\\n\\u000B\\u000C\\r', '')) as bigint)",
@@ -63,14 +66,16 @@ def measure(docs: DataFrame, into: str = "rules") -> DataFrame:
         "n_marks": "cast(regexp_count(_t, '[!?]') as bigint)",
         "n_capitals": "cast(regexp_count(_t, '[A-Z]') as bigint)",
     }
-    step = step.selectExpr(*[f"`{c}`" for c in docs.columns], f"named_struct({', '.join(f"'{k}', {v}" for k, v in counts.items())}) as _c")
+    step = step.selectExpr(*[f"`{c}`" for c in docs.columns], own(f"named_struct({', '.join(f"'{k}', {v}" for k, v in counts.items())}) as _c"))
     rate = {"symbols": "_c.n_symbols / greatest(1, _c.word_chars)", "marks": "_c.n_marks / greatest(1, _c.word_chars)", "capitals": "_c.n_capitals / greatest(1, _c.word_chars)", "dup_lines": "_c.n_dup_lines / greatest(1, _c.n_lines)", "repeats": "_c.n_repeat_words / greatest(1, _c.n_words)", "word_length": "_c.word_chars / greatest(1, _c.n_words)"}
     risk = f"greatest({', '.join(f'{v} / {LIMITS[k]}D' for k, v in rate.items())})"
-    step = step.selectExpr("*", f"{risk} as _r")
+    step = step.selectExpr("*", *map(own, (f"{risk} as _r",)))
     bucket = f"cast(least({CUTOFFS}, ceil(ln(greatest(_r / {FIRST}, 1D)) / {math.log(RATIO)})) as int)"
     failed = "_c.n_words < 50 or 100 * _c.n_repeat_words > 50 * _c.n_words"
     fields = [f"'{k}', _c.{k}" for k in counts] + ["'risk', _r", f"'bucket', {bucket}", f"'base_failed', {failed}"]
-    return step.selectExpr(*[f"`{c}`" for c in docs.columns], f"named_struct({', '.join(fields)}) as `{into}`")
+    # floor(rand()) is 0; it keeps filters on the counts above them, where they aren't computed again
+    fields = [f.replace("'bucket', ", "'bucket', cast(floor(rand()) as int) + ") for f in fields]
+    return step.selectExpr(*[f"`{c}`" for c in docs.columns], own(f"named_struct({', '.join(fields)})") + f" as `{into}`")
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, rules: str = "rules") -> DataFrame:
@@ -101,7 +106,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, rules: str = "rules") -> Dat
     gain = F.col("hit") / F.col("m") - F.col("k") / F.col("n")
     best = certified.groupBy("stratum").agg(F.max(F.struct(gain.alias("gain"), "cutoff")).alias("best"))
     strata = total.select("stratum").join(best, "stratum", "left")
-    return save(strata.select("stratum", F.col("best.cutoff").alias("cutoff")), "cutoffs")
+    return strata.select("stratum", F.col("best.cutoff").alias("cutoff"))
 
 
 def judge(measured: DataFrame, labels: DataFrame, rules: str = "rules", kept: str = "kept") -> DataFrame:
@@ -111,11 +116,22 @@ def judge(measured: DataFrame, labels: DataFrame, rules: str = "rules", kept: st
     table stays empty; repeated rows are judged alike; null and blank texts have no words
     and fail the base rules.
     """
-    table = cutoffs(measured, labels, rules)
+    return judge_by(measured, learnt(measured, labels, rules), rules, kept)
+
+
+def learnt(measured: DataFrame, labels: DataFrame, rules: str = "rules") -> DataFrame:
+    """cutoffs() as a table that stays."""
+    with scratch(measured.sparkSession):
+        return save(cutoffs(measured, labels, rules), "cutoffs", keep=True)
+
+
+def judge_by(measured: DataFrame, table: DataFrame, rules: str = "rules", kept: str = "kept") -> DataFrame:
+    """judge() by cutoffs learnt before."""
     pooled = table.where(F.col("stratum") == OTHER).first()
-    own = table.where(F.col("stratum") != OTHER).select(F.col("stratum").alias("_stratum"), F.coalesce("cutoff", F.lit(CUTOFFS)).alias("_cutoff"))
+    stratum, cutoff = (free_prefix(measured) + n for n in ("stratum", "cutoff"))
+    own = table.where(F.col("stratum") != OTHER).select(F.col("stratum").alias(stratum), F.coalesce("cutoff", F.lit(CUTOFFS)).alias(cutoff))
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(OTHER))
-    out = measured.join(F.broadcast(own), lang == F.col("_stratum"), "left")  # STRATA rows at most
+    out = measured.join(F.broadcast(own), lang == F.col(stratum), "left")  # STRATA rows at most
     rest = F.lit(CUTOFFS if pooled is None or pooled["cutoff"] is None else pooled["cutoff"])
-    fine = F.col(f"{rules}.bucket") <= F.coalesce("_cutoff", rest)
-    return out.withColumn(kept, ~F.col(f"{rules}.base_failed") & fine).drop("_stratum", "_cutoff")
+    fine = F.col(f"{rules}.bucket") <= F.coalesce(cutoff, rest)
+    return out.withColumn(kept, ~F.col(f"{rules}.base_failed") & fine).drop(stratum, cutoff)

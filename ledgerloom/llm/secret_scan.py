@@ -13,12 +13,13 @@ share of false finds; short tokens have little power and so are rarely found.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import save
+from .common import free_prefix, save, scratch
 
 #: Share of false finds that is allowed among the battery's finds.
 FDR = 0.01
@@ -107,14 +108,16 @@ def scan(docs: DataFrame, into: str = "found") -> DataFrame:
     lies between them give the starts. Null text counts as empty.
     """
     own = [f"`{c}`" for c in docs.columns]
+    p = free_prefix(docs)
+    ours = lambda sql: re.sub(r"(?<![\w'])_(?=t\b|[mbs]_)", p, sql)  # noqa: E731  _t, _m_hex and so on are columns of our own
     t = "coalesce(cast(text as string), '')"
-    step = docs.selectExpr(*own, f"{t} as _t", *[f"regexp_extract_all({t}, {_sql(p)}, 0) as _m_{k}" for k, p in KINDS])
-    step = step.selectExpr("*", *[f"if(size(_m_{k}) = 0, cast(array() as array<string>), split(_t, {_sql(p)})) as _b_{k}" for k, p in KINDS])
+    step = docs.selectExpr(*own, ours(f"{t} as _t"), *[f"regexp_extract_all({t}, {_sql(q)}, 0)" + ours(f" as _m_{k}") for k, q in KINDS])
+    step = step.selectExpr("*", *[ours(f"if(size(_m_{k}) = 0, cast(array() as array<string>), split(_t, ") + _sql(q) + ours(f")) as _b_{k}") for k, q in KINDS])
     walk = "aggregate(zip_with(_m_{k}, slice(_b_{k}, 1, size(_m_{k})), (m, b) -> named_struct('m', m, 'b', length(b))), named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,m:string>>)), (a, x) -> named_struct('at', a.at + x.b + length(x.m), 'out', array_append(a.out, named_struct('start', a.at + x.b, 'end', a.at + x.b + length(x.m), 'm', x.m))), a -> a.out)"
-    step = step.selectExpr(*own, *[f"if(size(_m_{k}) = 0, cast(array() as array<struct<start:int,end:int,m:string>>), {walk.format(k=k)}) as _s_{k}" for k, _ in KINDS])
-    long_enough = f"filter(_s_assign, x -> length(regexp_extract(x.m, {_sql(ASSIGN)}, 1)) >= 8)"
+    step = step.selectExpr(*own, *[ours(f"if(size(_m_{k}) = 0, cast(array() as array<struct<start:int,end:int,m:string>>), {walk.format(k=k)}) as _s_{k}") for k, _ in KINDS])
+    long_enough = ours("filter(_s_assign, x") + f" -> length(regexp_extract(x.m, {_sql(ASSIGN)}, 1)) >= 8)"
     bare = "transform({s}, x -> named_struct('start', x.start, 'end', x.end))"
-    parts = [f"'assign', {bare.format(s=long_enough)}", f"'access', {bare.format(s='_s_access')}", f"'hex', {bare.format(s='_s_hex')}", f"'tokens', {_battery('_s_random')}"]
+    parts = [f"'assign', {bare.format(s=long_enough)}", f"'access', {bare.format(s=ours('_s_access'))}", f"'hex', {bare.format(s=ours('_s_hex'))}", f"'tokens', {_battery(ours('_s_random'))}"]
     return step.selectExpr(*own, f"named_struct({', '.join(parts)}) as `{into}`")
 
 
@@ -133,12 +136,13 @@ def thresholds(scanned: DataFrame, found: str = "found") -> dict[int, int]:
 
 def spans(scanned: DataFrame, least: dict[int, int], found: str = "found", into: str = "spans") -> DataFrame:
     """``scanned`` with an array of (start, rank, end, kind): base spans, and random tokens that meet none of them."""
+    known = free_prefix(scanned) + "base"
     kind = lambda k, r: f"transform({found}.{k}, x -> named_struct('start', x.start, 'rank', {r}, 'end', x.end, 'kind', '{k}'))"
     base = f"array_sort(concat({kind('assign', 0)}, {kind('access', 1)}, {kind('hex', 2)}))"
     enough = " or ".join(f"(x.stratum = {s} and x.step >= {v})" for s, v in sorted(least.items())) or "false"
-    added = f"transform(filter({found}.tokens, x -> x.random and ({enough}) and not exists(_base, b -> b.start < x.end and x.start < b.end)), x -> named_struct('start', x.start, 'rank', 3, 'end', x.end, 'kind', 'random'))"
-    step = scanned.withColumn("_base", F.expr(base))
-    return step.withColumn(into, F.expr(f"array_sort(concat(_base, {added}))")).drop("_base")
+    added = f"transform(filter({found}.tokens, x -> x.random and ({enough}) and not exists({known}, b -> b.start < x.end and x.start < b.end)), x -> named_struct('start', x.start, 'rank', 3, 'end', x.end, 'kind', 'random'))"
+    step = scanned.withColumn(known, F.expr(base))
+    return step.withColumn(into, F.expr(f"array_sort(concat({known}, {added}))")).drop(known)
 
 
 def redact(docs: DataFrame, marker: str = "[SECRET]") -> DataFrame:
@@ -146,17 +150,20 @@ def redact(docs: DataFrame, marker: str = "[SECRET]") -> DataFrame:
 
     n_chars, where there is one, becomes the new length. Texts without finds stay as they are.
     """
-    columns = docs.columns
-    scanned = save(scan(docs, "_found"), "scanned")
-    step = spans(scanned, thresholds(scanned, "_found"), "_found", "_spans")
-    merged = "aggregate(_spans, cast(array() as array<struct<s:int,e:int>>), (a, x) -> if(size(a) > 0 and x.start < element_at(a, -1).e, concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.end)))), array_append(a, named_struct('s', x.start, 'e', x.end))))"
-    step = step.withColumn("_cuts", F.expr(merged))
-    starts = "concat(array(0), transform(_cuts, x -> x.e))"
-    ends = "concat(transform(_cuts, x -> x.s), array(length(text)))"
-    text = f"if(size(_spans) = 0, text, array_join(zip_with({starts}, {ends}, (a, b) -> substring(text, a + 1, b - a)), {_sql(marker)}))"
+    columns, p = docs.columns, free_prefix(docs)
+    found, cuts, own = f"{p}found", f"{p}cuts", f"{p}spans"
+    with scratch(docs.sparkSession):
+        least = thresholds(scan(docs, found), found)
+    # the texts are scanned once more rather than written with their finds
+    step = spans(scan(docs, found), least, found, own)
+    merged = f"aggregate({own}, cast(array() as array<struct<s:int,e:int>>), (a, x) -> if(size(a) > 0 and x.start < element_at(a, -1).e, concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.end)))), array_append(a, named_struct('s', x.start, 'e', x.end))))"
+    step = step.withColumn(cuts, F.expr(merged))
+    starts = f"concat(array(0), transform({cuts}, x -> x.e))"
+    ends = f"concat(transform({cuts}, x -> x.s), array(length(text)))"
+    text = f"if(size({own}) = 0, text, array_join(zip_with({starts}, {ends}, (a, b) -> substring(text, a + 1, b - a)), {_sql(marker)}))"
     step = step.withColumn("text", F.expr(text))
     if "n_chars" in columns:
-        step = step.withColumn("n_chars", F.expr("if(size(_spans) = 0, n_chars, length(text))").cast(docs.schema["n_chars"].dataType))
+        step = step.withColumn("n_chars", F.expr(f"if(size({own}) = 0, n_chars, length(text))").cast(docs.schema["n_chars"].dataType))
     return step.select(*[F.col(f"`{c}`") for c in columns])
 
 
