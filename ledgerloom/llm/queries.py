@@ -65,6 +65,10 @@ QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_secrets, op3_chat, op4_to
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_RULE_WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
+_RATES = {"symbols": "n_symbols / greatest(1, word_chars)", "marks": "n_marks / greatest(1, word_chars)", "capitals": "n_capitals / greatest(1, word_chars)", "dup_lines": "n_dup_lines / greatest(1, n_lines)", "repeats": "n_repeat_words / greatest(1, n_words)", "word_length": "word_chars / greatest(1, n_words)"}
+_RISK = f"greatest({', '.join(f'{v} / {quality_rules.LIMITS[k]}::DOUBLE' for k, v in _RATES.items())})"
+
 #: For the queries that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": rf"""
@@ -88,4 +92,20 @@ covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnes
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op7_quality_rules": rf"""
+WITH text_of AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '*') AS lang, coalesce(text, '') AS t FROM documents),
+word_of AS (SELECT *, {_RULE_WORDS} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM text_of),
+three AS (SELECT r, list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) AS k FROM word_of WHERE len(w) > 2),
+placed AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM (SELECT r, unnest(k) AS k, unnest(range(1, len(k) + 1)) AS i FROM three)),
+repeated AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 3)) AS j FROM placed WHERE c > 1) GROUP BY 1),
+counted AS (SELECT word_of.r, doc_id, lang, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines, len(regexp_extract_all(t, '[!?]')) AS n_marks, len(regexp_extract_all(t, '[A-Z]')) AS n_capitals
+  FROM word_of LEFT JOIN repeated USING (r)),
+measured AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST(least({quality_rules.CUTOFFS}, ceil(ln(greatest({_RISK} / {quality_rules.FIRST}, 1::DOUBLE)) / ln({quality_rules.RATIO}::DOUBLE))) AS INTEGER) AS bucket FROM counted),
+held AS (SELECT lang, bucket, quality FROM measured JOIN labels USING (doc_id) WHERE quality IN (0, 1)),
+total AS (SELECT lang, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 0) AS m FROM held GROUP BY 1),
+tried AS (SELECT total.lang, n, m, cutoff, count(*) FILTER (quality = 1 AND bucket > cutoff) AS k, count(*) FILTER (quality = 0 AND bucket > cutoff) AS hit FROM total, (SELECT unnest(range({quality_rules.CUTOFFS})) AS cutoff), held WHERE held.lang = total.lang GROUP BY ALL),
+tail AS (SELECT lang, cutoff, any_value(n) AS n, any_value(m) AS m, any_value(k) AS k, any_value(hit) AS hit, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality_rules.ALPHA}) + (n - i) * ln(1 - {quality_rules.ALPHA}))) AS p FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM tried WHERE k < {quality_rules.ALPHA} * n AND hit > 0) GROUP BY 1, 2),
+best AS (SELECT lang, max({{'gain': hit / m - k / n, 'cutoff': cutoff}}).cutoff AS cutoff FROM tail WHERE p <= {quality_rules.DELTA} / (SELECT count(*) FROM tried) GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bucket <= coalesce(cutoff, {quality_rules.CUTOFFS}) AS kept FROM measured LEFT JOIN best USING (lang)""",
 }
