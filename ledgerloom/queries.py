@@ -7,16 +7,21 @@ them as SQL text, in which {customer} and the like stand for the tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import convert
 from .functions import equality as eq
 from .functions import text as tx
-from .operators import compare, findings, infer, match, profile, relate, rules, validate
+from .operators import compare, findings, infer, match, profile, relate, rules, runs, validate
 from .operators import transform as tr
 from .operators.rules import Rule
 from .operators.transform import Step
+from .plans import cron, migrate
+from .plans import metadata as md
+from .session import work_table
 from .sources import tables as src
 from .streaming import incremental
 
@@ -702,6 +707,153 @@ def _(t):
     return profile.top_values(profile.value_counts(t.customer, ["c_mktsegment"]), secured=["c_mktsegment"]).select("field", "value", "count")
 
 
+# -- conversion
+
+@query("convert_cross_provider", f"""SELECT c_custkey, CASE WHEN ({_number('amount')}) IS NOT NULL AND floor({_number('amount')}) = ({_number('amount')}) THEN CAST(CAST({_number('amount')} AS BIGINT) AS VARCHAR) END AS whole, CASE WHEN amount IS NULL THEN NULL WHEN ({_number('amount')}) IS NULL THEN 'INVALID_NUMBER' WHEN floor({_number('amount')}) <> ({_number('amount')}) THEN 'FRACTIONAL_VALUE' END AS whole_error,
+CASE WHEN length(name) <= 18 THEN name END AS short, CASE WHEN length(name) > 18 THEN 'STRING_TOO_LONG' END AS short_error, CASE WHEN lower(flag) IN ('y', 'yes', 'true') THEN 'true' WHEN flag = 'no' THEN 'false' END AS truth FROM {{dirty_customer}} t""")
+def _(t):
+    whole, short = convert.cross_provider(F.col("amount"), "Integer"), convert.cross_provider(F.col("name"), "String", 18)
+    return t.dirty_customer.select("c_custkey", whole["value"].alias("whole"), whole["error_code"].alias("whole_error"), short["value"].alias("short"), short["error_code"].alias("short_error"), convert.cross_provider(F.col("flag"), "Boolean")["value"].alias("truth"))
+
+
+@query("convert_same_provider", f"SELECT c_custkey, CAST(CAST(floor(({_number('amount')}) + 0.5) AS BIGINT) AS VARCHAR) AS rounded, left(born, 10) AS day FROM {{dirty_customer}} t")
+def _(t):
+    return t.dirty_customer.select("c_custkey", convert.same_provider(F.col("amount"), "Integer")["value"].alias("rounded"), convert.same_provider(F.col("born"), "DateOnly")["value"].alias("day"))
+
+
+# -- runs
+
+@query("failure_categories", "SELECT CASE o_orderstatus WHEN 'P' THEN 'DATA' WHEN 'F' THEN 'TARGET' ELSE 'UNKNOWN' END AS category, CASE o_orderstatus WHEN 'P' THEN 'CORRECTION_REQUIRED' WHEN 'F' THEN 'SAFE_TO_RETRY' ELSE 'RECONCILE_FIRST' END AS retry, count(*) AS records FROM orders GROUP BY 1, 2")
+def _(t):
+    s = F.col("o_orderstatus")
+    return runs.failure_categories(t.orders.select(F.when(s == "P", "INVALID_DATE").when(s == "F", "THROTTLED").otherwise("NEW_CODE").alias("error_code")))
+
+
+@query("deferred_counts", "SELECT coalesce(CASE WHEN o_orderkey % 5 = 0 THEN 'PENDING' WHEN o_orderkey % 5 = 1 THEN 'DONE' END, 'NONE') AS deferred_status, count(*) AS records FROM orders GROUP BY 1")
+def _(t):
+    m = F.col("o_orderkey") % 5
+    return runs.deferred_counts(t.orders.select(F.when(m == 0, "PENDING").when(m == 1, "DONE").alias("s")), "s")
+
+
+@query("identity_impact", "SELECT user_id AS principal, count(DISTINCT event_id) AS records, count(DISTINCT event_type) AS fields FROM events GROUP BY 1")
+def _(t):
+    return runs.identity_impact(t.events, "user_id", "event_id", "event_type")
+
+
+@query("cap_per_group", "SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 5")
+def _(t):
+    return runs.cap_per_group(t.orders.select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], ["o_orderkey"], 5)
+
+
+@query("write_state_recovery", "SELECT finding, CASE finding WHEN 'PRESENT' THEN 'CONFIRM' WHEN 'ABSENT' THEN 'RETRY' ELSE 'PERSON' END AS next, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 9 = 0 THEN 'UNCLEAR' WHEN c_custkey % 4 = 0 THEN 'ABSENT' ELSE 'PRESENT' END AS finding FROM customer) GROUP BY 1, 2")
+def _(t):
+    k = F.col("c_custkey")
+    intents = t.customer.select(k.alias("source_id"), F.lit("CREATE").alias("operation"), F.when(k % 9 != 0, k).alias("evidence"))
+    return runs.recover_writes(intents, t.old_customer, "evidence", "id").groupBy("finding", "next").agg(F.count("*").alias("n"))
+
+
+@query("remediation_package", f"SELECT 'rules' AS origin, 'BLANK_VALUE' AS code, count(*) AS n FROM {{dirty_customer}} t WHERE email IS NOT NULL AND {_blank('email')} UNION ALL SELECT 'references', 'BROKEN_REFERENCE', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM {{some_customer}} t)")
+def _(t):
+    blank = t.dirty_customer.where(F.col("email").isNotNull() & tx.is_blank(F.col("email"))).select(F.col("c_custkey").alias("record_id"), F.lit("BLANK_VALUE").alias("code"))
+    broken = relate.broken_references(t.orders, "o_custkey", t.some_customer, "c_custkey").select(F.col("o_orderkey").alias("record_id"), F.lit("BROKEN_REFERENCE").alias("code"))
+    return runs.remediation(rules=blank, references=broken).groupBy("origin", "code").agg(F.count("*").alias("n"))
+
+
+@query("run_accounting", "SELECT count(*) AS accounted, count(*) FILTER (o_orderstatus <> 'P') AS expected_in_target FROM orders")
+def _(t):
+    s = F.col("o_orderstatus")
+    out = validate.outcome_counts(t.orders.select(F.lit("orders").alias("table_name"), F.when(s == "P", "FAILED").otherwise("CREATED").alias("outcome")))
+    return out.select("accounted", "expected_in_target")
+
+
+@query("t_preview", "SELECT source, lower(source) AS value, 'OK' AS status FROM (SELECT DISTINCT c_mktsegment AS source FROM customer ORDER BY 1 LIMIT 25)")
+def _(t):
+    return tr.preview(t.customer.repartition(1), "c_mktsegment", [Step("LOWERCASE")])
+
+
+@query("insights_profile", "SELECT 'c_mktsegment' AS field, 200 AS examined, 0 AS null_count FROM (SELECT 1)")
+def _(t):
+    return profile.profile(t.customer, "customer", ["c_mktsegment"], sample=200, order_by="c_custkey").select("field", F.least("examined", F.lit(200)).cast("long").alias("examined"), "null_count")
+
+
+@query("deterministic_prefix", "SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 500")
+def _(t):
+    return t.orders.select("o_orderkey").orderBy("o_orderkey").limit(500)
+
+
+@query("migrate", """SELECT 'customer' AS table_name, 'CREATED' AS outcome, count(*) AS records FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT 'customer', 'UPDATED', count(*) FROM customer c JOIN {old_customer} o ON c.c_custkey = o.id WHERE c.c_name <> o.title OR c.c_mktsegment <> o.segment
+UNION ALL SELECT 'customer', 'UNCHANGED', count(*) FROM customer c JOIN {old_customer} o ON c.c_custkey = o.id WHERE c.c_name = o.title AND c.c_mktsegment = o.segment UNION ALL SELECT 'orders', 'CREATED', count(*) FROM orders""")
+def _(t):
+    plan = [
+        migrate.Entity("orders", "o_orderkey", "key", [("o_orderkey", "key"), ("o_custkey", "customer")], references={"o_custkey": "customer"}),
+        migrate.Entity("customer", "c_custkey", "id", [("c_custkey", "id"), ("c_name", "title"), ("c_mktsegment", "segment")], {"c_name": [Step("TRIM")]}),
+    ]
+    empty = t.spark.createDataFrame([], "key bigint, customer bigint")
+    _, known = migrate.migrate(t.spark, plan, {"orders": t.orders, "customer": t.customer}, {"orders": empty, "customer": t.old_customer}, "run-1", work_table(t.spark, "migrate"))
+    return known.groupBy("table_name", "outcome").agg(F.count("*").alias("records"))
+
+
+# -- planning: rows of metadata
+
+def _tables(t: Inputs) -> dict[str, md.Table]:
+    return {n: md.table_of(n, getattr(t, n).schema, getattr(t, n).columns[0]) for n in ("region", "nation", "customer", "orders")}
+
+
+@query("schema_diff", "SELECT * FROM (VALUES ('customer', 'c_acctbal', 'SOURCE_ONLY'), ('customer', 'c_custkey', 'SOURCE_ONLY'), ('customer', 'c_mktsegment', 'SOURCE_ONLY'), ('customer', 'c_name', 'SOURCE_ONLY'), ('customer', 'c_nationkey', 'SOURCE_ONLY'), ('customer', 'id', 'TARGET_ONLY'), ('customer', 'segment', 'TARGET_ONLY'), ('customer', 'title', 'TARGET_ONLY')) v(table_name, column_name, status)")
+def _(t):
+    rows = md.schema_diff([md.table_of("customer", t.customer.schema)], [md.table_of("customer", t.old_customer.schema)])
+    return t.spark.createDataFrame([(r["table"], r["column"], r["status"]) for r in rows], "table_name string, column_name string, status string")
+
+
+@query("J10_table_pairing", "SELECT * FROM (VALUES ('customer', 'Customers'), ('nation', 'dbo.Nation'), ('orders', 'order')) v(left_table, right_table)")
+def _(t):
+    return t.spark.createDataFrame([(a, b) for a, b, _ in md.pair_tables(["customer", "nation", "orders"], ["order", "Customers", "dbo.Nation", "zz"])], "left_table string, right_table string")
+
+
+@query("J11_field_pairing", "SELECT * FROM (VALUES ('c_name', 'name'), ('c_acctbal', 'acctbal')) v(left_field, right_field)")
+def _(t):
+    right = md.Table("x", (md.Column("name", "String"), md.Column("acctbal", "Double"), md.Column("other", "String")))
+    return t.spark.createDataFrame([(a, b) for a, b, _ in md.pair_fields(md.table_of("customer", t.customer.schema), right)], "left_field string, right_field string")
+
+
+@query("J12_field_gaps", "SELECT * FROM (VALUES ('LEFT', 'c_acctbal'), ('LEFT', 'c_custkey'), ('LEFT', 'c_mktsegment'), ('LEFT', 'c_nationkey'), ('RIGHT', 'title')) v(side, field)")
+def _(t):
+    a, b = md.field_gaps(md.table_of("customer", t.customer.schema), md.Table("x", (md.Column("name", "String"), md.Column("title", "String"))))
+    return t.spark.createDataFrame([("LEFT", x) for x in a] + [("RIGHT", x) for x in b], "side string, field string")
+
+
+@query("auto_map", "SELECT * FROM (VALUES ('o_orderkey', 'AUTO_MAPPED'), ('o_custkey', 'AUTO_MAPPED'), ('o_orderstatus', 'AUTO_MAPPED'), ('o_totalprice', 'UNMAPPED'), ('o_orderdate', 'UNMAPPED'), ('o_orderpriority', 'AUTO_MAPPED')) v(source, status)")
+def _(t):
+    rows = md.auto_map(md.table_of("orders", t.orders.schema), md.table_of("orders", t.changed_orders.schema))
+    return t.spark.createDataFrame([(r["source"], r["status"]) for r in rows], "source string, status string")
+
+
+@query("plan_issues", "SELECT * FROM (VALUES ('UNMAPPED_COLUMNS', 'INFO'), ('UPSERT_OVERWRITES', 'WARNING')) v(code, severity)")
+def _(t):
+    a, b = md.table_of("orders", t.orders.schema), md.table_of("orders", t.changed_orders.schema, "o_orderkey")
+    return t.spark.createDataFrame(md.plan_issues(a, b, md.auto_map(a, b)), "code string, severity string")
+
+
+@query("dependency_order", "SELECT * FROM (VALUES (1, 'region'), (2, 'nation'), (3, 'customer'), (4, 'orders')) v(place, table_name)")
+def _(t):
+    found = [(c, p) for c, _, p, _, _ in relate.candidates({n: getattr(t, n) for n in ("region", "nation", "customer", "orders")})]
+    refs = [(c, p, True) for c, p in [("nation", "region"), ("customer", "nation"), ("orders", "customer")] if (c, p) in found]
+    order = md.load_order(["orders", "customer", "nation", "region"], refs)
+    return t.spark.createDataFrame(list(enumerate(order.tables, 1)), "place int, table_name string")
+
+
+@query("classify_compatibility", "SELECT * FROM (VALUES ('c_custkey', 'Integer', 'LOSSY'), ('c_name', 'Integer', 'CONVERSION_REQUIRED'), ('c_acctbal', 'Integer', 'LOSSY'), ('c_nationkey', 'Integer', 'COMPATIBLE'), ('c_mktsegment', 'Integer', 'CONVERSION_REQUIRED')) v(column_name, target_type, verdict)")
+def _(t):
+    target = md.Column("x", "Integer")
+    return t.spark.createDataFrame([(c.name, "Integer", md.compatibility(c, target)) for c in md.table_of("customer", t.customer.schema).columns], "column_name string, target_type string, verdict string")
+
+
+@query("cron_next", "SELECT TIMESTAMP '2024-01-08 09:00:00' AS due")
+def _(t):
+    due = cron.next_run("0 9 * * mon", datetime(2024, 1, 1, 9, tzinfo=timezone.utc))
+    return t.spark.createDataFrame([(due.replace(tzinfo=None).isoformat(" "),)], "due string").select(F.col("due").cast("timestamp_ntz").alias("due"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full profile of three tables, a row for each column."""
     t = Inputs(spark, sf_dir)

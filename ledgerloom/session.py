@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,21 @@ def ship_package(spark: SparkSession) -> None:
         for f in sorted(here.rglob("*.py")):
             z.write(f, f"{here.name}/{f.relative_to(here)}")
     sc.addPyFile(str(out))
+
+
+def work_table(spark: SparkSession, label: str):
+    """A function that writes a DataFrame under the shared folder of spark.checkpoint.dir and reads it back."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+
+    def save(df, name: str):
+        path = f"{root.rstrip('/')}/{label}-{name}-{uuid.uuid4().hex}"
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return save
