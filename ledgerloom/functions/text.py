@@ -48,14 +48,14 @@ def right_trim(c: Column) -> Column:
     return F.regexp_replace(c, rf"{SPACE}+\z", "")
 
 
-def is_blank(c: Column) -> Column:
-    """Null, or nothing but white space."""
-    return c.isNull() | (js_trim(c) == "")
+def is_blank(c: Column, trimmed: bool = False) -> Column:
+    """Null, or nothing but white space. ``trimmed``, here and below: js_trim() has been at the column."""
+    return c.isNull() | ((c if trimmed else js_trim(c)) == "")
 
 
-def to_number(c: Column) -> Column:
+def to_number(c: Column, trimmed: bool = False) -> Column:
     """The double that a text spells in decimal notation; null for anything else, blank text included."""
-    t = js_trim(c)
+    t = c if trimmed else js_trim(c)
     return F.when(t.rlike(NUMERIC), t.try_cast("double"))
 
 
@@ -64,9 +64,9 @@ def number_or_zero(c: Column) -> Column:
     return F.when(is_blank(c), F.lit(0.0)).otherwise(to_number(c))
 
 
-def to_instant(c: Column) -> Column:
+def to_instant(c: Column, trimmed: bool = False) -> Column:
     """Timestamp (UTC, without zone) of an ISO 8601 text, zone-less times taken as UTC; null for other text."""
-    t = js_trim(c)
+    t = c if trimmed else js_trim(c)
     iso = t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?\z")
     return F.when(iso, t.try_cast("timestamp")).cast("timestamp_ntz")
 
@@ -90,13 +90,13 @@ def looks_like_currency(c: Column) -> Column:
     return (marked & body.rlike(MONEY_BODY)) | (~marked & c.rlike(GROUPED))
 
 
-def shape_of(c: Column) -> Column:
+def shape_of(c: Column, trimmed: bool = False) -> Column:
     """BLANK, NUMBER, CURRENCY, BOOLEAN, DATE or TEXT; the first that fits, in this order."""
-    t = js_trim(c)
+    t = c if trimmed else js_trim(c)
     day = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1).try_cast("date").isNotNull()
     date = (t.rlike(ISO_DATE_SHAPE) & day) | t.rlike(SLASH_DATE_SHAPE)
     return (
-        F.when(is_blank(c), "BLANK").when(t.rlike(PLAIN_NUMBER), "NUMBER").when(looks_like_currency(t), "CURRENCY")
+        F.when(is_blank(t, True), "BLANK").when(t.rlike(PLAIN_NUMBER), "NUMBER").when(looks_like_currency(t), "CURRENCY")
         .when(F.lower(t).isin(BOOLEAN_WORDS), "BOOLEAN").when(date, "DATE").otherwise("TEXT")
     )
 

@@ -39,38 +39,39 @@ def as_text(df: DataFrame, name: str) -> Column:
     return F.col(f"`{name}`").cast("string")
 
 
-def _stats(df: DataFrame, name: str, reads_as: str) -> Column:
-    """The one-pass statistics of a column as a struct; ``reads_as`` is what its values should be."""
-    raw, kind = F.col(f"`{name}`"), kind_of(df.schema[name].dataType)
+def _stats(name: str, kind: str, raw: Column, t: Column, shape: Column, reads_as: str) -> Column:
+    """The one-pass statistics of a column as a struct, from its values, the trimmed text and its shape.
+
+    ``reads_as`` is what its values should be. Only text can be blank or spell something wrongly.
+    """
     text = raw.cast("string")
     null = F.lit(None)
-    number = (to_number(text) if kind == "text" else raw.cast("double")) if reads_as == "number" else null.cast("double")
-    instant = (to_instant(text) if kind == "text" else raw.cast("timestamp_ntz")) if reads_as == "datetime" else null.cast("timestamp_ntz")
-    filled = ~is_blank(text)
+    is_text = kind == "text"
+    number = (to_number(t, True) if is_text else raw.cast("double")) if reads_as == "number" else null.cast("double")
+    instant = (to_instant(t, True) if is_text else raw.cast("timestamp_ntz")) if reads_as == "datetime" else null.cast("timestamp_ntz")
+    filled = t.isNotNull() & (t != "") if is_text else raw.isNotNull()
     invalid = {
         "number": filled & number.isNull(),
         "datetime": filled & instant.isNull(),
-        "boolean": filled & ~F.lower(js_trim(text)).isin(PROFILE_BOOLEANS),
-        "guid": filled & ~js_trim(text).rlike(GUID),
-        "email": filled & ~js_trim(text).rlike(EMAIL_SHAPE),
+        "boolean": filled & ~F.lower(t).isin(PROFILE_BOOLEANS),
+        "guid": filled & ~t.rlike(GUID),
+        "email": filled & ~t.rlike(EMAIL_SHAPE),
     }.get(reads_as, F.lit(False))
-    length = F.length(text) if kind == "text" else null.cast("int")
-    shape = shape_of(text) if kind == "text" else null.cast("string")
+    length = F.length(text) if is_text else null.cast("int")
     count = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
-    is_text = kind == "text"
     return F.struct(
         F.lit(name).alias("field"),
         F.count("*").alias("examined"),
         count(raw.isNull()).alias("null_count"),
-        (count(raw.isNotNull() & is_blank(text)) if is_text else F.max(F.lit(0).cast("long"))).alias("blank_count"),
-        (count(filled & (js_trim(text) != text)) if is_text else F.max(F.lit(0).cast("long"))).alias("whitespace_count"),
+        (count(raw.isNotNull() & (t == "")) if is_text else F.max(F.lit(0).cast("long"))).alias("blank_count"),
+        (count(filled & (t != text)) if is_text else F.max(F.lit(0).cast("long"))).alias("whitespace_count"),
         F.min(length).alias("min_length"),
         F.max(length).alias("max_length"),
         round_half_up(F.avg(length), 1).alias("avg_length"),
         F.min(number).alias("min_number"),
         F.max(number).alias("max_number"),
         round_half_up(F.avg(number), 6).alias("avg_number"),
-        F.max(decimal_places(js_trim(text)) if reads_as == "number" and is_text else null.cast("int")).alias("max_scale"),
+        F.max(decimal_places(t) if reads_as == "number" and is_text else null.cast("int")).alias("max_scale"),
         F.min(instant).alias("min_date"),
         F.max(instant).alias("max_date"),
         count(invalid).alias("invalid_count"),
@@ -86,8 +87,15 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, reads_as:
     """
     names = profilable(df, columns)
     reads = {n: (reads_as or {}).get(n, kind_of(df.schema[n].dataType)) for n in names}
+    kinds = {n: kind_of(df.schema[n].dataType) for n in names}
+    # Texts are trimmed once, then shaped once, in projections of their own.
+    values = df.select(*[F.col(f"`{n}`").alias(f"v{i}") for i, n in enumerate(names)])
+    trimmed = values.select("*", *[js_trim(F.col(f"v{i}").cast("string")).alias(f"t{i}") for i, n in enumerate(names) if kinds[n] == "text"])
+    shaped = trimmed.select("*", *[shape_of(F.col(f"t{i}"), True).alias(f"h{i}") for i, n in enumerate(names) if kinds[n] == "text"])
+    none = F.lit(None).cast("string")
+    of = lambda i, n: _stats(n, kinds[n], F.col(f"v{i}"), *((F.col(f"t{i}"), F.col(f"h{i}")) if kinds[n] == "text" else (F.col(f"v{i}").cast("string"), none)), reads[n])
     # One struct of aggregates for each column: Catalyst computes them all in one partial aggregation.
-    wide = df.agg(*[_stats(df, n, reads[n]).alias(f"s{i}") for i, n in enumerate(names)])
+    wide = shaped.agg(*[of(i, n).alias(f"s{i}") for i, n in enumerate(names)])
     return wide.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(names))]))).withColumn("null_percent", percent(F.col("null_count"), F.col("examined")))
 
 
