@@ -21,7 +21,7 @@ from .operators.rules import Rule
 from .operators.transform import Step
 from .plans import cron, migrate
 from .plans import metadata as md
-from .session import work_table
+from .session import ship_package, work_table
 from .sources import tables as src
 from .streaming import incremental
 
@@ -423,6 +423,7 @@ def _(t):
 
 @query("compare_json", "SELECT 'EQUAL' AS verdict, count(*) AS n FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT 'DIFFERENT', count(*) FROM events WHERE event_id % 3 = 0")
 def _(t):
+    ship_package(t.spark)
     other = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("["), F.col("props"), F.lit("]"))).otherwise(F.replace(F.col("props"), F.lit(":"), F.lit(" : ")))
     return t.events.groupBy(eq.compare_json(F.col("props"), other).alias("verdict")).agg(F.count("*").alias("n"))
 
