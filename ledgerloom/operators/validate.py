@@ -31,6 +31,25 @@ def record_differences(source: DataFrame, target: DataFrame, mapping: DataFrame,
     return both.select("source_id", F.inline(F.array(gone, *made))).where("type is not null")
 
 
+def pairing(source: DataFrame, target: DataFrame, mapping: DataFrame, source_id: str, target_id: str) -> DataFrame:
+    """source_id, target_id, in_target: each source row with the target row its mapping leads to."""
+    s = source.select(F.col(f"`{source_id}`").alias("source_id"))
+    t = target.select(F.col(f"`{target_id}`").alias("_t"))
+    out = s.join(mapping.select("source_id", "target_id"), "source_id", "left").join(t, F.col("target_id") == F.col("_t"), "left")
+    return out.select("source_id", "target_id", F.col("_t").isNotNull().alias("in_target"))
+
+
+def duplicate_attribution(groups: DataFrame, key: Sequence[str], ids: str, mapping: DataFrame, samples: int = 5) -> DataFrame:
+    """The key, attributable: whether a run wrote one of a duplicate group's sampled rows; null if it didn't and not all were sampled.
+
+    ``groups`` has an array of row ids and a count for each group; ``mapping`` the run's target ids.
+    """
+    long = groups.select(*key, "count", F.explode(F.slice(F.array_sort(ids), 1, samples)).alias("_id"))
+    own = mapping.select(F.col("target_id").cast("string").alias("_id"), F.lit(True).alias("_own")).distinct()
+    out = long.join(own, "_id", "left").groupBy(*key).agg(F.coalesce(F.bool_or("_own"), F.lit(False)).alias("hit"), F.count("*").alias("seen"), F.max("count").alias("n"))
+    return out.select(*key, F.when(F.col("hit"), True).when(F.col("seen") < F.col("n"), None).otherwise(False).alias("attributable"))
+
+
 def aggregate_pushdown(df: DataFrame, columns: Sequence[str], scale: int = 2) -> DataFrame:
     """column_name, count, total, lowest, highest: exact decimals, as text, in one pass."""
     d = lambda c: F.col(f"`{c}`").cast(f"decimal(18,{scale})")

@@ -185,6 +185,11 @@ def schema_diff(source: Iterable[Table], target: Iterable[Table]) -> list[dict]:
     return out
 
 
+def field_rows(tables: Iterable[Table]) -> list[tuple[str, str, str]]:
+    """(table, column, type) rows, to join schemas as data."""
+    return [(t.name.lower(), c.name.lower(), c.type) for t in tables for c in t.columns]
+
+
 # -- mapping
 
 def auto_map(source: Table, target: Table) -> list[dict]:

@@ -596,6 +596,26 @@ def _(t):
     return validate.aggregate_pushdown(t.orders, ["o_totalprice"])
 
 
+@query("J7_validation_pairing", "SELECT c_custkey AS source_id, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS target_id, c_custkey % 5 <> 0 AND c_custkey % 4 <> 0 AS in_target FROM customer")
+def _(t):
+    mapping = t.customer.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("source_id"), F.col("c_custkey").alias("target_id"))
+    return validate.pairing(t.customer, t.old_customer, mapping, "c_custkey", "id")
+
+
+@query("J18_duplicate_attribution", "SELECT c_nationkey, CASE WHEN count(*) FILTER (r <= 5 AND c_custkey % 3 = 0) > 0 THEN true WHEN count(*) > 5 THEN NULL ELSE false END AS attributable FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY CAST(c_custkey AS VARCHAR)) AS r FROM customer) GROUP BY 1 HAVING count(*) > 1")
+def _(t):
+    groups = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("count"), F.collect_list(F.col("c_custkey").cast("string")).alias("ids")).where("count > 1")
+    written = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("target_id"))
+    return validate.duplicate_attribution(groups, ["c_nationkey"], "ids", written)
+
+
+@query("J13_schema_full_join", "SELECT coalesce(a.n, b.n) AS column_name, a.n IS NOT NULL AS in_source, b.n IS NOT NULL AS in_target FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS n) a FULL JOIN (SELECT unnest(['o_orderkey', 'o_orderstatus', 'o_orderpriority', 'o_custkey']) AS n) b ON a.n = b.n")
+def _(t):
+    rows = lambda df, side: t.spark.createDataFrame(md.field_rows([md.table_of("orders", df.schema)]), "table_name string, column_name string, type string").select("table_name", "column_name", F.lit(True).alias(side))
+    both = rows(t.orders, "a").join(rows(t.changed_orders, "b"), ["table_name", "column_name"], "full")
+    return both.select("column_name", F.col("a").isNotNull().alias("in_source"), F.col("b").isNotNull().alias("in_target"))
+
+
 @query("outcome_counts", "SELECT o_orderpriority AS table_name, count(*) FILTER (o_orderstatus = 'O') AS created, count(*) FILTER (o_orderstatus = 'F') AS updated, count(*) FILTER (o_orderstatus = 'P') AS failed, count(*) FILTER (o_orderstatus IN ('O', 'F')) AS written, count(*) AS accounted FROM orders GROUP BY 1")
 def _(t):
     s = F.col("o_orderstatus")
