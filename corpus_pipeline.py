@@ -17,10 +17,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     labels, own = table(spark, sf_dir, "labels"), free_prefix(docs)
     rules, kept = f"{own}rules", f"{own}kept"
-    with scratch(spark):  # cutoffs need labelled documents only; texts are measured again rather than written with their counts
-        known = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-        sample = save(quality_rules.measure(known, into=rules).select("doc_id", "lang", rules), "measured")
-        cutoffs = quality_rules.learnt(sample, labels, rules)
+    with scratch(spark):  # texts are measured again rather than shuffled, or written with their counts
+        measured = save(quality_rules.measure(docs, into=rules).select("doc_id", "lang", rules), "measured")
+        cutoffs = quality_rules.learnt(measured, labels, rules)
     judged = quality_rules.judge_by(quality_rules.measure(docs, into=rules), cutoffs, rules, kept)
     return judged.where(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -28,8 +27,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document of the least doc_id stays."""
     ship_package(spark)
-    kept = near_dedup.near_duplicates(docs, percent=85).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    copies = near_dedup.near_duplicates(docs, percent=85).where("not kept").select("doc_id").distinct()
+    few = copies.count() <= near_dedup.MOST_BROADCAST_IDS  # else the texts are shuffled to meet their ids
+    return docs.join(F.broadcast(copies) if few else copies, docs["doc_id"] == copies["doc_id"], "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
