@@ -29,6 +29,8 @@ LEAST_P = 1e-3
 LEAST_LENGTH = 20
 #: p-values are kept as whole multiples of -ln p, rounded down, up to this: a bounded table.
 MOST_STEPS = 200
+#: Matches whose starts are summed together: a text of n matches copies n * RUN references, not n * n.
+RUN = 500
 #: Tokens longer than this are tested in full, but share one length stratum.
 TOP_STRATUM = 10
 
@@ -109,12 +111,17 @@ def scan(docs: DataFrame, into: str = "found") -> DataFrame:
     """
     own = [f"`{c}`" for c in docs.columns]
     p = free_prefix(docs)
-    ours = lambda sql: re.sub(r"(?<![\w'])_(?=t\b|[mbs]_)", p, sql)  # noqa: E731  _t, _m_hex and so on are columns of our own
+    ours = lambda sql: re.sub(r"(?<![\w'])_(?=t\b|[mbszr]_)", p, sql)  # noqa: E731  _t, _m_hex and so on are columns of our own
     t = "coalesce(cast(text as string), '')"
     step = docs.selectExpr(*own, ours(f"{t} as _t"), *[f"regexp_extract_all({t}, {_sql(q)}, 0)" + ours(f" as _m_{k}") for k, q in KINDS])
     step = step.selectExpr("*", *[ours(f"if(size(_m_{k}) = 0, cast(array() as array<string>), split(_t, ") + _sql(q) + ours(f")) as _b_{k}") for k, q in KINDS])
-    walk = "aggregate(zip_with(_m_{k}, slice(_b_{k}, 1, size(_m_{k})), (m, b) -> named_struct('m', m, 'b', length(b))), named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,m:string>>)), (a, x) -> named_struct('at', a.at + x.b + length(x.m), 'out', array_append(a.out, named_struct('start', a.at + x.b, 'end', a.at + x.b + length(x.m), 'm', x.m))), a -> a.out)"
-    step = step.selectExpr(*own, *[ours(f"if(size(_m_{k}) = 0, cast(array() as array<struct<start:int,end:int,m:string>>), {walk.format(k=k)}) as _s_{k}") for k, _ in KINDS])
+    # Starts are running sums, taken in stretches of RUN matches: of the stretches first, then within each.
+    pieces = "zip_with(_m_{k}, slice(_b_{k}, 1, size(_m_{k})), (m, b) -> named_struct('m', m, 'b', length(b), 'n', length(b) + length(m)))"
+    step = step.selectExpr(*own, *[ours(f"if(size(_m_{k}) = 0, cast(array() as array<struct<m:string,b:int,n:int>>), {pieces.format(k=k)}) as _z_{k}") for k, _ in KINDS])
+    stretches = f"aggregate(sequence(0, (size(_z_{{k}}) - 1) div {RUN}), named_struct('at', 0, 'out', cast(array() as array<int>)), (a, c) -> named_struct('at', a.at + aggregate(slice(_z_{{k}}, cast(c * {RUN} + 1 as int), {RUN}), 0, (v, x) -> v + x.n), 'out', array_append(a.out, a.at)), a -> a.out)"
+    step = step.selectExpr("*", *[ours(f"if(size(_z_{k}) = 0, cast(array() as array<int>), {stretches.format(k=k)}) as _r_{k}") for k, _ in KINDS])
+    walk = f"flatten(transform(_r_{{k}}, (at, c) -> aggregate(slice(_z_{{k}}, c * {RUN} + 1, {RUN}), named_struct('at', at, 'out', cast(array() as array<struct<start:int,end:int,m:string>>)), (a, x) -> named_struct('at', a.at + x.n, 'out', array_append(a.out, named_struct('start', a.at + x.b, 'end', a.at + x.n, 'm', x.m))), a -> a.out)))"
+    step = step.selectExpr(*own, *[ours(f"{walk.format(k=k)} as _s_{k}") for k, _ in KINDS])
     long_enough = ours("filter(_s_assign, x") + f" -> length(regexp_extract(x.m, {_sql(ASSIGN)}, 1)) >= 8)"
     bare = "transform({s}, x -> named_struct('start', x.start, 'end', x.end))"
     parts = [f"'assign', {bare.format(s=long_enough)}", f"'access', {bare.format(s=ours('_s_access'))}", f"'hex', {bare.format(s=ours('_s_hex'))}", f"'tokens', {_battery(ours('_s_random'))}"]
