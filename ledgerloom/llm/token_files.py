@@ -18,97 +18,141 @@ half done and any store that Spark reaches will do.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_rows, save, scratch_root
+from .common import map_rows, save, scratch, scratch_root
 
 #: Longest code in bits: a decoding table has two to this many entries.
 LONGEST = 18
 #: Ids between two bit offsets, and ids from which a block is closed.
-STEP, BLOCK_IDS = 128, 1 << 16
-#: Words whose ids a task keeps, at most.
-MOST_WORDS = 400_000
+STEP, BLOCK_IDS = 64, 1 << 18
+#: Words whose ids a task keeps, at most, and that the library gets at once.
+MOST_WORDS, WORDS_AT_ONCE = 1_400_000, 2048
 
 
 # -- ids
 
+def _lowered(text: bytes) -> bytes:
+    """The text with A-Z lower-cased, as the tokenizer does anyway, so fewer words differ.
+
+    It composes characters first, though, and takes special tokens out before that; texts
+    with combining marks (U+0300 to U+036F, which begin with these bytes) or with what may be
+    a special token stay as they are.
+    """
+    return text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()
+
+
 class WordEncoder:
     """Ids of whole texts, word by word: the tokenizer drops white space and never looks across it.
 
     Texts are parted at ASCII white space only; what else counts as white space is left to the
-    library. Words repeat, so each batch gives the library only those not seen lately.
+    library. Words repeat, so the library gets only those not seen lately. Words of letters
+    alone are one token run each, which ends with a token that ends words, so they go through
+    it as one text and are told apart again; should the number differ, each goes alone.
     """
 
-    def __init__(self, file: str) -> None:
+    def __init__(self, file: str, kind: str = "<u4") -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer, self.kind = Tokenizer.from_file(file), kind
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[bytes]) -> None:
-        """Add new words; forget all others first if the table would get too large."""
-        if self.known and len(self.known) + len(words) > MOST_WORDS:
-            self.known.clear()
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words) or (len(ids) and stops[-1] != len(ids)):
+            return self._alone(words)
+        blob, at = ids.tobytes(), (stops * ids.itemsize).tolist()
+        return [blob[i:j] for i, j in zip([0, *at], at)]
+
+    def learn(self, words: set[bytes], forget: bool = True) -> bool:
+        """Add new words; forget all others first if the table would get too large, and say so."""
+        known = self.known
+        full = forget and bool(known) and len(known) + len(words) > MOST_WORDS
+        if full:
+            known.clear()
         # A comma or full stop after a letter is a token of its own.
-        stems = {w: w[:-1] for w in words if len(w) > 1 and w[-1:] in b".," and w[-2:-1].isalpha()}
-        new = [w for w in {*(words - stems.keys()), *stems.values(), *(w[-1:] for w in stems)} if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        stems = {w: w[:-1] for w in words if w[-1] in b".," and w[-2:-1].isalpha()}
+        more = {*stems.values(), b",", b"."} if stems else set()  # one difference at a time: each then looks up its own few words
+        new = [*words.difference(stems), *more.difference(words).difference(known)]
+        texts = b"\n".join(new).decode().split("\n") if new else []
+        plain = list(map(str.isalpha, texts))
+        for encode, is_own in ((self._together, plain), (self._alone, [not p for p in plain])):
+            own, shown = list(compress(new, is_own)), list(compress(texts, is_own))
+            for at in range(0, len(own), WORDS_AT_ONCE):
+                known.update(zip(own[at : at + WORDS_AT_ONCE], encode(shown[at : at + WORDS_AT_ONCE]), strict=True))
         for w, stem in stems.items():
-            self.known[w] = self.known[stem] + self.known[w[-1:]]
+            known[w] = known[stem] + known[w[-1:]]
+        return full
 
-    def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        """Little-endian uint32 ids of each text, then ``end``."""
-        parted = [(t or "").encode("utf-8", "replace").split() for t in texts]
+    def encode(self, texts: list[bytes | None], end: bytes) -> list[bytes]:
+        """The ids of each UTF-8 text as ``kind``, then ``end``."""
+        parted = [_lowered(t or b"").split() for t in texts]
         words = set().union(*parted)
-        if not words <= self.known.keys():
-            self.learn(words - self.known.keys())
-            if not words <= self.known.keys():  # it forgot the others to make room
-                self.learn(words - self.known.keys())
+        if self.learn(words.difference(self.known)):
+            self.learn(words.difference(self.known), forget=False)  # the others of these texts, forgotten to make room
         return [b"".join(map(self.known.__getitem__, p)) + end for p in parted]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, str], WordEncoder] = {}
+
 
+def kind_of(tokenizer: str, end_id: int) -> str:
+    """The least of uint16 and uint32 that holds all ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian uint32, with ``end_id`` last) of each whole text; null counts as empty."""
+    most = max(Tokenizer.from_file(public_tokenizers.path(tokenizer)).get_vocab(with_added_tokens=True).values(), default=0)
+    return "<u2" if max(most, end_id) < 1 << 16 else "<u4"
+
+
+def token_ids(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "<u4") -> DataFrame:
+    """doc_id, ids (little-endian, as ``kind``, with ``end_id`` last) of each whole text; null counts as empty."""
 
     def make():
         import public_tokenizers
 
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = WordEncoder(public_tokenizers.path(tokenizer))
-        own, end = _encoders[tokenizer], struct.pack("<I", end_id)
+        if (tokenizer, kind) not in _encoders:
+            _encoders[tokenizer, kind] = WordEncoder(public_tokenizers.path(tokenizer), kind)
+        own, end = _encoders[tokenizer, kind], np.array([end_id], kind).tobytes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.encode(batch.column(1).to_pylist(), end), pa.binary())], ["doc_id", "ids"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.encode(batch.column(1).cast(pa.binary()).to_pylist(), end), pa.binary())], ["doc_id", "ids"])
 
         return step
 
-    return map_rows(docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text"), make, "doc_id long, ids binary")
+    return map_rows(docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text"), make, "doc_id long, ids binary", rows=1024)
 
 
 # -- the code
 
-def id_counts(ids: DataFrame) -> DataFrame:
+def id_counts(ids: DataFrame, kind: str = "<u4") -> DataFrame:
     """id, count over all documents; each task adds up its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for blob in batch.column(0):
-                got = np.bincount(np.frombuffer(blob.as_buffer(), "<u4"))
+            for at in range(0, batch.num_rows, 512):
+                got = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(at, 512).to_pylist()), kind))
                 if len(got) > len(total):
                     got[: len(total)] += total
                     total = got
@@ -209,9 +253,9 @@ def unpack(block: bytes, code: Code) -> tuple[list[int | None], np.ndarray, np.n
 
 # -- files
 
-def write(ids: DataFrame, path: str) -> None:
-    """Write (doc_id, ids) as ``path``/code and ``path``/blocks, in ascending doc_id order (nulls first)."""
-    counted = id_counts(ids).orderBy("id").collect()  # a row for each id of the vocabulary at most
+def write(ids: DataFrame, path: str, kind: str = "<u4") -> None:
+    """Write (doc_id, ids as ``kind``) as ``path``/code and ``path``/blocks, in ascending doc_id order (nulls first)."""
+    counted = id_counts(ids, kind).orderBy("id").collect()  # a row for each id of the vocabulary at most
     symbols, counts = (np.array([r[k] for r in counted], np.int64) for k in ("id", "count"))
     lengths = code_lengths(counts) if len(counts) else counts
     spark = ids.sparkSession
@@ -220,11 +264,11 @@ def write(ids: DataFrame, path: str) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(symbols, lengths)
         part = TaskContext.get().partitionId()
-        docs, blobs, held, number, start = [], [], 0, 0, 0
+        docs, blobs, held, number, start, size = [], [], 0, 0, 0, np.dtype(kind).itemsize
 
         def close() -> pa.RecordBatch:
             nonlocal docs, blobs, held, number, start
-            block = pack(docs, [len(b) // 4 for b in blobs], np.frombuffer(b"".join(blobs), "<u4").astype(np.int64), code)
+            block = pack(docs, [len(b) // size for b in blobs], np.frombuffer(b"".join(blobs), kind).astype(np.int64), code)
             out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([start], pa.int64()), pa.array([held], pa.int64()), pa.array([block], pa.binary())], ["part", "number", "start", "n_ids", "block"])
             start, number, docs, blobs, held = start + held, number + 1, [], [], 0
             return out
@@ -233,7 +277,7 @@ def write(ids: DataFrame, path: str) -> None:
             for doc, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 docs.append(doc)
                 blobs.append(blob.as_py())
-                held += len(blobs[-1]) // 4
+                held += len(blobs[-1]) // size
                 if held >= BLOCK_IDS:
                     yield close()
         if docs:
@@ -243,11 +287,16 @@ def write(ids: DataFrame, path: str) -> None:
     ordered.mapInArrow(run, "part int, number long, start long, n_ids long, block binary").write.parquet(f"{path}/blocks")
 
 
-def read(spark, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids (little-endian uint32) from files."""
+def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens and ids (little-endian uint32) from files.
+
+    With ``digest``, ids_crc32 in place of the ids: taken where they are decoded.
+    """
     rows = spark.read.parquet(f"{path}/code").collect()  # a row for each id of the vocabulary at most
     symbols, lengths = (np.array([r[k] for r in rows], np.int64) for k in ("id", "length"))
 
+    last = "ids_crc32" if digest else "ids"
+
     def make():
         code = Code(symbols, lengths)
 
@@ -258,17 +307,18 @@ def read(spark, path: str) -> DataFrame:
                 ends = np.cumsum(sizes, dtype=np.int64)
                 raw = ids.astype("<u4").tobytes()
                 for d, n, e in zip(docs, sizes.tolist(), ends.tolist(), strict=True):
-                    part.append(p), doc.append(d), start.append(s + e - n), size.append(n), blobs.append(raw[4 * (e - n) : 4 * e])
-            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(blobs, pa.binary())], ["part", "doc_id", "start", "n_tokens", "ids"])
+                    part.append(p), doc.append(d), start.append(s + e - n), size.append(n)
+                    blobs.append(zlib.crc32(raw[4 * (e - n) : 4 * e]) if digest else raw[4 * (e - n) : 4 * e])
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(blobs, pa.int64() if digest else pa.binary())], ["part", "doc_id", "start", "n_tokens", last])
 
         return step
 
     blocks = spark.read.parquet(f"{path}/blocks")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    docs = map_rows(blocks.select("part", "start", "block"), make, "part int, doc_id long, start long, n_tokens long, ids binary", rows=1)
+    docs = map_rows(blocks.select("part", "start", "block"), make, f"part int, doc_id long, start long, n_tokens long, {last} {'long' if digest else 'binary'}", rows=1)
     # a row for each partition that was written: few, whatever the documents
-    return docs.join(F.broadcast(parts), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
+    return docs.join(F.broadcast(parts), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", last)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -277,8 +327,8 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     Null and empty texts have the end id only; a null doc_id comes before all others and rows
     that repeat one lie next to each other, by their ids; an empty table gives empty files.
     """
-    spark = docs.sparkSession
-    ids = save(token_ids(docs, tokenizer, end_id), "token_ids")
+    spark, kind = docs.sparkSession, kind_of(tokenizer, end_id)
     path = f"{scratch_root(spark)}/token-files-{uuid.uuid4().hex}"
-    write(ids, path)
-    return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    with scratch(spark):
+        write(save(token_ids(docs, tokenizer, end_id, kind), "token_ids"), path, kind)
+    return read(spark, path, digest=True).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -67,6 +67,16 @@ def test_word_encoder_as_the_library():
         assert np.frombuffer(g, "<u4").tolist() == e.ids
 
 
+def test_word_encoder_forgets_and_learns_again(monkeypatch):
+    monkeypatch.setattr(token_files, "MOST_WORDS", 40)
+    own, library = token_files.WordEncoder(public_tokenizers.path(WORDS)), Tokenizer.from_file(public_tokenizers.path(WORDS))
+    rng = random.Random(6)
+    for _ in range(60):
+        texts = [" ".join(f"w{rng.randrange(120)}{rng.choice(['', ',', '.'])}" for _ in range(rng.randrange(50))) for _ in range(3)]
+        for e, g in zip(library.encode_batch(texts, add_special_tokens=False), own.encode([t.encode() for t in texts], b""), strict=True):
+            assert np.frombuffer(g, "<u4").tolist() == e.ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 400), min_size=1, max_size=900))
 def test_huffman_round_trip(ids):
