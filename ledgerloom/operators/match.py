@@ -35,7 +35,7 @@ def by_key(source: DataFrame, target: DataFrame, source_id: str, target_id: str,
     targets AMBIGUOUS_TARGET_MATCH, a key seen before DUPLICATE_SOURCE_KEY: never a guess.
     """
     folded = lambda c: F.lower(js_trim(F.col(f"`{c}`").cast("string")))
-    complete = ~F.exists(F.array(*[F.col(f"`{c}`").cast("string") for c in source_key]), is_blank)
+    complete = ~F.exists(F.array(*[F.col(f"`{c}`").cast("string") for c in source_key]), lambda x: is_blank(x))
     s = source.select(F.col(f"`{source_id}`").alias("source_id"), F.when(complete, F.concat_ws("|", *map(folded, source_key))).alias("_k"))
     t = target.select(F.col(f"`{target_id}`").alias("target_id"), F.concat_ws("|", *map(folded, target_key)).alias("_k")).groupBy("_k").agg(F.count("*").alias("_n"), F.min("target_id").alias("target_id"))
     out = s.join(t, "_k", "left").withColumn("_seen", F.row_number().over(Window.partitionBy("_k").orderBy("source_id")))
@@ -69,7 +69,7 @@ def decide(matched: Column, blocked: Column, conflict: Column, changed: Column,
 
 def preflight(source: DataFrame, target: DataFrame, matches: DataFrame, source_id: str, target_id: str, fields: Sequence[tuple[str, str]], strategy: str, required: Sequence[str] = ()) -> DataFrame:
     """source_id, target_id, action, changes: what a run would do with each source row, none left out."""
-    s = source.select(F.col(f"`{source_id}`").alias("source_id"), *[F.col(f"`{a}`").cast("string").alias(f"s{i}") for i, (a, _) in enumerate(fields)], F.exists(F.array(*[F.col(f"`{c}`").cast("string") for c in required]), is_blank).alias("_blocked") if required else F.lit(False).alias("_blocked"))
+    s = source.select(F.col(f"`{source_id}`").alias("source_id"), *[F.col(f"`{a}`").cast("string").alias(f"s{i}") for i, (a, _) in enumerate(fields)], F.exists(F.array(*[F.col(f"`{c}`").cast("string") for c in required]), lambda x: is_blank(x)).alias("_blocked") if required else F.lit(False).alias("_blocked"))
     t = target.select(F.col(f"`{target_id}`").alias("target_id"), F.lit(True).alias("_there"), *[F.col(f"`{b}`").cast("string").alias(f"t{i}") for i, (_, b) in enumerate(fields)])
     out = s.join(matches, "source_id").join(t, "target_id", "left")
     from ..functions.equality import normalize

@@ -792,7 +792,7 @@ def _(t):
     return tr.preview(t.customer.repartition(1), "c_mktsegment", [Step("LOWERCASE")])
 
 
-@query("insights_profile", "SELECT 'c_mktsegment' AS field, 200 AS examined, 0 AS null_count FROM (SELECT 1)")
+@query("insights_profile", "SELECT 'c_mktsegment' AS field, least(200, count(*)) AS examined, 0 AS null_count FROM customer")
 def _(t):
     return profile.profile(t.customer, "customer", ["c_mktsegment"], sample=200, order_by="c_custkey").select("field", F.least("examined", F.lit(200)).cast("long").alias("examined"), "null_count")
 
