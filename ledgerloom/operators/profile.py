@@ -11,8 +11,6 @@ from pyspark.sql.window import Window
 
 from ..functions.text import EMAIL_SHAPE, GUID, PROFILE_BOOLEANS, decimal_places, is_blank, js_trim, percent, round_half_up, shape_of, to_instant, to_number
 
-#: More distinct values than this read as unknown (null), never as a wrong number.
-DISTINCT_CAP = 50_000
 TOP_VALUES, EXAMPLES, MASK = 50, 5, "***"
 SHAPES = ("NUMBER", "CURRENCY", "BOOLEAN", "DATE", "TEXT")
 
@@ -119,19 +117,18 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None, row_id: st
     return counted.join(ids, ["field", "value"], "left")
 
 
-def duplication(counts: DataFrame, cap: int = DISTINCT_CAP) -> DataFrame:
-    """field, distinct_count (blank is a value; null past the cap), duplicate_count, and groups of equal values that aren't blank."""
+def duplication(counts: DataFrame) -> DataFrame:
+    """field, distinct_count (exact at any size; blank is a value), duplicate_count, and groups of equal values that aren't blank."""
     filled = ~is_blank(F.col("value"))
     groups = counts.groupBy("field").agg(
-        F.count("*").alias("distinct_all"),
+        F.count("*").alias("distinct_count"),
         F.sum("count").alias("filled"),
         F.count_if(filled).alias("distinct_values"),
         F.count_if(filled & (F.col("count") > 1)).alias("duplicate_groups"),
         F.coalesce(F.sum(F.when(filled & (F.col("count") > 1), F.col("count"))), F.lit(0)).alias("rows_in_collision"),
         F.coalesce(F.max(F.when(filled, F.col("count"))), F.lit(0)).alias("largest_group"),
     )
-    known = F.col("distinct_all") <= cap
-    return groups.select("field", F.when(known, F.col("distinct_all")).alias("distinct_count"), F.when(known, F.col("filled") - F.col("distinct_all")).alias("duplicate_count"), "distinct_values", "duplicate_groups", "rows_in_collision", "largest_group")
+    return groups.select("field", "distinct_count", (F.col("filled") - F.col("distinct_count")).alias("duplicate_count"), "distinct_values", "duplicate_groups", "rows_in_collision", "largest_group")
 
 
 def top_values(counts: DataFrame, most: int = TOP_VALUES, secured: Sequence[str] = ()) -> DataFrame:
@@ -164,4 +161,5 @@ def profile(df: DataFrame, name: str, columns: Sequence[str] | None = None, read
     stats = column_stats(df, columns, reads_as)
     groups = duplication(value_counts(df, columns))
     out = stats.join(groups, "field", "left").withColumn("table_name", F.lit(name)).withColumn("basis", basis)
+    # only fields without any value have no counts
     return out.fillna(0, ["distinct_count"]).select("table_name", *[c for c in out.columns if c != "table_name"])
