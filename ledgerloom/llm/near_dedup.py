@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import STEP, Hashed, map_rows, mix64, save, scratch, shingles
 
 BINS = 256
-ROWS = 8
-BANDS = BINS // ROWS
-#: At 0.85, one pair in 26,000 shares no band; at 0.5, one in nine does.
+#: Bins of a band at most, and the share of pairs just at the threshold that may share no band.
+#: At 0.85 that makes 32 bands of 8, where one pair in 26,000 shares none and at 0.5 one in nine does.
+MOST_ROWS, MISSED = 8, 1 / 26_000
 #: A pair of signatures is ruled out in step 4 from this many standard errors under the threshold.
 MARGIN = 4.5
 #: Members of one side of a block in step 4, and their shingle hashes (12 MB): about so many at most.
@@ -70,14 +70,21 @@ def signature(hashes: np.ndarray, borrow: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_hashes(sig: np.ndarray) -> np.ndarray:
-    acc = np.arange(BANDS, dtype=np.uint64)
-    for i in range(ROWS):
-        acc = acc * STEP + mix64(sig[i::ROWS])
+def band_rows(percent: int) -> int:
+    """Bins of a band, as many as leave MISSED pairs of ``percent`` without a shared band."""
+    fits = [r for r in range(1, MOST_ROWS + 1) if (1 - (percent / 100) ** r) ** (BINS // r) <= MISSED]
+    return max(fits, default=1)
+
+
+def band_hashes(sig: np.ndarray, rows: int) -> np.ndarray:
+    bands = BINS // rows
+    acc = np.arange(bands, dtype=np.uint64)
+    for i in range(rows):
+        acc = acc * STEP + mix64(sig[i : bands * rows : rows])
     return mix64(acc).view(np.int64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, rows: int) -> DataFrame:
     """doc_id, n_shingles, set_key (null for no words), bands, sig, in one pass over whole texts."""
 
     def make():
@@ -91,7 +98,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 if len(hs):
                     sig = signature(hs, borrow)
                     keys.append(xxhash.xxh128_digest(hs.tobytes()))
-                    bands.append(band_hashes(sig))
+                    bands.append(band_hashes(sig, rows))
                     sigs.append((mix64(sig) & np.uint64(255)).astype(np.uint8).tobytes())
                 else:
                     keys.append(None), bands.append(None), sigs.append(None)
@@ -223,7 +230,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
-    base = save(sketches(docs), "sketches")
+    base = save(sketches(docs, band_rows(percent)), "sketches")
     worded = base.where("n_shingles > 0 and doc_id is not null")
     classes = save(worded.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
     nodes = save(worded.join(classes.select(F.col("node").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"]).withColumnRenamed("doc_id", "node"), "nodes")
