@@ -51,11 +51,14 @@ def overlap(child: DataFrame, child_column: str, parent: DataFrame, parent_colum
     return both.select("child_values", "covered_values", "child_records", "orphan_records", share("covered_values", "child_values").alias("coverage"), share("parent_values", "parent_records").alias("parent_unique"))
 
 
-def discover(tables: dict[str, DataFrame], declared: Sequence[tuple[str, str, str, str]] = ()) -> DataFrame:
-    """child_table, child_column, parent_table, parent_column, verdict and the facts of each candidate that holds."""
+def discover(tables: dict[str, DataFrame], declared: Sequence[tuple[str, str, str, str]] = (), parents: dict[str, DataFrame] | None = None) -> DataFrame:
+    """child_table, child_column, parent_table, parent_column, verdict and the facts of each candidate that holds.
+
+    References into a table that ``parents`` names are looked up in its rows there.
+    """
     parts = []
     for ct, cc, pt, pc, a in candidates(tables):
-        o = overlap(tables[ct], cc, tables[pt], pc)
+        o = overlap(tables[ct], cc, (parents or {}).get(pt, tables[pt]), pc)
         head = [F.lit(x).alias(n) for x, n in ((ct, "child_table"), (cc, "child_column"), (pt, "parent_table"), (pc, "parent_column"))]
         known = (ct, cc, pt, pc) in declared
         verdict = F.when(F.lit(known), "DECLARED").when((F.col("coverage") >= INFERRED_COVERAGE) & F.lit(a >= 0.8), "INFERRED").otherwise("POSSIBLE")

@@ -15,3 +15,18 @@ def test_distinct_counts_are_exact_at_any_size(spark):
     assert {r.field: (r.distinct_count, r.basis) for r in own.collect()} == {"row_id": (n, "EXACT"), "half": (55_000, "EXACT"), "none": (0, "EXACT")}
     assert [tuple(r) for r in findings.candidate_keys(own).collect()] == [("big", "row_id")]
     assert [r.field for r in findings.findings(own).where("rule = 'CANDIDATE_KEY'").collect()] == ["row_id"]
+
+
+def test_discovered_relationships_are_told_as_found(spark, monkeypatch):
+    """Verdicts and counts of the query are those of discover(), orders too."""
+    from ledgerloom import queries as q
+    from ledgerloom.operators import relate
+
+    from .conftest import SMALL
+
+    want = {(r.child_table, r.parent_table): (r.verdict, r.orphan_records, r.child_records) for r in q.QUERIES["relationships"](spark, SMALL).collect()}
+    customers = spark.read.parquet(f"{SMALL}/customer.parquet").count()
+    assert want["customer", "nation"] == ("INFERRED", 0, customers) and want["orders", "customer"][1] > 0
+    monkeypatch.setattr(relate, "INFERRED_COVERAGE", 1.0)
+    got = {(r.child_table, r.parent_table): (r.verdict, r.orphan_records, r.child_records) for r in q.QUERIES["relationships"](spark, SMALL).collect()}
+    assert got == {k: ("POSSIBLE" if k == ("orders", "customer") else v[0], *v[1:]) for k, v in want.items()}
