@@ -9,17 +9,21 @@ host edges, so a hot host's pages never meet in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, save
+from .common import ascii_lower, save, scratch
 
 #: verdict, host, path. A rule fits its host and all subdomains if the path starts with its own.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: Share of a rank that follows links; the rest starts again from the seeds.
 DAMPING = 0.85
-#: Rounds at most, and the total change below which no more follow.
-ROUNDS, SETTLED = 20, 1e-6
+#: Ranks have settled when their total change is below this. Each round shrinks it by DAMPING
+#: from 2 at most, so it takes ROUNDS at most.
+SETTLED = 1e-6
+ROUNDS = math.ceil(math.log(SETTLED / 2) / math.log(DAMPING))
 #: A host is blocked if its share of distrust in distrust and trust is above this.
 THRESHOLD = 0.5
 
@@ -55,8 +59,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def propagated(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """host, rank: personalised PageRank over (src, dst, links) from (host, seed).
 
-    Ranks of hosts without links return to the seeds. Rounds end when the ranks settle,
-    at once where no link leaves a seed.
+    Ranks of hosts without links return to the seeds. Rounds end when the ranks have settled
+    and reach no more hosts, at once where no link leaves a seed.
     """
     total = seeds.agg(F.sum("seed")).first()[0] or 0.0
     rank = seeds.select("host", (F.col("seed") / F.lit(total or 1.0)).alias("rank"))
@@ -66,17 +70,18 @@ def propagated(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     out = edges.groupBy("src").agg(F.sum("links").alias("all"))
     ways = save(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("all")).alias("share")), "ways")
     rank = start
-    for _ in range(ROUNDS):
-        moved = ways.join(rank, ways["src"] == rank["host"]).groupBy("dst").agg((DAMPING * F.sum(F.col("share") * F.col("rank"))).alias("in"))
-        moved = save(moved.select(F.col("dst").alias("host"), "in"), "moved")
-        kept = 1.0 - (moved.agg(F.sum("in")).first()[0] or 0.0)  # what starts again, from hosts without links too
-        new = start.select("host", (kept * F.col("rank")).alias("in")).unionByName(moved).groupBy("host").agg(F.sum("in").alias("rank"))
-        new = save(new, "rank")
-        change = new.alias("n").join(rank.alias("r"), "host", "full").agg(F.sum(F.abs(F.coalesce("n.rank", F.lit(0.0)) - F.coalesce("r.rank", F.lit(0.0))))).first()[0]
+    while True:
+        with scratch(edges.sparkSession):
+            moved = ways.join(rank, ways["src"] == rank["host"]).groupBy("dst").agg((DAMPING * F.sum(F.col("share") * F.col("rank"))).alias("in"))
+            moved = save(moved.select(F.col("dst").alias("host"), "in"), "moved")
+            kept = 1.0 - (moved.agg(F.sum("in")).first()[0] or 0.0)  # what starts again, from hosts without links too
+            new = start.select("host", (kept * F.col("rank")).alias("in")).unionByName(moved).groupBy("host").agg(F.sum("in").alias("rank"))
+            new = save(new, "rank", keep=True)
+            moves = F.sum(F.abs(F.coalesce("n.rank", F.lit(0.0)) - F.coalesce("r.rank", F.lit(0.0))))
+            change, reached = new.alias("n").join(rank.alias("r"), "host", "full").agg(moves, F.count_if(F.col("r.rank").isNull())).first()
         rank = new
-        if change < SETTLED:
-            break
-    return rank
+        if (change or 0.0) < SETTLED and not reached:
+            return rank
 
 
 def host_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from ledgerloom.llm import near_dedup
+from ledgerloom.llm import near_dedup, url_filter
 
 
 def test_bands_follow_the_threshold():
@@ -15,3 +15,13 @@ def test_bands_follow_the_threshold():
         a, b = (near_dedup.signature(np.sort(x), borrow) for x in (own[:900], own[100:]))  # 800 of 1,000
         missed += not (near_dedup.band_hashes(a, rows) == near_dedup.band_hashes(b, rows)).any()
     assert missed == 0
+
+
+def test_ranks_settle_on_a_long_chain(spark):
+    """A chain of 30 hosts with a way back, against the solved ranks; every host is reached."""
+    n, d = 30, url_filter.DAMPING
+    edges = [(f"h{i}", f"h{i + 1}", 1) for i in range(n - 1)] + [(f"h{n - 1}", "h0", 1)]
+    got = {r.host: r["rank"] for r in url_filter.propagated(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame([("h0", 1.0)], "host string, seed double")).collect()}
+    move = np.roll(np.eye(n), 1, axis=0)
+    want = np.linalg.solve(np.eye(n) - d * move, (1 - d) * np.eye(n)[0])
+    assert max(abs(got.get(f"h{i}", 0) - want[i]) for i in range(n)) < 1e-5
