@@ -11,6 +11,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import convert
 from .functions import equality as eq
@@ -603,7 +604,10 @@ def _(t):
 
 @query("J18_duplicate_attribution", "SELECT c_nationkey, CASE WHEN count(*) FILTER (r <= 5 AND c_custkey % 3 = 0) > 0 THEN true WHEN count(*) > 5 THEN NULL ELSE false END AS attributable FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY CAST(c_custkey AS VARCHAR)) AS r FROM customer) GROUP BY 1 HAVING count(*) > 1")
 def _(t):
-    groups = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("count"), F.collect_list(F.col("c_custkey").cast("string")).alias("ids")).where("count > 1")
+    rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("id"))
+    least = t.customer.select("c_nationkey", F.col("c_custkey").cast("string").alias("id")).withColumn("rank", rank).where("rank <= 5")  # Spark limits each partition before it shuffles
+    counts = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("count")).where("count > 1")
+    groups = counts.join(least.groupBy("c_nationkey").agg(F.collect_list("id").alias("ids")), "c_nationkey")
     written = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("target_id"))
     return validate.duplicate_attribution(groups, ["c_nationkey"], "ids", written)
 
@@ -788,7 +792,7 @@ def _(t):
 
 @query("t_preview", "SELECT source, lower(source) AS value, 'OK' AS status FROM (SELECT DISTINCT c_mktsegment AS source FROM customer ORDER BY 1 LIMIT 25)")
 def _(t):
-    return tr.preview(t.customer.repartition(1), "c_mktsegment", [Step("LOWERCASE")])
+    return tr.preview(t.customer.orderBy("c_custkey"), "c_mktsegment", [Step("LOWERCASE")])
 
 
 @query("insights_profile", "SELECT 'c_mktsegment' AS field, least(200, count(*)) AS examined, 0 AS null_count FROM customer")

@@ -30,3 +30,14 @@ def test_discovered_relationships_are_told_as_found(spark, monkeypatch):
     monkeypatch.setattr(relate, "INFERRED_COVERAGE", 1.0)
     got = {(r.child_table, r.parent_table): (r.verdict, r.orphan_records, r.child_records) for r in q.QUERIES["relationships"](spark, SMALL).collect()}
     assert got == {k: ("POSSIBLE" if k == ("orders", "customer") else v[0], *v[1:]) for k, v in want.items()}
+
+
+def test_no_group_or_task_holds_a_whole_table(spark):
+    """J18 limits ids before it shuffles them; the preview doesn't gather the table."""
+    from ledgerloom import queries as q
+
+    from .conftest import SMALL
+
+    plan = lambda name: q.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan("J18_duplicate_attribution")
+    assert "TakeOrderedAndProject" in plan("t_preview") and "REPARTITION_BY_NUM" not in plan("t_preview")
