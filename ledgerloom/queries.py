@@ -510,12 +510,25 @@ _BUSINESS = f"""WITH s AS (SELECT c_custkey AS source_id, CASE WHEN NOT {_blank(
 m AS (SELECT source_id, s.k, row_number() OVER (PARTITION BY s.k ORDER BY source_id) AS seen, c FROM s LEFT JOIN n ON s.k = n.k) """
 
 
+#: The same over all rows of both tables, a verdict each.
+_BUSINESS_WHOLE = f"""WITH s AS (SELECT c_custkey AS source_id, CASE WHEN NOT {_blank('email')} THEN c_mktsegment END AS k FROM {{dirty_customer}} t), n AS (SELECT lower(segment) AS k, count(*) AS c, min(id) AS id FROM {{old_customer}} t GROUP BY 1),
+m AS (SELECT source_id, s.k, row_number() OVER (PARTITION BY lower(s.k) ORDER BY source_id) AS seen, c, n.id FROM s LEFT JOIN n ON lower(s.k) = n.k),
+v AS (SELECT *, CASE WHEN k IS NULL THEN 'BUSINESS_KEY_INCOMPLETE' WHEN seen > 1 THEN 'DUPLICATE_SOURCE_KEY' WHEN c > 1 THEN 'AMBIGUOUS_TARGET_MATCH' END AS conflict FROM m)
+SELECT source_id, CASE WHEN conflict IS NULL THEN id END AS target_id, conflict FROM v"""
+
+
 @query("match_business_key", _BUSINESS + "SELECT CASE WHEN k IS NULL THEN 'BUSINESS_KEY_INCOMPLETE' WHEN seen > 1 THEN 'DUPLICATE_SOURCE_KEY' WHEN c > 1 THEN 'AMBIGUOUS_TARGET_MATCH' END AS conflict, count(*) AS n FROM m GROUP BY 1")
 def _(t):
     s = t.dirty_customer.where("c_custkey <= 40").withColumn("segment", F.when(~tx.is_blank(F.col("email")), F.col("c_mktsegment")))
     return match.by_key(s, t.old_customer.where("id < 30"), "c_custkey", "id", ["segment"], ["segment"]).groupBy("conflict").agg(F.count("*").alias("n"))
 
 
+@query("J5_business_key", _BUSINESS_WHOLE)
+def _(t):
+    s = t.dirty_customer.withColumn("segment", F.when(~tx.is_blank(F.col("email")), F.col("c_mktsegment")))
+    return match.by_key(s, t.old_customer, "c_custkey", "id", ["segment"], ["segment"]).select("source_id", "target_id", "conflict")
+
+
 @query("first_claim", "SELECT id, source_id FROM (SELECT c_nationkey AS id, c_custkey AS source_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer) WHERE r = 1")
 def _(t):
     m = t.customer.select(F.col("c_custkey").alias("source_id"), F.col("c_nationkey").alias("target_id"), F.lit(None).cast("string").alias("conflict"))
