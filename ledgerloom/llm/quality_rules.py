@@ -16,7 +16,6 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import free_prefix, save, scratch
 
@@ -26,8 +25,9 @@ ALPHA = 0.02
 DELTA = 0.05
 #: Cutoffs are FIRST * RATIO ** j for j below CUTOFFS.
 FIRST, RATIO, CUTOFFS = 0.05, 1.1, 60
-#: Strata of their own, at most, by labelled rows (so they can be broadcast); the rest share one.
-STRATA = 1000
+#: Cutoffs of up to so many strata are broadcast; more are joined by a shuffle.
+MOST_BROADCAST_STRATA = 100_000
+#: The stratum of null languages.
 OTHER = "*"
 
 #: Where a rate is usual in bad text: symbols and capitals and exclamation marks in all
@@ -81,28 +81,25 @@ def measure(docs: DataFrame, into: str = "rules") -> DataFrame:
 def cutoffs(measured: DataFrame, labels: DataFrame, rules: str = "rules") -> DataFrame:
     """stratum, cutoff: the chosen bucket for each stratum that has a certified one.
 
-    A document is rejected if its bucket is above the cutoff. At most STRATA + 1 rows.
+    A document is rejected if its bucket is above the cutoff. Each labelled language is a stratum, and null ones are one.
     """
     good = F.col("quality") == 1
     held = measured.select(F.col("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit(OTHER)).alias("lang"), F.col(f"{rules}.bucket").alias("bucket")).join(labels.where("quality in (0, 1)").select("doc_id", "quality"), "doc_id")
     counts = held.groupBy("lang", "bucket").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"))
     counts = save(counts, "rule_counts")
-    order = Window.orderBy(F.desc("rows"), "lang")  # one row for each stratum, aggregated before
-    own = counts.groupBy("lang").agg(F.sum(F.col("good") + F.col("bad")).alias("rows")).withColumn("rank", F.row_number().over(order))
-    own = own.select("lang", F.when(F.col("rank") <= STRATA, F.col("lang")).otherwise(OTHER).alias("stratum"))
-    counts = counts.join(own, "lang").groupBy("stratum", "bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    counts = counts.withColumnRenamed("lang", "stratum")
     total = counts.groupBy("stratum").agg(F.sum("good").alias("n"), F.sum("bad").alias("m"))
+    tests = total.count() * CUTOFFS
     every = total.withColumn("cutoff", F.explode(F.sequence(F.lit(0), F.lit(CUTOFFS - 1))))
     above = counts.withColumn("cutoff", F.explode(F.sequence(F.lit(0), F.col("bucket")))).where("cutoff < bucket")
     above = above.groupBy("stratum", "cutoff").agg(F.sum("good").alias("k"), F.sum("bad").alias("hit"))
     tried = every.join(above, ["stratum", "cutoff"], "left").fillna(0, ["k", "hit"])
-    tried = tried.withColumn("tests", F.count("*").over(Window.partitionBy()))  # STRATA * CUTOFFS rows at most
     # ln P(X <= k) for X ~ Binomial(n, ALPHA), summed in logarithms; k >= ALPHA * n can't be certified
     start = f"n * {math.log1p(-ALPHA)}D"
     term = f"a.t + ln((n - i + 1) / i * {ALPHA / (1 - ALPHA)}D)"
     bound = f"aggregate(if(k = 0, cast(array() as array<bigint>), sequence(1L, k)), named_struct('t', {start}, 's', {start}), (a, i) -> named_struct('t', {term}, 's', greatest(a.s, {term}) + log1p(exp(-abs(a.s - ({term}))))), a -> a.s)"
     tried = tried.where(f"k < {ALPHA} * n and hit > 0").withColumn("ln_p", F.expr(bound))
-    certified = tried.where(F.col("ln_p") <= math.log(DELTA) - F.log(F.col("tests")))
+    certified = tried.where(F.col("ln_p") <= math.log(DELTA / max(tests, 1)))
     gain = F.col("hit") / F.col("m") - F.col("k") / F.col("n")
     best = certified.groupBy("stratum").agg(F.max(F.struct(gain.alias("gain"), "cutoff")).alias("best"))
     strata = total.select("stratum").join(best, "stratum", "left")
@@ -127,11 +124,10 @@ def learnt(measured: DataFrame, labels: DataFrame, rules: str = "rules") -> Data
 
 def judge_by(measured: DataFrame, table: DataFrame, rules: str = "rules", kept: str = "kept") -> DataFrame:
     """judge() by cutoffs learnt before."""
-    pooled = table.where(F.col("stratum") == OTHER).first()
     stratum, cutoff = (free_prefix(measured) + n for n in ("stratum", "cutoff"))
-    own = table.where(F.col("stratum") != OTHER).select(F.col("stratum").alias(stratum), F.coalesce("cutoff", F.lit(CUTOFFS)).alias(cutoff))
+    own = table.where("cutoff is not null").select(F.col("stratum").alias(stratum), F.col("cutoff").alias(cutoff))
+    few = own.count() <= MOST_BROADCAST_STRATA
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(OTHER))
-    out = measured.join(F.broadcast(own), lang == F.col(stratum), "left")  # STRATA rows at most
-    rest = F.lit(CUTOFFS if pooled is None or pooled["cutoff"] is None else pooled["cutoff"])
-    fine = F.col(f"{rules}.bucket") <= F.coalesce(cutoff, rest)
+    out = measured.join(F.broadcast(own) if few else own, lang == F.col(stratum), "left")
+    fine = F.col(f"{rules}.bucket") <= F.coalesce(cutoff, F.lit(CUTOFFS))
     return out.withColumn(kept, ~F.col(f"{rules}.base_failed") & fine).drop(stratum, cutoff)

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from ledgerloom.llm import near_dedup, url_filter
+from ledgerloom.llm import near_dedup, quality_rules, url_filter
 
 
 def test_bands_follow_the_threshold():
@@ -25,3 +25,15 @@ def test_ranks_settle_on_a_long_chain(spark):
     move = np.roll(np.eye(n), 1, axis=0)
     want = np.linalg.solve(np.eye(n) - d * move, (1 - d) * np.eye(n)[0])
     assert max(abs(got.get(f"h{i}", 0) - want[i]) for i in range(n)) < 1e-5
+
+
+def test_each_labelled_language_has_its_own_cutoff(spark):
+    """1,100 labelled languages and null ones with a cutoff: it decides on null languages only."""
+    bucketed = lambda i, lang, bad: (i, lang, (50 if bad else 0, False))
+    rows = [bucketed(i, None, i % 2) for i in range(6000)] + [bucketed(10_000 + i, f"l{i}", 1) for i in range(1100)] + [bucketed(20_000, "unlabelled", 1), bucketed(20_001, None, 1)]
+    measured = spark.createDataFrame(rows, "doc_id long, lang string, rules struct<bucket:int,base_failed:boolean>")
+    labels = spark.createDataFrame([(i, 0 if i < 6000 and i % 2 else 1) for i in [*range(6000), *range(10_000, 11_100)]], "doc_id long, quality int")
+    cutoffs = {r.stratum: r.cutoff for r in quality_rules.learnt(measured, labels).collect()}
+    assert len(cutoffs) == 1101 and cutoffs["*"] is not None
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(measured, labels).collect()}
+    assert kept[20_000] and not kept[20_001] and all(kept[10_000 + i] for i in range(1100))
