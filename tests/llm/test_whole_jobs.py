@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from ledgerloom.llm import near_dedup, quality_rules, url_filter
+from ledgerloom.llm import near_dedup, quality_rules, secret_scan, url_filter
 
 
 def test_bands_follow_the_threshold():
@@ -37,3 +37,16 @@ def test_each_labelled_language_has_its_own_cutoff(spark):
     assert len(cutoffs) == 1101 and cutoffs["*"] is not None
     kept = {r.doc_id: r.kept for r in quality_rules.judge(measured, labels).collect()}
     assert kept[20_000] and not kept[20_001] and all(kept[10_000 + i] for i in range(1100))
+
+
+def test_keys_in_mixed_runs_are_tested(spark):
+    """Random keys behind a path or prefix that mixes + or / with - or _."""
+    rng = np.random.default_rng(3)
+    key = lambda more: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + more), 90))
+    keys = [key(more) for more in ["", "+/", "-_"] * 8]
+    texts = [("at /user-files/", "sk_live/", "at my-own/")[i % 3] + k for i, k in enumerate(keys)]
+    docs = spark.createDataFrame([*enumerate(texts), (100, "so internal/pages-of/the_longest/documentation-folder it is")], "doc_id long, text string")
+    got = {r.doc_id: r.spans.split(",") for r in secret_scan.report(docs).collect()}
+    found = [any(s.startswith("random:") and s.endswith(f":{len(t)}") for s in got[i]) for i, t in enumerate(texts)]
+    assert sum(found) >= 20 and got[100] == [""]
+    assert sum("[SECRET]" in r.text and keys[r.doc_id] not in r.text for r in secret_scan.redact(docs.where("doc_id < 100")).collect()) >= 20
