@@ -30,7 +30,8 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-_open: ContextVar[list[str] | None] = ContextVar("open", default=None)
+#: The paths of each scratch() around, outermost first.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 def _place(spark: SparkSession, path: str):
@@ -39,35 +40,44 @@ def _place(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    place, fs = _place(spark, path)
+    fs.delete(place, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """What is saved inside and not kept is deleted at the end, however it comes."""
+    """What is saved inside is deleted at the end, however it comes; what is kept, at the end of the next scratch() outwards."""
     paths: list[str] = []
-    before = _open.set(paths)
+    before = _open.set((*_open.get(), paths))
     try:
         yield
     finally:
         _open.reset(before)
         for path in paths:
-            place, fs = _place(spark, path)
-            fs.delete(place, True)
+            delete(spark, path)
+
+
+def scratch_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A new path in the shared folder, deleted with the innermost scratch() around, or with ``keep`` the one around that; without one, when the driver's JVM ends."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    around = _open.get()[: -1 if keep else None]
+    if around:
+        around[-1].append(path)
+    else:
+        place, fs = _place(spark, path)
+        fs.deleteOnExit(place)
+    return path
 
 
 def save(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends here.
 
     The table outlives any executor, so a lost one costs only its running tasks. It is
-    deleted with the innermost scratch() around, or, outside of one or with ``keep``, when
-    the driver's JVM ends.
+    deleted as scratch_path() says.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    place, fs = _place(spark, path)
-    paths = _open.get()
-    if paths is None or keep:
-        fs.deleteOnExit(place)
-    else:
-        paths.append(path)
+    path = scratch_path(spark, label, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -18,21 +18,21 @@ half done and any store that Spark reaches will do.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_rows, save, scratch, scratch_root
+from .common import map_rows, save, scratch, scratch_path
 
 #: Longest code in bits: a decoding table has two to this many entries.
 LONGEST = 18
@@ -40,27 +40,44 @@ LONGEST = 18
 STEP, BLOCK_IDS = 64, 1 << 18
 #: Words whose ids a task keeps, at most, and that the library gets at once.
 MOST_WORDS, WORDS_AT_ONCE = 1_400_000, 2048
+#: Texts are parted into words in slices of about so many bytes, or one text.
+BYTES_AT_ONCE = 8 << 20
 
 
 # -- ids
 
-def _lowered(text: bytes) -> bytes:
-    """The text with A-Z lower-cased, as the tokenizer does anyway, so fewer words differ.
+# What a tokenizer file says if it never looks across white space.
+_WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
+#: ASCII that is neither letter, digit, white space nor an apostrophe: after letters, a run of it is parted from them.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    It composes characters first, though, and takes special tokens out before that; texts
-    with combining marks (U+0300 to U+036F, which begin with these bytes) or with what may be
-    a special token stay as they are.
-    """
-    return text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()
+
+def by_words(rules: dict) -> bool:
+    """Whether the file's rules are those by which words can be encoded one by one: its specials begin with ``<|``."""
+    model = rules["model"]
+    return all(rules.get(k) == v for k, v in _WORD_RULES.items()) and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["ignore_merges"] and all(t["content"].startswith("<|") for t in rules["added_tokens"])
+
+
+def _bytes(texts: pa.Array) -> list[bytes]:
+    """A list of the values; much faster than to_pylist()."""
+    return texts.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
 
 
 class WordEncoder:
-    """Ids of whole texts, word by word: the tokenizer drops white space and never looks across it.
+    """Ids of whole texts, word by word where the tokenizer never looks across white space.
 
-    Texts are parted at ASCII white space only; what else counts as white space is left to the
-    library. Words repeat, so the library gets only those not seen lately. Words of letters
+    Arrow parts texts at ASCII white space and finds the different words of a slice; each is
+    looked up once, and numpy lays their ids out in the order of the text. What else counts as
+    white space is left to the library. It gets only words not seen lately: those of letters
     alone are one token run each, which ends with a token that ends words, so they go through
-    it as one text and are told apart again; should the number differ, each goes alone.
+    it as one text and are told apart again; should the number differ, each goes alone. A
+    tokenizer with other rules gets each text whole.
     """
 
     def __init__(self, file: str, kind: str = "<u4") -> None:
@@ -68,6 +85,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(file), kind
+        with open(file, encoding="utf-8") as f:
+            self.by_words = by_words(json.load(f))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -84,33 +103,57 @@ class WordEncoder:
         blob, at = ids.tobytes(), (stops * ids.itemsize).tolist()
         return [blob[i:j] for i, j in zip([0, *at], at)]
 
-    def learn(self, words: set[bytes], forget: bool = True) -> bool:
-        """Add new words; forget all others first if the table would get too large, and say so."""
+    def learn(self, words: pa.Array) -> None:
+        """Add words (string) that aren't known, each given once."""
         known = self.known
-        full = forget and bool(known) and len(known) + len(words) > MOST_WORDS
-        if full:
-            known.clear()
-        # A comma or full stop after a letter is a token of its own.
-        stems = {w: w[:-1] for w in words if w[-1] in b".," and w[-2:-1].isalpha()}
-        more = {*stems.values(), b",", b"."} if stems else set()  # one difference at a time: each then looks up its own few words
-        new = [*words.difference(stems), *more.difference(words).difference(known)]
-        texts = b"\n".join(new).decode().split("\n") if new else []
-        plain = list(map(str.isalpha, texts))
-        for encode, is_own in ((self._together, plain), (self._alone, [not p for p in plain])):
-            own, shown = list(compress(new, is_own)), list(compress(texts, is_own))
+        stems = pc.ascii_rtrim(words, _TAIL)
+        # before the tail is a letter, in lower case too (not U+0130), so the marks are parted from it; no special token is cut
+        has_tail = pc.and_(pc.not_equal(stems, words), pc.and_(pc.match_substring_regex(stems, r"[A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{012F}\x{0131}-\x{024F}]$"), pc.invert(pc.match_substring(words, "<|"))))
+        whole, stems = _bytes(words.filter(has_tail)), stems.filter(has_tail)
+        stem_of = _bytes(stems)
+        tails = [w[len(s) :] for w, s in zip(whole, stem_of)]
+        parts = pa.concat_arrays([words.filter(pc.invert(has_tail)), stems, pa.array([t.decode() for t in set(tails)], pa.string())]).unique()
+        parts = parts.filter(pa.array([w not in known for w in _bytes(parts)], pa.bool_()))
+        plain = pc.utf8_is_alpha(parts)
+        for encode, own in ((self._together, parts.filter(plain)), (self._alone, parts.filter(pc.invert(plain)))):
             for at in range(0, len(own), WORDS_AT_ONCE):
-                known.update(zip(own[at : at + WORDS_AT_ONCE], encode(shown[at : at + WORDS_AT_ONCE]), strict=True))
-        for w, stem in stems.items():
-            known[w] = known[stem] + known[w[-1:]]
-        return full
-
-    def encode(self, texts: list[bytes | None], end: bytes) -> list[bytes]:
-        """The ids of each UTF-8 text as ``kind``, then ``end``."""
-        parted = [_lowered(t or b"").split() for t in texts]
-        words = set().union(*parted)
-        if self.learn(words.difference(self.known)):
-            self.learn(words.difference(self.known), forget=False)  # the others of these texts, forgotten to make room
-        return [b"".join(map(self.known.__getitem__, p)) + end for p in parted]
+                part = own.slice(at, WORDS_AT_ONCE)
+                known.update(zip(_bytes(part), encode(part.to_numpy(zero_copy_only=False).tolist()), strict=True))
+        known.update(zip(whole, (known[s] + known[t] for s, t in zip(stem_of, tails))))
+
+    def _blobs(self, words: pa.Array) -> list[bytes]:
+        """The ids of each word; all words are forgotten first if the table would get too large."""
+        known, own = self.known, _bytes(words)
+        new = [w not in known for w in own]
+        if known and len(known) + sum(new) > MOST_WORDS:
+            known.clear()
+            new = [True] * len(own)
+        self.learn(words.filter(pa.array(new, pa.bool_())))
+        return [known[w] for w in own]
+
+    def _slice(self, texts: pa.Array, end: int) -> pa.Array:
+        # It composes characters before it lower-cases them, and takes special tokens out before
+        # that: texts with combining marks or with what may be a special token keep their case.
+        as_is = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, "[\u0300-\u036f]"))
+        parted = pc.ascii_split_whitespace(pc.if_else(as_is, texts, pc.ascii_lower(texts)))
+        coded = parted.flatten().dictionary_encode()
+        blobs = pa.array([*self._blobs(coded.dictionary), np.array([end], self.kind).tobytes()], pa.binary())
+        offsets = parted.offsets.to_numpy() - parted.offsets[0].as_py()
+        words = np.insert(coded.indices.to_numpy(), offsets[1:], len(blobs) - 1)  # the end id follows each text
+        ids = blobs.take(pa.array(words))  # all words' ids one after the other
+        places = np.frombuffer(ids.buffers()[1], np.int32)[offsets + np.arange(len(offsets))]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(places), ids.buffers()[2]])
+
+    def encode(self, texts: pa.Array, end: int) -> pa.Array:
+        """The ids of each text (string) as ``kind``, then ``end``; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            last = np.array([end], self.kind).tobytes()
+            return pa.array([b + last for t in texts.to_pylist() for b in self._alone([t])], pa.binary())
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(sizes // BYTES_AT_ONCE)) + 1).tolist(), len(texts)]
+        parts = [self._slice(texts.slice(i, j - i), end) for i, j in zip(cuts, cuts[1:]) if j > i]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
 
 _encoders: dict[tuple[str, str], WordEncoder] = {}
@@ -133,14 +176,14 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "<u4") -
 
         if (tokenizer, kind) not in _encoders:
             _encoders[tokenizer, kind] = WordEncoder(public_tokenizers.path(tokenizer), kind)
-        own, end = _encoders[tokenizer, kind], np.array([end_id], kind).tobytes()
+        own = _encoders[tokenizer, kind]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.encode(batch.column(1).cast(pa.binary()).to_pylist(), end), pa.binary())], ["doc_id", "ids"])
+            return pa.RecordBatch.from_arrays([batch.column(0), own.encode(batch.column(1), end_id)], ["doc_id", "ids"])
 
         return step
 
-    return map_rows(docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text"), make, "doc_id long, ids binary", rows=1024)
+    return map_rows(docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text"), make, "doc_id long, ids binary", rows=1 << 14)
 
 
 # -- the code
@@ -328,7 +371,7 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     that repeat one lie next to each other, by their ids; an empty table gives empty files.
     """
     spark, kind = docs.sparkSession, kind_of(tokenizer, end_id)
-    path = f"{scratch_root(spark)}/token-files-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "token-files", keep=True)
     with scratch(spark):
         write(save(token_ids(docs, tokenizer, end_id, kind), "token_ids"), path, kind)
     return read(spark, path, digest=True).select("doc_id", "start", "n_tokens", "ids_crc32")

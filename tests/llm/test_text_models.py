@@ -3,12 +3,15 @@
 import hashlib
 import json
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -61,10 +64,30 @@ def test_pieces_of_documents(spark, library):
 def test_word_encoder_as_the_library():
     own, library = token_files.WordEncoder(public_tokenizers.path(WORDS)), Tokenizer.from_file(public_tokenizers.path(WORDS))
     rng = random.Random(1)
-    parts = ["<|endoftext|>", "<|startoftext|>", "it's", "we'll", "a.", ",", "x,.", "́", "Σ", "İ", " ", "\n", "\x1d", " ", "1.", "½,", "_", "é,", "ab", "ﬁ", "中文", "ㅎㅏ", "H\u0331", "J\u030c", "<|ENDOFTEXT|>", "IT'S", "Ä", "A\u030a"]
+    parts = ["<|endoftext|>", "<|startoftext|>", "it's", "we'll", "a.", ",", "x,.", "́", "Σ", "İ", " ", "\n", "\x1d", " ", "1.", "½,", "_", "é,", "ab", "ﬁ", "中文", "ㅎㅏ", "H\u0331", "J\u030c", "<|ENDOFTEXT|>", "IT'S", "Ä", "A\u030a", "a%%%", "é!!", "ǆ.", "ʰ,", "ab'", "a.b&&&", "x's$"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)]
-    for e, g in zip(library.encode_batch(texts, add_special_tokens=False), own.encode([t.encode() for t in texts], b""), strict=True):
-        assert np.frombuffer(g, "<u4").tolist() == e.ids
+    assert own.by_words
+    for e, g in zip(library.encode_batch(texts, add_special_tokens=False), own.encode(pa.array(texts), 7).to_pylist(), strict=True):
+        assert np.frombuffer(g, "<u4").tolist() == [*e.ids, 7]
+
+
+def test_word_encoder_takes_texts_whole_by_other_rules():
+    """A byte-level tokenizer, which keeps white space."""
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = token_files.WordEncoder(file), Tokenizer.from_file(file)
+    texts = ["Two  words\n and <|endoftext|> more", "", None, "é ü"]
+    assert not own.by_words
+    assert [np.frombuffer(g, "<u4").tolist() for g in own.encode(pa.array(texts), 7).to_pylist()] == [[*library.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+
+
+def test_word_encoder_in_slices(monkeypatch):
+    """Long, empty and null texts over several slices, from an array that is a slice itself."""
+    monkeypatch.setattr(token_files, "BYTES_AT_ONCE", 50)
+    own, library = token_files.WordEncoder(public_tokenizers.path(WORDS), "<u2"), Tokenizer.from_file(public_tokenizers.path(WORDS))
+    texts = ["x", None, "", "many words " * 30, "a%%% é!! 12. it's,", " ", None, "end."] * 3
+    got = own.encode(pa.array(["before", *texts]).slice(1), 2).to_pylist()
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert own.encode(pa.array([], pa.string()), 2).to_pylist() == []
 
 
 def test_word_encoder_forgets_and_learns_again(monkeypatch):
@@ -73,8 +96,8 @@ def test_word_encoder_forgets_and_learns_again(monkeypatch):
     rng = random.Random(6)
     for _ in range(60):
         texts = [" ".join(f"w{rng.randrange(120)}{rng.choice(['', ',', '.'])}" for _ in range(rng.randrange(50))) for _ in range(3)]
-        for e, g in zip(library.encode_batch(texts, add_special_tokens=False), own.encode([t.encode() for t in texts], b""), strict=True):
-            assert np.frombuffer(g, "<u4").tolist() == e.ids
+        for e, g in zip(library.encode_batch(texts, add_special_tokens=False), own.encode(pa.array(texts), 7).to_pylist(), strict=True):
+            assert np.frombuffer(g, "<u4").tolist() == [*e.ids, 7]
 
 
 @settings(max_examples=60, deadline=None)
@@ -192,7 +215,7 @@ def test_pagerank_as_power_iteration(spark):
     seeds = {"h0": 2.0, "h3": 1.0}
     start = {h: seeds.get(h, 0) / 3 for h in hosts}
     rank = dict(start)
-    for _ in range(url_filter.ROUNDS):
+    for _ in range(300):  # settled, whatever the operator does
         out = {h: 0.0 for h in hosts}
         for (a, b), n in edges.items():
             out[b] += url_filter.DAMPING * rank[a] * n / sum(m for (x, _), m in edges.items() if x == a)
@@ -202,6 +225,42 @@ def test_pagerank_as_power_iteration(spark):
     assert all(abs(got.get(h, 0) - rank[h]) < 1e-4 for h in hosts)
 
 
+def test_verdicts_as_brute_force(spark, monkeypatch):
+    """A graph of 40 hosts: ranks by power iteration until nothing moves, then the threshold for each host."""
+    monkeypatch.setattr(url_filter, "DAMPING", 0.6)  # fewer rounds
+    rng = random.Random(5)
+    rules = [("allow", "good", "/"), ("block", "bad", "/")]
+    hosts = [f"{k}.{'good' if k < 3 else 'bad' if k < 6 else 'org'}" for k in range(40)]
+    pages, edges = [], {}
+    for i in range(160):
+        a = rng.choice(hosts[:34])
+        to = set(rng.sample(hosts, rng.randint(0, 3))) | ({a} if i % 5 == 0 else set())
+        pages.append((i, f"http://{a}/p{i}", " ".join(f'<a href="http://{b}/x">' for b in to) or None))
+        for b in to - {a}:
+            edges[a, b] = edges.get((a, b), 0) + 1
+    number = {h: k for k, h in enumerate(hosts)}
+
+    def ranks(edges, seeds):
+        move = np.zeros((40, 40))
+        for (a, b), n in edges.items():
+            move[number[b], number[a]] = n / sum(m for (x, _), m in edges.items() if x == a)
+        start = np.array([seeds.get(h, 0.0) for h in hosts]) / sum(seeds.values())
+        rank = start
+        for _ in range(2000):
+            flow = url_filter.DAMPING * move @ rank
+            rank = flow + (1 - flow.sum()) * start
+        return rank
+
+    of = lambda end: {h: sum(u.split("/")[2] == h for _, u, _ in pages) for h in hosts if h.endswith(end)}
+    trust, distrust = ranks(edges, of("good")), ranks({(b, a): n for (a, b), n in edges.items()}, of("bad"))
+    share = distrust / np.maximum(trust + distrust, 1e-300)
+    sure = {h for h in hosts if abs(share[number[h]] - url_filter.THRESHOLD) > 1e-3}
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame([*[(*p, 1, "h", 2.0) for p in pages], (900, "http://x.org/" + "y" * 100_000, "z" * 300_000, 1, "h", 2.0)], "page_id long, url string, html string, host int, found string, rank double"), rules).collect()}
+    want = {i: "allow" if u.split("/")[2].endswith("good") or (u.split("/")[2].endswith("org") and share[number[u.split("/")[2]]] <= url_filter.THRESHOLD) else "block" for i, u, _ in pages if u.split("/")[2] in sure}
+    assert len(want) > 100 and set(want.values()) == {"allow", "block"} and got[900] == "allow"
+    assert {i: got[i] for i in want} == want
+
+
 # -- classifiers
 
 def test_quality_on_held_out_rows(spark):
@@ -213,8 +272,39 @@ def test_quality_on_held_out_rows(spark):
     assert sum(r.predicted == r.quality for r in rows) >= 0.93 * len(rows)
 
 
+def test_quality_scores_as_brute_force(spark):
+    """The curve against a search on a grid, and scores from dictionaries by plain compression."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=200) / 50
+    y = (x + rng.normal(size=200) / 60 > 0.005).astype(float)
+    weight = rng.random(200)
+    a, b = quality_classifier.fit_curve(x, y, weight, ridge=0.0)
+
+    def loss(a, b):
+        return float(np.sum(weight * np.log1p(np.exp(np.where(y == 1, -1, 1) * (a * x + b)))))
+
+    assert all(loss(a, b) <= loss(a * (1 + i / 50), b + j / 50) + 1e-9 for i in range(-5, 6) for j in range(-5, 6))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    again = quality_classifier.fit(docs.repartition(3), spark.read.parquet(f"{SMALL}/labels.parquet"))
+    assert (model.good, model.bad, model.curve) == (again.good, again.bad, again.curve)
+    got = {r.doc_id: r.score for r in quality_classifier.score(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        data, size = r.text.encode(), []
+        for own in (model.good, model.bad):
+            c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(own), write_content_size=False, write_dict_id=False)
+            size.append(sum(len(c.compress(data[i : i + 512])) for i in range(0, len(data), 512)))
+        d = (size[1] - size[0]) / (size[1] + size[0]) if data else 0.0
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-(model.curve[0] * d + model.curve[1])))) < 1e-6
+
+
 def test_quality_edges(spark):
     docs = table(spark, ODD)
+    empty = quality_classifier.fit(docs.limit(0), spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert quality_classifier.score(docs.limit(0), empty).count() == 0
+    blank = spark.createDataFrame([(i, "" if i % 2 else None) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    assert all(0 <= r.score <= 1 for r in quality_classifier.score(blank, quality_classifier.fit(blank, labels)).collect())
     no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for labels in (no_labels, spark.createDataFrame([(4, 1, 0)], no_labels.schema), spark.createDataFrame([(4, 1, 0), (5, 0, 0), (6, 1, 0), (7, 0, 1), (7, 0, 1)], no_labels.schema)):
         out = quality_classifier.score(docs, quality_classifier.fit(docs, labels)).collect()
@@ -229,17 +319,66 @@ def test_toxicity_on_labelled_rows(spark):
     assert all(0 <= r.severity <= toxicity.GRADES and 0 <= r.grade <= toxicity.GRADES for r in rows)
 
 
+def sparse(x):
+    r, c = np.nonzero(x)
+    return toxicity.Sparse(r, c, x[r, c], x.shape)
+
+
 def test_ordinal_regression_orders_grades():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 5))
     s = x @ np.array([2.0, -1.0, 0.5, 0, 0]) + rng.logistic(size=3000)
     y = np.searchsorted([-1.0, 1.0, 2.5], s)
-    w, t = toxicity.fit_ordinal(x, y, np.ones(3000))
+    w, t = toxicity.fit_ordinal(sparse(x), y, np.ones(3000))
     assert np.all(np.diff(t) > 0) and np.allclose(w, [2, -1, 0.5, 0, 0], atol=0.3) and np.allclose(t, [-1, 1, 2.5], atol=0.3)
 
 
+def test_ordinal_fit_as_brute_force():
+    """The likelihood summed grade by grade, its slope by differences, and no better point nearby."""
+    rng = np.random.default_rng(1)
+    x = rng.poisson(0.4, (80, 6)).astype(float)
+    y, weight, ridge = rng.integers(0, 4, 80), rng.random(80), 1e-3
+    weight /= weight.sum()
+
+    def loss(at):
+        t = np.cumsum([at[6], *np.exp(at[7:])])
+        total = 0.0
+        for row, grade, own in zip(x, y, weight):
+            above = [1.0, *(1 / (1 + np.exp(t - row @ at[:6]))), 0.0]  # P(grade >= k)
+            total -= own * np.log(above[grade] - above[grade + 1])
+        return total + ridge / 2 * at[:6] @ at[:6]
+
+    at = rng.normal(size=9) / 2
+    value, slope = toxicity.loss_and_gradient(sparse(x), y, weight, at, 3, ridge)
+    near = [(loss(at + 1e-5 * e) - loss(at - 1e-5 * e)) / 2e-5 for e in np.eye(9)]
+    assert abs(value - loss(at)) < 1e-10 and np.allclose(slope, near, atol=1e-7)
+    w, t = toxicity.fit_ordinal(sparse(x), y, weight, ridge=ridge)
+    best = np.concatenate([w, t[:1], np.log(np.diff(t))])
+    assert all(loss(best) <= loss(best + d * e) for e in np.eye(9) for d in (0.01, -0.01))
+
+
+def test_toxicity_scores_as_brute_force(spark):
+    """Severity and grade from the model's numbers, with features found by scanning each word."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for r in docs.collect():
+        counts = {}
+        for w in re.findall(r"\w+", r.text.lower()):
+            for f in {f"^{w}$"} | {f"^{w}$"[i : i + n] for n in (5, 6) for i in range(len(w) + 3 - n)}:
+                if f in model.features:
+                    counts[f] = counts.get(f, 0) + 1
+        s = sum(model.weights[model.features[f]] * np.log(1 + c) for f, c in counts.items())
+        p = [1, *(1 / (1 + np.exp(model.thresholds - s))), 0]
+        assert abs(got[r.doc_id].severity - sum(p[1:4])) < 1e-9 and got[r.doc_id].grade == int(np.argmax(-np.diff(p))) and got[r.doc_id].toxic == (p[1] >= 0.5)
+
+
 def test_toxicity_edges(spark):
     docs = table(spark, ODD)
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     out = toxicity.score(docs, model).collect()
     assert len(out) == len(ODD) + 3 and not any(r.toxic for r in out)
+    known = toxicity.fit(docs, spark.createDataFrame([(3, 1, 0), (4, 0, 1), (4, 0, 1), (None, 0, 1), (6, None, None)], "doc_id long, quality int, toxic int"))
+    assert toxicity.score(docs, known).count() == len(ODD) + 3
+    empty = docs.limit(0)
+    assert toxicity.score(empty, toxicity.fit(empty, spark.read.parquet(f"{SMALL}/labels.parquet"))).count() == 0
