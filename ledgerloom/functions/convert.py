@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .equality import plain_decimal
-from .text import CONVERT_FALSE, CONVERT_TRUE, GUID, is_blank, js_trim, right_trim, round_half_up, to_instant, to_number
+from .text import CONVERT_FALSE, CONVERT_TRUE, GUID, INFER_FALSE, INFER_TRUE, is_blank, js_trim, right_trim, round_half_up, to_instant, to_number
 
 RANGES = {"Integer": (-2147483648, 2147483647), "BigInt": (-9007199254740991, 9007199254740991)}
 
@@ -64,3 +64,31 @@ def same_provider(c: Column, target: str, precision: int = 2) -> Column:
     if target == "DateOnly":
         return _result(F.substring(c, 1, 10), none)
     return _result(c, none)
+
+
+def staged_value(c: Column, kind: str) -> Column:
+    """The text of a staged cell as its column's type reads it; empty is null, and what doesn't fit stays as it is."""
+    t = F.nullif(c, F.lit(""))
+    n = to_number(t)
+    if kind in RANGES:
+        whole = F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)).cast("string")
+        return F.coalesce(F.when(n.isNotNull(), whole), t)
+    if kind in ("Decimal", "Double", "Money"):
+        return F.coalesce(plain_decimal(n.try_cast("decimal(38,10)")), t)
+    if kind == "Boolean":
+        low = F.lower(t)
+        return F.when(low.isin(INFER_TRUE), "true").when(low.isin(INFER_FALSE), "false").otherwise(t)
+    return t
+
+
+def driver_value(c: Column, kind: str, target: str | None = None) -> Column:
+    """A stored value as all systems take it: ISO 8601 text, base64, plain text; a reference with the table it leads to."""
+    if target is not None:
+        return F.when(c.isNotNull(), F.struct(c.cast("string").alias("id"), F.lit(target).alias("table_name")))
+    if kind == "DateOnly":
+        return F.date_format(c, "yyyy-MM-dd")
+    if kind == "DateTime":
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    if kind == "File":
+        return F.base64(c)
+    return c.cast("string")

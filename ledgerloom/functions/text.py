@@ -117,8 +117,10 @@ def decimal_separator(c: Column) -> Column:
     return F.when(last == "", None).when(both, last).when(once & (after != 3), last)
 
 
-def decimal_places(c: Column) -> Column:
-    return F.when(decimal_separator(c).isNotNull(), F.length(F.regexp_extract(F.regexp_replace(c, r"[^0-9.,]", ""), r"[.,](\d*)\z", 1))).otherwise(0)
+def decimal_places(c: Column, separator: Column | None = None) -> Column:
+    """The digits after the decimal separator, which may be given."""
+    mark = decimal_separator(c) if separator is None else separator
+    return F.when(mark.isNotNull(), F.length(F.regexp_extract(F.regexp_replace(c, r"[^0-9.,]", ""), r"[.,](\d*)\z", 1))).otherwise(0)
 
 
 def csv_cell(c: Column) -> Column:
@@ -130,8 +132,20 @@ def csv_cell(c: Column) -> Column:
 
 def excel_serial_to_date(c: Column) -> Column:
     """The date of a spreadsheet day number from 61 to 80000; null for others."""
+    return excel_serial_to_instant(c).cast("date")
+
+
+def excel_serial_to_instant(c: Column) -> Column:
+    """The time (without zone) of a spreadsheet day number from 61 to 80000, its fraction to the nearest millisecond; null for others."""
     n = to_number(c)
-    return F.when((n >= 61) & (n <= 80000), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(n).cast("int")))
+    ms = F.floor(n * 86_400_000.0 + 0.5).cast("bigint")
+    since = F.make_dt_interval(days=F.floor(ms / 86_400_000).cast("int"), secs=(F.pmod(ms, F.lit(86_400_000)) / 1000).cast("decimal(18,6)"))
+    return F.when((n >= 61) & (n <= 80000), F.lit("1899-12-30").cast("timestamp_ntz") + since)
+
+
+def is_boolean_word(c: Column) -> Column:
+    """Whether a text spells yes or no, in any case."""
+    return F.lower(js_trim(c)).isin(BOOLEAN_WORDS)
 
 
 def display_value(c: Column, most: int = 256) -> Column:

@@ -12,10 +12,11 @@ from ..functions.text import (
     CURRENCY_SHAPE, EMAIL_SHAPE, GUID, INFER_BLANK, INFER_FALSE, INFER_TRUE, LEADING_ZERO, PERCENT_SHAPE, PHONE_MARK, PHONE_SHAPE, URL_SHAPE, js_trim,
 )
 
+# Names and spellings that decide what a column is.
 KEY_LIKE = re.compile(r"^(id|key|code|number|no|ref|reference)$|(_|\b)(id|key|code|guid|uuid|number|no|ref|reference)$", re.I)
 NAME_LIKE = re.compile(r"name$|^name|title|description|label|subject", re.I)
-DATE_NAME = re.compile(r"date|_on$|_at$|created|modified|birth|dob|day", re.I)
-PERSON_NAME = re.compile(r"(first|last|full|sur|given|middle|contact).?name", re.I)
+DATE_NAME = re.compile(r"(^|[^a-z])(date|dob|birthday|created|modified|updated|start|end|due|expiry|expires|effective|closed|opened|received|shipped|invoiced|paid)([^a-z]|$)", re.I)
+PERSON_NAME = re.compile(r"(^|[^a-z])(first_?name|last_?name|sur_?name|fore_?name|given_?name|middle_?name|full_?name|contact_?name)([^a-z]|$)", re.I)
 INTEGER, DECIMAL = r"^-?\d{1,25}\z", r"^-?\d{1,15}(\.\d{1,10})?\z"
 DATE_ONLY, DATE_TIME = r"^\d{4}-\d{2}-\d{2}\z", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?\z"
 #: Whole numbers beyond this aren't safe in a double and stay text.
@@ -24,29 +25,27 @@ INT_MAX = 2147483647
 STRING_LENGTH, MEMO_FROM = 255, 4000
 
 
-def _facts(name: str) -> Column:
-    t = js_trim(F.col(f"`{name}`").cast("string"))
-    low = F.lower(t)
-    held = t.isNotNull() & ~low.isin(INFER_BLANK)
-    v = F.when(held, t)
-    every = lambda cond: F.coalesce(F.bool_and(F.when(held, cond)), F.lit(False))
+def _facts() -> list[Column]:
+    """What the distinct values ``v`` of a column, each held by ``n`` rows, say; a null is a blank."""
+    v, low = F.col("v"), F.lower("v")
+    every = lambda cond: F.coalesce(F.bool_and(cond), F.lit(False))
+    some = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
     day = F.substring(v, 1, 10).try_cast("date").isNotNull()
-    return F.struct(
-        F.lit(name).alias("field"),
-        F.count("*").alias("rows"),
-        F.count(v).alias("held"),
-        F.count_distinct(v).alias("distinct"),
+    return [
+        F.sum("n").alias("rows"),
+        F.coalesce(F.sum(F.when(v.isNotNull(), F.col("n"))), F.lit(0)).alias("held"),
+        F.count(v).alias("distinct"),
         F.max(F.length(v)).alias("longest"),
         every(low.isin(INFER_TRUE + INFER_FALSE)).alias("boolean"),
-        F.coalesce(F.bool_or(F.when(held, low.isin("true", "false", "yes", "no", "y", "n", "t", "f"))), F.lit(False)).alias("wordy"),
+        some(low.isin("true", "false", "yes", "no", "y", "n", "t", "f")).alias("wordy"),
         every(v.rlike(GUID)).alias("guid"),
-        F.coalesce(F.bool_or(v.rlike(LEADING_ZERO) & v.rlike(INTEGER)), F.lit(False)).alias("zeros"),
+        some(v.rlike(LEADING_ZERO) & v.rlike(INTEGER)).alias("zeros"),
         every(v.rlike(INTEGER)).alias("integer"),
         every(v.rlike(DECIMAL)).alias("decimal"),
         every(v.rlike(DATE_ONLY) & day).alias("date"),
         every((v.rlike(DATE_TIME) | v.rlike(DATE_ONLY)) & day).alias("datetime"),
         F.max(F.abs(v.try_cast("decimal(26,0)"))).alias("largest"),
-    )
+    ]
 
 
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -54,18 +53,22 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
     The first that every value that isn't blank fits: none String; spelled Boolean; GUID; digits
     with a leading zero text; Integer or BigInt (text beyond what a double holds exactly);
-    Decimal; Date; DateTime; else String or, beyond 4000 characters, Memo.
+    Decimal; Date; DateTime; else String or, beyond 4000 characters, Memo. Equal values are
+    counted before the shuffle and looked at once.
     """
     names = list(columns or df.columns)
-    wide = df.agg(*[_facts(n).alias(f"f{i}") for i, n in enumerate(names)])
-    f = wide.select(F.inline(F.array(*[F.col(f"f{i}") for i in range(len(names))])))
+    t = lambda n: js_trim(F.col(f"`{n}`").cast("string"))
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.when(~F.lower(t(n)).isin(INFER_BLANK), t(n)).alias("v")) for n in names]))
+    counts = df.select(cells.alias("c")).select("c.*").groupBy("field", "v").agg(F.count("*").alias("n"))
+    every = df.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], "place int, field string")
+    f = every.join(counts.groupBy("field").agg(*_facts()), "field", "left").fillna(0, ["rows", "held", "distinct"])
     text = F.when(F.col("longest") > MEMO_FROM, "Memo").otherwise("String")
     kind = (
         F.when(F.col("held") == 0, "String").when(F.col("boolean") & F.col("wordy"), "Boolean").when(F.col("guid"), "Uniqueidentifier").when(F.col("zeros"), text)
         .when(F.col("integer"), F.when(F.col("largest") > SAFE_INTEGER, text).when(F.col("largest") > INT_MAX, "BigInt").otherwise("Integer"))
         .when(F.col("decimal"), "Decimal").when(F.col("date"), "Date").when(F.col("datetime"), "DateTime").otherwise(text)
     )
-    return f.select("field", kind.alias("type"), "rows", "held", F.col("distinct").alias("distinct_values"), "longest")
+    return f.orderBy("place").select("field", kind.alias("type"), "rows", "held", F.col("distinct").alias("distinct_values"), "longest")
 
 
 def infer_key(types: Sequence[dict]) -> str | None:
@@ -92,10 +95,11 @@ def unique_headers(headers: Sequence[str | None]) -> list[str]:
 
 
 def semantic_types(df: DataFrame, columns: Sequence[str], most_distinct: int | None = None) -> DataFrame:
-    """field, semantic, confidence, share: what the values of text columns appear to be.
+    """field, semantic, confidence, share, bad_values, bad_records: what the values of text columns appear to be.
 
-    EMPTY; spreadsheet dates (all 15000 to 80000); EMAIL, URL, CURRENCY, PERCENTAGE, PHONE from
-    four fifths of distinct values; IDENTIFIER with leading zeros; CATEGORICAL; else null.
+    EMPTY; spreadsheet dates (all 15000 to 80000); EMAIL, URL, CURRENCY, PERCENTAGE, PHONE and
+    IDENTIFIER (leading zeros) from four fifths of distinct values; CATEGORICAL; else null. The
+    last two count the distinct values of an EMAIL column that are none, and their records.
     """
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), js_trim(F.col(f"`{c}`").cast("string")).alias("v")) for c in columns]))
     long = df.select(cells.alias("c")).select("c.*")
@@ -106,7 +110,8 @@ def semantic_types(df: DataFrame, columns: Sequence[str], most_distinct: int | N
     stats = counts.groupBy("field").agg(
         F.sum("n").alias("held"), F.count("*").alias("distinct"), share(serial).alias("serial"), share(v.rlike(EMAIL_SHAPE)).alias("email"),
         share(v.rlike(URL_SHAPE)).alias("url"), share(v.rlike(CURRENCY_SHAPE)).alias("currency"), share(v.rlike(PERCENT_SHAPE)).alias("percentage"),
-        share(v.rlike(PHONE_SHAPE) & v.rlike(PHONE_MARK)).alias("phone"), share(v.rlike(LEADING_ZERO) & v.rlike(r"^\d+\z")).alias("zeros"),
+        share(v.rlike(PHONE_SHAPE) & v.rlike(PHONE_MARK)).alias("phone"), share(v.rlike(LEADING_ZERO)).alias("zeros"),
+        F.count_if(~v.rlike(EMAIL_SHAPE)).alias("no_email"), F.coalesce(F.sum(F.when(~v.rlike(EMAIL_SHAPE), F.col("n"))), F.lit(0)).alias("no_email_records"),
     )
     names = df.sparkSession.createDataFrame([(c, bool(DATE_NAME.search(c)), bool(PERSON_NAME.search(c))) for c in columns], "field string, dated boolean, person boolean")
     f = names.join(stats, "field", "left")
@@ -119,7 +124,9 @@ def semantic_types(df: DataFrame, columns: Sequence[str], most_distinct: int | N
         semantic, own = semantic.when(c(column) >= 0.8, name), own.when(c(column) >= 0.8, c(column))
         confidence = confidence.when(c(column) >= 0.8, F.when((c(column) >= 0.98) & F.lit(name != "PHONE"), "HIGH").otherwise("MEDIUM"))
     few = (c("distinct") >= 2) & (c("distinct") <= 25) & (c("held") >= 50) & (c("distinct") / c("held") < 0.05) & ~c("person")
-    semantic = semantic.when(c("zeros") > 0, "IDENTIFIER").when(few, "CATEGORICAL")
-    confidence = confidence.when(c("zeros") > 0, "MEDIUM").when(few, "MEDIUM")
-    own = own.when(c("zeros") > 0, c("zeros")).when(few, 1.0)
-    return f.select("field", semantic.alias("semantic"), confidence.alias("confidence"), F.round(own, 6).alias("share"))
+    semantic = semantic.when(c("zeros") >= 0.8, "IDENTIFIER").when(few, "CATEGORICAL")
+    confidence = confidence.when(c("zeros") >= 0.8, "HIGH").when(few, "HIGH")
+    own = own.when(c("zeros") >= 0.8, c("zeros")).when(few, 1.0)
+    out = f.select("field", semantic.alias("semantic"), confidence.alias("confidence"), F.round(own, 6).alias("share"), "no_email", "no_email_records")
+    bad = lambda column: F.when(c("semantic") == "EMAIL", c(column)).otherwise(0)
+    return out.select("field", "semantic", "confidence", "share", bad("no_email").alias("bad_values"), bad("no_email_records").alias("bad_records"))

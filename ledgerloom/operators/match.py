@@ -6,26 +6,37 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..functions.equality import normalize
 from ..functions.text import is_blank, js_trim
 
 STRATEGIES = ("SKIP_EXISTING", "CREATE_ONLY", "UPSERT", "SYNC")
 
 
-def _with_claims(out: DataFrame) -> DataFrame:
+#: Rows without a key are dealt over so many groups, so they don't meet in one task of a join.
+SPREAD = 1024
+
+
+def _spread_join(rows: DataFrame, other: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
+    """A left join on ``key`` in which null keys, which match nothing, are spread by other columns."""
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*spread), F.lit(SPREAD))).otherwise(F.lit(0))
+    out = rows.withColumn("_salt", salt.cast("int")).join(other.withColumn("_salt", F.lit(0)), [key, "_salt"], "left")
+    return out.drop("_salt")
+
+
+def with_claims(out: DataFrame) -> DataFrame:
     """A target goes to the first source row that claims it; the others conflict."""
-    rank = F.row_number().over(Window.partitionBy("target_id").orderBy("source_id"))
-    late = F.col("target_id").isNotNull() & (F.col("_rank") > 1)
-    out = out.withColumn("_rank", rank)
-    return out.withColumn("conflict", F.coalesce(F.col("conflict"), F.when(late, "DUPLICATE_SOURCE_KEY"))).withColumn("target_id", F.when(~late, F.col("target_id"))).drop("_rank")
+    first = out.where("target_id is not null").groupBy("target_id").agg(F.min("source_id").alias("_first"))
+    out = _spread_join(out, first, "target_id", ["source_id"])
+    late = F.coalesce(F.col("source_id") > F.col("_first"), F.lit(False))
+    return out.select("source_id", F.when(~late, F.col("target_id")).alias("target_id"), F.coalesce(F.col("conflict"), F.when(late, "DUPLICATE_SOURCE_KEY")).alias("conflict"))
 
 
 def by_primary_id(source: DataFrame, target: DataFrame, source_id: str, target_id: str) -> DataFrame:
     """source_id, target_id, conflict: equal ids, whatever their case."""
     s = source.select(F.col(source_id).alias("source_id"), F.lower(F.col(source_id).cast("string")).alias("_k"))
     t = target.select(F.col(target_id).alias("target_id"), F.lower(F.col(target_id).cast("string")).alias("_k"))
-    return _with_claims(s.join(t, "_k", "left").select("source_id", "target_id", F.lit(None).cast("string").alias("conflict")))
+    return with_claims(_spread_join(s, t, "_k", ["source_id"]).select("source_id", "target_id", F.lit(None).cast("string").alias("conflict")))
 
 
 def by_key(source: DataFrame, target: DataFrame, source_id: str, target_id: str, source_key: Sequence[str], target_key: Sequence[str], business: bool = True) -> DataFrame:
@@ -38,17 +49,18 @@ def by_key(source: DataFrame, target: DataFrame, source_id: str, target_id: str,
     complete = ~F.exists(F.array(*[F.col(f"`{c}`").cast("string") for c in source_key]), lambda x: is_blank(x))
     s = source.select(F.col(f"`{source_id}`").alias("source_id"), F.when(complete, F.concat_ws("|", *map(folded, source_key))).alias("_k"))
     t = target.select(F.col(f"`{target_id}`").alias("target_id"), F.concat_ws("|", *map(folded, target_key)).alias("_k")).groupBy("_k").agg(F.count("*").alias("_n"), F.min("target_id").alias("target_id"))
-    out = s.join(t, "_k", "left").withColumn("_seen", F.row_number().over(Window.partitionBy("_k").orderBy("source_id")))
-    conflict = F.when(F.col("_k").isNull(), "BUSINESS_KEY_INCOMPLETE" if business else None).when(F.col("_seen") > 1, "DUPLICATE_SOURCE_KEY").when(F.col("_n") > 1, "AMBIGUOUS_TARGET_MATCH")
+    first = s.where("_k is not null").groupBy("_k").agg(F.min("source_id").alias("_first"))
+    out = _spread_join(s, first.join(t, "_k", "left"), "_k", ["source_id"])
+    conflict = F.when(F.col("_k").isNull(), "BUSINESS_KEY_INCOMPLETE" if business else None).when(F.col("source_id") > F.col("_first"), "DUPLICATE_SOURCE_KEY").when(F.col("_n") > 1, "AMBIGUOUS_TARGET_MATCH")
     out = out.withColumn("conflict", conflict)
     return out.select("source_id", F.when(F.col("conflict").isNull(), F.col("target_id")).alias("target_id"), "conflict")
 
 
 def latest_mapping(identity_map: DataFrame, run_id: str) -> DataFrame:
-    """source_id, target_id: the newest mapping that didn't fail; one of the current run wins."""
+    """source_id, target_id: the newest mapping that didn't fail; one of the current run wins, and of equally new ones the greatest target id."""
     own = identity_map.where("outcome <> 'FAILED' and target_id is not null")
-    rank = F.row_number().over(Window.partitionBy("source_id").orderBy((F.col("run_id") == run_id).desc(), F.col("updated_at").desc()))
-    return own.withColumn("_rank", rank).where("_rank = 1").select("source_id", "target_id")
+    newest = F.max(F.struct((F.col("run_id") == run_id).alias("own"), "updated_at", "target_id")).alias("newest")
+    return own.groupBy("source_id").agg(newest).select("source_id", F.col("newest.target_id").alias("target_id"))
 
 
 def resolve_lookup(rows: DataFrame, column: str, mapping: DataFrame, target_ids: DataFrame, into: str) -> DataFrame:
@@ -72,8 +84,6 @@ def preflight(source: DataFrame, target: DataFrame, matches: DataFrame, source_i
     s = source.select(F.col(f"`{source_id}`").alias("source_id"), *[F.col(f"`{a}`").cast("string").alias(f"s{i}") for i, (a, _) in enumerate(fields)], F.exists(F.array(*[F.col(f"`{c}`").cast("string") for c in required]), lambda x: is_blank(x)).alias("_blocked") if required else F.lit(False).alias("_blocked"))
     t = target.select(F.col(f"`{target_id}`").alias("target_id"), F.lit(True).alias("_there"), *[F.col(f"`{b}`").cast("string").alias(f"t{i}") for i, (_, b) in enumerate(fields)])
     out = s.join(matches, "source_id").join(t, "target_id", "left")
-    from ..functions.equality import normalize
-
     change = lambda i, b: F.when(~normalize(F.col(f"s{i}"), "text").eqNullSafe(normalize(F.col(f"t{i}"), "text")), F.lit(b))
     changes = F.array_sort(F.array_compact(F.array(*[change(i, b) for i, (_, b) in enumerate(fields)])))
     there = F.coalesce("_there", F.lit(False))

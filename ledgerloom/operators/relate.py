@@ -51,23 +51,43 @@ def overlap(child: DataFrame, child_column: str, parent: DataFrame, parent_colum
     return both.select("child_values", "covered_values", "child_records", "orphan_records", share("covered_values", "child_values").alias("coverage"), share("parent_values", "parent_records").alias("parent_unique"))
 
 
+def _value_counts(tables: dict[str, DataFrame], columns: set[tuple[str, str]]) -> DataFrame:
+    """t, c, v, n: how often each value of the columns occurs; each table is read once."""
+    out = None
+    for name in sorted({t for t, _ in columns}):
+        cells = F.explode(F.array(*[F.struct(F.lit(name).alias("t"), F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for t, c in sorted(columns) if t == name]))
+        own = tables[name].select(cells.alias("x")).select("x.*")
+        out = own if out is None else out.unionAll(own)
+    return out.groupBy("t", "c", "v").agg(F.count("*").alias("n"))
+
+
 def discover(tables: dict[str, DataFrame], declared: Sequence[tuple[str, str, str, str]] = (), parents: dict[str, DataFrame] | None = None) -> DataFrame:
     """child_table, child_column, parent_table, parent_column, verdict and the facts of each candidate that holds.
 
-    References into a table that ``parents`` names are looked up in its rows there.
+    References into a table that ``parents`` names are looked up in its rows there. A parent
+    has two values or more, none blank and next to none repeated. The values of each column
+    are counted once, whatever it is a candidate for.
     """
-    parts = []
-    for ct, cc, pt, pc, a in candidates(tables):
-        o = overlap(tables[ct], cc, (parents or {}).get(pt, tables[pt]), pc)
-        head = [F.lit(x).alias(n) for x, n in ((ct, "child_table"), (cc, "child_column"), (pt, "parent_table"), (pc, "parent_column"))]
-        known = (ct, cc, pt, pc) in declared
-        verdict = F.when(F.lit(known), "DECLARED").when((F.col("coverage") >= INFERRED_COVERAGE) & F.lit(a >= 0.8), "INFERRED").otherwise("POSSIBLE")
-        fits = (F.col("parent_unique") >= LEAST_UNIQUE) & (F.col("coverage") >= LEAST_COVERAGE)
-        parts.append(o.where(fits | F.lit(known)).select(*head, verdict.alias("verdict"), "coverage", "orphan_records", "child_records"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    spark, found = next(iter(tables.values())).sparkSession, candidates(tables)
+    cand = spark.createDataFrame([(i, *x, x[:4] in declared) for i, x in enumerate(found)], "i int, child_table string, child_column string, parent_table string, parent_column string, affinity double, known boolean")
+    if not found:
+        return cand.select("child_table", "child_column", "parent_table", "parent_column", F.lit("").alias("verdict"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("orphan_records"), F.lit(0).cast("long").alias("child_records"))
+    few = F.broadcast(cand)  # a row for each pair of columns with like names
+    of = lambda side, values: values.join(few, (F.col("t") == F.col(f"{side}_table")) & (F.col("c") == F.col(f"{side}_column")))
+    child = of("child", _value_counts(tables, {x[:2] for x in found})).where("v is not null").select("i", "v", "n")
+    parent = of("parent", _value_counts(tables | (parents or {}), {x[2:4] for x in found}))
+    blank = F.coalesce(F.trim("v"), F.lit("")) == ""
+    parent = parent.select("i", F.coalesce("v", F.lit("")).alias("v"), F.col("n").alias("m"), blank.alias("blank"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    facts = child.join(parent, ["i", "v"], "full").groupBy("i").agg(
+        F.count("n").alias("child_values"), F.count_if(F.col("n").isNotNull() & F.col("m").isNotNull()).alias("covered"), total("n").alias("child_records"),
+        total(F.when(F.col("m").isNull(), F.col("n"))).alias("orphan_records"), F.count("m").alias("parent_values"), total("m").alias("parent_records"), F.count_if("blank").alias("blanks"),
+    )
+    c = F.col
+    out = facts.withColumn("coverage", F.when(c("child_values") > 0, F.round(c("covered") / F.greatest(c("child_values"), F.lit(1)), 6)).otherwise(0.0)).join(few, "i")
+    fits = (c("parent_values") >= LEAST_UNIQUE * c("parent_records")) & (c("parent_values") >= 2) & (c("blanks") == 0) & (c("coverage") >= LEAST_COVERAGE)
+    verdict = F.when(c("known"), "DECLARED").when((c("coverage") >= INFERRED_COVERAGE) & (c("affinity") >= 0.8), "INFERRED").otherwise("POSSIBLE")
+    return out.where(fits | c("known")).select("child_table", "child_column", "parent_table", "parent_column", verdict.alias("verdict"), "coverage", "orphan_records", "child_records")
 
 
 def broken_references(child: DataFrame, child_column: str, parent: DataFrame, parent_column: str) -> DataFrame:

@@ -100,7 +100,7 @@ def migrate(spark: SparkSession, entities: Sequence[Entity], sources: dict[str,
         actions = save(plan_entity(e, sources[e.name], out[e.name], known, run_id, deferred), f"{run_id}-{e.name}-actions")
         out[e.name] = save(apply_actions(e, actions, out[e.name]), f"{run_id}-{e.name}")
         mapped = actions.select(F.lit(run_id).alias("run_id"), F.lit(e.name).alias("table_name"), "source_id", "target_id", F.element_at(outcome, F.col("action")).alias("outcome"), F.current_timestamp().alias("updated_at"))
-        known = save(known.unionByName(mapped), f"{run_id}-map-{e.name}")
+        known = known.unionByName(save(mapped, f"{run_id}-map-{e.name}"))  # a part for each table; none is written twice
     for name, parent in deferred:
         e = next(e for e in order if e.name == name)
         for column in [c for c, p in e.references.items() if p == parent]:

@@ -26,18 +26,24 @@ def ship_package(spark: SparkSession) -> None:
     sc.addPyFile(str(out))
 
 
-def work_table(spark: SparkSession, label: str):
-    """A function that writes a DataFrame under the shared folder of spark.checkpoint.dir and reads it back."""
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new path under the shared folder of spark.checkpoint.dir, deleted when the driver's JVM ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def work_table(spark: SparkSession, label: str):
+    """A function that writes a DataFrame under the shared folder of spark.checkpoint.dir and reads it back."""
 
     def save(df, name: str):
-        path = f"{root.rstrip('/')}/{label}-{name}-{uuid.uuid4().hex}"
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+        path = work_folder(spark, f"{label}-{name}")
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 

@@ -6,27 +6,30 @@ import io
 import re
 import zipfile
 from collections import Counter
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import is_blank
 from ..operators.infer import unique_headers
+from ..session import ship_package
 
 HEADER_ROWS, MOST_INFLATED, MOST_COLUMNS, MOST_DEPTH = 20, 256 << 20, 300, 4
 
 
 def sniff_delimiter(line: str) -> str:
     """The most frequent of comma, semicolon and tab outside quotes in a first line."""
-    bare = re.sub(r'"[^"]*"', "", line.lstrip("﻿"))
+    bare = re.sub(r'"[^"]*"', "", line.lstrip("\ufeff"))
     return max((",", ";", "\t"), key=bare.count)
 
 
 def refuse(head: str) -> None:
     """Refuses what isn't a table: JSON, HTML and PDF, by how it begins."""
-    start = head.lstrip("﻿ \t\r\n")[:64].lower()
+    start = head.lstrip("\ufeff \t\r\n")[:64].lower()
     for mark, name in (("{", "JSON"), ("[", "JSON"), ("<!doctype html", "HTML"), ("<html", "HTML"), ("%pdf", "PDF")):
         if start.startswith(mark):
             raise ValueError(f"{name} isn't read as a table")
@@ -42,13 +45,42 @@ def drop_blank_rows(df: DataFrame) -> DataFrame:
     return df.where(F.exists(F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns]), lambda c: ~is_blank(c)))
 
 
+def has_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell goes over several lines, which leaves lines with an odd number of quotes."""
+    return not spark.read.text(path).where(F.regexp_count("value", F.lit('"')) % 2 == 1).isEmpty()
+
+
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, headers made unique, blank rows left out. Only the first line is read on the driver."""
+    """All columns as text, headers made unique, blank rows left out. Only the first line is read on the driver.
+
+    Files are split among tasks, unless a cell holds a line break; then each is read by one.
+    """
     first = spark.read.text(path).limit(1).collect()
     line = first[0][0] if first else ""
     refuse(line)
-    df = spark.read.csv(path, sep=sniff_delimiter(line), header=True, multiLine=True, escape='"', encoding="UTF-8")
-    return drop_blank_rows(df.toDF(*unique_headers([c.lstrip("﻿") if not re.fullmatch(r"_c\d+", c) else None for c in df.columns])))
+    df = spark.read.csv(path, sep=sniff_delimiter(line), header=True, multiLine=has_line_breaks(spark, path), escape='"', encoding="UTF-8")
+    return drop_blank_rows(df.toDF(*unique_headers([c.lstrip("\ufeff") if not re.fullmatch(r"_c\d+", c) else None for c in df.columns])))
+
+
+def prepare_sheet(rows: DataFrame, order: str, cells: str = "cells") -> tuple[DataFrame, dict]:
+    """A table from rows of an array of texts in the order of a column, and a report of what was done.
+
+    Rows above the header, blank rows and columns beyond the last named one go; unnamed columns
+    within are numbered, repeated names suffixed.
+    """
+    head = [list(r[0] or []) for r in rows.orderBy(order).select(cells).limit(HEADER_ROWS).collect()]
+    at = find_header(head)
+    header = head[at] if head else []
+    width = max((i + 1 for i, h in enumerate(header) if (h or "").strip()), default=0)
+    names = unique_headers(header[:width])
+    if len(names) > MOST_COLUMNS:
+        raise ValueError("too many columns")
+    start = rows.orderBy(order).limit(at + 1).agg(F.max(order)).first()[0]
+    data = rows.where(F.col(order) > F.lit(start)) if head else rows
+    out = data.select(*[F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names)]) if names else data.select()
+    filled = drop_blank_rows(out) if names else out
+    total, kept = data.count(), filled.count()
+    return filled, {"header_row": at, "columns": len(names), "unnamed": sum(not (h or "").strip() for h in header[:width]), "blank_rows": total - kept, "rows": kept}
 
 
 def record_tag(xml: str) -> str:
@@ -116,18 +148,43 @@ def workbook_rows(data: bytes, sheet: int = 1) -> list[list[str | None]]:
 
 
 def read_xlsx(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
-    """One sheet as text columns. A workbook is one file of bounded size, so one task reads it."""
-    head = spark.read.format("binaryFile").load(path).select("content").limit(1).collect()
-    rows = workbook_rows(bytes(head[0][0]), sheet)
-    at = find_header(rows)
-    width = max((i + 1 for i, h in enumerate(rows[at]) if (h or "").strip()), default=0) if rows else 0
-    names = unique_headers(rows[at][:width]) if width else ["column_1"]
-    fixed = [tuple((r + [None] * len(names))[: len(names)]) for r in rows[at + 1 :]]
-    return drop_blank_rows(spark.createDataFrame(fixed, T.StructType([T.StructField(n, T.StringType()) for n in names])))
+    """One sheet of each workbook under a path as text columns, named by their common header.
+
+    A workbook is one file of bounded size: a task reads each, and only headers reach the driver.
+    """
+    ship_package(spark)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = workbook_rows(data.as_py(), sheet)
+                own = rows[find_header(rows) :]
+                yield pa.RecordBatch.from_arrays([pa.array([place] * len(own), pa.string()), pa.array(range(len(own)), pa.int64()), pa.array(own, pa.list_(pa.string()))], ["path", "place", "cells"])
+
+    cells = files.mapInArrow(parse, "path string, place long, cells array<string>")
+    headers = [r[0] for r in cells.where("place = 0").select("cells").distinct().limit(2).collect()]
+    if len(headers) > 1:
+        raise ValueError("the workbooks have different headers")
+    header = headers[0] if headers else []
+    width = max((i + 1 for i, h in enumerate(header) if (h or "").strip()), default=0)
+    names = unique_headers(header[:width]) if width else ["column_1"]
+    return drop_blank_rows(cells.where("place > 0").select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]))
 
 
 def staged(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Rows with an ordinal and a record id: the key's value, else the ordinal. Ordinals are unique and rise within a partition."""
-    out = df.withColumn("_ordinal", F.monotonically_increasing_id())
-    own = F.nullif(F.col(f"`{key}`").cast("string"), F.lit("")) if key else F.lit(None).cast("string")
-    return out.withColumn("_id", F.coalesce(own, F.col("_ordinal").cast("string")))
+    """Rows with an ordinal, from 0 without gaps in the order they are read, and a record id: the key's value, else the ordinal.
+
+    Rows are counted first, a number for each task, so none moves.
+    """
+    own = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    counts = sorted((r["_part"], r["count"]) for r in own.groupBy("_part").count().collect())  # a row for each task
+    starts, total = [], 0
+    for part, n in counts:
+        starts.append((part, total))
+        total += n
+    before = F.broadcast(df.sparkSession.createDataFrame(starts, "_part int, _before long"))
+    ordinal = F.col("_at") + F.col("_before")
+    ident = F.nullif(F.col(f"`{key}`").cast("string"), F.lit("")) if key else F.lit(None).cast("string")
+    out = own.join(before, "_part").withColumn("_ordinal", ordinal).withColumn("_id", F.coalesce(ident, ordinal.cast("string")))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], "_ordinal", "_id")

@@ -34,6 +34,20 @@ def observe_watermark(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.max(F.col(f"`{column}`")).alias("watermark"))
 
 
+def count_records(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("*").alias("records"))
+
+
+#: Records that a validation looks at, by depth.
+DEPTHS = {"QUICK": 500, "STANDARD": 5000, "FULL": None}
+
+
+def prefix(df: DataFrame, key: str, depth: str = "QUICK") -> DataFrame:
+    """The first records by their key, as many as the depth says: the same ones each time."""
+    most = DEPTHS[depth]
+    return df if most is None else df.orderBy(F.col(f"`{key}`")).limit(most)
+
+
 def retrieve_by_ids(df: DataFrame, id_column: str, ids: DataFrame, ignore_case: bool = False) -> DataFrame:
     """Rows with one of the ids (first column of ``ids``); with ``ignore_case``, ids without an exact hit are tried again in lower case."""
     want = ids.select(F.col(ids.columns[0]).cast("string").alias("_want")).distinct()
@@ -42,7 +56,8 @@ def retrieve_by_ids(df: DataFrame, id_column: str, ids: DataFrame, ignore_case:
     if not ignore_case:
         return exact
     missed = want.join(df.select(own.alias("_own")), F.col("_want") == F.col("_own"), "left_anti").select(F.lower("_want").alias("_low"))
-    return exact.unionByName(df.join(missed, F.lower(own) == F.col("_low"), "left_semi")).distinct()
+    # a row is found once, and repeated rows stay repeated
+    return exact.unionByName(df.join(want, own == F.col("_want"), "left_anti").join(missed, F.lower(own) == F.col("_low"), "left_semi"))
 
 
 def find_by_fields(df: DataFrame, criteria: dict[str, object], most: int = 100) -> DataFrame:
@@ -83,9 +98,11 @@ def sink_lineage(df: DataFrame, path: str) -> None:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """name, bytes, sha256 of each file under a folder, hashed where it is read."""
+    """name (its path in the folder), bytes, sha256 of each file under a folder, hashed where it is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/") + "/"
+    return files.select(F.replace("path", F.lit(root), F.lit("")).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify_evidence(spark: SparkSession, path: str, recorded: DataFrame) -> DataFrame:
