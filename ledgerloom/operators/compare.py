@@ -84,6 +84,49 @@ def differences(pairs: DataFrame) -> DataFrame:
     return fields.unionByName(other)
 
 
+def differences_by_type(pairs: DataFrame) -> DataFrame:
+    """type, records of the differences: a record that differs in several fields counts once."""
+    return pairs.where("verdict <> 'MATCHED'").groupBy(F.col("verdict").alias("type")).agg(F.count("*").alias("records"))
+
+
+def filter_differences(found: DataFrame, type: str | None = None, field: str | None = None, after: tuple[str, str, str] | None = None, most: int = 1000) -> DataFrame:
+    """A page of differences in the order of (key, type, field), from behind the ``after`` row; 1,000 at most."""
+    for column, value in (("type", type), ("field", field)):
+        if value is not None:
+            found = found.where(F.col(column) == value)
+    order = [F.coalesce("key", F.lit("")), F.col("type"), F.coalesce("field", F.lit(""))]
+    if after is not None:
+        found = found.where(F.struct(*order) > F.struct(*map(F.lit, after)))
+    return found.orderBy(*order).limit(max(1, min(1000, most)))
+
+
+def set_reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The rows, all columns and repeats counted, that one side has more often: ``side`` is ONLY_IN_LEFT or ONLY_IN_RIGHT.
+
+    One shuffle: rows of both sides are counted together.
+    """
+    names = left.columns
+    both = left.withColumn("_n", F.lit(1)).unionByName(right.withColumn("_n", F.lit(-1)))
+    counted = both.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    return counted.select(F.when(F.col("_n") > 0, "ONLY_IN_LEFT").otherwise("ONLY_IN_RIGHT").alias("side"), F.abs("_n").alias("rows"), *[F.col(f"`{c}`") for c in names])
+
+
+def schema_check(left: Sequence[str], right: Sequence[str], key: Sequence[tuple[str, str]], fields: Sequence[Field]) -> str:
+    """FAIL if a key column is missing on a side, WARNING if a compared one is, else PASS."""
+    gone = lambda pairs: any(a not in left or b not in right for a, b in pairs)
+    return "FAIL" if gone(key) else "WARNING" if gone([(f.left, f.right) for f in fields]) else "PASS"
+
+
+def compare_datasets(left: DataFrame, right: DataFrame, key: Sequence[tuple[str, str]], fields: Sequence[Field]) -> DataFrame:
+    """check_name, outcome: SCHEMA, ROW_COUNT, RECORD_EXISTENCE and FIELD_VALUES. Without its key nothing else is looked at; a missing field isn't compared."""
+    verdict = schema_check(left.columns, right.columns, key, fields)
+    first = left.sparkSession.createDataFrame([("SCHEMA", verdict)], "check_name string, outcome string")
+    if verdict == "FAIL":
+        return first
+    there = [f for f in fields if f.left in left.columns and f.right in right.columns]
+    return first.unionAll(checks(pair(left, right, [a for a, _ in key], [b for _, b in key], there), len(there)))
+
+
 def checks(pairs: DataFrame, fields: int) -> DataFrame:
     """ROW_COUNT, RECORD_EXISTENCE and FIELD_VALUES with PASS, WARNING or FAIL."""
     t = totals(pairs)

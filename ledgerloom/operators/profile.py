@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.text import EMAIL_SHAPE, GUID, PROFILE_BOOLEANS, decimal_places, is_blank, js_trim, percent, round_half_up, shape_of, to_instant, to_number
+from ..functions.text import BOOLEAN_WORDS, EMAIL_SHAPE, GUID, PROFILE_BOOLEANS, decimal_places, decimal_separator, is_blank, js_trim, percent, round_half_up, shape_of, to_instant, to_number
 
 TOP_VALUES, EXAMPLES, MASK = 50, 5, "***"
 SHAPES = ("NUMBER", "CURRENCY", "BOOLEAN", "DATE", "TEXT")
@@ -26,19 +26,23 @@ def kind_of(t: T.DataType) -> str:
     return "boolean" if isinstance(t, T.BooleanType) else "other"
 
 
-def profilable(df: DataFrame, columns: Sequence[str] | None = None, most: int = 300) -> list[str]:
-    """Columns to profile: an explicit list wins; binary and nested ones are left out."""
+#: Columns that a system keeps itself.
+SYSTEM_COLUMNS = ("createdon", "modifiedon", "createdby", "modifiedby", "versionnumber", "importsequencenumber", "overriddencreatedon", "timezoneruleversionnumber", "utcconversiontimezonecode")
+
+
+def profilable(df: DataFrame, columns: Sequence[str] | None = None, system: bool = True) -> list[str]:
+    """Columns to profile: an explicit list wins; binary and nested ones are left out, and without ``system`` those that a system keeps."""
     if columns is not None:
         return [c for c in columns if c in df.columns]
-    return [f.name for f in df.schema if kind_of(f.dataType) != "other"][:most]
+    return [f.name for f in df.schema if kind_of(f.dataType) != "other" and (system or f.name.lower() not in SYSTEM_COLUMNS)]
 
 
 def as_text(df: DataFrame, name: str) -> Column:
     return F.col(f"`{name}`").cast("string")
 
 
-def _stats(name: str, kind: str, raw: Column, t: Column, shape: Column, reads_as: str) -> Column:
-    """The one-pass statistics of a column as a struct, from its values, the trimmed text and its shape.
+def _stats(name: str, kind: str, raw: Column, t: Column, shape: Column, mark: Column, places: Column, reads_as: str) -> Column:
+    """The one-pass statistics of a column as a struct, from its values, the trimmed text, its shape, and its decimal separator and places if it is an amount.
 
     ``reads_as`` is what its values should be. Only text can be blank or spell something wrongly.
     """
@@ -56,6 +60,8 @@ def _stats(name: str, kind: str, raw: Column, t: Column, shape: Column, reads_as
         "email": filled & ~t.rlike(EMAIL_SHAPE),
     }.get(reads_as, F.lit(False))
     length = F.length(text) if is_text else null.cast("int")
+    words = F.array(*map(F.lit, BOOLEAN_WORDS))
+    spelling = F.when(shape == "BOOLEAN", F.pow(F.lit(2), F.array_position(words, F.lower(t))).cast("int"))
     count = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
     return F.struct(
         F.lit(name).alias("field"),
@@ -69,10 +75,15 @@ def _stats(name: str, kind: str, raw: Column, t: Column, shape: Column, reads_as
         F.min(number).alias("min_number"),
         F.max(number).alias("max_number"),
         round_half_up(F.avg(number), 6).alias("avg_number"),
-        F.max(decimal_places(t) if reads_as == "number" and is_text else null.cast("int")).alias("max_scale"),
+        F.max(places if reads_as == "number" else null.cast("int")).alias("max_scale"),
         F.min(instant).alias("min_date"),
         F.max(instant).alias("max_date"),
         count(invalid).alias("invalid_count"),
+        (count(invalid) if reads_as == "datetime" else F.max(F.lit(0).cast("long"))).alias("invalid_date_count"),
+        F.max(places).alias("max_decimals"),
+        count(places > 2).alias("over_two_decimals"),
+        (F.coalesce(F.bool_or(mark == "."), F.lit(False)).cast("int") + F.coalesce(F.bool_or(mark == ","), F.lit(False)).cast("int")).alias("decimal_marks"),
+        F.coalesce(F.bit_count(F.bit_or(spelling)), F.lit(0)).alias("boolean_spellings"),
         *[count(shape == s).alias(f"{s.lower()}_shapes") for s in SHAPES],
     )
 
@@ -90,10 +101,15 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, reads_as:
     values = df.select(*[F.col(f"`{n}`").alias(f"v{i}") for i, n in enumerate(names)])
     trimmed = values.select("*", *[js_trim(F.col(f"v{i}").cast("string")).alias(f"t{i}") for i, n in enumerate(names) if kinds[n] == "text"])
     shaped = trimmed.select("*", *[shape_of(F.col(f"t{i}"), True).alias(f"h{i}") for i, n in enumerate(names) if kinds[n] == "text"])
+    texts = [i for i, n in enumerate(names) if kinds[n] == "text"]
+    amount = lambda i, c: F.when(F.col(f"h{i}").isin("NUMBER", "CURRENCY"), c)
+    marked = shaped.select("*", *[amount(i, decimal_separator(F.col(f"t{i}"))).alias(f"m{i}") for i in texts])
+    placed = marked.select("*", *[amount(i, decimal_places(F.col(f"t{i}"), F.col(f"m{i}"))).alias(f"d{i}") for i in texts])
     none = F.lit(None).cast("string")
-    of = lambda i, n: _stats(n, kinds[n], F.col(f"v{i}"), *((F.col(f"t{i}"), F.col(f"h{i}")) if kinds[n] == "text" else (F.col(f"v{i}").cast("string"), none)), reads[n])
+    own = lambda i: tuple(F.col(f"{k}{i}") for k in "thmd") if i in texts else (F.col(f"v{i}").cast("string"), none, none, none.cast("int"))
+    of = lambda i, n: _stats(n, kinds[n], F.col(f"v{i}"), *own(i), reads[n])
     # One struct of aggregates for each column: Catalyst computes them all in one partial aggregation.
-    wide = shaped.agg(*[of(i, n).alias(f"s{i}") for i, n in enumerate(names)])
+    wide = placed.agg(*[of(i, n).alias(f"s{i}") for i, n in enumerate(names)])
     return wide.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(names))]))).withColumn("null_percent", percent(F.col("null_count"), F.col("examined")))
 
 
@@ -163,3 +179,10 @@ def profile(df: DataFrame, name: str, columns: Sequence[str] | None = None, read
     out = stats.join(groups, "field", "left").withColumn("table_name", F.lit(name)).withColumn("basis", basis)
     # only fields without any value have no counts
     return out.fillna(0, ["distinct_count"]).select("table_name", *[c for c in out.columns if c != "table_name"])
+
+
+def analysis_totals(profiles: DataFrame) -> DataFrame:
+    """tables, columns, examined, empty_tables, unused_columns over profile() rows of any tables; a column without a value is unused."""
+    by_table = profiles.groupBy("table_name").agg(F.count("*").alias("columns"), F.max("examined").alias("examined"), F.count_if((F.col("examined") > 0) & (F.col("null_count") + F.col("blank_count") >= F.col("examined"))).alias("unused"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return by_table.agg(F.count("*").alias("tables"), total("columns").alias("columns"), total("examined").alias("examined"), F.count_if(F.col("examined") == 0).alias("empty_tables"), total("unused").alias("unused_columns"))

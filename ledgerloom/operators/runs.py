@@ -31,6 +31,20 @@ def deferred_counts(rows: DataFrame, status: str) -> DataFrame:
     return rows.groupBy(F.coalesce(F.col(status), F.lit("NONE")).alias("deferred_status")).agg(F.count("*").alias("records"))
 
 
+def attempt_metrics(records: DataFrame, problems: DataFrame) -> DataFrame:
+    """attempt, the number of records by outcome, first_at, last_at and problem_records of each attempt of a run.
+
+    ``records`` (attempt, outcome, updated_at) counts what each attempt settled;
+    ``problems`` (attempt, source_id) may name a record more than once.
+    """
+    n = lambda o: F.count_if(F.col("outcome") == o).alias(o.lower())
+    done = records.groupBy("attempt").agg(*map(n, ("CREATED", "UPDATED", "UNCHANGED", "SKIPPED", "FAILED", "UNRESOLVED")), F.min("updated_at").alias("first_at"), F.max("updated_at").alias("last_at"))
+    bad = problems.groupBy(F.col("attempt").alias("_a")).agg(F.count_distinct("source_id").alias("problem_records"))
+    both = done.join(bad, F.col("attempt").eqNullSafe(F.col("_a")), "full")
+    counts = [c for c in done.columns if c not in ("attempt", "first_at", "last_at")]
+    return both.select(F.coalesce("attempt", "_a").alias("attempt"), *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], "first_at", "last_at", "problem_records")
+
+
 def identity_impact(unresolved: DataFrame, principal: str, record: str, field: str) -> DataFrame:
     """principal, records, fields: what depends on each user that wasn't found."""
     return unresolved.groupBy(F.col(principal).alias("principal")).agg(F.count_distinct(record).alias("records"), F.count_distinct(field).alias("fields"))

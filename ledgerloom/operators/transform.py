@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import convert
 from ..functions.equality import plain_decimal
 from ..functions.text import GUID, GUID_BARE, RULE_FALSE, RULE_TRUE, is_blank, js_trim, left_trim, number_or_zero, right_trim, round_half_up
 
@@ -192,6 +193,86 @@ def target_constraints(value: Column, max_length: int | None = None, required: b
     return F.when(F.coalesce(long, F.lit(False)), "STRING_TOO_LONG").when(is_blank(value) if required else F.lit(False), "REQUIRED_VALUE_MISSING")
 
 
+# The code that a conversion's refusal is told as.
+CONVERSION_CODES = {"STRING_TOO_LONG": "STRING_TOO_LONG", "INVALID_DATE": "INVALID_DATE", "INVALID_NUMBER": "INVALID_NUMBER"}
+
+
+def convert_to_target(df: DataFrame, target: str, result: str = "result", cross: bool = True, max_length: int | None = None, scale: int | None = None) -> DataFrame:
+    """``df``, whose ``result`` is from apply(), with its value converted to the target column's type after the rules.
+
+    ``cross``: the target is another kind of system, whose types mean something else. A value
+    that the type refuses becomes an error; one that already had an error keeps it.
+    """
+    r = lambda f: F.col(f"{result}.{f}")
+    made = convert.cross_provider(r("value"), target, max_length, scale) if cross else convert.same_provider(r("value"), target, 2 if scale is None else scale)
+    out = df.withColumn("_made", made)
+    code = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in CONVERSION_CODES.items() for x in pair]), F.col("_made.error_code")), F.when(F.col("_made.error_code").isNotNull(), "TRANSFORMATION_FAILED"))
+    error = F.coalesce(r("error_code"), code)
+    return out.withColumn(result, F.struct(F.when(error.isNull(), F.col("_made.value")).alias("value"), error.alias("error_code"), r("lossy").alias("lossy"), r("loss").alias("loss"), r("applied").alias("applied"))).drop("_made")
+
+
+# The columns of the three sheets that describe pipelines.
+RULE_COLUMNS = ("source_table", "source_field", "step", "rule", "find", "replace_with", "value", "start", "length", "scale", "input_format", "separator", "skip_empty_parts", "on_unmapped", "default_value", "condition_field", "condition_operator", "condition_value", "action", "inside_step")
+VALUE_COLUMNS = ("source_table", "source_field", "step", "from", "to")
+PART_COLUMNS = ("source_table", "source_field", "step", "order", "field", "literal")
+#: What each sheet column is called in a rule; ``value`` and ``text`` share one.
+_NAMES = {"find": "find", "replace_with": "replace", "start": "start", "length": "length", "scale": "scale", "input_format": "format", "separator": "separator", "skip_empty_parts": "skip_empty", "on_unmapped": "unmapped", "default_value": "default", "condition_field": "column", "condition_operator": "op", "condition_value": "expected", "action": "then"}
+_NUMBERS = ("start", "length", "scale")
+_ENTRIES = {"VALUE_MAP": "entries", "CHOICE_MAP": "entries", "TO_BOOLEAN": "map"}
+
+
+def to_sheets(pipelines: dict[tuple[str, str], Sequence[Step]]) -> tuple[list[dict], list[dict], list[dict]]:
+    """Rows of the rules, value map and part sheets of pipelines by (table, field): a row for each rule, those inside another with its step."""
+    rules, values, parts = [], [], []
+
+    def put(table: str, name: str, steps: Sequence[Step], inside: str) -> None:
+        for i, s in enumerate(steps, 1):
+            step = f"{inside}.{i}" if inside else str(i)
+            at = {"source_table": table, "source_field": name, "step": step}
+            row = dict.fromkeys(RULE_COLUMNS) | at | {"rule": s.kind, "inside_step": inside or None}
+            for column, arg in _NAMES.items():
+                if s.args.get(arg) is not None:
+                    row[column] = str(s.args[arg])
+            row["value"] = s.args.get("value", s.args.get("text"))
+            rules.append(row)
+            values.extend(at | {"from": k, "to": str(v)} for k, v in s.args.get(_ENTRIES.get(s.kind, ""), {}).items())
+            parts.extend(at | {"order": n, "field": p.get("column"), "literal": p.get("literal")} for n, p in enumerate(s.args.get("parts", ()), 1))
+            put(table, name, s.args.get("steps", ()), step)
+
+    for (table, name), steps in pipelines.items():
+        put(table, name, steps, "")
+        if not steps:
+            rules.append(dict.fromkeys(RULE_COLUMNS) | {"source_table": table, "source_field": name, "rule": "NONE"})
+    return rules, values, parts
+
+
+def from_sheets(rules: Sequence[dict], values: Sequence[dict] = (), parts: Sequence[dict] = ()) -> dict[tuple[str, str], list[Step]]:
+    """The pipelines that to_sheets() wrote; NONE stands for one without rules."""
+    key = lambda r: (r["source_table"], r["source_field"])
+    at = lambda rows, r: [x for x in rows if key(x) == key(r) and str(x["step"]) == str(r["step"])]
+    order = lambda r: [int(n) for n in str(r["step"] or 0).split(".")]
+
+    def build(own: list[dict], inside: str | None) -> list[Step]:
+        out = []
+        for r in sorted((r for r in own if (r.get("inside_step") or None) == inside and r["rule"] != "NONE"), key=order):
+            kind, args = r["rule"], {}
+            for column, arg in _NAMES.items():
+                if r.get(column) is not None:
+                    args[arg] = int(r[column]) if arg in _NUMBERS else str(r[column]).lower() == "true" if arg == "skip_empty" else r[column]
+            if r.get("value") is not None:
+                args["text" if kind in ("PREFIX", "SUFFIX") else "value"] = r["value"]
+            if kind in _ENTRIES:
+                args[_ENTRIES[kind]] = {x["from"]: x["to"].lower() == "true" if kind == "TO_BOOLEAN" else x["to"] for x in at(values, r)}
+            if kind == "CONCAT":
+                args["parts"] = [{"column": x["field"]} if x["field"] is not None else {"literal": x["literal"]} for x in sorted(at(parts, r), key=lambda x: int(x["order"]))]
+            if kind == "IF_THEN" and args.get("then") == "APPLY":
+                args["steps"] = build(own, str(r["step"]))
+            out.append(Step(kind, args))
+        return out
+
+    return {k: build([r for r in rules if key(r) == k], None) for k in dict.fromkeys(map(key, rules))}
+
+
 #: Pipelines that are offered ready made.
 TEMPLATES: dict[str, list[Step]] = {
     "trim": [Step("TRIM")],

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.equality import classify_difference
-from .relate import broken_references, duplicate_keys
+from ..plans.metadata import Table, schema_diff
+from .relate import broken_references
+from .transform import Step, run
 
 #: Worst last.
 OUTCOMES = ("PASS", "WARNING", "INCOMPLETE", "FAIL")
@@ -31,6 +34,41 @@ def record_differences(source: DataFrame, target: DataFrame, mapping: DataFrame,
     return both.select("source_id", F.inline(F.array(gone, *made))).where("type is not null")
 
 
+def compare_records(source: DataFrame, target: DataFrame, mapping: DataFrame, source_id: str, target_id: str, fields: Sequence[tuple[str, str, int | None]], steps: dict[str, Sequence[Step]] | None = None, references: dict[str, DataFrame] | None = None) -> DataFrame:
+    """source_id, field, type, outcome of every difference, and of every field that can't be compared.
+
+    The source is transformed first. A rule that refuses a value makes it NOT_COMPARABLE, which is
+    never a difference. A reference is compared with the target id that ``references`` (source_id,
+    target_id) expects; without one it isn't compared. Records that the run left as they were
+    (outcome SKIPPED in ``mapping``) differ as PRE_EXISTING_DIFFERENCE, a warning.
+    """
+    steps, references = steps or {}, references or {}
+    columns = {c: F.col(f"`{c}`") for c in source.columns}
+    made = [run(columns[a].cast("string"), steps.get(a, ()), columns) for a, _, _ in fields]
+    s = source.select(F.col(f"`{source_id}`").alias("source_id"), *[x for i, r in enumerate(made) for x in (r.value.alias(f"s{i}"), r.error.alias(f"e{i}"))])
+    for i, (a, _, _) in enumerate(fields):
+        if a in references:
+            m = references[a].select(F.col("source_id").cast("string").alias("_m"), F.col("target_id").cast("string").alias("_mt"))
+            s = s.join(m, F.col(f"s{i}") == F.col("_m"), "left").withColumn(f"e{i}", F.when(F.col(f"s{i}").isNotNull() & F.col("_mt").isNull(), "NO_MAPPING")).withColumn(f"s{i}", F.col("_mt")).drop("_m", "_mt")
+    t = target.select(F.col(f"`{target_id}`").alias("target_id"), F.lit(True).alias("there"), *[F.col(f"`{b}`").cast("string").alias(f"t{i}") for i, (_, b, _) in enumerate(fields)])
+    outcome = F.col("outcome") if "outcome" in mapping.columns else F.lit("CREATED").alias("outcome")
+    both = s.join(mapping.select("source_id", "target_id", outcome), "source_id", "left").join(t, "target_id", "left")
+    old = F.coalesce(F.col("outcome") == "SKIPPED", F.lit(False))
+
+    def told(i: int, a: str, b: str, most: int | None) -> Column:
+        if a in references:
+            kind = F.when(~F.lower(f"s{i}").eqNullSafe(F.lower(f"t{i}")), "LOOKUP_MISMATCH")
+        else:
+            kind = classify_difference(F.col(f"s{i}"), F.col(f"t{i}"), most)
+        kind = F.when(old & kind.isNotNull(), "PRE_EXISTING_DIFFERENCE").otherwise(kind)
+        unknown = F.lit(None).cast("string") if a in references else F.lit("NOT_COMPARABLE")
+        return F.struct(F.lit(b).alias("field"), F.when(F.col("there"), F.when(F.col(f"e{i}").isNotNull(), unknown).otherwise(kind)).alias("type"))
+
+    gone = F.struct(F.lit(None).cast("string").alias("field"), F.when(F.col("there").isNull(), "MISSING_IN_TARGET").alias("type"))
+    out = both.select("source_id", F.inline(F.array(gone, *[told(i, *f) for i, f in enumerate(fields)]))).where("type is not null")
+    return out.withColumn("outcome", F.when(F.col("type") == "NOT_COMPARABLE", "INCOMPLETE").when(F.col("type") == "PRE_EXISTING_DIFFERENCE", "WARNING").otherwise("FAIL"))
+
+
 def pairing(source: DataFrame, target: DataFrame, mapping: DataFrame, source_id: str, target_id: str) -> DataFrame:
     """source_id, target_id, in_target: each source row with the target row its mapping leads to."""
     s = source.select(F.col(f"`{source_id}`").alias("source_id"))
@@ -69,8 +107,8 @@ def aggregates_agree(source: DataFrame, target: DataFrame, columns: Sequence[tup
     return out.withColumn("outcome", outcome)
 
 
-def validate(source: DataFrame, target: DataFrame, mapping: DataFrame, source_id: str, target_id: str, fields: Sequence[tuple[str, str, int | None]], references: Sequence[tuple[str, DataFrame, str]] = (), unique: Sequence[str] = (), totals: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """check_name, outcome, affected: ROW_COUNT, RECORD_EXISTENCE, FIELD_VALUES, REFERENCES, UNIQUENESS, AGGREGATES.
+def validate(source: DataFrame, target: DataFrame, mapping: DataFrame, source_id: str, target_id: str, fields: Sequence[tuple[str, str, int | None]], references: Sequence[tuple[str, DataFrame, str]] = (), unique: Sequence[str] = (), totals: Sequence[tuple[str, str]] = (), schemas: tuple[Table, Table] | None = None) -> DataFrame:
+    """check_name, outcome, affected: SCHEMA, ROW_COUNT, RECORD_EXISTENCE, FIELD_VALUES, REFERENCES, UNIQUENESS, AGGREGATES.
 
     A check that nothing was asked of isn't PASS but left out.
     """
@@ -89,9 +127,14 @@ def validate(source: DataFrame, target: DataFrame, mapping: DataFrame, source_id
             broken = own if broken is None else broken.unionAll(own)
         parts.append(broken.agg(F.sum("n").alias("n")).select(check("REFERENCES", fail(F.col("n")), F.col("n")).alias("c")))
     if unique:
-        parts.append(duplicate_keys(target, unique, most=1 << 30).agg(F.count("*").alias("n")).select(check("UNIQUENESS", F.when(F.col("n") > 0, "WARNING").otherwise("PASS"), F.col("n")).alias("c")))
+        complete = target.where(" and ".join(f"`{k}` is not null" for k in unique))
+        parts.append(complete.groupBy(*[F.col(f"`{k}`") for k in unique]).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("n")).select(check("UNIQUENESS", F.when(F.col("n") > 0, "WARNING").otherwise("PASS"), F.col("n")).alias("c")))
     if totals:
         parts.append(aggregates_agree(source, target, totals).agg(F.count_if(F.col("outcome") == "FAIL").alias("n")).select(check("AGGREGATES", fail(F.col("n")), F.col("n")).alias("c")))
+    if schemas:
+        rows = schema_diff([schemas[0]], [replace(schemas[1], name=schemas[0].name)])
+        breaking, other = sum(r["breaking"] for r in rows), sum(r["status"] != "MATCH" for r in rows)
+        parts.append(source.sparkSession.range(1).select(check("SCHEMA", F.lit("FAIL" if breaking else "WARNING" if other else "PASS"), F.lit(other)).alias("c")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
@@ -109,3 +152,18 @@ def coverage_percent(examined: Column, eligible: Column) -> Column:
     """Of what could be examined, to one decimal; never 0 for some or 100 for not all."""
     p = F.floor(examined * 1000.0 / F.greatest(eligible, F.lit(1)) + 0.5) / 10.0
     return F.when(eligible == 0, 100.0).when((examined > 0) & (p == 0), 0.1).when((examined < eligible) & (p >= 100), 99.9).otherwise(p)
+
+
+MODES = ("FULL", "SAMPLED", "NOT_VERIFIED")
+
+
+def coverage_mode(examined: Column, eligible: Column) -> Column:
+    """FULL, SAMPLED or NOT_VERIFIED, from the counts alone; nothing to examine is FULL."""
+    return F.when((eligible == 0) | (examined >= eligible), "FULL").when(examined == 0, "NOT_VERIFIED").otherwise("SAMPLED")
+
+
+def combined_coverage(parts: DataFrame) -> DataFrame:
+    """mode, eligible, examined, percent of (mode, eligible, examined) rows together: the weakest mode, and sums."""
+    ranks = F.array(*map(F.lit, MODES))
+    out = parts.agg(F.max(F.array_position(ranks, F.col("mode"))).cast("int").alias("_m"), F.coalesce(F.sum("eligible"), F.lit(0)).alias("eligible"), F.coalesce(F.sum("examined"), F.lit(0)).alias("examined"))
+    return out.select(F.coalesce(F.try_element_at(ranks, F.col("_m")), F.lit("FULL")).alias("mode"), "eligible", "examined", coverage_percent(F.col("examined"), F.col("eligible")).alias("percent"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import types as T
 
@@ -22,6 +22,10 @@ class Column:
     options: tuple[str, ...] = ()
     writable: bool = True
     system: bool = False
+    readable: bool = True
+    identity: bool = False  # numbered by the system
+    child_of: str = ""  # a part of another column, as its display name is
+    behavior: str = ""  # what a time means: DateOnly, UserLocal or TimeZoneIndependent
 
 
 @dataclass(frozen=True)
@@ -29,6 +33,11 @@ class Table:
     name: str
     columns: tuple[Column, ...]
     key: str = ""
+    keys: tuple[tuple[str, ...], ...] = ()  # alternate ones
+    inactive_keys: tuple[tuple[str, ...], ...] = ()
+    name_column: str = ""
+    family: str = "SQL"  # TABULAR for files, whose key column is data too; PLATFORM
+    schema: str = ""
 
 
 def attribute_type(t: T.DataType) -> str:
@@ -62,6 +71,81 @@ def table_of(name: str, schema: T.StructType, key: str = "") -> Table:
     return Table(name, tuple(Column(f.name, attribute_type(f.dataType), not f.nullable, f.metadata.get("maxLength"), getattr(f.dataType, "precision", None)) for f in schema), key)
 
 
+# -- catalogues
+
+# Columns that a system keeps itself, which differ by design.
+SYSTEM_NAMES = ("createdon", "modifiedon", "createdby", "modifiedby", "versionnumber", "importsequencenumber", "overriddencreatedon", "timezoneruleversionnumber", "utcconversiontimezonecode")
+
+
+def catalog_of(spark, database: str | None = None, constraints: Iterable[dict] = ()) -> list[Table]:
+    """The tables of a database of the session's catalogue, by name, as discover_catalog() gives them."""
+    return discover_catalog({t.name: spark.table(f"`{t.namespace[0]}`.`{t.name}`" if t.namespace else f"`{t.name}`").schema for t in sorted(spark.catalog.listTables(database), key=lambda t: t.name)}, constraints)
+
+
+def discover_catalog(schemas: dict[str, T.StructType], constraints: Iterable[dict] = ()) -> list[Table]:
+    """Tables from their schemas and constraints, which files don't hold themselves.
+
+    A constraint has table, kind (PRIMARY, UNIQUE or FOREIGN), columns, and ``to`` (the
+    table a FOREIGN one leads to). A key's columns are required.
+    """
+    own = list(constraints)
+    out = []
+    for name, schema in schemas.items():
+        mine = [c for c in own if c["table"].lower() == name.lower()]
+        primary = next((tuple(c["columns"]) for c in mine if c["kind"] == "PRIMARY"), ())
+        base = table_of(name, schema, primary[0] if len(primary) == 1 else "")
+        columns = tuple(replace(c, required=c.required or c.name in primary, targets=tuple(x["to"] for x in mine if x["kind"] == "FOREIGN" and list(x["columns"]) == [c.name])) for c in base.columns)
+        unique = [tuple(c["columns"]) for c in mine if c["kind"] == "UNIQUE"]
+        out.append(replace(base, columns=columns, keys=tuple(([primary] if len(primary) > 1 else []) + unique)))
+    return out
+
+
+def catalog_rows(tables: Iterable[Table]) -> list[tuple[str, int, str, str, bool, bool, bool, str]]:
+    """(table, place, column, type, required, is key, is unique, references) of every column, to keep or join as data."""
+    return [(t.name, i, c.name, c.type, c.required, c.name == t.key, (c.name,) in t.keys, ",".join(c.targets)) for t in tables for i, c in enumerate(t.columns, 1)]
+
+
+def schema_filter(tables: Iterable[Table], schemas: Sequence[str] | None) -> list[Table]:
+    """The tables of the named schemas, whatever their case; of all if none is named."""
+    wanted = {s.lower() for s in schemas or ()}
+    return [t for t in tables if not wanted or t.schema.lower() in wanted]
+
+
+def migratable_columns(table: Table) -> list[str]:
+    """Columns whose values can be carried over.
+
+    No parts of other columns, none without data or that can't be read, no key that only
+    means something in its system. What nothing can write is left out too, unless nothing
+    of the table can be written: a file is read-only, and its flags say nothing.
+    """
+    others = [c for c in table.columns if c.name != table.key and not c.child_of]
+    read_only = not any(c.writable for c in others)
+    return [
+        c.name for c in table.columns
+        if not c.child_of and c.type not in RAW and c.readable and (c.name != table.key or table.family == "TABULAR") and (c.writable or read_only)
+    ]
+
+
+def comparable_columns(table: Table) -> list[str]:
+    """Columns whose differences mean something: no parts of others, none that systems keep themselves."""
+    return [c.name for c in table.columns if not c.child_of and c.name.lower() not in SYSTEM_NAMES]
+
+
+def erd(tables: Sequence[Table]) -> tuple[list[dict], list[dict], list[tuple[str, str, str]]]:
+    """Nodes (table, columns, key, depth below the tables it refers to, cycle), edges (parent, child, column, required, deferred), and references to other tables."""
+    names = {t.name.lower(): t.name for t in tables}
+    links = [(t.name, c.name, to, c.required) for t in tables for c in t.columns for to in c.targets]
+    inside = [(a, c, names[to.lower()], r) for a, c, to, r in links if to.lower() in names]
+    order = load_order([t.name for t in tables], [(a, b, not r) for a, _, b, r in inside])
+    depth: dict[str, int] = {}
+    for name in order.tables:  # parents first, but for what a cycle left open
+        depth[name] = max((depth[b] + 1 for a, _, b, _ in inside if a == name and b != name and b in depth), default=0)
+    cycles = {n: i for i, group in enumerate(order.unresolved + [sorted(p) for p in order.deferred if p[0] != p[1]]) for n in group}
+    nodes = [{"table": t.name, "columns": len(t.columns), "key": t.key, "depth": depth[t.name], "cycle": cycles.get(t.name)} for t in tables]
+    edges = [{"parent": b, "child": a, "column": c, "required": r, "deferred": (a, b) in order.deferred} for a, c, b, r in inside]
+    return sorted(nodes, key=lambda n: (n["depth"], n["table"])), edges, [(a, c, to) for a, c, to, _ in links if to.lower() not in names]
+
+
 # -- names
 
 def bare(name: str) -> str:
@@ -163,6 +247,42 @@ def compatibility(source: Column, target: Column) -> str:
     return "INCOMPATIBLE"
 
 
+# What a number widens to within one kind of system.
+WIDENING = {"Integer": ("BigInt", "Decimal", "Double", "Money"), "BigInt": ("Decimal", "Double"), "Decimal": ("Double", "Money"), "Money": ("Decimal", "Double")}
+
+
+def type_compatibility(source: Column, target: Column) -> tuple[bool, bool]:
+    """(compatible, lossy) of two columns of one kind of system, by their types alone."""
+    s, t = source.type, target.type
+    if s in REFERENCES and t in REFERENCES:
+        missing = set(source.targets) - set(target.targets)
+        if source.targets and missing == set(source.targets):
+            return False, False
+        return True, bool(missing) or (s == "Customer" and t != "Customer")
+    if s == t:
+        return True, False
+    if s in TEXT and t in TEXT:
+        return True, s == "Memo"
+    if s in NUMBERS and t in NUMBERS:
+        return True, t not in WIDENING.get(s, ())
+    return False, False
+
+
+def field_verdict(source: Column | None, target: Column | None, cross: bool = False) -> str:
+    """COMPATIBLE, LOSSY, INCOMPATIBLE or, between kinds of systems (``cross``), also CONVERSION_REQUIRED."""
+    if source is None or target is None:
+        return "INCOMPATIBLE"
+    if cross:
+        return compatibility(source, target)
+    fits, lossy = type_compatibility(source, target)
+    return "INCOMPATIBLE" if not fits else "LOSSY" if lossy else "COMPATIBLE"
+
+
+def needs_choice_map(source: Column, target: Column | None, cross: bool = False) -> bool:
+    """Whether values have to be paired with a choice's options before a load."""
+    return target is not None and target.type in {"Picklist", "State", "Status"} and (source.type != target.type or cross)
+
+
 def schema_diff(source: Iterable[Table], target: Iterable[Table]) -> list[dict]:
     """A row for each table and column: MATCH, SOURCE_ONLY, TARGET_ONLY, DIFFERENT or INCOMPATIBLE, what differs, and whether it breaks a load."""
     out = []
@@ -178,7 +298,7 @@ def schema_diff(source: Iterable[Table], target: Iterable[Table]) -> list[dict]:
             if not (p and q):
                 out.append({"table": name, "column": column, "status": "SOURCE_ONLY" if p else "TARGET_ONLY", "properties": "", "breaking": bool(q and q.required)})
                 continue
-            differs = [n for n in ("type", "required", "max_length", "precision", "targets", "options") if getattr(p, n) != getattr(q, n)]
+            differs = [n for n in ("type", "required", "max_length", "precision", "targets", "options", "behavior") if getattr(p, n) != getattr(q, n)]
             verdict = compatibility(p, q)
             status = "INCOMPATIBLE" if verdict == "INCOMPATIBLE" else "DIFFERENT" if differs else "MATCH"
             out.append({"table": name, "column": column, "status": status, "properties": ",".join(differs), "breaking": status == "INCOMPATIBLE" or verdict == "LOSSY" or q.required and not p.required})
@@ -209,32 +329,36 @@ def auto_map(source: Table, target: Table) -> list[dict]:
     return out
 
 
-def plan_issues(source: Table | None, target: Table | None, mapping: Sequence[dict], strategy: str = "UPSERT", match: str = "PRIMARY_ID", business_key: Sequence[str] = (), target_rows: int = 0, source_rows: int = 1) -> list[tuple[str, str]]:
-    """(code, severity) of what stands in the way of a load, or should be known before it."""
-    if source is None:
-        return [("TABLE_MISSING_IN_SOURCE", "BLOCKER")]
-    if target is None:
-        return [("TABLE_MISSING_IN_TARGET", "BLOCKER")]
-    out = []
-    mapped = {m["target"]: m["source"] for m in mapping if m.get("target")}
-    by_name = {c.name: c for c in source.columns}
-    out += [("REQUIRED_TARGET_COLUMN_UNMAPPED", "BLOCKER") for c in target.columns if c.required and c.writable and c.name not in mapped and c.name != target.key]
-    out += [("LOSSY_CONVERSION", "WARNING") for c in target.columns if c.name in mapped and compatibility(by_name[mapped[c.name]], c) == "LOSSY"]
-    out += [("INCOMPATIBLE_COLUMN", "WARNING") for m in mapping if m["status"] == "INCOMPATIBLE"]
-    if any(m["status"] == "UNMAPPED" for m in mapping):
-        out.append(("UNMAPPED_COLUMNS", "INFO"))
-    if match == "BUSINESS_KEY":
-        if not business_key:
-            out.append(("BUSINESS_KEY_NOT_CONFIGURED", "BLOCKER"))
-        elif not set(business_key) <= mapped.keys():
-            out.append(("BUSINESS_KEY_UNMAPPED", "BLOCKER"))
-    if strategy == "CREATE_ONLY" and target_rows:
-        out.append(("TARGET_HAS_DATA_CREATE_ONLY", "WARNING"))
-    if not source_rows:
-        out.append(("SOURCE_EMPTY", "INFO"))
-    if strategy in ("UPSERT", "SYNC"):
-        out.append(("UPSERT_OVERWRITES", "WARNING") if strategy == "UPSERT" else ("SYNC_STRATEGY", "INFO"))
-    return out
+# Common names of tables in older systems, and what they are called elsewhere.
+SYNONYMS = {
+    "customer": ("account", "contact"), "client": ("account",), "company": ("account",), "organisation": ("account",), "organization": ("account",),
+    "person": ("contact",), "people": ("contact",), "contact": ("contact",), "order": ("salesorder",), "salesorder": ("salesorder",),
+    "orderline": ("salesorderdetail",), "orderdetail": ("salesorderdetail",), "product": ("product",), "item": ("product",), "territory": ("territory",), "region": ("territory",),
+}
+LEAST_CANDIDATE, SYNONYM_SCORE, CANDIDATES = 55, 80, 5
+
+
+def object_map(source: str, targets: Sequence[str]) -> tuple[str, list[tuple[str, int]]]:
+    """(status, candidates with their confidence in per cent): EXACT, AUTO_SUGGESTED or UNMAPPED; the best five, ties by name."""
+    if source in targets:
+        return "EXACT", [(source, 100)]
+    own, known = singular(source), SYNONYMS.get(singular(source), ())
+    scored = [(t, max(int(table_similarity(source, t) * 100 + 0.5), SYNONYM_SCORE if t in known or singular(t) in known else 0)) for t in targets]
+    best = sorted((s for s in scored if s[1] >= LEAST_CANDIDATE), key=lambda s: (-s[1], s[0]))[:CANDIDATES]
+    return ("AUTO_SUGGESTED" if best and own else "UNMAPPED"), best
+
+
+def suggest_comparison(left: Table, right: Table) -> dict:
+    """What to compare two tables by: key (pairs; none if no column is unique on both sides), fields, and why."""
+    unique = lambda t, c: c == t.key or (c,) in t.keys
+    other = {bare(c.name): c.name for c in right.columns}
+    keys = sorted((c.name != left.key, i, c.name) for i, c in enumerate(left.columns) if bare(c.name) in other and unique(left, c.name) and unique(right, other[bare(c.name)]))
+    key = [(keys[0][2], other[bare(keys[0][2])])] if keys else []
+    only = lambda t: replace(t, columns=tuple(c for c in t.columns if c.name in comparable_columns(t)))
+    used = {x for pair in key for x in pair}
+    fields = [(a, b) for a, b, _ in pair_fields(only(left), only(right)) if not {a, b} & used]
+    why = f"Matching on {key[0][0]}, comparing {len(fields)} column(s)." if key else "No column on both sides is guaranteed unique, so choose the one that identifies a record."
+    return {"left": left.name, "right": right.name, "key": key, "fields": fields, "rationale": why}
 
 
 # -- load order
