@@ -20,9 +20,10 @@ from .operators import compare, findings, infer, match, profile, relate, rules,
 from .operators import transform as tr
 from .operators.rules import Rule
 from .operators.transform import Step
-from .plans import cron, migrate
+from .plans import cron, issues, migrate, sheets
 from .plans import metadata as md
-from .session import ship_package, work_table
+from .session import ship_package, work_folder, work_table
+from .sources import files
 from .sources import tables as src
 from .streaming import incremental
 
@@ -46,6 +47,8 @@ UNION ALL SELECT o_orderkey, o_orderstatus, o_orderpriority, o_custkey FROM {ord
 UNION ALL SELECT o_orderkey + 100000000, o_orderstatus, o_orderpriority, o_custkey FROM {orders} WHERE o_orderkey % 400 = 1""",
     "old_customer": "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS title, CASE WHEN c_custkey % 10 = 0 THEN 'OTHER' ELSE c_mktsegment END AS segment FROM {customer} WHERE c_custkey % 4 <> 0",
     "some_customer": "SELECT * FROM {customer} WHERE c_custkey % 100 <> 0",
+    "coded_orders": "SELECT o_orderkey AS order_id, o_custkey AS customer_no, o_orderstatus AS status, CASE WHEN o_orderkey % 500 = 0 THEN 'REF-0' ELSE concat('REF-', CAST(o_orderkey AS STRING)) END AS order_ref, CAST(NULL AS STRING) AS spare FROM {orders}",
+    "no_region": "SELECT * FROM {region} WHERE r_regionkey < 0",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,10 +208,13 @@ def _(t):
     return profile.profile(t.orders, "orders", ["o_orderkey"], sample=100, order_by="o_orderkey").select("field", "examined", "basis", "min_number", "max_number")
 
 
-@query("analysis_totals", """SELECT count(*) AS tables, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM nation UNION ALL SELECT count(*) FROM region UNION ALL SELECT count(*) FROM supplier)""")
+@query("analysis_totals", "SELECT 4 AS tables, 14 AS columns, (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM {coded_orders} t) AS examined, 1 AS empty_tables, 1 AS unused_columns")
 def _(t):
-    parts = [x.agg(F.count("*").alias("n")) for x in (t.nation, t.region, t.supplier)]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).agg(F.count("*").alias("tables"), F.sum("n").alias("rows"))
+    parts = [profile.profile(getattr(t, n), n) for n in ("nation", "supplier", "no_region", "coded_orders")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return profile.analysis_totals(out).select("tables", "columns", "examined", "empty_tables", "unused_columns")
 
 
 # -- rules: one query each
@@ -260,21 +266,23 @@ def _(t):
     return infer.infer_types(c).select("field", "type")
 
 
-@query("semantic_type", "SELECT * FROM (VALUES ('mail', 'EMAIL', 'HIGH'), ('site', 'URL', 'HIGH'), ('price', 'CURRENCY', 'HIGH'), ('rate', 'PERCENTAGE', 'HIGH'), ('call', 'PHONE', 'MEDIUM'), ('code', 'IDENTIFIER', 'MEDIUM'), ('c_mktsegment', 'CATEGORICAL', 'MEDIUM'), ('start_date', 'EXCEL_SERIAL_DATE', 'HIGH'), ('empty', 'EMPTY', 'HIGH'), ('name', NULL, NULL)) v(field, semantic, confidence)")
+@query("semantic_type", "SELECT * FROM (VALUES ('mail', 'EMAIL', 'HIGH'), ('site', 'URL', 'HIGH'), ('price', 'CURRENCY', 'HIGH'), ('rate', 'PERCENTAGE', 'HIGH'), ('call', 'PHONE', 'MEDIUM'), ('code', 'IDENTIFIER', 'HIGH'), ('c_mktsegment', 'CATEGORICAL', 'HIGH'), ('start_date', 'EXCEL_SERIAL_DATE', 'HIGH'), ('empty', 'EMPTY', 'HIGH'), ('name', NULL, NULL)) v(field, semantic, confidence)")
 def _(t):
     k = F.col("c_custkey").cast("string")
     c = t.dirty_customer.select(F.concat(k, F.lit("@a.example")).alias("mail"), F.concat(F.lit("https://a.example/"), k).alias("site"), F.concat(F.lit("$"), k, F.lit(".10")).alias("price"), F.concat((F.col("c_custkey") % 90).cast("string"), F.lit("%")).alias("rate"), F.concat(F.lit("+1 555 "), F.lpad(k, 7, "0")).alias("call"), "code", "c_mktsegment", (F.col("c_custkey") % 1000 + 40000).cast("string").alias("start_date"), F.lit("").alias("empty"), "name")
     return infer.semantic_types(c, c.columns).select("field", "semantic", "confidence")
 
 
-@query("candidate_keys", "SELECT 'customer' AS table_name, 'c_custkey' AS field UNION ALL SELECT 'nation', 'n_nationkey' UNION ALL SELECT 'region', 'r_regionkey'")
+# Fixed value: the pattern of names like keys, for the other engine.
+_KEY_NAME = "'(?i)(^|[^a-z])(id|key|code|no|num|number|ref|reference|sku|guid|uuid|account|barcode|isbn|ean)([^a-z]|\\z)'"
+_KEYED = {"dirty_customer": ("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal", "name", "email", "amount", "code", "flag", "born", "phone"), "coded_orders": ("order_id", "customer_no", "status", "order_ref", "spare")}
+
+
+@query("candidate_keys", " UNION ALL ".join(f"SELECT '{n}' AS table_name, '{c}' AS field FROM {{{n}}} t HAVING regexp_matches('{c}', {_KEY_NAME}) AND count(*) > 0 AND count(DISTINCT {c}) = count(*) AND count(*) FILTER (CAST({c} AS VARCHAR) = '') = 0" for n, columns in _KEYED.items() for c in columns))
 def _(t):
     out = None
-    for name in ("customer", "nation", "region"):
-        df = getattr(t, name)
-        own = profile.profile(df.select(*[F.col(c).cast("string").alias(c) for c in df.columns if not c.endswith("nationkey") or name == "nation"][:1]), name)
-        keyed = own.withColumn("field_", F.regexp_replace("field", "key$", "_key")).drop("field").withColumnRenamed("field_", "field")
-        found = findings.candidate_keys(keyed).select("table_name", F.regexp_replace("field", "_key$", "key").alias("field"))
+    for name in _KEYED:
+        found = findings.candidate_keys(profile.profile(getattr(t, name), name))
         out = found if out is None else out.unionAll(found)
     return out
 
@@ -286,7 +294,7 @@ def _(t):
 
 @query("boolean_word", "SELECT flag, lower(flag) IN ('true', 'false', 'yes', 'no', 'y', 'n', 't', 'f', 'on', 'off') AS word, count(*) AS n FROM {dirty_customer} t GROUP BY 1, 2")
 def _(t):
-    return t.dirty_customer.groupBy("flag", F.lower("flag").isin(tx.BOOLEAN_WORDS).alias("word")).agg(F.count("*").alias("n"))
+    return t.dirty_customer.groupBy("flag", tx.is_boolean_word(F.col("flag")).alias("word")).agg(F.count("*").alias("n"))
 
 
 @query("looks_like_currency", "SELECT count(*) FILTER (amount LIKE '$%') AS money FROM {dirty_customer} t")
@@ -301,6 +309,11 @@ def _(t):
     return own.groupBy(tx.currency_marker(c).alias("marker"), tx.decimal_separator(c).alias("separator"), tx.decimal_places(c).alias("places")).agg(F.count("*").alias("n"))
 
 
+@query("excel_serial_to_instant", "SELECT o_orderkey, TIMESTAMP '1899-12-30 00:00:00' + INTERVAL 1 DAY * CAST(40000 + o_orderkey % 5000 AS INTEGER) + INTERVAL 6 HOUR * CAST(o_orderkey % 4 AS INTEGER) AS at FROM orders")
+def _(t):
+    return t.orders.select("o_orderkey", tx.excel_serial_to_instant((F.lit(40000) + F.col("o_orderkey") % 5000 + (F.col("o_orderkey") % 4) * F.lit(0.25)).cast("string")).alias("at"))
+
+
 @query("excel_serial_to_date", "SELECT o_orderkey, CAST(DATE '1899-12-30' + CAST(40000 + o_orderkey % 5000 AS INTEGER) AS DATE) AS day FROM orders")
 def _(t):
     return t.orders.select("o_orderkey", tx.excel_serial_to_date((F.lit(40000) + F.col("o_orderkey") % 5000).cast("string")).alias("day"))
@@ -392,6 +405,25 @@ def _(t):
     return t.dirty_customer.groupBy(tr.target_constraints(F.col("name"), 18, True).alias("error_code")).agg(F.count("*").alias("n"))
 
 
+@query("t_target_convert", f"""SELECT c_custkey, CASE WHEN amount IS NULL OR ({_number('amount')}) IS NULL OR floor({_number('amount')}) <> ({_number('amount')}) THEN NULL ELSE CAST(CAST({_number('amount')} AS BIGINT) AS VARCHAR) END AS value,
+CASE WHEN amount IS NULL THEN NULL WHEN amount = 'n/a' THEN 'VALUE_MAP_MISSING' WHEN ({_number('amount')}) IS NULL THEN 'INVALID_NUMBER' WHEN floor({_number('amount')}) <> ({_number('amount')}) THEN 'TRANSFORMATION_FAILED' END AS error_code FROM {{dirty_customer}} t""")
+def _(t):
+    refuse = Step("IF_THEN", {"op": "EQUALS", "expected": "n/a", "then": "APPLY", "steps": [Step("VALUE_MAP", {"entries": {}, "unmapped": "BLOCK"})]})
+    out = tr.convert_to_target(tr.apply(t.dirty_customer, "amount", [Step("TRIM"), refuse]), "Integer")
+    return out.select("c_custkey", F.col("result.value").alias("value"), F.col("result.error_code").alias("error_code"))
+
+
+@query("t_sheet_roundtrip", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'yes' WHEN lower(flag) IN ('y', 'yes') THEN '1' WHEN flag = 'no' THEN '0' ELSE '?' END || '-end' AS value FROM {dirty_customer} t")
+def _(t):
+    steps = [
+        Step("VALUE_MAP", {"entries": {"Y": "1", "yes": "1", "no": "0"}, "unmapped": "DEFAULT", "default": "?"}), Step("SUBSTRING", {"start": 0, "length": 4}),
+        Step("IF_THEN", {"column": "c_mktsegment", "op": "EQUALS", "expected": "building", "then": "APPLY", "steps": [Step("CONSTANT", {"value": "YES"}), Step("LOWERCASE")]}), Step("SUFFIX", {"text": "-end"}),
+    ]
+    read = tr.from_sheets(*tr.to_sheets({("customer", "flag"): steps, ("customer", "name"): []}))
+    assert read == {("customer", "flag"): steps, ("customer", "name"): []}
+    return tr.apply(t.dirty_customer, "flag", read["customer", "flag"]).select("c_custkey", F.col("result.value").alias("value"))
+
+
 @query("transform_metrics", "SELECT count(*) AS rows, count(*) FILTER (lower(left(name, 12)) <> name) AS changed, count(*) FILTER (length(name) > 12) AS lossy, 0 AS nulls, 0 AS failures FROM {dirty_customer} t")
 def _(t):
     return tr.metrics(tr.apply(t.dirty_customer, "name", [Step("LOWERCASE"), Step("TRUNCATE", {"length": 12})]))
@@ -480,18 +512,19 @@ def _(t):
 
 @query("differences_by_type", _SIDES + "SELECT verdict AS type, count(*) AS n FROM v WHERE verdict <> 'MATCHED' GROUP BY 1")
 def _(t):
-    return compare.differences(_pairs(t)).groupBy("type").agg(F.count("*").alias("n"))
+    return compare.differences_by_type(_pairs(t)).withColumnRenamed("records", "n")
 
 
-@query("compare_datasets", "SELECT * FROM (VALUES ('ROW_COUNT', 'WARNING'), ('RECORD_EXISTENCE', 'FAIL'), ('FIELD_VALUES', 'FAIL')) v(check_name, outcome)")
+@query("compare_datasets", "SELECT * FROM (VALUES ('SCHEMA', 'WARNING'), ('ROW_COUNT', 'WARNING'), ('RECORD_EXISTENCE', 'FAIL'), ('FIELD_VALUES', 'FAIL')) v(check_name, outcome)")
 def _(t):
-    return compare.checks(_pairs(t), 2)
+    same = lambda c: compare.Field(c, c)
+    return compare.compare_datasets(t.orders, t.changed_orders, [("o_orderkey", "o_orderkey")], [same("o_orderstatus"), same("o_orderpriority"), same("o_totalprice")])
 
 
-@query("set_reconcile", "SELECT side, count(*) AS n FROM (SELECT 'LEFT' AS side, * FROM (SELECT o_orderkey, o_orderstatus FROM orders EXCEPT ALL SELECT o_orderkey, o_orderstatus FROM {changed_orders} t) UNION ALL SELECT 'RIGHT', * FROM (SELECT o_orderkey, o_orderstatus FROM {changed_orders} t EXCEPT ALL SELECT o_orderkey, o_orderstatus FROM orders)) GROUP BY 1")
+@query("set_reconcile", "SELECT side, count(*) AS n FROM (SELECT 'ONLY_IN_LEFT' AS side, * FROM (SELECT o_orderkey, o_orderstatus FROM orders EXCEPT ALL SELECT o_orderkey, o_orderstatus FROM {changed_orders} t) UNION ALL SELECT 'ONLY_IN_RIGHT', * FROM (SELECT o_orderkey, o_orderstatus FROM {changed_orders} t EXCEPT ALL SELECT o_orderkey, o_orderstatus FROM orders)) GROUP BY 1")
 def _(t):
-    a, b = t.orders.select("o_orderkey", "o_orderstatus"), t.changed_orders.select("o_orderkey", "o_orderstatus")
-    return a.exceptAll(b).select(F.lit("LEFT").alias("side")).unionAll(b.exceptAll(a).select(F.lit("RIGHT").alias("side"))).groupBy("side").agg(F.count("*").alias("n"))
+    out = compare.set_reconcile(t.orders.select("o_orderkey", "o_orderstatus"), t.changed_orders.select("o_orderkey", "o_orderstatus"))
+    return out.groupBy("side").agg(F.sum("rows").alias("n"))
 
 
 # -- matching and deciding
@@ -506,7 +539,7 @@ def _(t):
     return match.by_key(t.customer, t.old_customer, "c_custkey", "id", ["c_name"], ["title"], business=False)
 
 
-_BUSINESS = f"""WITH s AS (SELECT c_custkey AS source_id, CASE WHEN NOT {_blank('email')} THEN c_mktsegment END AS k FROM {{dirty_customer}} t WHERE c_custkey <= 40), n AS (SELECT k, count(*) AS c FROM (SELECT segment AS k FROM {{old_customer}} t WHERE id < 30) GROUP BY 1),
+_BUSINESS = f"""WITH s AS (SELECT c_custkey AS source_id, CASE WHEN NOT {_blank('email')} THEN c_mktsegment END AS k FROM {{dirty_customer}} t), n AS (SELECT k, count(*) AS c FROM (SELECT segment AS k FROM {{old_customer}} t) GROUP BY 1),
 m AS (SELECT source_id, s.k, row_number() OVER (PARTITION BY s.k ORDER BY source_id) AS seen, c FROM s LEFT JOIN n ON s.k = n.k) """
 
 
@@ -519,8 +552,8 @@ SELECT source_id, CASE WHEN conflict IS NULL THEN id END AS target_id, conflict
 
 @query("match_business_key", _BUSINESS + "SELECT CASE WHEN k IS NULL THEN 'BUSINESS_KEY_INCOMPLETE' WHEN seen > 1 THEN 'DUPLICATE_SOURCE_KEY' WHEN c > 1 THEN 'AMBIGUOUS_TARGET_MATCH' END AS conflict, count(*) AS n FROM m GROUP BY 1")
 def _(t):
-    s = t.dirty_customer.where("c_custkey <= 40").withColumn("segment", F.when(~tx.is_blank(F.col("email")), F.col("c_mktsegment")))
-    return match.by_key(s, t.old_customer.where("id < 30"), "c_custkey", "id", ["segment"], ["segment"]).groupBy("conflict").agg(F.count("*").alias("n"))
+    s = t.dirty_customer.withColumn("segment", F.when(~tx.is_blank(F.col("email")), F.col("c_mktsegment")))
+    return match.by_key(s, t.old_customer, "c_custkey", "id", ["segment"], ["segment"]).groupBy("conflict").agg(F.count("*").alias("n"))
 
 
 @query("J5_business_key", _BUSINESS_WHOLE)
@@ -532,7 +565,7 @@ def _(t):
 @query("first_claim", "SELECT id, source_id FROM (SELECT c_nationkey AS id, c_custkey AS source_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer) WHERE r = 1")
 def _(t):
     m = t.customer.select(F.col("c_custkey").alias("source_id"), F.col("c_nationkey").alias("target_id"), F.lit(None).cast("string").alias("conflict"))
-    return match._with_claims(m).where("target_id is not null").select(F.col("target_id").alias("id"), "source_id")
+    return match.with_claims(m).where("target_id is not null").select(F.col("target_id").alias("id"), "source_id")
 
 
 @query("seen_key", "SELECT count(*) - count(DISTINCT lower(c_mktsegment)) AS late FROM customer")
@@ -578,11 +611,17 @@ def _(t):
     return _acts(t, "SYNC").where("changes is not null").select("source_id", "changes")
 
 
-@query("principal_match", "SELECT c_custkey AS source_id, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey END AS target_id, CASE WHEN c_custkey % 4 <> 0 THEN 'title' END AS tier FROM customer")
+@query("principal_match", "SELECT c_custkey AS source_id, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey END AS target_id, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 'email' ELSE 'title' END AS tier, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 90 ELSE 70 END AS confidence FROM customer")
+def _(t):
+    mail = lambda c: F.concat(F.lower(c), F.lit("@example.com"))
+    s = t.customer.select(F.col("c_custkey").alias("sid"), mail("c_name").alias("email"), F.col("c_name").alias("title"))
+    u = t.old_customer.select(F.col("id").alias("tid"), F.when(F.col("id") % 3 == 0, F.upper(mail("title"))).alias("email"), "title")
+    return match.principals(s, u, [("email", 90), ("title", 70)], "sid", "tid").select("source_id", "target_id", "tier", "confidence")
+
+
+@query("filter_differences", _SIDES + "SELECT key, type FROM (SELECT CAST(k AS VARCHAR) AS key, verdict AS type FROM v WHERE verdict = 'ONLY_IN_LEFT') WHERE key > '2' ORDER BY key LIMIT 30")
 def _(t):
-    s = t.customer.select(F.col("c_custkey").alias("sid"), F.concat(F.lit("no-"), F.col("c_name")).alias("email"), F.col("c_name").alias("title"))
-    u = t.old_customer.select(F.col("id").alias("tid"), F.lit("x").alias("email"), "title")
-    return match.principals(s, u, [("email", 90), ("title", 70)], "sid", "tid").select("source_id", "target_id", "tier")
+    return compare.filter_differences(compare.differences(_pairs(t)), "ONLY_IN_LEFT", after=("2", "ONLY_IN_LEFT", ""), most=30).select("key", "type")
 
 
 @query("resume_anti_join", "SELECT count(*) AS left_over FROM customer WHERE c_custkey % 4 = 0")
@@ -593,10 +632,22 @@ def _(t):
 
 # -- validation
 
-@query("validate", "SELECT * FROM (SELECT 'ROW_COUNT' AS check_name, 'FAIL' AS outcome, (SELECT count(*) FROM customer) - (SELECT count(*) FROM {old_customer} t) AS affected UNION ALL SELECT 'RECORD_EXISTENCE', 'FAIL', (SELECT count(*) FROM customer WHERE c_custkey % 4 = 0) UNION ALL SELECT 'FIELD_VALUES', 'FAIL', (SELECT count(*) FROM customer c JOIN {old_customer} o ON c.c_custkey = o.id WHERE c.c_name <> o.title) UNION ALL SELECT 'UNIQUENESS', 'PASS', 0)")
+@query("validate", """SELECT 'ROW_COUNT' AS check_name, 'FAIL' AS outcome, (SELECT count(*) FROM customer) - (SELECT count(*) FROM {old_customer} t) AS affected UNION ALL SELECT 'RECORD_EXISTENCE', 'FAIL', (SELECT count(*) FROM customer WHERE c_custkey % 4 = 0) UNION ALL SELECT 'FIELD_VALUES', 'FAIL', (SELECT count(*) FROM customer c JOIN {old_customer} o ON c.c_custkey = o.id WHERE c.c_name <> o.title)
+UNION ALL SELECT 'REFERENCES', 'FAIL', (SELECT count(*) FROM {old_customer} t WHERE id % 10 = 0) UNION ALL SELECT 'UNIQUENESS', 'PASS', 0 UNION ALL SELECT 'AGGREGATES', 'FAIL', 2 + CAST((SELECT min(c_custkey) FROM customer) <> (SELECT min(id) FROM {old_customer} t) AS INTEGER) + CAST((SELECT max(c_custkey) FROM customer) <> (SELECT max(id) FROM {old_customer} t) AS INTEGER) UNION ALL SELECT 'SCHEMA', 'WARNING', 8""")
 def _(t):
     mapping = t.customer.select(F.col("c_custkey").alias("source_id"), F.col("c_custkey").alias("target_id"))
-    return validate.validate(t.customer, t.old_customer, mapping, "c_custkey", "id", [("c_name", "title", None)], unique=["id"])
+    schemas = md.table_of("customer", t.customer.schema), md.table_of("old_customer", t.old_customer.schema)
+    return validate.validate(t.customer, t.old_customer, mapping, "c_custkey", "id", [("c_name", "title", None)], [("id", t.customer.where("c_custkey % 10 <> 0"), "c_custkey")], ["id"], [("c_custkey", "id")], schemas)
+
+
+@query("compare_records", """WITH b AS (SELECT c_custkey, c_custkey % 4 = 0 AS gone, c_custkey % 5 = 0 AS old, c_name AS n, o.title AS t, c_mktsegment AS s, o.segment AS g FROM customer c LEFT JOIN {old_customer} o ON c.c_custkey = o.id)
+SELECT c_custkey AS source_id, NULL AS field, 'MISSING_IN_TARGET' AS type, 'FAIL' AS outcome FROM b WHERE gone UNION ALL SELECT c_custkey, 'title', CASE WHEN old THEN 'PRE_EXISTING_DIFFERENCE' ELSE 'VALUE_MISMATCH' END, CASE WHEN old THEN 'WARNING' ELSE 'FAIL' END FROM b WHERE NOT gone AND upper(n) <> t
+UNION ALL SELECT c_custkey, 'segment', 'NOT_COMPARABLE', 'INCOMPLETE' FROM b WHERE NOT gone AND s = 'BUILDING' UNION ALL SELECT c_custkey, 'segment', CASE WHEN old THEN 'PRE_EXISTING_DIFFERENCE' ELSE 'VALUE_MISMATCH' END, CASE WHEN old THEN 'WARNING' ELSE 'FAIL' END FROM b WHERE NOT gone AND s <> 'BUILDING' AND s <> g""")
+def _(t):
+    k = F.col("c_custkey")
+    mapping = t.customer.select(k.alias("source_id"), k.alias("target_id"), F.when(k % 5 == 0, "SKIPPED").otherwise("UPDATED").alias("outcome"))
+    known = {"entries": {s: s for s in ("AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY")}, "unmapped": "BLOCK"}
+    return validate.compare_records(t.customer, t.old_customer, mapping, "c_custkey", "id", [("c_name", "title", None), ("c_mktsegment", "segment", None)], {"c_name": [Step("UPPERCASE")], "c_mktsegment": [Step("VALUE_MAP", known)]})
 
 
 @query("agg_reconcile", "WITH a AS (SELECT CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders), b AS (SELECT CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders WHERE o_orderkey % 50 <> 0) SELECT m AS measure, CASE WHEN x = y THEN 'PASS' ELSE 'FAIL' END AS outcome FROM (SELECT 'COUNT' AS m, CAST((SELECT count(*) FROM a) AS VARCHAR) AS x, CAST((SELECT count(*) FROM b) AS VARCHAR) AS y UNION ALL SELECT 'TOTAL', CAST((SELECT sum(v) FROM a) AS VARCHAR), CAST((SELECT sum(v) FROM b) AS VARCHAR) UNION ALL SELECT 'LOWEST', CAST((SELECT min(v) FROM a) AS VARCHAR), CAST((SELECT min(v) FROM b) AS VARCHAR) UNION ALL SELECT 'HIGHEST', CAST((SELECT max(v) FROM a) AS VARCHAR), CAST((SELECT max(v) FROM b) AS VARCHAR))")
@@ -627,9 +678,7 @@ def _(t):
 
 @query("J13_schema_full_join", "SELECT coalesce(a.n, b.n) AS column_name, a.n IS NOT NULL AS in_source, b.n IS NOT NULL AS in_target FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS n) a FULL JOIN (SELECT unnest(['o_orderkey', 'o_orderstatus', 'o_orderpriority', 'o_custkey']) AS n) b ON a.n = b.n")
 def _(t):
-    rows = lambda df, side: t.spark.createDataFrame(md.field_rows([md.table_of("orders", df.schema)]), "table_name string, column_name string, type string").select("table_name", "column_name", F.lit(True).alias(side))
-    both = rows(t.orders, "a").join(rows(t.changed_orders, "b"), ["table_name", "column_name"], "full")
-    return both.select("column_name", F.col("a").isNotNull().alias("in_source"), F.col("b").isNotNull().alias("in_target"))
+    return sheets.join_schemas(t.spark, [md.table_of("orders", t.orders.schema)], [md.table_of("orders", t.changed_orders.schema)]).select("column_name", "in_source", "in_target")
 
 
 @query("outcome_counts", "SELECT o_orderpriority AS table_name, count(*) FILTER (o_orderstatus = 'O') AS created, count(*) FILTER (o_orderstatus = 'F') AS updated, count(*) FILTER (o_orderstatus = 'P') AS failed, count(*) FILTER (o_orderstatus IN ('O', 'F')) AS written, count(*) AS accounted FROM orders GROUP BY 1")
@@ -639,9 +688,12 @@ def _(t):
     return validate.outcome_counts(r).select("table_name", "created", "updated", "failed", "written", "accounted")
 
 
-@query("attempt_metrics", "SELECT event_type AS attempt, count(*) AS records, min(ts) AS first_at, max(ts) AS last_at, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+@query("attempt_metrics", """WITH r AS (SELECT user_id % 3 AS attempt, CASE event_id % 4 WHEN 0 THEN 'CREATED' WHEN 1 THEN 'UPDATED' WHEN 2 THEN 'FAILED' ELSE 'UNCHANGED' END AS outcome, ts, user_id FROM events)
+SELECT attempt, count(*) FILTER (outcome = 'CREATED') AS created, count(*) FILTER (outcome = 'UPDATED') AS updated, count(*) FILTER (outcome = 'UNCHANGED') AS unchanged, 0 AS skipped, count(*) FILTER (outcome = 'FAILED') AS failed, 0 AS unresolved, min(ts) AS first_at, max(ts) AS last_at, CASE WHEN attempt > 0 THEN count(DISTINCT user_id) FILTER (outcome = 'FAILED') END AS problem_records FROM r GROUP BY 1""")
 def _(t):
-    return t.events.groupBy(F.col("event_type").alias("attempt")).agg(F.count("*").alias("records"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.count_distinct("user_id").alias("users"))
+    m = F.col("event_id") % 4
+    r = t.events.select((F.col("user_id") % 3).alias("attempt"), F.when(m == 0, "CREATED").when(m == 1, "UPDATED").when(m == 2, "FAILED").otherwise("UNCHANGED").alias("outcome"), F.col("ts").alias("updated_at"), F.col("user_id").alias("source_id"))
+    return runs.attempt_metrics(r, r.where("outcome = 'FAILED' and attempt > 0"))
 
 
 @query("value_frequency", "SELECT p_brand AS value, count(*) AS count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200")
@@ -655,22 +707,102 @@ def _(t):
     return g.select("priority", validate.coverage_percent(F.col("x"), F.col("n")).alias("percent"))
 
 
+@query("coverage_mode", "SELECT 'NOT_VERIFIED' AS mode, count(*) AS eligible, count(*) FILTER (o_orderpriority = '1-URGENT' OR (o_orderpriority = '2-HIGH' AND o_orderkey % 3 = 0)) AS examined, CASE WHEN p = 0 THEN 0.1 ELSE p END AS percent FROM (SELECT *, floor(count(*) FILTER (o_orderpriority = '1-URGENT' OR (o_orderpriority = '2-HIGH' AND o_orderkey % 3 = 0)) OVER () * 1000.0 / count(*) OVER () + 0.5) / 10.0 AS p FROM orders) GROUP BY p")
+def _(t):
+    p, k = F.col("o_orderpriority"), F.col("o_orderkey")
+    g = t.orders.groupBy(p).agg(F.count("*").alias("eligible"), F.count_if((p == "1-URGENT") | ((p == "2-HIGH") & (k % 3 == 0))).alias("examined"))
+    return validate.combined_coverage(g.withColumn("mode", validate.coverage_mode(F.col("examined"), F.col("eligible"))))
+
+
 # -- findings
 
-@query("findings_table")
+_READ = {"name": "text", "email": "text", "amount": "number", "code": "text", "born": "datetime", "flag": "text", "phone": "text"}
+
+
+def _fact_sql(f: str, reads: str) -> str:
+    """A row of what the rules of findings() ask about one text column of dirty_customer."""
+    v = _trim(f)
+    shape = f"CASE WHEN {v} IS NULL OR {v} = '' THEN 'BLANK' WHEN regexp_matches({v}, '^-?\\d+(\\.\\d+)?\\z') THEN 'NUMBER' WHEN regexp_matches({v}, '^\\$\\d+(\\.\\d+)?\\z') THEN 'CURRENCY' WHEN lower({v}) IN ('true', 'false', 'yes', 'no', 'y', 'n', 't', 'f', 'on', 'off') THEN 'BOOLEAN' WHEN regexp_matches({v}, '^\\d{{1,2}}[/-]\\d{{1,2}}[/-]\\d{{2,4}}\\z') OR (regexp_matches({v}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}\\z') AND TRY_CAST({v} AS DATE) IS NOT NULL) THEN 'DATE' ELSE 'TEXT' END"
+    bad = {"number": f"NOT regexp_matches({v}, {_NUM})", "datetime": f"(NOT regexp_matches({v}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}\\z') OR TRY_CAST({v} AS DATE) IS NULL)"}.get(reads, "false")
+    return f"""SELECT '{f}' AS field, count(*) AS examined, count(*) FILTER (v IS NULL OR v = '') AS empty, count(*) FILTER (v <> '' AND v <> raw) AS spaced, count(DISTINCT raw) AS distinct_count, count(raw) - count(DISTINCT raw) AS duplicate_count, count(*) FILTER (bad) AS invalid,
+max(length(raw)) AS longest, floor(avg(length(raw)) * 10 + 0.5) / 10 AS usual, count(*) FILTER (shape = 'NUMBER') AS numbers, count(*) FILTER (shape = 'CURRENCY') AS money, count(*) FILTER (shape = 'BOOLEAN') AS booleans, count(*) FILTER (shape = 'DATE') AS dates, count(*) FILTER (shape = 'TEXT') AS texts, count(DISTINCT lower(v)) FILTER (shape = 'BOOLEAN') AS spellings,
+'{reads}' = 'datetime' AS dated, count(DISTINCT v) FILTER (regexp_matches(v, '^[^\\s@]+@[^\\s@.]+\\.[^\\s@]{{2,}}\\z')) AS mails, count(DISTINCT v) FILTER (v <> '' AND NOT regexp_matches(v, '^[^\\s@]+@[^\\s@.]+\\.[^\\s@]{{2,}}\\z')) AS others, count(*) FILTER (v <> '' AND NOT regexp_matches(v, '^[^\\s@]+@[^\\s@.]+\\.[^\\s@]{{2,}}\\z')) AS other_rows, count(DISTINCT v) FILTER (v <> '') AS held, count(DISTINCT v) FILTER (regexp_matches(v, '^-?0\\d')) AS zeros
+FROM (SELECT {f} AS raw, {v} AS v, {shape} AS shape, NOT {_blank(f)} AND {bad} AS bad FROM {{dirty_customer}} t)"""
+
+
+_FINDINGS = f"""WITH f AS ({" UNION ALL ".join(_fact_sql(f, r) for f, r in _READ.items())}),
+s AS (SELECT *, CASE WHEN mails >= 0.8 * held THEN 'EMAIL' WHEN zeros >= 0.8 * held THEN 'IDENTIFIER' WHEN field = 'flag' AND examined >= 125 THEN 'CATEGORICAL' END AS semantic, numbers + money + booleans + dates + texts AS populated, greatest(numbers, money, dates, texts) AS most FROM f),
+k AS (SELECT *, distinct_count = examined AND empty = 0 AND (field = 'code' OR semantic = 'IDENTIFIER') AS candidate FROM s),
+found AS (SELECT field, 'CANDIDATE_KEY' AS rule, 'INFO' AS severity, 0 AS affected FROM k WHERE candidate
+UNION ALL SELECT field, 'KEY_MISSING_VALUES', 'CRITICAL', empty FROM k WHERE field = 'name' AND empty > 0 UNION ALL SELECT field, 'DUPLICATE_KEYS', 'CRITICAL', duplicate_count FROM k WHERE field = 'name' AND duplicate_count > 0
+UNION ALL SELECT field, 'MONEY_AS_TEXT', 'WARNING', money FROM k WHERE money > 0
+UNION ALL SELECT field, 'MIXED_VALUE_TYPES', 'WARNING', populated - most FROM k WHERE NOT (money > 0 AND dates = 0 AND texts = 0) AND (CAST(numbers > 0 AS INTEGER) + CAST(money > 0 AS INTEGER) + CAST(dates > 0 AS INTEGER) + CAST(texts > 0 AS INTEGER)) > 1 AND populated > most AND floor((populated - most) * 1000.0 / populated + 0.5) >= 50
+UNION ALL SELECT field, 'INCONSISTENT_BOOLEAN', 'WARNING', booleans FROM k WHERE spellings > 2
+UNION ALL SELECT field, 'NEARLY_UNIQUE_DUPLICATES', 'WARNING', duplicate_count FROM k WHERE field <> 'name' AND duplicate_count > 0 AND distinct_count >= 0.98 * examined AND distinct_count <> examined
+UNION ALL SELECT field, 'HIGH_NULL_RATE', CASE WHEN field = 'email' THEN 'CRITICAL' ELSE 'WARNING' END, empty FROM k WHERE empty < examined AND empty >= 0.25 * examined
+UNION ALL SELECT field, 'INVALID_DATES', 'CRITICAL', invalid FROM k WHERE dated AND invalid > 0 UNION ALL SELECT field, 'INVALID_VALUES', 'WARNING', invalid FROM k WHERE invalid > 0
+UNION ALL SELECT field, 'WHITESPACE', 'WARNING', spaced FROM k WHERE spaced > 0 UNION ALL SELECT field, 'LENGTH_SPREAD', 'INFO', 0 FROM k WHERE longest >= 40 AND usual > 0 AND longest >= 8 * usual
+UNION ALL SELECT field, 'INVALID_EMAIL', 'WARNING', other_rows FROM k WHERE semantic = 'EMAIL' AND others > 0 UNION ALL SELECT field, 'IDENTIFIER_AS_TEXT', 'INFO', 0 FROM k WHERE semantic = 'IDENTIFIER' UNION ALL SELECT field, 'CATEGORICAL_VALUES', 'INFO', 0 FROM k WHERE semantic = 'CATEGORICAL'
+UNION ALL SELECT NULL, 'NO_RELIABLE_KEY', 'CRITICAL', max(examined) FROM k HAVING NOT bool_or(candidate) AND max(examined) > 0 UNION ALL SELECT NULL, 'POSSIBLE_PII', 'INFO', 0)"""
+_DIMENSION = f"CASE {' '.join(f"WHEN rule = '{r}' THEN '{'IDENTITY' if c == 'DUPLICATES' else c}'" for r, c in findings.CATEGORIES.items() if c != 'PRIVACY')} END"
+_SCORED = _FINDINGS + f""", d AS (SELECT {_DIMENSION} AS dimension, severity FROM found WHERE rule NOT IN ('CANDIDATE_KEY', 'CATEGORICAL_VALUES', 'IDENTIFIER_AS_TEXT', 'POSSIBLE_PII')),
+n AS (SELECT v.dimension, count(*) FILTER (severity = 'CRITICAL') AS criticals, count(*) FILTER (severity = 'WARNING') AS warnings, count(*) FILTER (severity = 'INFO') AS infos FROM (VALUES ('IDENTITY'), ('COMPLETENESS'), ('CONSISTENCY'), ('VALIDITY'), ('TYPE_COMPATIBILITY'), ('RELATIONSHIPS')) v(dimension) LEFT JOIN d ON d.dimension = v.dimension GROUP BY 1),
+score AS (SELECT dimension, CASE WHEN dimension <> 'RELATIONSHIPS' THEN greatest(0, 100 - 35 * criticals - 10 * warnings - 2 * infos) END AS score, criticals, warnings, infos FROM n) """
+
+
 def _found(t: Inputs) -> DataFrame:
-    p = profile.profile(t.dirty_customer, "customer", ["name", "email", "amount", "code", "born"], {"amount": "number", "born": "datetime"})
-    return findings.findings(p, ("code",), ("email",))
+    p = profile.profile(t.dirty_customer, "people", list(_READ), {f: r for f, r in _READ.items() if r != "text"})
+    return findings.findings(p, infer.semantic_types(t.dirty_customer, list(_READ)), ("name",), ("email",))
+
+
+@query("findings_table", _FINDINGS + "SELECT field, rule, severity, affected FROM found")
+def _(t):
+    return _found(t).select("field", "rule", "severity", "affected")
 
 
-@query("readiness_score")
+@query("findings_semantic", "SELECT * FROM (VALUES ('mail', 'INVALID_EMAIL', 'WARNING'), ('price', 'CURRENCY_AS_TEXT', 'WARNING'), ('rate', 'PERCENTAGE_AS_TEXT', 'WARNING'), ('call', 'PHONE_FORMAT', 'INFO'), ('code', 'IDENTIFIER_AS_TEXT', 'INFO'), ('segment', 'CATEGORICAL_VALUES', 'INFO'), ('start_date', 'DATE_AS_NUMBER', 'WARNING')) v(field, rule, severity)")
+def _(t):
+    k = F.col("c_custkey").cast("string")
+    c = t.dirty_customer.select(
+        F.when(F.col("c_custkey") % 10 == 0, "nobody").otherwise(F.concat(k, F.lit("@a.example"))).alias("mail"), F.concat(F.lit("$1,2,"), k).alias("price"), F.concat((F.col("c_custkey") % 90).cast("string"), F.lit("%")).alias("rate"),
+        F.concat(F.lit("+1 555 "), F.lpad(k, 7, "0")).alias("call"), "code", F.col("c_mktsegment").alias("segment"), (F.col("c_custkey") % 1000 + 40000).cast("string").alias("start_date"),
+    )
+    found = findings.findings(profile.profile(c, "people"), infer.semantic_types(c, c.columns))
+    return findings.filter_findings(found.where(F.col("rule").isin("DATE_AS_NUMBER", "INVALID_EMAIL", "PHONE_FORMAT", "CATEGORICAL_VALUES", "IDENTIFIER_AS_TEXT", "CURRENCY_AS_TEXT", "PERCENTAGE_AS_TEXT"))).select("field", "rule", "severity")
+
+
+@query("duplicate_business_key", "SELECT 'order_ref' AS field, 'WARNING' AS severity, count(*) FILTER (o_orderkey % 500 = 0) AS affected, false AS alone FROM orders HAVING count(*) FILTER (o_orderkey % 500 = 0) > 1 UNION ALL SELECT 'order_ref', 'CRITICAL', count(*) FILTER (o_orderkey % 500 = 0), true FROM orders HAVING count(*) FILTER (o_orderkey % 500 = 0) > 1")
+def _(t):
+    of = lambda columns, alone: findings.findings(profile.profile(t.coded_orders, "orders", columns)).where("rule = 'DUPLICATE_BUSINESS_KEY'").select("field", "severity", "affected", F.lit(alone).alias("alone"))
+    return of(["order_id", "order_ref", "customer_no"], False).unionAll(of(["order_ref", "customer_no"], True))
+
+
+@query("filter_findings", _FINDINGS + "SELECT rule, field, severity FROM found WHERE severity = 'WARNING' ORDER BY rule, coalesce(field, '') LIMIT 4")
+def _(t):
+    return findings.filter_findings(_found(t), table="people", severity="WARNING", most=4).select("rule", "field", "severity")
+
+
+@query("readiness_score", _SCORED + "SELECT * FROM score")
 def _(t):
     return findings.readiness(_found(t))
 
 
-@query("readiness_verdict")
+@query("readiness_band", _SCORED + "SELECT s AS score, CASE WHEN c >= 3 OR s < 50 THEN 'HIGH_RISK' WHEN c > 0 OR s < 80 THEN 'NEEDS_ATTENTION' ELSE 'READY' END AS band FROM (SELECT CAST(floor(avg(score) + 0.5) AS BIGINT) AS s, (SELECT count(*) FROM d WHERE severity = 'CRITICAL') AS c FROM score)")
 def _(t):
-    return findings.verdict(findings.readiness(_found(t)))
+    return findings.band(_found(t))
+
+
+@query("readiness_verdict", "SELECT 'BLOCKED_PENDING_OVERRIDE' AS verdict, count(*) FILTER (n_regionkey = 0) AS blockers, count(*) FILTER (n_regionkey = 1) AS warnings, count(*) FILTER (n_regionkey > 1) AS information, count(*) FILTER (n_regionkey = 0) - 1 AS overridden FROM nation")
+def _(t):
+    r = F.col("n_regionkey")
+    found = t.nation.select(F.lit("RISK").alias("code"), F.col("n_name").alias("object"), F.when(r == 0, "BLOCKER").when(r == 1, "WARNING").otherwise("INFORMATION").alias("severity"), F.lit(True).alias("overridable"))
+    accepted = t.nation.where(r == 0).orderBy("n_nationkey").offset(1).select(F.lit("RISK").alias("code"), F.col("n_name").alias("object"))
+    return findings.verdict(found, accepted)
+
+
+@query("near_misses", "SELECT 'order_id' AS field, 1 AS rank UNION ALL SELECT 'order_ref', 2 UNION ALL SELECT 'customer_no', 3")
+def _(t):
+    return findings.near_misses(profile.profile(t.coded_orders, "orders")).select("field", "rank")
 
 
 # -- sources, sinks, streams
@@ -687,7 +819,7 @@ def _(t):
 
 @query("count_records", "SELECT count(*) AS records FROM lineitem")
 def _(t):
-    return t.lineitem.agg(F.count("*").alias("records"))
+    return src.count_records(t.lineitem)
 
 
 @query("retrieve_by_ids", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 40 = 0)")
@@ -734,6 +866,88 @@ def _(t):
     return incremental.windowed(t.events, "ts", "1 day", "1 hour", "event_type", "value")
 
 
+_PEOPLE = "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, name, nullif(email, '') AS email, amount, CASE WHEN phone LIKE '+%' THEN '''' || phone ELSE phone END AS phone FROM {dirty_customer} t"
+_COLUMNS = ("c_custkey", "name", "email", "amount", "phone")
+
+
+@query("read_delimited", _PEOPLE)
+def _(t):
+    path = work_folder(t.spark, "csv")
+    src.sink_csv(t.dirty_customer.select(*_COLUMNS), path)
+    return files.read_delimited(t.spark, path)
+
+
+@query("sink_csv", "SELECT count(*) AS lines, count(*) FILTER (guarded) AS guarded FROM (SELECT c_custkey % 4 = 0 AND NOT (name LIKE '%,%') AS guarded FROM {dirty_customer} t)")
+def _(t):
+    path = work_folder(t.spark, "csv")
+    src.sink_csv(t.dirty_customer.select(F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("="), "name")).otherwise(F.col("name")).alias("cell")), path)
+    return t.spark.read.text(path).where(~F.col("value").contains("cell")).agg(F.count("*").alias("lines"), F.count_if(F.col("value").startswith("'=")).alias("guarded"))
+
+
+@query("read_xml", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, o_orderstatus AS \"detail.status\" FROM orders")
+def _(t):
+    path = work_folder(t.spark, "xml")
+    rows = t.orders.select("o_orderkey", "o_orderpriority", F.struct(F.col("o_orderstatus").alias("status")).alias("detail"))
+    rows.write.format("xml").option("rootTag", "orders").option("rowTag", "order").save(path)
+    return files.read_xml(t.spark, path, "order").select("o_orderkey", "o_orderpriority", "`detail.status`")
+
+
+@query("prepare_sheet", "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, CAST(n_regionkey AS VARCHAR) AS \"name 2\" FROM nation")
+def _(t):
+    cells = lambda *c: F.array(*[F.col(x).cast("string") if isinstance(x, str) else x for x in c])
+    none = F.lit(None).cast("string")
+    head = t.spark.createDataFrame([(-3, ["Nations", None, None, None]), (-2, None), (-1, ["id", "name", "name", " "])], "place long, cells array<string>")
+    rows = t.nation.select((F.col("n_nationkey") * 2).cast("long").alias("place"), cells("n_nationkey", "n_name", "n_regionkey", none).alias("cells"))
+    blank = t.nation.select((F.col("n_nationkey") * 2 + 1).cast("long").alias("place"), cells(F.lit(" "), none, F.lit(""), none).alias("cells"))
+    return files.prepare_sheet(head.unionAll(rows).unionAll(blank), "place")[0]
+
+
+@query("unique_headers", "SELECT * FROM (VALUES (1, 'id'), (2, 'Name'), (3, 'column_3'), (4, 'name 2'), (5, 'a b'), (6, 'Name 3')) v(place, header)")
+def _(t):
+    return t.spark.createDataFrame(list(enumerate(infer.unique_headers(["id", "Name ", None, "name", "a\tb", "Name"]), 1)), "place int, header string")
+
+
+@query("infer_key", "SELECT 'order_id' AS key, 'status' AS name")
+def _(t):
+    types = [r.asDict() for r in infer.infer_types(t.coded_orders.select("customer_no", "status", "order_id")).collect()]  # a row for each column
+    return t.spark.createDataFrame([(infer.infer_key(types), infer.infer_name_column(types))], "key string, name string")
+
+
+@query("infer_name_column", "SELECT 'c_name' AS name")
+def _(t):
+    types = [r.asDict() for r in infer.infer_types(t.customer.select("c_custkey", "c_mktsegment", "c_name")).collect()]
+    return t.spark.createDataFrame([(infer.infer_name_column(types),)], "name string")
+
+
+@query("staged_store", "SELECT count(*) AS rows, 0 AS first, count(*) - 1 AS last, count(*) AS ordinals, count(*) FILTER (order_ref = 'REF-0') AS repeated FROM {coded_orders} t")
+def _(t):
+    out = files.staged(t.coded_orders, "order_ref")
+    return out.agg(F.count("*").alias("rows"), F.min("_ordinal").alias("first"), F.max("_ordinal").alias("last"), F.count_distinct("_ordinal").alias("ordinals"), F.count_if(F.col("_id") == "REF-0").alias("repeated"))
+
+
+@query("staged_value_read", f"SELECT c_custkey, CASE WHEN nullif(amount, '') IS NULL THEN NULL WHEN ({_number('amount')}) IS NULL THEN amount ELSE CAST(CAST(trunc({_number('amount')}) AS BIGINT) AS VARCHAR) END AS whole, CASE WHEN lower(flag) IN ('y', 'yes', 'true') THEN 'true' WHEN flag = 'no' THEN 'false' ELSE flag END AS truth, nullif(email, '') AS email FROM {{dirty_customer}} t")
+def _(t):
+    read = lambda c, kind: convert.staged_value(F.col(c), kind).alias
+    return t.dirty_customer.select("c_custkey", read("amount", "Integer")("whole"), read("flag", "Boolean")("truth"), read("email", "String")("email"))
+
+
+@query("driver_value", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') AS at, strftime(o_orderdate, '%Y-%m-%d') AS day, base64(encode(o_orderstatus)) AS raw, CAST(o_custkey AS VARCHAR) AS id, 'customer' AS table_name FROM orders")
+def _(t):
+    v = convert.driver_value
+    at = F.col("o_orderdate")
+    out = t.orders.select("o_orderkey", v(at, "DateTime").alias("at"), v(at, "DateOnly").alias("day"), v(F.col("o_orderstatus").cast("binary"), "File").alias("raw"), v(F.col("o_custkey"), "BigInt", "customer").alias("ref"))
+    return out.select("o_orderkey", "at", "day", "raw", "ref.*")
+
+
+@query("evidence_verify", "SELECT * FROM (VALUES ('VALID', true), ('INCOMPLETE', false)) v(verdict, there)")
+def _(t):
+    path = work_folder(t.spark, "evidence")
+    src.sink_lineage(t.customer.select(F.lit("customer").alias("table_name"), F.col("c_custkey").alias("source_id")), path)
+    recorded = src.manifest(t.spark, path)
+    gone = recorded.limit(1).select(F.lit("gone.csv").alias("name"), "bytes", "sha256")
+    return src.verify_evidence(t.spark, path, recorded.unionAll(gone)).select("verdict", (F.col("name") != "gone.csv").alias("there")).distinct()
+
+
 @query("display_value", "SELECT doc_id, CASE WHEN length(text) > 256 THEN left(text, 256) || '…' ELSE text END AS shown FROM documents")
 def _(t):
     return t.documents.select("doc_id", tx.display_value(F.col("text")).alias("shown"))
@@ -810,12 +1024,12 @@ def _(t):
 
 @query("insights_profile", "SELECT 'c_mktsegment' AS field, least(200, count(*)) AS examined, 0 AS null_count FROM customer")
 def _(t):
-    return profile.profile(t.customer, "customer", ["c_mktsegment"], sample=200, order_by="c_custkey").select("field", F.least("examined", F.lit(200)).cast("long").alias("examined"), "null_count")
+    return profile.profile(t.customer, "customer", ["c_mktsegment"], sample=200, order_by="c_custkey").select("field", "examined", "null_count")
 
 
 @query("deterministic_prefix", "SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 500")
 def _(t):
-    return t.orders.select("o_orderkey").orderBy("o_orderkey").limit(500)
+    return src.prefix(t.orders.select("o_orderkey"), "o_orderkey", "QUICK")
 
 
 @query("migrate", """SELECT 'customer' AS table_name, 'CREATED' AS outcome, count(*) AS records FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT 'customer', 'UPDATED', count(*) FROM customer c JOIN {old_customer} o ON c.c_custkey = o.id WHERE c.c_name <> o.title OR c.c_mktsegment <> o.segment
@@ -865,17 +1079,20 @@ def _(t):
     return t.spark.createDataFrame([(r["source"], r["status"]) for r in rows], "source string, status string")
 
 
-@query("plan_issues", "SELECT * FROM (VALUES ('UNMAPPED_COLUMNS', 'INFO'), ('UPSERT_OVERWRITES', 'WARNING')) v(code, severity)")
+@query("plan_issues", "SELECT * FROM (VALUES ('UNMAPPED_COLUMNS', 'INFO'), ('UPSERT_OVERWRITES', 'WARNING'), ('DEPENDENCY_NOT_SELECTED', 'INFO')) v(code, severity)")
 def _(t):
-    a, b = md.table_of("orders", t.orders.schema), md.table_of("orders", t.changed_orders.schema, "o_orderkey")
-    return t.spark.createDataFrame(md.plan_issues(a, b, md.auto_map(a, b)), "code string, severity string")
+    a, b = md.table_of("orders", t.orders.schema, "o_orderkey"), md.table_of("orders", t.changed_orders.schema, "o_orderkey")
+    refer = lambda x: md.Table(x.name, tuple(md.replace(c, targets=("customer",)) if c.name == "o_custkey" else c for c in x.columns), x.key)
+    kept = issues.PlanTable("customer", None, md.table_of("customer", t.customer.schema, "c_custkey"))
+    found = issues.plan_issues([issues.PlanTable("orders", refer(a), refer(b), md.auto_map(a, b)), kept])
+    return t.spark.createDataFrame([(code, severity) for severity, code, table, _ in found if table != "customer"], "code string, severity string")
 
 
 @query("dependency_order", "SELECT * FROM (VALUES (1, 'region'), (2, 'nation'), (3, 'customer'), (4, 'orders')) v(place, table_name)")
 def _(t):
-    found = [(c, p) for c, _, p, _, _ in relate.candidates({n: getattr(t, n) for n in ("region", "nation", "customer", "orders")})]
-    refs = [(c, p, True) for c, p in [("nation", "region"), ("customer", "nation"), ("orders", "customer")] if (c, p) in found]
-    order = md.load_order(["orders", "customer", "nation", "region"], refs)
+    names = ["orders", "customer", "nation", "region"]
+    found = relate.discover({n: getattr(t, n) for n in names}).where("verdict = 'INFERRED'").select("child_table", "parent_table").distinct().collect()  # a row for each reference
+    order = md.load_order(names, [(r.child_table, r.parent_table, True) for r in found])
     return t.spark.createDataFrame(list(enumerate(order.tables, 1)), "place int, table_name string")
 
 
@@ -885,6 +1102,93 @@ def _(t):
     return t.spark.createDataFrame([(c.name, "Integer", md.compatibility(c, target)) for c in md.table_of("customer", t.customer.schema).columns], "column_name string, target_type string, verdict string")
 
 
+_KEYS = [{"table": n, "kind": "PRIMARY", "columns": [k]} for n, k in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("orders", "o_orderkey"))] + [
+    {"table": c, "kind": "FOREIGN", "columns": [k], "to": p} for c, k, p in (("nation", "n_regionkey", "region"), ("customer", "c_nationkey", "nation"), ("orders", "o_custkey", "customer"))
+] + [{"table": "nation", "kind": "UNIQUE", "columns": ["n_name"]}]
+
+
+def _catalog(t: Inputs) -> list[md.Table]:
+    return md.discover_catalog({n: getattr(t, n).schema for n in ("region", "nation", "customer", "orders")}, _KEYS)
+
+
+@query("catalog_discovery", "SELECT * FROM (VALUES ('nation', 'n_nationkey', true, false, ''), ('nation', 'n_name', false, true, ''), ('nation', 'n_regionkey', false, false, 'region'), ('region', 'r_regionkey', true, false, ''), ('region', 'r_name', false, false, '')) v(table_name, column_name, is_key, is_unique, reference)")
+def _(t):
+    rows = [(n, c, key, unique, to) for n, _, c, _, _, key, unique, to in md.catalog_rows(_catalog(t)) if n in ("nation", "region")]
+    return t.spark.createDataFrame(rows, "table_name string, column_name string, is_key boolean, is_unique boolean, reference string")
+
+
+@query("erd", "SELECT * FROM (VALUES ('region', 0, NULL, NULL), ('nation', 1, 'region', 'n_regionkey'), ('customer', 2, 'nation', 'c_nationkey'), ('orders', 3, 'customer', 'o_custkey')) v(table_name, depth, parent, via)")
+def _(t):
+    nodes, edges, _ = md.erd(_catalog(t))
+    up = {e["child"]: (e["parent"], e["column"]) for e in edges}
+    return t.spark.createDataFrame([(n["table"], n["depth"], *up.get(n["table"], (None, None))) for n in nodes], "table_name string, depth int, parent string, via string")
+
+
+@query("migratable_columns", "SELECT * FROM (VALUES ('TABULAR', 'id'), ('TABULAR', 'title'), ('SQL', 'title')) v(family, column_name)")
+def _(t):
+    c = md.Column
+    of = lambda family: md.Table("t", (c("id", "Integer", writable=False), c("title", "String", writable=False), c("title_name", "String", child_of="title"), c("blob", "File", writable=False), c("hidden", "String", writable=False, readable=False)), "id", family=family)
+    return t.spark.createDataFrame([(f, x) for f in ("TABULAR", "SQL") for x in md.migratable_columns(of(f))], "family string, column_name string")
+
+
+@query("comparable_columns", "SELECT 'title' AS column_name")
+def _(t):
+    own = md.Table("t", (md.Column("title", "String"), md.Column("ModifiedOn", "DateTime"), md.Column("titlename", "String", child_of="title")))
+    return t.spark.createDataFrame([(x,) for x in md.comparable_columns(own)], "column_name string")
+
+
+@query("schema_filter", "SELECT * FROM (VALUES ('a'), ('c')) v(table_name)")
+def _(t):
+    tables = [md.Table(n, (), schema=s) for n, s in (("a", "dbo"), ("b", "config"), ("c", "DBO"))]
+    return t.spark.createDataFrame([(x.name,) for x in md.schema_filter(tables, ["Dbo"])], "table_name string")
+
+
+@query("type_compatibility", "SELECT * FROM (VALUES ('Integer', 'BigInt', 'COMPATIBLE', 'COMPATIBLE'), ('Double', 'Integer', 'LOSSY', 'LOSSY'), ('Memo', 'String', 'LOSSY', 'COMPATIBLE'), ('String', 'Integer', 'INCOMPATIBLE', 'CONVERSION_REQUIRED'), ('BigInt', 'Money', 'LOSSY', 'COMPATIBLE'), ('Boolean', 'String', 'INCOMPATIBLE', 'CONVERSION_REQUIRED')) v(source, target, within, across)")
+def _(t):
+    pairs = [("Integer", "BigInt"), ("Double", "Integer"), ("Memo", "String"), ("String", "Integer"), ("BigInt", "Money"), ("Boolean", "String")]
+    rows = [(a, b, md.field_verdict(md.Column("x", a), md.Column("x", b)), md.field_verdict(md.Column("x", a), md.Column("x", b), True)) for a, b in pairs]
+    return t.spark.createDataFrame(rows, "source string, target string, within string, across string")
+
+
+@query("object_map", "SELECT * FROM (VALUES ('dbo.Customer', 'AUTO_SUGGESTED', 'account', 80), ('orders', 'EXACT', 'orders', 100), ('zzz', 'UNMAPPED', NULL, NULL)) v(source, status, target, confidence)")
+def _(t):
+    rows = []
+    for name in ("dbo.Customer", "orders", "zzz"):
+        status, found = md.object_map(name, ["account", "orders", "salesorder", "xy_region"])
+        rows.append((name, status, *(found[0] if found else (None, None))))
+    return t.spark.createDataFrame(rows, "source string, status string, target string, confidence int")
+
+
+@query("compare_suggest", "SELECT 'c_custkey' AS left_key, 'custkey' AS right_key, 2 AS fields")
+def _(t):
+    right = md.Table("client", (md.Column("custkey", "BigInt"), md.Column("name", "String"), md.Column("acctbal", "Double"), md.Column("createdon", "DateTime")), "custkey")
+    found = md.suggest_comparison(next(x for x in _catalog(t) if x.name == "customer"), right)
+    return t.spark.createDataFrame([(*found["key"][0], len(found["fields"]))], "left_key string, right_key string, fields int")
+
+
+@query("workbook_import", "SELECT table_name, column_name, CASE WHEN column_name = 'c_name' THEN 'REMAP' WHEN column_name = 'c_acctbal' THEN 'IGNORE' WHEN column_name = 'c_mktsegment' THEN 'MAP' WHEN column_name = 'c_extra' THEN 'UNKNOWN_COLUMN' WHEN table_name = 'other' THEN 'UNKNOWN_TABLE' ELSE 'UNCHANGED' END AS action FROM (VALUES ('Customer', 'c_custkey'), ('Customer', 'c_name'), ('Customer', 'c_acctbal'), ('Customer', 'c_mktsegment'), ('Customer', 'c_extra'), ('other', 'x')) v(table_name, column_name)")
+def _(t):
+    plan = t.spark.createDataFrame([("customer", c, None if c == "c_mktsegment" else c, "UNMAPPED" if c == "c_mktsegment" else "AUTO_MAPPED") for c in t.customer.columns], "table_name string, field string, target string, status string")
+    sheet = t.spark.createDataFrame([("Customer", "C_CUSTKEY", "c_custkey"), ("Customer", "c_name", "title"), ("Customer", "c_acctbal", " ignore "), ("Customer", "c_mktsegment", "segment"), ("Customer", "c_extra", "y"), ("other", "x", "y")], "table_name string, field string, target string")
+    return sheets.import_mappings(sheet, plan).select("table_name", F.lower("field").alias("column_name"), "action")
+
+
+@query("sql_type_map", "SELECT * FROM (VALUES ('nvarchar(40)', 'String'), ('varchar(max)', 'Memo'), ('numeric(18,4)', 'Decimal'), ('timestamptz', 'DateTime'), ('uuid', 'Uniqueidentifier'), ('geometry', 'Other')) v(sql_type, type)")
+def _(t):
+    return t.spark.createDataFrame([(x, md.sql_type(x)) for x in ("nvarchar(40)", "varchar(max)", "numeric(18,4)", "timestamptz", "uuid", "geometry")], "sql_type string, type string")
+
+
+@query("run_status", "SELECT event_type AS run, CASE WHEN count(*) FILTER (user_id % 50 = 1) > 0 THEN 'COMPLETED_WITH_ERRORS' ELSE 'COMPLETED' END AS status FROM events GROUP BY 1")
+def _(t):
+    counts = t.events.groupBy("event_type").agg(F.count_if(F.col("user_id") % 50 == 1).alias("failed")).collect()  # a row for each run
+    return t.spark.createDataFrame([(r.event_type, migrate.run_status({"FAILED": r.failed})) for r in counts], "run string, status string")
+
+
+@query("uniqueness_basis", "SELECT * FROM (VALUES ('BUSINESS_KEY', 0, 'NOT_VERIFIED'), ('BUSINESS_KEY', 1, 'BUSINESS_KEY'), ('BUSINESS_KEY', 2, 'COMPOSITE_BUSINESS_KEY'), ('ALTERNATE_KEY', 1, 'ALTERNATE_KEY'), ('NAME', 1, 'NOT_VERIFIED')) v(match, parts, basis)")
+def _(t):
+    return t.spark.createDataFrame([(m, n, md.uniqueness_basis(m, ["a", "b"][:n])) for m, n in (("BUSINESS_KEY", 0), ("BUSINESS_KEY", 1), ("BUSINESS_KEY", 2), ("ALTERNATE_KEY", 1), ("NAME", 1))], "match string, parts int, basis string")
+
+
 @query("cron_next", "SELECT TIMESTAMP '2024-01-08 09:00:00' AS due")
 def _(t):
     due = cron.next_run("0 9 * * mon", datetime(2024, 1, 1, 9, tzinfo=timezone.utc))

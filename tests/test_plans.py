@@ -5,7 +5,7 @@ from datetime import datetime, timezone
 import pytest
 
 from ledgerloom.operators.transform import Step
-from ledgerloom.plans import cron, migrate
+from ledgerloom.plans import cron, issues, migrate
 from ledgerloom.plans import metadata as md
 
 
@@ -31,7 +31,7 @@ def test_schema_diff_and_mapping():
     assert rows == {("id", "MATCH", False), ("old", "SOURCE_ONLY", False), ("n", "DIFFERENT", True), ("must", "TARGET_ONLY", True)}
     mapping = md.auto_map(a, b)
     assert [m["status"] for m in mapping] == ["AUTO_MAPPED", "UNMAPPED", "AUTO_MAPPED"]
-    codes = dict(md.plan_issues(a, b, mapping))
+    codes = {code: severity for severity, code, _, _ in issues.plan_issues([issues.PlanTable("t", a, b, mapping)])}
     assert codes["REQUIRED_TARGET_COLUMN_UNMAPPED"] == "BLOCKER" and codes["LOSSY_CONVERSION"] == "WARNING"
 
 
