@@ -1195,6 +1195,27 @@ def _(t):
     return t.spark.createDataFrame([(due.replace(tzinfo=None).isoformat(" "),)], "due string").select(F.col("due").cast("timestamp_ntz").alias("due"))
 
 
+# The columns of the profiled tables by how they are read, for the other engine.
+_FLAGSHIP = {
+    "customer": {"c_custkey": "number", "c_name": "text", "c_nationkey": "number", "c_acctbal": "number", "c_mktsegment": "text"},
+    "orders": {"o_orderkey": "number", "o_custkey": "number", "o_orderstatus": "text", "o_totalprice": "number", "o_orderdate": "datetime", "o_orderpriority": "text"},
+    "lineitem": {"l_orderkey": "number", "l_partkey": "number", "l_suppkey": "number", "l_linenumber": "number", "l_quantity": "number", "l_extendedprice": "number", "l_discount": "number", "l_tax": "number", "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "datetime"},
+}
+
+
+def _profile_sql(table: str, f: str, kind: str) -> str:
+    """A row of profile() for a column whose texts are neither amounts nor dates."""
+    of = lambda k, sql, other: sql if kind == k else other
+    word = f"lower({f}) IN ('true', 'false', 'yes', 'no', 'y', 'n', 't', 'f', 'on', 'off')"
+    number, text = (lambda sql: of("number", sql, "CAST(NULL AS DOUBLE)")), (lambda sql, none="CAST(NULL AS INTEGER)": of("text", sql, none))
+    return f"""SELECT '{table}' AS table_name, '{f}' AS field, count(*) AS examined, count(*) - count({f}) AS null_count, {text(f"count(*) FILTER ({_trim(f)} = '')", "0")} AS blank_count, {text(f"count(*) FILTER ({_trim(f)} <> '' AND {_trim(f)} <> {f})", "0")} AS whitespace_count,
+{text(f"min(length({f}))")} AS min_length, {text(f"max(length({f}))")} AS max_length, {text(f"floor(avg(length({f})) * 10 + 0.5) / 10", "CAST(NULL AS DOUBLE)")} AS avg_length, {number(f"CAST(min({f}) AS DOUBLE)")} AS min_number, {number(f"CAST(max({f}) AS DOUBLE)")} AS max_number, {number(f"floor(avg(CAST({f} AS DOUBLE)) * 1000000 + 0.5) / 1000000")} AS avg_number, CAST(NULL AS INTEGER) AS max_scale,
+{of("datetime", f"CAST(min({f}) AS TIMESTAMP)", "CAST(NULL AS TIMESTAMP)")} AS min_date, {of("datetime", f"CAST(max({f}) AS TIMESTAMP)", "CAST(NULL AS TIMESTAMP)")} AS max_date, 0 AS invalid_count, 0 AS invalid_date_count, CAST(NULL AS INTEGER) AS max_decimals, 0 AS over_two_decimals, 0 AS decimal_marks, {text(f"count(DISTINCT lower({f})) FILTER ({word})", "0")} AS boolean_spellings,
+0 AS number_shapes, 0 AS currency_shapes, {text(f"count(*) FILTER ({word})", "0")} AS boolean_shapes, 0 AS date_shapes, {text(f"count(*) FILTER ({_trim(f)} <> '' AND NOT {word})", "0")} AS text_shapes, floor((count(*) - count({f})) * 1000.0 / greatest(count(*), 1) + 0.5) / 10.0 AS null_percent,
+count(DISTINCT {f}) AS distinct_count, count({f}) - count(DISTINCT {f}) AS duplicate_count, any_value(g.v) AS distinct_values, any_value(g.d) AS duplicate_groups, any_value(g.c) AS rows_in_collision, any_value(g.l) AS largest_group, 'EXACT' AS basis
+FROM {table}, (SELECT count(*) AS v, count(*) FILTER (n > 1) AS d, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS c, coalesce(max(n), 0) AS l FROM (SELECT count(*) AS n FROM {table} WHERE {f} IS NOT NULL GROUP BY {f})) g"""
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full profile of three tables, a row for each column."""
     t = Inputs(spark, sf_dir)
@@ -1203,3 +1224,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["profile_tables"] = flagship
+ORACLE_SQL["profile_tables"] = " UNION ALL ".join(_profile_sql(n, f, k) for n, columns in _FLAGSHIP.items() for f, k in columns.items())
