@@ -30,12 +30,14 @@ ODD_TEXT = "</s>[INST] ok [/INST]"
 @dataclass(frozen=True)
 class Mapping:
     """Where the turns of one layout are: ``each`` names a list of turns with ``role`` and
-    ``text`` fields; or ``fields`` lists (role, path) pairs whose texts are joined per role."""
+    ``text`` fields; or ``fields`` lists (role, path) pairs whose texts are joined per role.
+    Roles get their canonical names unless ``as_stored``."""
 
     each: str = ""
     role: str = ""
     text: str = ""
     fields: tuple[tuple[str, str], ...] = ()
+    as_stored: bool = False
 
 
 #: Names that roles go by, in canonical form.
@@ -43,7 +45,7 @@ ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assist
 
 #: Layouts by their paths ([] for the items of a list); optional paths may be absent.
 LAYOUTS: list[tuple[frozenset[str], frozenset[str], Mapping]] = [
-    (frozenset({"role", "text"}), frozenset({"conv_id", "turn"}), Mapping(each="", role="role", text="text")),
+    (frozenset({"role", "text"}), frozenset({"conv_id", "turn"}), Mapping(each="", role="role", text="text", as_stored=True)),
     (frozenset({"messages[].role", "messages[].content"}), frozenset({"id", "messages[].name"}), Mapping("messages", "role", "content")),
     (frozenset({"conversations[].from", "conversations[].value"}), frozenset({"id", "system"}), Mapping("conversations", "from", "value")),
     (frozenset({"dialog[].speaker", "dialog[].text"}), frozenset({"id"}), Mapping("dialog", "speaker", "text")),
@@ -103,7 +105,7 @@ def turns_of(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
         return out
     rows = record.get(mapping.each) if mapping.each else [record]
     role = lambda r: str(r.get(mapping.role) or "")
-    return [(ROLES.get(role(r).lower(), role(r)), _text(r, mapping.text) or "") for r in rows or []]
+    return [(role(r) if mapping.as_stored else ROLES.get(role(r).lower(), role(r)), _text(r, mapping.text) or "") for r in rows or []]
 
 
 def canonical_turns(records: DataFrame) -> DataFrame:

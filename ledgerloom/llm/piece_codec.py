@@ -155,8 +155,9 @@ class PieceCodec:
                         break
             else:
                 failed[at] = 1
-                if not out or out[-1] < 0:  # what merging gives always fits
-                    raise ValueError("no sequence of pieces fits")
+                if not out or out[-1] < 0:  # what merging gives always fits; should a model be otherwise, all of it is merged
+                    out = [self.ids.get(p, -1) for p in self.merged(text)]
+                    break
                 at -= len(self.pieces[out.pop()])
                 k = tried.pop()
                 left = out[-1] if out else -1
