@@ -57,32 +57,74 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, weight: np.ndarray, grades: int = GRADES, ridge: float = 1e-4, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and rising thresholds that maximise the cumulative-link likelihood less a ridge, by Adam.
+@dataclass
+class Sparse:
+    """Rows of few values: ``rows``, ``columns`` and ``values`` of each that isn't 0."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+    shape: tuple[int, int]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.values * w[self.columns], self.shape[0])
+
+    def transposed_times(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, self.values * g[self.rows], self.shape[1])
+
+
+def loss_and_gradient(x: Sparse, y: np.ndarray, weight: np.ndarray, at: np.ndarray, grades: int, ridge: float) -> tuple[float, np.ndarray]:
+    """The negative cumulative-link log likelihood with a ridge on the weights, and its gradient.
 
-    Thresholds are a first one and exp() of gaps, so they stay in order.
+    ``at`` holds a weight for each feature, the first threshold, and the logarithms of the
+    gaps to the next ones, so thresholds stay in order.
     """
+    w, free = at[: x.shape[1]], at[x.shape[1] :]
+    gaps = np.exp(free[1:])
+    t = free[0] + np.concatenate([[0.0], np.cumsum(gaps)])
+    s = 1 / (1 + np.exp(-np.clip(x.times(w)[:, None] - t, -30, 30)))  # P(grade >= k)
+    upper = np.where(y > 0, np.take_along_axis(s, np.maximum(y - 1, 0)[:, None], 1)[:, 0], 1.0)
+    lower = np.where(y < grades, np.take_along_axis(s, np.minimum(y, grades - 1)[:, None], 1)[:, 0], 0.0)
+    p = np.maximum(upper - lower, 1e-12)
+    up, down = upper * (1 - upper) / p, lower * (1 - lower) / p
+    k = np.arange(grades)
+    by_t = weight @ (down[:, None] * (k == y[:, None]) - up[:, None] * (k == (y - 1)[:, None]))
+    tail = np.cumsum(by_t[::-1])[::-1]
+    gradient = np.concatenate([x.transposed_times(weight * (up - down)) - ridge * w, [tail[0]], tail[1:] * gaps])
+    return float(ridge / 2 * w @ w - weight @ np.log(p)), -gradient
+
+
+def fit_ordinal(x: Sparse, y: np.ndarray, weight: np.ndarray, grades: int = GRADES, ridge: float = 1e-4, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and rising thresholds that minimise loss_and_gradient(), by L-BFGS until the gradient is all but 0."""
     weight = weight / weight.sum()
-    w, free = np.zeros(x.shape[1]), np.concatenate([[0.5], np.full(grades - 1, -0.5)])
-    at = np.arange(grades)
-    m = v = np.zeros(len(w) + grades)
-    for step in range(1, steps + 1):
-        gaps = np.exp(free[1:])
-        t = free[0] + np.concatenate([[0.0], np.cumsum(gaps)])
-        s = 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - t, -30, 30)))  # P(grade >= k)
-        upper = np.where(y > 0, np.take_along_axis(s, np.maximum(y - 1, 0)[:, None], 1)[:, 0], 1.0)
-        lower = np.where(y < grades, np.take_along_axis(s, np.minimum(y, grades - 1)[:, None], 1)[:, 0], 0.0)
-        p = np.maximum(upper - lower, 1e-12)
-        up, down = upper * (1 - upper) / p, lower * (1 - lower) / p
-        by_score = up - down
-        by_t = -(up[:, None] * (at[None, :] == (y - 1)[:, None])) + down[:, None] * (at[None, :] == y[:, None])
-        by_t = weight @ by_t
-        tail = np.cumsum(by_t[::-1])[::-1]
-        grad = -np.concatenate([x.T @ (weight * by_score) - ridge * w, [tail[0]], tail[1:] * gaps])
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        w, free = w - move[: len(w)], free - move[len(w) :]
-    return w, free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))])
+    at = np.concatenate([np.zeros(x.shape[1]), [0.5], np.full(grades - 1, -0.5)])
+    value, slope = loss_and_gradient(x, y, weight, at, grades, ridge)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        if np.abs(slope).max() < 1e-6:
+            break
+        way, shares = slope.copy(), []
+        for move, turn, inverse in reversed(past):
+            shares.append(inverse * (move @ way))
+            way -= shares[-1] * turn
+        if past:
+            way *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+        for (move, turn, inverse), share in zip(past, reversed(shares), strict=True):
+            way += (share - inverse * (turn @ way)) * move
+        length, fall = 1.0 if past else 1.0 / max(1.0, np.abs(way).sum()), way @ slope
+        while True:  # halved until the loss falls enough
+            new, (lower, after) = at - length * way, loss_and_gradient(x, y, weight, at - length * way, grades, ridge)
+            if lower <= value - 1e-4 * length * fall or length < 1e-12:
+                break
+            length /= 2
+        move, turn = new - at, after - slope
+        if move @ turn > 1e-12:
+            past = [*past[-19:], (move, turn, 1 / (move @ turn))]
+        elif length < 1e-12:
+            break
+        at, value, slope = new, lower, after
+    free = at[x.shape[1] :]
+    return at[: x.shape[1]], free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -133,15 +175,14 @@ def _fit(docs: DataFrame, labels: DataFrame, sample: int) -> Model:
                     hit = word_features(w) & features.keys()
                     own.update(dict.fromkeys((features[f] for f in hit), c))
                     hits += c * bool(hit & marks)
-                at.append(list(own)), counts.append(list(own.values())), marked.append(hits)
+                at.append(sorted(own)), counts.append([own[f] for f in sorted(own)]), marked.append(hits)
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(marked, pa.int64())], ["toxic", "at", "counts", "marked"])
 
         return step
 
     rows = map_rows(texts, sparse, "toxic int, at array<int>, counts array<int>, marked long", rows=64).collect()  # 2 * sample short rows at most
-    x = np.zeros((len(rows), len(features)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["at"]] = np.log1p(np.array(r["counts"], np.float32))
+    rows.sort(key=lambda r: (r["toxic"], r["marked"], r["at"], r["counts"]))  # sums don't depend on the order of rows
+    x = Sparse(np.repeat(np.arange(len(rows)), [len(r["at"]) for r in rows]), np.array([i for r in rows for i in r["at"]], np.int64), np.log1p(np.array([c for r in rows for c in r["counts"]], np.float64)), (len(rows), len(features)))
     toxic, marked = np.array([r["toxic"] == 1 for r in rows]), np.array([r["marked"] for r in rows])
     cuts = np.quantile(marked[toxic], [1 / 3, 2 / 3])
     grade = np.where(toxic, 1 + np.searchsorted(cuts, marked, "left"), 0)
