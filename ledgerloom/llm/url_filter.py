@@ -9,21 +9,18 @@ host edges, so a hot host's pages never meet in one task.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, save, scratch
+from .common import ascii_lower, save, scratch, scratch_path
 
 #: verdict, host, path. A rule fits its host and all subdomains if the path starts with its own.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: Share of a rank that follows links; the rest starts again from the seeds.
 DAMPING = 0.85
-#: Ranks have settled when their total change is below this. Each round shrinks it by DAMPING
-#: from 2 at most, so it takes ROUNDS at most.
+#: Ranks have settled when all that still moves is below this. Each round shrinks it by DAMPING
+#: at least, from 2, so some 90 rounds do.
 SETTLED = 1e-6
-ROUNDS = math.ceil(math.log(SETTLED / 2) / math.log(DAMPING))
 #: A host is blocked if its share of distrust in distrust and trust is above this.
 THRESHOLD = 0.5
 
@@ -57,31 +54,36 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagated(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """host, rank: personalised PageRank over (src, dst, links) from (host, seed).
+    """host, rank: personalised PageRank over (src, dst, links) from (host, seed); with a ``kind`` in both, for each kind.
 
-    Ranks of hosts without links return to the seeds. Rounds end when the ranks have settled
-    and reach no more hosts, at once where no link leaves a seed.
+    What leaves the seeds and follows k links is a table for each k, until all that still
+    moves is below SETTLED and reaches no more hosts, at once where no link leaves a seed. A
+    rank is the sum of a host's parts, over the sum of all: as ranks of hosts without links
+    return to the seeds, only the scale changes by that.
     """
-    total = seeds.agg(F.sum("seed")).first()[0] or 0.0
-    rank = seeds.select("host", (F.col("seed") / F.lit(total or 1.0)).alias("rank"))
-    if not total:
-        return rank
-    start = save(rank, "seeds")
-    out = edges.groupBy("src").agg(F.sum("links").alias("all"))
-    ways = save(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("all")).alias("share")), "ways")
-    rank = start
-    while True:
-        with scratch(edges.sparkSession):
-            moved = ways.join(rank, ways["src"] == rank["host"]).groupBy("dst").agg((DAMPING * F.sum(F.col("share") * F.col("rank"))).alias("in"))
-            moved = save(moved.select(F.col("dst").alias("host"), "in"), "moved")
-            kept = 1.0 - (moved.agg(F.sum("in")).first()[0] or 0.0)  # what starts again, from hosts without links too
-            new = start.select("host", (kept * F.col("rank")).alias("in")).unionByName(moved).groupBy("host").agg(F.sum("in").alias("rank"))
-            new = save(new, "rank", keep=True)
-            moves = F.sum(F.abs(F.coalesce("n.rank", F.lit(0.0)) - F.coalesce("r.rank", F.lit(0.0))))
-            change, reached = new.alias("n").join(rank.alias("r"), "host", "full").agg(moves, F.count_if(F.col("r.rank").isNull())).first()
-        rank = new
-        if (change or 0.0) < SETTLED and not reached:
-            return rank
+    spark = edges.sparkSession
+    if "kind" not in edges.columns:
+        return propagated(edges.withColumn("kind", F.lit("")), seeds.withColumn("kind", F.lit(""))).drop("kind")
+    total = seeds.groupBy("kind").agg(F.sum("seed").alias("total"))  # a row for each kind
+    with scratch(spark):
+        parts = [scratch_path(spark, "moved")]
+        seeds.join(F.broadcast(total), "kind").where("total > 0").select("kind", "host", (F.col("seed") / F.col("total")).alias("rank")).write.parquet(parts[0])
+        schema = "kind string, host string, rank double"
+        out = edges.groupBy("kind", "src").agg(F.sum("links").alias("all"))
+        ways = save(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (DAMPING * F.col("links") / F.col("all")).alias("share")), "ways")
+        while True:
+            moved = ways.join(spark.read.schema(schema).parquet(parts[-1]), ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("rank")).alias("rank"))
+            path = scratch_path(spark, "moved")
+            moved.write.parquet(path)
+            moved = spark.read.schema(schema).parquet(path)
+            moves = moved.agg(F.sum("rank")).first()[0]
+            if not moves or moves < SETTLED and moved.join(spark.read.schema(schema).parquet(*parts), ["kind", "host"], "left_anti").isEmpty():
+                break
+            parts.append(path)
+        rank = spark.read.schema(schema).parquet(*parts).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        rank = save(rank, "rank", keep=True)
+    whole = rank.groupBy("kind").agg(F.sum("rank").alias("whole"))  # a row for each kind
+    return rank.join(F.broadcast(whole), "kind").select("kind", "host", (F.col("rank") / F.col("whole")).alias("rank"))
 
 
 def host_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataFrame) -> DataFrame:
@@ -89,11 +91,12 @@ def host_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], edges: Da
     judged = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host <> ''")
     rule = matched(F.col("host"), F.col("path"), rules)["verdict"]
     seeds = judged.select("host", rule.alias("verdict")).where("verdict is not null")
-    seeds = save(seeds.groupBy("host").agg(F.count_if(F.col("verdict") == "allow").alias("allow"), F.count_if(F.col("verdict") == "block").alias("block")), "seeds")
-    trust = propagated(edges, seeds.where("allow > 0").select("host", F.col("allow").cast("double").alias("seed")))
-    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
-    distrust = propagated(against, seeds.where("block > 0").select("host", F.col("block").cast("double").alias("seed")))
-    both = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full").fillna(0.0, ["trust", "distrust"])
+    seeds = seeds.groupBy("host", F.when(F.col("verdict") == "allow", "trust").otherwise("distrust").alias("kind")).agg(F.count("*").cast("double").alias("seed"))
+    along = edges.select(F.lit("trust").alias("kind"), "src", "dst", "links")
+    against = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
+    rank = propagated(along.union(against), save(seeds, "seeds"))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
+    both = rank.groupBy("host").agg(of("trust"), of("distrust"))
     return both.withColumn("blocked", F.col("distrust") > THRESHOLD * (F.col("trust") + F.col("distrust")))
 
 
@@ -104,8 +107,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     allowed; so is a host that neither trust nor distrust reaches. Null html has no links.
     Repeated rows are judged alike; an empty table stays empty.
     """
-    edges = save(host_edges(pages), "host_edges")
-    hosts = save(host_verdicts(pages, rules, edges).where("blocked").select(F.col("host").alias("_host")), "blocked_hosts")
+    with scratch(pages.sparkSession):
+        edges = save(host_edges(pages), "host_edges")
+        hosts = save(host_verdicts(pages, rules, edges).where("blocked").select(F.col("host").alias("_host")), "blocked_hosts", keep=True)
     out = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     out = out.withColumn("found", matched(F.col("host"), F.col("path"), rules)).join(hosts, F.col("host") == F.col("_host"), "left")
     verdict = F.coalesce("found.verdict", F.when(F.col("_host").isNotNull(), "block").otherwise("allow"))
