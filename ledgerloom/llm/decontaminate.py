@@ -3,8 +3,13 @@
 A window of an item (its 10 consecutive words, or all words of a shorter item) lies in
 a document only if each of its word shingles does. So a window is looked for by one
 necessary shingle, the rarest by its count over all documents: the prefix of length one
-that full containment leaves, in an order by rarity. Matches are bounded by position
-and length and then verified word by word over the whole window.
+that full containment leaves, in an order by rarity.
+
+1. A pass over all documents counts the benchmark's shingles. It moves 8-byte hashes, and
+   notes which documents hold which.
+2. Each window's rarest shingle is its prefix; documents without any prefix are out.
+3. The others are read again. Their prefix shingles meet the windows, within the bounds that
+   position and length set, and each window is verified word by word.
 """
 
 from __future__ import annotations
@@ -18,8 +23,8 @@ from .common import ascii_lower, save, scratch
 WINDOW = 10
 #: Words of a shingle; windows of fewer words are their own shingle.
 SHINGLE = 5
-#: Up to so many benchmark shingles (8 bytes each) are broadcast; beyond, the join shuffles.
-MOST_BROADCAST_SHINGLES = 500_000
+#: Up to so many rows are broadcast if their words have no more than so many characters; beyond, joins shuffle.
+MOST_BROADCAST_SHINGLES, MOST_BROADCAST_CHARS = 500_000, 32 << 20
 
 #: What parts words, after A-Z are lower-cased: ASCII that is neither letter nor digit.
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -39,6 +44,27 @@ def _shingle(words: str, at: str, width: int) -> str:
     return f"xxhash64({width}, {', '.join(f'get({words}, {at} + {i})' for i in range(width))})"
 
 
+def _is_small(df: DataFrame, *texts: str) -> bool:
+    """Whether ``df`` may be broadcast, by a count of its rows and of the characters of ``texts``."""
+    chars = sum((F.length(c).cast("long") for c in texts), F.lit(0).cast("long"))
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(chars), F.lit(0))).first()
+    return rows <= MOST_BROADCAST_SHINGLES and size <= MOST_BROADCAST_CHARS
+
+
+def _few(df: DataFrame, *texts: str) -> DataFrame:
+    """``df``, marked for broadcast if it is small enough."""
+    return F.broadcast(df) if _is_small(df, *texts) else df
+
+
+def _positions(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """doc_id, text_hash, w (all words), at, key: each shingle of each document."""
+    spread = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))
+    # the outer form: for the other, Spark would filter by size(w) first and split each text twice
+    at = spread.select("doc_id", "text_hash", "w", F.posexplode_outer("w").alias("at", "_")).drop("_")
+    own = [F.expr(f"if(at + {q} <= size(w), {_shingle('w', 'at', q)}, null)") for q in widths]
+    return at.withColumn("key", own[0] if len(own) == 1 else F.explode(F.array(*own)))
+
+
 def windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(win: window, size, words), (item_id, win) of the distinct windows of all items."""
     worded = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).where("size(w) > 0")
@@ -62,26 +88,30 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     parts = wins.withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("size") - width))).withColumn("key", F.expr(key_by_width))
     parts = save(parts.select("win", "size", "words", "offset", "key"), "item_shingles")
     keys = save(parts.select("key").distinct(), "item_keys")
-    few = keys.count() <= MOST_BROADCAST_SHINGLES
 
-    # Each position of each document, but only those of a benchmark shingle go on.
-    spread = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))
-    at = spread.select("doc_id", "text_hash", "w", F.posexplode("w").alias("at", "_"))
-    own = [F.expr(f"if(at + {q} <= size(w), {_shingle('w', 'at', q)}, null)") for q in widths]
-    at = at.withColumn("key", own[0] if len(own) == 1 else F.explode(F.array(*own)))
-    met = at.join(F.broadcast(keys) if few else keys, "key")
+    # 1: no words travel, only the hash of each position, and only those of the benchmark's shingles go on
+    held = save(_positions(docs, widths).select("doc_id", "text_hash", "key").join(_few(keys), "key", "left_semi"), "held")
+    rarity = save(held.groupBy("key").agg(F.count("*").alias("count")), "rarity")
+
+    # 2
+    prefix = parts.join(rarity, "key").groupBy("win").agg(F.min(F.struct("count", "key", "offset")).alias("rarest"), F.count("*").alias("found"), F.first("size").alias("size"), F.first("words").alias("words"))
+    whole = F.col("found") == F.col("size") - F.least("size", F.lit(SHINGLE)) + 1  # a shingle that no document holds rules the window out
+    anchors = save(prefix.where(whole).select("win", "size", "words", F.col("rarest.key").alias("key"), F.col("rarest.offset").alias("offset")), "anchors")
+    holders = held.join(_few(anchors.select("key").distinct()), "key", "left_semi").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+    holders = save(holders, "holders")
+
+    # 3: if positions are shuffled, what verification needs of a text is cut out before
+    few = _few(holders)
+    again = docs.join(few, docs["doc_id"].eqNullSafe(few["_d"]) & (F.xxhash64(docs["text"]) == few["_h"]), "left_semi")
     reach = WINDOW - 1
-    met = met.select("doc_id", "text_hash", "key", "at", F.size("w").alias("n"), F.expr(f"slice(w, greatest(at - {reach}, 0) + 1, least(at, {reach}) + {WINDOW})").alias("near"), F.expr(f"least(at, {reach})").alias("before"))
-    met = save(met, "matches")
-
-    rarity = met.groupBy("key").agg(F.count("*").alias("count"))
-    anchors = parts.join(rarity, "key", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "key", "offset")).alias("rarest"), F.first("size").alias("size"), F.first("words").alias("words"))
-    anchors = save(anchors.where("rarest.count > 0").select("win", "size", "words", F.col("rarest.key").alias("key"), F.col("rarest.offset").alias("offset")), "anchors")
-    found = met.join(F.broadcast(anchors) if few else anchors, "key")
-    bounded = found.where("at - offset >= 0 and at - offset + size <= n")
+    near = F.expr(f"slice(w, greatest(at - {reach}, 0) + 1, least(at, {reach}) + {WINDOW})").alias("near")
+    cut = lambda at: at.select("doc_id", "text_hash", "key", "at", F.size("w").alias("n"), near, F.expr(f"least(at, {reach})").alias("before"))
+    met, prefixes = _positions(again, widths), anchors.select("key").distinct()
+    met = save(cut(met.join(F.broadcast(prefixes), "key", "left_semi")) if _is_small(prefixes) else cut(met).join(prefixes, "key", "left_semi"), "matches")
+    bounded = met.join(_few(anchors, "win", "win"), "key").where("at - offset >= 0 and at - offset + size <= n")
     verified = bounded.where("slice(near, before - offset + 1, size) = words")
     verified = verified.select("doc_id", "text_hash", F.expr("at - offset").alias("start"), "size", "win")
-    named = verified.join(F.broadcast(item_of) if few else item_of, "win")
+    named = verified.join(_few(item_of, "item_id", "win"), "win")
     return named.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "size")).alias("spans"), F.collect_set("item_id").alias("items"))
 
 
