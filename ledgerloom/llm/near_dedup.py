@@ -109,8 +109,11 @@ def sketches(docs: DataFrame, rows: int) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """node, hashes: the full shingle sets of the documents that ``ids`` (node) names."""
+def full_sets(docs: DataFrame, ids: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """node, hashes: the full shingle sets of the documents that ``ids`` (node) names.
+
+    With ``wanted`` (node, set_key), where rows may repeat a doc_id: one row of each wanted set.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     few = ids.count() <= MOST_BROADCAST_IDS
     texts = texts.join(F.broadcast(ids) if few else ids, "node", "left_semi")
@@ -119,22 +122,26 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         hashed = Hashed()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [np.sort(shingles(text, hashed).view(np.int64)) for text in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+            raw = [shingles(text, hashed) for text in batch.column(1).to_pylist()]
+            keys = [xxhash.xxh128_digest(hs.tobytes()) for hs in raw]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array([np.sort(hs.view(np.int64)) for hs in raw], pa.list_(pa.int64()))], ["node", "set_key", "hashes"])
 
         return step
 
-    return map_rows(texts, make, "node long, hashes array<long>")
+    sets = map_rows(texts, make, "node long, set_key binary, hashes array<long>")
+    if wanted is None:
+        return sets.drop("set_key")
+    return sets.join(wanted, ["node", "set_key"], "left_semi").dropDuplicates(["node", "set_key"])
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, percent: int, wanted: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
     Each text is shingled once; a set travels once for each pair it is in.
     """
     pairs = save(pairs, "pairs")
     ids = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
-    sets = save(full_sets(docs, ids), "sets")
+    sets = save(full_sets(docs, ids, wanted), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -222,7 +229,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Two documents are linked if 100 * |A and B| >= percent * |A or B| for their sets of
     5-word shingles; component_id is the least doc_id reachable. Null, empty and blank
     texts have no shingles and are linked with nothing. Rows that repeat a doc_id count
-    as one document with links of them all. A null doc_id gets a null component_id and
+    as one document with links of them all, so they have one component_id, unless their
+    text has no words. A null doc_id gets a null component_id and
     is kept. An empty table gives an empty result; other columns are ignored.
     """
     with scratch(docs.sparkSession):
@@ -234,6 +242,13 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     worded = base.where("n_shingles > 0 and doc_id is not null")
     classes = save(worded.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
     nodes = save(worded.join(classes.select(F.col("node").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"]).withColumnRenamed("doc_id", "node"), "nodes")
+    # a doc_id with several texts links their classes
+    repeated = save(worded.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated")
+    wanted, same = None, None
+    if not repeated.isEmpty():
+        wanted = nodes.select("node", "set_key")
+        same = worded.select("doc_id", "set_key").join(repeated, "doc_id", "left_semi").distinct().join(classes, "set_key")
+        same = save(same.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct(), "same")
     met = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = save(met.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     members = save(met.join(shared, "bucket"), "members")
@@ -243,8 +258,8 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     # of the hubs it meets, a node is linked to the one that meets most: an edge a node at most
     own = members.join(hubs, "bucket").where("node <> hub.node").groupBy("node").agg(F.min("hub").alias("hub"))
     stars = own.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-    links = confirmed(docs, stars, percent)
-    comp = save(components(links), "components")
+    links = confirmed(docs, stars, percent, wanted)
+    comp = save(components(links if same is None else links.union(same)), "components")
 
     # Links that the stars can't see run between components that still share a bucket.
     labelled = members.select("bucket", "node", "n_shingles").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -252,11 +267,13 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"), F.sum("n_shingles").alias("hashes")).where("lo <> hi")
     split = save(split.select("bucket", F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("hashes") / BLOCK_HASHES)).cast("int").alias("blocks")), "split")
     left = save(labelled.drop("n_shingles").join(split, "bucket"), "left")
-    sets = save(full_sets(docs, left.select("node").distinct()), "sets")
-    about = save(nodes.select("node", "n_shingles", "sig", "bands").join(sets, "node"), "about")
+    sets = save(full_sets(docs, left.select("node").distinct(), wanted), "sets")
+    about = save(nodes.select("node", "set_key", "n_shingles", "sig", "bands").join(sets, "node" if wanted is None else ["node", "set_key"]).drop("set_key"), "about")
     left = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     left = left.select("bucket", "i", "j", "block", "node", "component").join(about, "node")
+    if wanted is not None:
+        left = left.where(F.array_contains("bands", F.col("bucket")))  # the sets of a node that are in the bucket
     wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of our own, as these tasks are short of bytes but not of work
     found = left.repartition(wide, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
     comp = save(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)), "components")
