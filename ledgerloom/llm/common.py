@@ -132,6 +132,15 @@ def free_prefix(df: DataFrame) -> str:
     return prefix
 
 
+#: Up to so many rows of a few numbers are broadcast (some 32 MB); beyond, a join shuffles.
+MOST_BROADCAST_ROWS = 1_000_000
+
+
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a text, so that what was found in it can be joined to it again without a copy of it."""
+    return F.xxhash64(text), F.xxhash64(F.lit(7), text)
+
+
 #: Odd multiplier of the rolling word-sequence hash.
 STEP = np.uint64(0x9E3779B97F4A7C15)
 

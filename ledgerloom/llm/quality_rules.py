@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_prefix, save, scratch
@@ -27,7 +27,7 @@ DELTA = 0.05
 FIRST, RATIO, CUTOFFS = 0.05, 1.1, 60
 #: Cutoffs of up to so many strata are broadcast; more are joined by a shuffle.
 MOST_BROADCAST_STRATA = 100_000
-#: The stratum of null languages.
+#: The stratum of null languages; those of others begin with "=".
 OTHER = "*"
 
 #: Where a rate is usual in bad text: symbols and capitals and exclamation marks in all
@@ -38,6 +38,7 @@ LIMITS = {"symbols": 0.10, "marks": 0.08, "capitals": 0.50, "dup_lines": 0.50, "
 #: The backslashes are doubled for SQL literals.
 _SPACE = r"[\\x20\\x09-\\x0D]+"
 _WORD = r"[^\\x20\\x09-\\x0D]"
+_WINDOW_HASH = "xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2))"
 
 
 def measure(docs: DataFrame, into: str = "rules") -> DataFrame:
@@ -45,7 +46,9 @@ def measure(docs: DataFrame, into: str = "rules") -> DataFrame:
 
     Null text counts as empty. Repeated words are those in 3-word windows found twice or
     more: window hashes and positions share one sorted array of longs, and neighbours that
-    share a hash are compared word by word.
+    share a hash are compared word by word. Where two different windows share one, the
+    windows themselves are sorted. Save the result before filtering by it, or Spark may
+    measure texts more than once.
     """
     t = "coalesce(cast(text as string), '')"
     p = free_prefix(docs)
@@ -53,9 +56,11 @@ def measure(docs: DataFrame, into: str = "rules") -> DataFrame:
     # counted where words and lines are known; Catalyst keeps such projections apart
     step = docs.selectExpr("*", *map(own, (f"{t} as _t", f"array_remove(split({t}, '{_SPACE}'), '') as _w", f"filter(split({t}, '\\n'), x -> x rlike '{_WORD}') as _l",)))
     step = step.selectExpr("*", *map(own, ("size(_w) as _n", "cast(ceil(log2(size(_w) + 2)) as int) as _b",)))
-    step = step.selectExpr("*", *map(own, ("if(_n < 3, cast(array() as array<bigint>), sort_array(transform(sequence(0, _n - 3), i -> shiftleft(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)), _b) | i))) as _s",)))
+    step = step.selectExpr("*", *map(own, (f"if(_n < 3, cast(array() as array<bigint>), sort_array(transform(sequence(0, _n - 3), i -> shiftleft({_WINDOW_HASH}, _b) | i))) as _s",)))
     step = step.selectExpr("*", *map(own, ("if(size(_s) < 2, cast(array() as array<struct<p:int,q:int>>), filter(zip_with(slice(_s, 1, size(_s) - 1), slice(_s, 2, size(_s) - 1), (x, y) -> if(shiftright(x ^ y, _b) = 0, struct(cast(x & (shiftleft(1L, _b) - 1) as int) as p, cast(y & (shiftleft(1L, _b) - 1) as int) as q), null)), z -> z is not null)) as _z",)))
-    step = step.selectExpr("*", *map(own, ("array_sort(array_distinct(flatten(transform(filter(_z, z -> get(_w, z.p) = get(_w, z.q) and get(_w, z.p + 1) = get(_w, z.q + 1) and get(_w, z.p + 2) = get(_w, z.q + 2)), z -> array(z.p, z.q))))) as _p",)))
+    same = "get(_w, z.p) = get(_w, z.q) and get(_w, z.p + 1) = get(_w, z.q + 1) and get(_w, z.p + 2) = get(_w, z.q + 2)"
+    step = step.selectExpr("*", *map(own, (f"if(forall(_z, z -> {same}), cast(array() as array<struct<k:string,i:int>>), sort_array(transform(sequence(0, _n - 3), i -> named_struct('k', concat_ws(' ', get(_w, i), get(_w, i + 1), get(_w, i + 2)), 'i', i)))) as _e",)))
+    step = step.selectExpr("*", *map(own, ("array_sort(array_distinct(flatten(if(size(_e) = 0, transform(_z, z -> array(z.p, z.q)), filter(zip_with(slice(_e, 1, size(_e) - 1), slice(_e, 2, size(_e) - 1), (x, y) -> if(x.k = y.k, array(x.i, y.i), null)), z -> z is not null))))) as _p",)))
     counts = {
         "n_words": "cast(_n as bigint)",
         "word_chars": "cast(length(translate(_t, ' \\t\\n\\u000B\\u000C\\r', '')) as bigint)",
@@ -73,18 +78,20 @@ def measure(docs: DataFrame, into: str = "rules") -> DataFrame:
     bucket = f"cast(least({CUTOFFS}, ceil(ln(greatest(_r / {FIRST}, 1D)) / {math.log(RATIO)})) as int)"
     failed = "_c.n_words < 50 or 100 * _c.n_repeat_words > 50 * _c.n_words"
     fields = [f"'{k}', _c.{k}" for k in counts] + ["'risk', _r", f"'bucket', {bucket}", f"'base_failed', {failed}"]
-    # floor(rand()) is 0; it keeps filters on the counts above them, where they aren't computed again
-    fields = [f.replace("'bucket', ", "'bucket', cast(floor(rand()) as int) + ") for f in fields]
     return step.selectExpr(*[f"`{c}`" for c in docs.columns], own(f"named_struct({', '.join(fields)})") + f" as `{into}`")
 
 
+def stratum_of(lang: Column) -> Column:
+    return F.when(lang.isNull(), OTHER).otherwise(F.concat(F.lit("="), lang.cast("string")))
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, rules: str = "rules") -> DataFrame:
     """stratum, cutoff: the chosen bucket for each stratum that has a certified one.
 
     A document is rejected if its bucket is above the cutoff. Each labelled language is a stratum, and null ones are one.
     """
     good = F.col("quality") == 1
-    held = measured.select(F.col("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit(OTHER)).alias("lang"), F.col(f"{rules}.bucket").alias("bucket")).join(labels.where("quality in (0, 1)").select("doc_id", "quality"), "doc_id")
+    held = measured.select(F.col("doc_id"), stratum_of(F.col("lang")).alias("lang"), F.col(f"{rules}.bucket").alias("bucket")).join(labels.where("quality in (0, 1)").select("doc_id", "quality"), "doc_id")
     counts = held.groupBy("lang", "bucket").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"))
     counts = save(counts, "rule_counts")
     counts = counts.withColumnRenamed("lang", "stratum")
@@ -127,7 +134,6 @@ def judge_by(measured: DataFrame, table: DataFrame, rules: str = "rules", kept:
     stratum, cutoff = (free_prefix(measured) + n for n in ("stratum", "cutoff"))
     own = table.where("cutoff is not null").select(F.col("stratum").alias(stratum), F.col("cutoff").alias(cutoff))
     few = own.count() <= MOST_BROADCAST_STRATA
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit(OTHER))
-    out = measured.join(F.broadcast(own) if few else own, lang == F.col(stratum), "left")
+    out = measured.join(F.broadcast(own) if few else own, stratum_of(F.col("lang")) == F.col(stratum), "left")
     fine = F.col(f"{rules}.bucket") <= F.coalesce(cutoff, F.lit(CUTOFFS))
     return out.withColumn(kept, ~F.col(f"{rules}.base_failed") & fine).drop(stratum, cutoff)

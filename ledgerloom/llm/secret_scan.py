@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_prefix, save, scratch
+from .common import MOST_BROADCAST_ROWS, free_prefix, save, scratch, text_keys
 
 #: Share of false finds that is allowed among the battery's finds.
 FDR = 0.01
@@ -172,11 +172,17 @@ def redact(docs: DataFrame, marker: str = "[SECRET]") -> DataFrame:
     n_chars, where there is one, becomes the new length. Texts without finds stay as they are.
     """
     columns, p = docs.columns, free_prefix(docs)
-    found, cuts, own = f"{p}found", f"{p}cuts", f"{p}spans"
-    with scratch(docs.sparkSession):
-        least = thresholds(scan(docs, found), found)
-    # the texts are scanned once more rather than written with their finds
-    step = spans(scan(docs, found), least, found, own)
+    found, cuts, own, a, b = (p + n for n in ("found", "cuts", "spans", "a", "b"))
+    keys = dict(zip((a, b), text_keys(F.col("text")), strict=True))
+    with scratch(docs.sparkSession):  # only finds are written, not the texts, which are read once more
+        any_find = " or ".join(f"size({found}.{k}) > 0" for k in ("assign", "access", "hex", "tokens"))
+        scanned = save(scan(docs.select("text"), found).withColumns(keys).select(a, b, found), "scanned")
+        told = spans(scanned.where(any_find), thresholds(scanned, found), found, own).where(f"size({own}) > 0").select(a, b, own).dropDuplicates([a, b])
+        told = save(told, "told", keep=True)
+    size = told.agg(F.count("*") + F.coalesce(F.sum(F.size(own)), F.lit(0))).first()[0]
+    step = docs.withColumns({f"{k}_": v for k, v in keys.items()})
+    step = step.join(F.broadcast(told) if size <= MOST_BROADCAST_ROWS else told, (step[f"{a}_"] == told[a]) & (step[f"{b}_"] == told[b]), "left")
+    step = step.withColumn(own, F.coalesce(own, F.array().cast(told.schema[own].dataType)))
     merged = f"aggregate({own}, cast(array() as array<struct<s:int,e:int>>), (a, x) -> if(size(a) > 0 and x.start < element_at(a, -1).e, concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.end)))), array_append(a, named_struct('s', x.start, 'e', x.end))))"
     step = step.withColumn(cuts, F.expr(merged))
     starts = f"concat(array(0), transform({cuts}, x -> x.e))"

@@ -30,7 +30,7 @@ def sets(texts):
     return out
 
 
-def components(own):
+def components(own, percent=85):
     parent = {i: i for i in own}
 
     def root(x):
@@ -41,7 +41,7 @@ def components(own):
     ids = sorted(own)
     for a in ids:
         for b in ids:
-            if b < a and own[a] and own[b] and 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b]):
+            if b < a and own[a] and own[b] and 100 * len(own[a] & own[b]) >= percent * len(own[a] | own[b]):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return {i: root(i) for i in ids}
@@ -76,6 +76,42 @@ def test_near_duplicates_chain_and_cluster(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == want
 
 
+def test_repeated_ids_are_one_document(spark):
+    """A doc_id with several texts links the documents that are like either."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, a), (7, a), (7, b), (9, b), (11, "alone in this"), (11, "alone in this"), (12, "alone in this"), (3, ""), (3, b + " more")]
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 56): (3, False), (7, 56): (3, False), (9, 56): (3, False), (11, 1): (11, True), (12, 1): (11, False), (3, 0): (3, True), (3, 57): (3, True)}
+
+
+def test_repeated_ids_as_brute_force(spark):
+    """Random families of texts over random ids; each id may have several."""
+    rng = np.random.default_rng(8)
+    centres = [list(rng.choice([f"w{i}" for i in range(900)], 90)) for _ in range(6)]
+    rows = []
+    for _ in range(140):
+        own = list(centres[rng.integers(6)])
+        for at in rng.choice(90, rng.integers(0, 4), replace=False):
+            own[at] = f"n{rng.integers(40)}"
+        rows.append((int(rng.integers(110)), " ".join(own)))
+    own = sets(enumerate(t for _, t in rows))
+    linked = components(own)  # of rows
+    least = {}
+    for i in range(len(rows)):  # rows of an id are linked too: take the least id until nothing changes
+        least[i] = rows[i][0]
+    while True:
+        by_class, by_id = {}, {}
+        for i, (d, _) in enumerate(rows):
+            by_class[linked[i]] = min(by_class.get(linked[i], 1 << 30), least[i])
+            by_id[d] = min(by_id.get(d, 1 << 30), least[i])
+        new = {i: min(by_class[linked[i]], by_id[d]) for i, (d, _) in enumerate(rows)}
+        if new == least:
+            break
+        least = new
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(d, least[i]) for i, (d, _) in enumerate(rows)}
+
+
 def test_near_duplicates_edges(spark):
     got = near_dedup.near_duplicates(table(spark, ODD)).collect()
     assert len(got) == len(ODD) + 3
@@ -163,6 +199,23 @@ def test_quality_counts_as_brute_force(spark):
         assert q.base_failed == (q.n_words < 50 or 100 * q.n_repeat_words > 50 * q.n_words)
 
 
+def test_repeated_words_where_windows_share_a_hash(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "_WINDOW_HASH", "cast(length(get(_w, i)) as bigint)")
+    texts = ["a b c d a b c x y z a b c", "a b c d e f", "q w e r t y q w e", "a a a a", *[r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(40).collect()]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.rules.n_repeat_words for r in quality_rules.measure(docs).collect()} == {i: counts(t)[4] for i, t in enumerate(texts)}
+
+
+def test_odd_languages(spark):
+    """Null languages, one called as the stratum of null ones is, columns called as the operator's own."""
+    rows = [(i, ("*", None, "de")[i % 3], 1, 2, (50 if i % 2 else 0, False)) for i in range(3000)]
+    measured = spark.createDataFrame(rows, "doc_id long, lang string, stratum int, cutoff int, rules struct<bucket:int,base_failed:boolean>")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(3000) if i % 3 != 0], "doc_id long, quality int")
+    judged = quality_rules.judge(measured, labels)
+    assert judged.columns == [*measured.columns, "kept"]
+    assert {r.doc_id: r.kept for r in judged.collect()} == {i: i % 2 == 0 or i % 3 == 0 for i in range(3000)}  # "*" has no labels
+
+
 def test_cutoffs_bound_false_rejection(spark):
     """With enough good documents a cutoff between good and bad is certified; with few, none is."""
     fine = " ".join(f"word{i}" for i in range(80))

@@ -42,6 +42,14 @@ def test_pieces_as_the_library(codec, library, text):
     assert codec.decode([*ids, codec.end_id]) == library.decode(ids)
 
 
+def test_merging_is_the_way_out(library):
+    """Where no sequence is said to fit, the whole text is merged."""
+    own = piece_codec.PieceCodec(public_tokenizers.path(PIECES))
+    own.fit = lambda left, right: False
+    for text in ("hello there", "a\u0394\U0001f642b", "internationalisation"):
+        assert own.encode(text) == library.encode(text)
+
+
 def test_any_ids_decode_as_in_the_library(codec, library):
     rng = random.Random(3)
     for _ in range(1500):

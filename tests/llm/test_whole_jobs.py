@@ -1,8 +1,12 @@
 """Corpus operators past the sizes, depths and thresholds that the given tables have."""
 
+import math
+import re
+
 import numpy as np
 
-from ledgerloom.llm import near_dedup, quality_rules, secret_scan, url_filter
+from ledgerloom.llm import decontaminate, near_dedup, quality_rules, secret_scan, url_filter
+from ledgerloom.llm.common import save
 
 
 def test_bands_follow_the_threshold():
@@ -50,3 +54,100 @@ def test_keys_in_mixed_runs_are_tested(spark):
     found = [any(s.startswith("random:") and s.endswith(f":{len(t)}") for s in got[i]) for i, t in enumerate(texts)]
     assert sum(found) >= 20 and got[100] == [""]
     assert sum("[SECRET]" in r.text and keys[r.doc_id] not in r.text for r in secret_scan.redact(docs.where("doc_id < 100")).collect()) >= 20
+
+
+def battery(token):
+    """(random by the smallest of three p-values, that p, stratum, step) of one token, straight from the formulas."""
+    abc = next(letters for _, pattern, letters in secret_scan.ENCODINGS if re.fullmatch(pattern, token))
+    n, k, upper = len(token), len(abc), lambda z: math.erfc(z / math.sqrt(2)) / 2
+    same = sum(token.count(ch) ** 2 for ch in abc)
+    spread = 2 / (9 * (k - 1))
+    chi = (max(k / n * same - n, 0) / (k - 1)) ** (1 / 3) - (1 - spread)
+    at = [abc.index(ch) + 1 for ch in token]
+    high = [a > k / 2 for a in at]
+    up, mean = sum(high), sum(at) / n
+    expected = 2 * up * (n - up) / n + 1
+    runs = abs(1 + sum(a != b for a, b in zip(high, high[1:])) - expected) / math.sqrt(max(expected - 1, 1e-9) * max(expected - 2, 1e-9) / (n - 1))
+    lag, var = sum((a - mean) * (b - mean) for a, b in zip(at, at[1:])), sum((a - mean) ** 2 for a in at)
+    serial = abs(lag / max(var, 1e-9) + 1 / n) * math.sqrt(n)
+    least = min(upper(chi / math.sqrt(spread)), 2 * upper(runs), 2 * upper(serial))
+    s2, s3 = secret_scan.ORDINARY
+    z = -((same - n) / 2 - n * (n - 1) / 2 * s2) / math.sqrt(n * (n - 1) / 2 * (s2 - s2 * s2) + n * (n - 1) * (n - 2) * (s3 - s2 * s2))
+    ln_p = math.log(upper(z)) + (n * math.log(secret_scan.HEX_SHARE) if k == 16 else 0)
+    return 3 * least >= secret_scan.LEAST_P, 3 * least, min(secret_scan.TOP_STRATUM, int(math.log2(n / secret_scan.LEAST_LENGTH))), min(secret_scan.MOST_STEPS, int(max(-ln_p, 0)))
+
+
+def test_battery_and_discovery_rate_as_brute_force(spark):
+    rng = np.random.default_rng(11)
+    draw = lambda abc, n: "".join(rng.choice(list(abc), n))
+    tokens = [draw(abc, int(n)) for _, _, abc in secret_scan.ENCODINGS for n in (20, 24, 31, 40, 64, 90, 200, 700)] * 2
+    tokens += ["a" * 30, "ab" * 40, "internationalisationandlocalisation", "0123456789abcdef" * 4, "thequickbrownfoxjumpsoverthelazydog" * 3]
+    scanned = save(secret_scan.scan(spark.createDataFrame(list(enumerate(tokens)), "doc_id long, text string")), "scanned")
+    got = {r.doc_id: r.found.tokens for r in scanned.collect()}
+    told = []
+    for i, token in enumerate(tokens):
+        (own,) = got[i]
+        random, p, stratum, step = battery(token)
+        assert (own.start, own.end, own.stratum) == (0, len(token), stratum) and abs(own.step - step) <= 1 + step // 50
+        assert own.random == random or 0.8 < p / secret_scan.LEAST_P < 1.25  # the tail is within a few per cent
+        told.append((own.stratum, own.step, own.random))
+    want = {}
+    for stratum in {s for s, _, _ in told}:
+        steps = [(step, random) for s, step, random in told if s == stratum]
+        fits = [x for x in {x for x, _ in steps} if 0 < (above := sum(r for y, r in steps if y >= x)) and math.exp(-x) <= secret_scan.FDR * above / len(steps)]
+        if fits:
+            want[stratum] = min(fits)
+    assert secret_scan.thresholds(scanned) == want
+
+
+def test_recall_by_encoding_and_length(spark):
+    """Shares of random keys found among ordinary words; README gives the same figures."""
+    rng = np.random.default_rng(12)
+    rows, kinds = [], [("hex", "0123456789abcdef"), ("base32", secret_scan.ENCODINGS[2][2]), ("base62", secret_scan.ENCODINGS[4][2]), ("base64", secret_scan.ENCODINGS[5][2])]
+    for name, abc in kinds:
+        for n in (24, 40, 64, 90, 128):
+            rows += [(name, n, f"the key {''.join(rng.choice(list(abc), n))} is here") for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: "random:" in r.spans or "hex:" in r.spans for r in secret_scan.report(docs).collect()}
+    share = {(name, n): sum(found[i] for i, (a, b, _) in enumerate(rows) if (a, b) == (name, n)) / 60 for name, _ in kinds for n in (24, 40, 64, 90, 128)}
+    print(share)
+    assert all(share[name, n] >= 0.9 for name, _ in kinds for n in (90, 128)) and share["hex", 40] == 1
+
+
+def outputs(fields):
+    """The fields of a projection, from its text behind the opening bracket."""
+    out, depth = [""], 0
+    for ch in fields:
+        depth += (ch in "([") - (ch in ")]")
+        if depth < 0:
+            break
+        out = [*out, ""] if ch == "," and not depth else [*out[:-1], out[-1] + ch]
+    return [f.strip() for f in out]
+
+
+def test_decontamination_shuffles_no_whole_text(spark, monkeypatch):
+    """Nothing broadcast: the same rows, and no exchange of positions carries the words of a document."""
+    from ..conftest import SMALL
+    from .test_dedup_and_rules import leaks
+
+    plans, kept = {}, decontaminate.save
+
+    def watched(df, label, **more):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        return kept(df, label, **more)
+
+    monkeypatch.setattr(decontaminate, "save", watched)
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST_SHINGLES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+        got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
+    want = leaks([(r.doc_id, r.text) for r in docs.collect()], items)
+    assert {i: (x[1], x[2], x[4]) for i, x in want.items()} == got
+    for label in ("held", "matches"):
+        below = [b.split("Project [", 1)[1] for a, b in zip(plans[label], plans[label][1:]) if "Exchange hashpartitioning(key" in a and "Project [" in b]
+        assert below and not any(f.startswith("w#") for b in below for f in outputs(b))
+        assert not any("Filter (size(array_remove(split(" in x for x in plans[label])  # each text is split once
