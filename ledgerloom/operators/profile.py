@@ -41,76 +41,62 @@ def as_text(df: DataFrame, name: str) -> Column:
     return F.col(f"`{name}`").cast("string")
 
 
-def _stats(name: str, kind: str, raw: Column, t: Column, shape: Column, mark: Column, places: Column, reads_as: str) -> Column:
-    """The one-pass statistics of a column as a struct, from its values, the trimmed text, its shape, and its decimal separator and places if it is an amount.
-
-    ``reads_as`` is what its values should be. Only text can be blank or spell something wrongly.
-    """
-    text = raw.cast("string")
-    null = F.lit(None)
-    is_text = kind == "text"
-    number = (to_number(t, True) if is_text else raw.cast("double")) if reads_as == "number" else null.cast("double")
-    instant = (to_instant(t, True) if is_text else raw.cast("timestamp_ntz")) if reads_as == "datetime" else null.cast("timestamp_ntz")
-    filled = t.isNotNull() & (t != "") if is_text else raw.isNotNull()
-    invalid = {
-        "number": filled & number.isNull(),
-        "datetime": filled & instant.isNull(),
-        "boolean": filled & ~F.lower(t).isin(PROFILE_BOOLEANS),
-        "guid": filled & ~t.rlike(GUID),
-        "email": filled & ~t.rlike(EMAIL_SHAPE),
-    }.get(reads_as, F.lit(False))
-    length = F.length(text) if is_text else null.cast("int")
-    words = F.array(*map(F.lit, BOOLEAN_WORDS))
-    spelling = F.when(shape == "BOOLEAN", F.pow(F.lit(2), F.array_position(words, F.lower(t))).cast("int"))
-    count = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
-    return F.struct(
-        F.lit(name).alias("field"),
-        F.count("*").alias("examined"),
-        count(raw.isNull()).alias("null_count"),
-        (count(raw.isNotNull() & (t == "")) if is_text else F.max(F.lit(0).cast("long"))).alias("blank_count"),
-        (count(filled & (t != text)) if is_text else F.max(F.lit(0).cast("long"))).alias("whitespace_count"),
-        F.min(length).alias("min_length"),
-        F.max(length).alias("max_length"),
-        round_half_up(F.avg(length), 1).alias("avg_length"),
-        F.min(number).alias("min_number"),
-        F.max(number).alias("max_number"),
-        round_half_up(F.avg(number), 6).alias("avg_number"),
-        F.max(places if reads_as == "number" else null.cast("int")).alias("max_scale"),
-        F.min(instant).alias("min_date"),
-        F.max(instant).alias("max_date"),
-        count(invalid).alias("invalid_count"),
-        (count(invalid) if reads_as == "datetime" else F.max(F.lit(0).cast("long"))).alias("invalid_date_count"),
-        F.max(places).alias("max_decimals"),
-        count(places > 2).alias("over_two_decimals"),
-        (F.coalesce(F.bool_or(mark == "."), F.lit(False)).cast("int") + F.coalesce(F.bool_or(mark == ","), F.lit(False)).cast("int")).alias("decimal_marks"),
-        F.coalesce(F.bit_count(F.bit_or(spelling)), F.lit(0)).alias("boolean_spellings"),
-        *[count(shape == s).alias(f"{s.lower()}_shapes") for s in SHAPES],
-    )
-
-
 def column_stats(df: DataFrame, columns: Sequence[str] | None = None, reads_as: dict[str, str] | None = None) -> DataFrame:
     """A row of one-pass statistics for each column: counts, lengths, ranges, invalid values, shapes.
 
     ``reads_as`` overrides what a column's values should be: number, datetime, boolean,
-    guid, email or text; by default what its type says. The whole table is read once.
+    guid, email or text; by default what its type says. Only text can be blank or spell
+    something wrongly. The whole table is read once, a cell a row, and added up by column
+    before anything is shuffled; so a plan is as long for one column as for hundreds.
     """
     names = profilable(df, columns)
-    reads = {n: (reads_as or {}).get(n, kind_of(df.schema[n].dataType)) for n in names}
-    kinds = {n: kind_of(df.schema[n].dataType) for n in names}
-    # Texts are trimmed once, then shaped once, in projections of their own.
-    values = df.select(*[F.col(f"`{n}`").alias(f"v{i}") for i, n in enumerate(names)])
-    trimmed = values.select("*", *[js_trim(F.col(f"v{i}").cast("string")).alias(f"t{i}") for i, n in enumerate(names) if kinds[n] == "text"])
-    shaped = trimmed.select("*", *[shape_of(F.col(f"t{i}"), True).alias(f"h{i}") for i, n in enumerate(names) if kinds[n] == "text"])
-    texts = [i for i, n in enumerate(names) if kinds[n] == "text"]
-    amount = lambda i, c: F.when(F.col(f"h{i}").isin("NUMBER", "CURRENCY"), c)
-    marked = shaped.select("*", *[amount(i, decimal_separator(F.col(f"t{i}"))).alias(f"m{i}") for i in texts])
-    placed = marked.select("*", *[amount(i, decimal_places(F.col(f"t{i}"), F.col(f"m{i}"))).alias(f"d{i}") for i in texts])
-    none = F.lit(None).cast("string")
-    own = lambda i: tuple(F.col(f"{k}{i}") for k in "thmd") if i in texts else (F.col(f"v{i}").cast("string"), none, none, none.cast("int"))
-    of = lambda i, n: _stats(n, kinds[n], F.col(f"v{i}"), *own(i), reads[n])
-    # One struct of aggregates for each column: Catalyst computes them all in one partial aggregation.
-    wide = placed.agg(*[of(i, n).alias(f"s{i}") for i, n in enumerate(names)])
-    return wide.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(names))]))).withColumn("null_percent", percent(F.col("null_count"), F.col("examined")))
+    kinds = [kind_of(df.schema[n].dataType) for n in names]
+    reads = [(reads_as or {}).get(n, k) for n, k in zip(names, kinds, strict=True)]
+    c = F.col
+
+    def cell(i: int, n: str, k: str) -> Column:
+        v = F.col(f"`{n}`")
+        number = v.cast("double") if k == "number" else F.lit(None).cast("double")
+        instant = v.cast("timestamp_ntz") if k == "datetime" else F.lit(None).cast("timestamp_ntz")
+        return F.struct(F.lit(i).alias("i"), v.cast("string").alias("text"), number.alias("n"), instant.alias("at"))
+
+    cells = df.select(F.explode(F.array(*[cell(i, n, k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))])).alias("c")).select("c.*") if names else None
+    spark = df.sparkSession
+    every = spark.createDataFrame([(i, n, k == "text", r) for i, (n, k, r) in enumerate(zip(names, kinds, reads, strict=True))], "i int, field string, is_text boolean, reads string")
+    if cells is None:
+        cells = spark.createDataFrame([], "i int, text string, n double, at timestamp_ntz")
+    # texts are trimmed once, then shaped once, in projections of their own
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values or [None])), c("i") + 1)
+    own = cells.withColumns({"is_text": pick([k == "text" for k in kinds]), "reads": pick(reads)})
+    own = own.withColumn("t", F.when(c("is_text"), js_trim(c("text"))).otherwise(c("text")))
+    own = own.withColumn("shape", F.when(c("is_text"), shape_of(c("t"), True)))
+    amount = c("shape").isin("NUMBER", "CURRENCY")
+    own = own.withColumn("mark", F.when(amount, decimal_separator(c("t"))))
+    is_a = lambda r: c("reads") == r
+    own = own.withColumns({
+        "places": F.when(amount, decimal_places(c("t"), c("mark"))),
+        "n": F.when(is_a("number"), F.when(c("is_text"), to_number(c("t"), True)).otherwise(c("n"))),
+        "at": F.when(is_a("datetime"), F.when(c("is_text"), to_instant(c("t"), True)).otherwise(c("at"))),
+        "filled": c("t").isNotNull() & (~c("is_text") | (c("t") != "")),
+    })
+    t, filled = c("t"), c("filled")
+    bad = (
+        F.when(is_a("number"), c("n").isNull()).when(is_a("datetime"), c("at").isNull()).when(is_a("boolean"), ~F.lower(t).isin(PROFILE_BOOLEANS))
+        .when(is_a("guid"), ~t.rlike(GUID)).when(is_a("email"), ~t.rlike(EMAIL_SHAPE)).otherwise(False)
+    )
+    own = own.withColumns({"bad": filled & bad, "length": F.when(c("is_text"), F.length("text")), "spelling": F.when(c("shape") == "BOOLEAN", F.pow(F.lit(2), F.array_position(F.array(*map(F.lit, BOOLEAN_WORDS)), F.lower(t))).cast("int"))})
+    count = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
+    counts = {
+        "examined": F.count("*"), "null_count": count(c("text").isNull()), "blank_count": count(c("is_text") & (t == "")), "whitespace_count": count(c("is_text") & filled & (t != c("text"))),
+        "min_length": F.min("length"), "max_length": F.max("length"), "avg_length": round_half_up(F.avg("length"), 1), "min_number": F.min("n"), "max_number": F.max("n"), "avg_number": round_half_up(F.avg("n"), 6),
+        "max_scale": F.max(F.when(is_a("number"), c("places"))), "min_date": F.min("at"), "max_date": F.max("at"), "invalid_count": count(c("bad")), "invalid_date_count": count(c("bad") & is_a("datetime")),
+        "max_decimals": F.max("places"), "over_two_decimals": count(c("places") > 2), "decimal_marks": F.max(F.when(c("mark") == ".", 1).otherwise(0)) + F.max(F.when(c("mark") == ",", 1).otherwise(0)),
+        "boolean_spellings": F.coalesce(F.bit_count(F.bit_or("spelling")), F.lit(0)), **{f"{s.lower()}_shapes": count(c("shape") == s) for s in SHAPES},
+    }
+    stats = own.groupBy("i").agg(*[v.alias(k) for k, v in counts.items()])
+    out = every.join(F.broadcast(stats), "i", "left")  # a row for each column
+    zeros = [k for k in counts if k == "examined" or k.endswith(("_count", "_shapes", "_marks", "_spellings")) or k == "over_two_decimals"]
+    return out.fillna(0, zeros).orderBy("i").select("field", *counts, percent(c("null_count"), c("examined")).alias("null_percent"))
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None, row_id: str | None = None) -> DataFrame:
