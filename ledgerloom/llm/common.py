@@ -170,3 +170,18 @@ def ascii_lower(c: Column) -> Column:
     other = c.rlike(r"[\p{Lu}\p{Lt}\p{IsUppercase}&&[^A-Z]]")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(other, F.translate(c, upper, upper.lower())).otherwise(F.lower(c))
+
+
+def numbered(df: DataFrame, *order: Column | str, label: str) -> DataFrame:
+    """``df`` sorted and saved, with each row's ``place`` from 0 and the ``part`` (a range of the order) that it lies in.
+
+    Each task numbers its own range; the counts before it, a number for each range, are added.
+    """
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    own = save(df.orderBy(*order).select("*", F.spark_partition_id().alias("part"), at.alias("place")), label)
+    before, starts = 0, []
+    for part, n in sorted((r["part"], r["count"]) for r in own.groupBy("part").count().collect()):  # a row for each task
+        starts.append((part, before))
+        before += n
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "part int, _before long"))
+    return own.join(offsets, "part").withColumn("place", F.col("place") + F.col("_before")).drop("_before")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import chat_format, decontaminate, near_dedup, piece_codec, quality_classifier, quality_rules, secret_scan, token_files, toxicity, url_filter
+from . import chat_format, decontaminate, importance, manifest, multiset_hash, near_dedup, piece_codec, quality_classifier, quality_rules, secret_scan, token_files, toxicity, url_filter
 from .common import save, table
 
 
@@ -61,7 +61,21 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_secrets, op3_chat, op4_token_files, op5_toxicity, op6_decontaminate, op7_quality_rules, op8_url_filter, op9_quality, op10_pieces)}
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return multiset_hash.neighbours(table(spark, sf_dir, "documents"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return manifest.verified(table(spark, sf_dir, "documents"), *manifest.without_line_breaks())
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_secrets, op3_chat, op4_token_files, op5_toxicity, op6_decontaminate, op7_quality_rules, op8_url_filter, op9_quality, op10_pieces, op11_fingerprints, op12_resample, op13_manifest)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -69,6 +83,11 @@ _RULE_WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 _RATES = {"symbols": "n_symbols / greatest(1, word_chars)", "marks": "n_marks / greatest(1, word_chars)", "capitals": "n_capitals / greatest(1, word_chars)", "dup_lines": "n_dup_lines / greatest(1, n_lines)", "repeats": "n_repeat_words / greatest(1, n_words)", "word_length": "word_chars / greatest(1, n_words)"}
 _RISK = f"greatest({', '.join(f'{v} / {quality_rules.LIMITS[k]}::DOUBLE' for k, v in _RATES.items())})"
 
+_NIBBLES = "list_transform(range(0, len(x)), lambda i: strpos('0123456789ABCDEF', x[i + 2 - 2 * (i % 2)]) - 1)"  # of each byte the low half first
+_CRC_TABLE = "(SELECT list(c ORDER BY i) FROM (SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(16) t(i)))"
+#: of a text's bytes, given as hexadecimal digits x
+_CRC32 = f"xor(list_reduce({_NIBBLES}, lambda c, b: xor(crc_table[xor(c, b) % 16 + 1], c >> 4), 4294967295), 4294967295)"
+
 #: For the queries that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": rf"""
@@ -108,4 +127,34 @@ tried AS (SELECT total.lang, n, m, cutoff, count(*) FILTER (quality = 1 AND buck
 tail AS (SELECT lang, cutoff, any_value(n) AS n, any_value(m) AS m, any_value(k) AS k, any_value(hit) AS hit, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality_rules.ALPHA}) + (n - i) * ln(1 - {quality_rules.ALPHA}))) AS p FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM tried WHERE k < {quality_rules.ALPHA} * n AND hit > 0) GROUP BY 1, 2),
 best AS (SELECT lang, max({{'gain': hit / m - k / n, 'cutoff': cutoff}}).cutoff AS cutoff FROM tail WHERE p <= {quality_rules.DELTA} / (SELECT count(*) FROM tried) GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bucket <= coalesce(cutoff, {quality_rules.CUTOFFS}) AS kept FROM measured LEFT JOIN best USING (lang)""",
+    "op12_resample": rf"""
+WITH word AS (SELECT row_number() OVER () AS r, doc_id, 'd' AS kind, {_ITEM_WORDS} AS w FROM documents UNION ALL SELECT -1, NULL, 'b', {_ITEM_WORDS} FROM benchmark),
+feature AS (SELECT r, kind, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM word),
+crc AS (SELECT {_CRC_TABLE} AS crc_table),
+hashed AS (SELECT f, {_CRC32} % 10000 AS bucket FROM (SELECT DISTINCT f, hex(encode(f)) AS x FROM feature), crc),
+counted AS (SELECT b.bucket, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 'b') AS t FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN (SELECT kind, bucket FROM feature JOIN hashed USING (f)) USING (bucket) GROUP BY 1),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (sum(s) OVER () + 10000) / (CAST(s + 1 AS DOUBLE) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM counted),
+summed AS (SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM feature JOIN hashed USING (f) JOIN gain USING (bucket) WHERE kind = 'd' GROUP BY 1),
+scored AS (SELECT word.r, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(CAST((total - ((total % n) + n) % n) // n AS BIGINT), 0) AS weight, CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS h FROM word LEFT JOIN summed USING (r) WHERE kind = 'd'),
+final AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scored),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, r) AS place, count(*) OVER () AS able FROM final WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= able * 25 // 100 THEN place END AS rank FROM final LEFT JOIN placed USING (r)""",
+    "op13_manifest": rf"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS crc_table),
+hexed AS (SELECT *, hex(encode(CAST(doc_id AS VARCHAR))) AS x, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM documents),
+leaf AS (SELECT coalesce('=' || source, '') AS tree, doc_id, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, {_CRC32} % 2 = 0 AS bad, sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) AS other FROM hexed, crc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaf),
+node(tree, level, pos, digest, n) AS (SELECT tree, 0, pos, leaf, count(*) OVER (PARTITION BY tree) FROM placed
+  UNION ALL SELECT tree, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), any_value((n + 2) // 3) FROM node WHERE n > 1 GROUP BY tree, level, pos // 3),
+subroot AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, level AS height FROM node WHERE n = 1),
+top(level, pos, digest, n) AS (SELECT 0, pos, digest, n FROM subroot UNION ALL SELECT level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), any_value((n + 2) // 3) FROM top WHERE n > 1 GROUP BY level, pos // 3),
+every AS (SELECT tree, level, pos, digest FROM node UNION ALL SELECT '*', level, pos, digest FROM top),
+way AS (SELECT p.tree, doc_id, p.pos AS leaf_pos, unnest(range(height + (SELECT max(level) FROM top))) AS step, height, s.pos AS s_pos FROM placed p JOIN subroot s USING (tree)),
+walk AS (SELECT tree, leaf_pos, step, CASE WHEN step < height THEN tree ELSE '*' END AS in_tree, CASE WHEN step < height THEN step ELSE step - height END AS level, CAST(CASE WHEN step < height THEN leaf_pos // CAST(pow(3, step) AS BIGINT) ELSE s_pos // CAST(pow(3, step - height) AS BIGINT) END AS BIGINT) AS here FROM way),
+near AS (SELECT w.tree, leaf_pos, step, coalesce(string_agg(digest, '' ORDER BY e.pos) FILTER (e.pos < here), '') AS l, coalesce(string_agg(digest, '' ORDER BY e.pos) FILTER (e.pos > here), '') AS r FROM walk w JOIN every e ON e.tree = in_tree AND e.level = w.level AND e.pos // 3 = here // 3 GROUP BY 1, 2, 3),
+proof AS (SELECT tree, leaf_pos, string_agg(l || r, '' ORDER BY step) AS proof, count(*) AS steps FROM near GROUP BY 1, 2),
+fold(tree, pos, step, own) AS (SELECT tree, pos, 0, CASE WHEN bad THEN other ELSE leaf END FROM placed UNION ALL SELECT f.tree, pos, f.step + 1, sha256(l || own || r) FROM fold f JOIN near ON near.tree = f.tree AND leaf_pos = pos AND near.step = f.step),
+root AS (SELECT digest AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, s.digest AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, own AS folded_root, own = root AS verified
+FROM placed p JOIN subroot s USING (tree) LEFT JOIN proof ON proof.tree = p.tree AND leaf_pos = p.pos JOIN fold f ON f.tree = p.tree AND f.pos = p.pos AND f.step = coalesce(steps, 0), root""",
 }
