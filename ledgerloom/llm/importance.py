@@ -10,7 +10,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import numbered, save, scratch
@@ -22,16 +22,18 @@ LEAST_WORDS, PERCENT = 20, 25
 SEED = 7
 
 
-def features_of(words: Column) -> Column:
-    """All runs of one or two words, joined by a space, repeats included."""
-    pairs = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.concat(words, F.zip_with(F.slice(words, 1, pairs), F.slice(words, 2, pairs), lambda a, b: F.concat(a, F.lit(" "), b)))
-
-
 def bucketed(texts: DataFrame, *keep: str) -> DataFrame:
-    """The kept columns, n_words and the bucket of each feature, a row for each; one with a null bucket for a text without words."""
+    """The kept columns, n_words and the bucket of each feature, a row for each.
+
+    Features are all words and all runs of two words, joined by a space, repeats included. Words are
+    exploded with the one that follows, so no array travels with its elements; the last word has
+    none, and a text without words has a row of nulls, so some buckets are null.
+    """
     worded = texts.select(*keep, words_of(F.col("text")).alias("w"))
-    each = worded.select(*keep, F.size("w").alias("n_words"), F.explode_outer(features_of(F.col("w"))).alias("feature"))
+    pairs = F.arrays_zip(F.col("w").alias("word"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("after"))
+    each = worded.select(*keep, F.size("w").alias("n_words"), F.explode_outer(pairs).alias("at"))
+    grams = F.array(F.col("at.word"), F.concat("at.word", F.lit(" "), "at.after"))
+    each = each.select(*keep, "n_words", F.explode(grams).alias("feature"))
     return each.select(*keep, "n_words", (F.crc32(F.col("feature").cast("binary")) % BUCKETS).alias("bucket"))
 
 
