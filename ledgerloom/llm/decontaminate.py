@@ -23,6 +23,8 @@ from .common import ascii_lower, save, scratch
 WINDOW = 10
 #: Words of a shingle; windows of fewer words are their own shingle.
 SHINGLE = 5
+#: Words of a block, in which positions are looked at.
+BLOCK = 64
 #: Up to so many rows are broadcast if their words have no more than so many characters; beyond, joins shuffle.
 MOST_BROADCAST_SHINGLES, MOST_BROADCAST_CHARS = 500_000, 32 << 20
 
@@ -56,13 +58,40 @@ def _few(df: DataFrame, *texts: str) -> DataFrame:
     return F.broadcast(df) if _is_small(df, *texts) else df
 
 
-def _positions(docs: DataFrame, widths: list[int]) -> DataFrame:
-    """doc_id, text_hash, w (all words), at, key: each shingle of each document."""
-    spread = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))
+def _starts(words: Column, first: Column, most: Column, widths: list[int]) -> Column:
+    """An array with an entry for each of ``most`` words from the ``first`` (1 is the first): it and those after it, as many as a shingle has; null beyond the end."""
+    n = F.greatest(most, F.lit(1))
+    return F.arrays_zip(*[F.slice(words, first + i, n).alias(f"w{i}") for i in range(widths[-1])])
+
+
+def _with_keys(at: DataFrame, widths: list[int]) -> DataFrame:
+    """``at`` with ``key``, the hash of each shingle that begins at the entry ``p``, a row for each width."""
+    own = [F.expr(f"if(p.w{q - 1} is null, null, xxhash64({q}, {', '.join(f'p.w{i}' for i in range(q))}))") for q in widths]
+    return at.withColumn("key", own[0] if len(own) == 1 else F.explode(F.array(*own))).drop("p")
+
+
+def _keys_of(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """doc_id, text_hash, key: the hash of each shingle of each document. No row carries more than a shingle's words."""
+    spread = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))
     # the outer form: for the other, Spark would filter by size(w) first and split each text twice
-    at = spread.select("doc_id", "text_hash", "w", F.posexplode_outer("w").alias("at", "_")).drop("_")
-    own = [F.expr(f"if(at + {q} <= size(w), {_shingle('w', 'at', q)}, null)") for q in widths]
-    return at.withColumn("key", own[0] if len(own) == 1 else F.explode(F.array(*own)))
+    at = spread.select("doc_id", "text_hash", F.explode_outer(_starts(F.col("w"), F.lit(1), F.size("w"), widths)).alias("p"))
+    return _with_keys(at, widths)
+
+
+def _positions(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """doc_id, text_hash, n (words), at, low, block, key: each shingle with the words around it.
+
+    Texts are cut into blocks of BLOCK words first, with as many more at either end as a window may
+    reach. So a position carries the words of a block (from number ``low``), however long the text.
+    """
+    reach = WINDOW - 1
+    spread = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))
+    low = lambda b: F.greatest(b - reach, F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(BLOCK)), lambda b: F.struct(b.alias("from"), low(b).alias("low"), F.slice("w", low(b) + 1, BLOCK + 2 * reach).alias("block")))
+    each = spread.select("doc_id", "text_hash", F.size("w").alias("n"), F.explode_outer(F.when(F.size("w") > 0, blocks)).alias("b")).select("doc_id", "text_hash", "n", "b.*")
+    entries = _starts(F.col("block"), F.col("from") - F.col("low") + 1, F.least(F.lit(BLOCK), F.col("n") - F.col("from")), widths)
+    at = each.select("doc_id", "text_hash", "n", "low", "block", "from", F.posexplode(entries).alias("j", "p"))
+    return _with_keys(at.withColumn("at", F.col("from") + F.col("j")).drop("from", "j"), widths)
 
 
 def windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +119,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     keys = save(parts.select("key").distinct(), "item_keys")
 
     # 1: no words travel, only the hash of each position, and only those of the benchmark's shingles go on
-    held = save(_positions(docs, widths).select("doc_id", "text_hash", "key").join(_few(keys), "key", "left_semi"), "held")
+    held = save(_keys_of(docs, widths).join(_few(keys), "key", "left_semi"), "held")
     rarity = save(held.groupBy("key").agg(F.count("*").alias("count")), "rarity")
 
     # 2
@@ -104,15 +133,17 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     few = _few(holders)
     again = docs.join(few, docs["doc_id"].eqNullSafe(few["_d"]) & (F.xxhash64(docs["text"]) == few["_h"]), "left_semi")
     reach = WINDOW - 1
-    near = F.expr(f"slice(w, greatest(at - {reach}, 0) + 1, least(at, {reach}) + {WINDOW})").alias("near")
-    cut = lambda at: at.select("doc_id", "text_hash", "key", "at", F.size("w").alias("n"), near, F.expr(f"least(at, {reach})").alias("before"))
+    near = F.expr(f"slice(block, greatest(at - {reach}, 0) - low + 1, least(at, {reach}) + {WINDOW})").alias("near")
+    cut = lambda at: at.select("doc_id", "text_hash", "key", "at", "n", near, F.expr(f"least(at, {reach})").alias("before"))
     met, prefixes = _positions(again, widths), anchors.select("key").distinct()
     met = save(cut(met.join(F.broadcast(prefixes), "key", "left_semi")) if _is_small(prefixes) else cut(met).join(prefixes, "key", "left_semi"), "matches")
     bounded = met.join(_few(anchors, "win", "win"), "key").where("at - offset >= 0 and at - offset + size <= n")
     verified = bounded.where("slice(near, before - offset + 1, size) = words")
-    verified = verified.select("doc_id", "text_hash", F.expr("at - offset").alias("start"), "size", "win")
-    named = verified.join(_few(item_of, "item_id", "win"), "win")
-    return named.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "size")).alias("spans"), F.collect_set("item_id").alias("items"))
+    # a window's places in a document become one row before its items are named, however many either are
+    placed = save(verified.select("doc_id", "text_hash", F.expr("at - offset").alias("start"), "size", "win").groupBy("doc_id", "text_hash", "win", "size").agg(F.collect_set("start").alias("starts")), "placed")
+    spans = placed.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list(F.transform("starts", lambda s: F.struct(s.alias("start"), F.col("size").alias("size"))))).alias("spans"))
+    named = placed.select("doc_id", "text_hash", "win").join(_few(item_of, "item_id", "win"), "win").groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_set("item_id").alias("items"))
+    return spans.join(named, spans["doc_id"].eqNullSafe(named["_d"]) & (spans["text_hash"] == named["_h"])).drop("_d", "_h")
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -151,3 +151,32 @@ def test_decontamination_shuffles_no_whole_text(spark, monkeypatch):
         below = [b.split("Project [", 1)[1] for a, b in zip(plans[label], plans[label][1:]) if "Exchange hashpartitioning(key" in a and "Project [" in b]
         assert below and not any(f.startswith("w#") for b in below for f in outputs(b))
         assert not any("Filter (size(array_remove(split(" in x for x in plans[label])  # each text is split once
+
+
+def test_a_word_shared_by_many_items_and_found_often(spark, monkeypatch):
+    """1,000 items of one word, found 10,000 times in a document: no step makes a row for each pair."""
+    seen = {}
+    real = decontaminate.save
+
+    def counting(df, label, keep=False):
+        out = real(df, label, keep)
+        seen[label] = max(seen.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(decontaminate, "save", counting)
+    docs = spark.createDataFrame([(1, "yes " * 10_000), (2, "no Yes no"), (3, "no")], "doc_id int, text string")
+    items = spark.createDataFrame([*[(i, "Yes") for i in range(1000)], (2000, "no yes no")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: (10_000, 10_000, 1000, True), 2: (3, 3, 1001, True), 3: (1, 0, 0, False)}
+    assert seen["placed"] == 3 and max(seen.values()) <= 10_002
+
+
+def test_windows_over_the_ends_of_blocks(spark):
+    """Windows that begin anywhere in a text of several blocks, at its very end too."""
+    words = [f"w{i}" for i in range(3 * decontaminate.BLOCK + 17)]
+    starts = [0, 1, 55, 60, 63, 64, 65, 120, 127, 128, 191, len(words) - 10]
+    items = spark.createDataFrame([(s, " ".join(words[s : s + 10])) for s in starts], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:70])), (3, " ".join(words[60:73]))], "doc_id long, text string")
+    got = {r.doc_id: (sorted(r["items"], key=int), sorted(s.start for s in r.spans)) for r in decontaminate.hits(docs, items).collect()}
+    fit = lambda a, b: [s for s in starts if a <= s and s + 10 <= b]
+    assert got == {d: ([str(s) for s in fit(a, b)], [s - a for s in fit(a, b)]) for d, a, b in ((1, 0, len(words)), (2, 0, 70), (3, 60, 73))}
