@@ -264,7 +264,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
 
         return step
 
-    return map_rows(docs.selectExpr("doc_id", "cast(text as string) as text"), make, "doc_id long, ids array<int>, decoded string")
+    return map_rows(docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text"), make, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
@@ -288,4 +288,4 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
 
         return step
 
-    return map_rows(docs.selectExpr("doc_id", "cast(text as string) as text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -57,6 +57,14 @@ def test_any_ids_decode_as_in_the_library(codec, library):
         assert codec.decode(ids) == library.decode(ids)
 
 
+def test_pieces_of_documents_with_narrow_ids(spark, library):
+    """Ids of other whole-number types, and none."""
+    for kind in ("int", "smallint", "long"):
+        got = piece_codec.digests(spark.createDataFrame([(1, "one two"), (None, None)], f"doc_id {kind}, text string"), PIECES).collect()
+        assert {r.doc_id: r.n_tokens for r in got} == {1: len(library.encode("one two")) + 1, None: 1}
+        assert piece_codec.encode_documents(spark.createDataFrame([(1, "one")], f"doc_id {kind}, text string"), PIECES).first().doc_id == 1
+
+
 def test_pieces_of_documents(spark, library):
     rows = table(spark, [*ODD, *[r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(40).collect()]])
     texts = {r.doc_id: r.text for r in rows.collect()}
