@@ -36,8 +36,12 @@ INFER_BLANK = ["", "-", "n/a", "na", "null", "nil", "(blank)", "(null)", "#n/a"]
 
 
 def js_trim(c: Column) -> Column:
-    """Without white space of any script at either end, no-break spaces and byte-order marks included."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+    """Without white space of any script at either end, no-break spaces and byte-order marks included.
+
+    Most texts begin and end with an ASCII mark, letter or digit, which is seen sooner than a pattern is tried.
+    """
+    plain = lambda x: F.ascii(x).between(33, 126)
+    return F.when(plain(c) & plain(F.right(c, F.lit(1))), c).otherwise(F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", ""))
 
 
 def left_trim(c: Column) -> Column:
@@ -90,14 +94,22 @@ def looks_like_currency(c: Column) -> Column:
     return (marked & body.rlike(MONEY_BODY)) | (~marked & c.rlike(GROUPED))
 
 
+#: How every number, amount and date begins.
+AMOUNT_OR_DATE = rf"(?i)^(?:[-(\d]|{CURRENCY_SYMBOL}|{CURRENCY_CODE.removeprefix('(?i)')})"
+
+
 def shape_of(c: Column, trimmed: bool = False) -> Column:
-    """BLANK, NUMBER, CURRENCY, BOOLEAN, DATE or TEXT; the first that fits, in this order."""
+    """BLANK, NUMBER, CURRENCY, BOOLEAN, DATE or TEXT; the first that fits, in this order.
+
+    Texts that begin like none of the figures are told by one pattern.
+    """
     t = c if trimmed else js_trim(c)
+    boolean = F.lower(t).isin(BOOLEAN_WORDS)
     day = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1).try_cast("date").isNotNull()
     date = (t.rlike(ISO_DATE_SHAPE) & day) | t.rlike(SLASH_DATE_SHAPE)
     return (
-        F.when(is_blank(t, True), "BLANK").when(t.rlike(PLAIN_NUMBER), "NUMBER").when(looks_like_currency(t), "CURRENCY")
-        .when(F.lower(t).isin(BOOLEAN_WORDS), "BOOLEAN").when(date, "DATE").otherwise("TEXT")
+        F.when(is_blank(t, True), "BLANK").when(~t.rlike(AMOUNT_OR_DATE), F.when(boolean, "BOOLEAN").otherwise("TEXT"))
+        .when(t.rlike(PLAIN_NUMBER), "NUMBER").when(looks_like_currency(t), "CURRENCY").when(boolean, "BOOLEAN").when(date, "DATE").otherwise("TEXT")
     )
 
 

@@ -41,60 +41,84 @@ def as_text(df: DataFrame, name: str) -> Column:
     return F.col(f"`{name}`").cast("string")
 
 
+#: Numbers are added up exactly in billionths; a mean is rounded once, at six places.
+BILLION, EXACT = 10**9, "decimal(38,0)"
+_CELL = "i int, there boolean, n double, at timestamp_ntz, text string"
+
+
+def _cells(df: DataFrame, names: Sequence[str], kinds: Sequence[str], reads: Sequence[str]) -> DataFrame:
+    """A row for each cell: its column's number, whether it is there, and its value as a number, a time, or the text that has to be read."""
+
+    def cell(i: int, n: str, k: str, r: str) -> Column:
+        v, plain = F.col(f"`{n}`"), k == r and k != "text"
+        parts = {"n": v if plain and k == "number" else None, "at": v if plain and k == "datetime" else None, "text": None if plain else v}
+        kinds_of = dict(x.split(" ", 1) for x in _CELL.split(", "))
+        return F.struct(F.lit(i).alias("i"), v.isNotNull().alias("there"), *[(F.lit(None) if x is None else x).cast(kinds_of[c]).alias(c) for c, x in parts.items()])
+
+    return df.select(F.explode(F.array(*[cell(i, *c) for i, c in enumerate(zip(names, kinds, reads, strict=True))])).alias("c")).select("c.*")
+
+
+def _billionths(n: Column) -> Column:
+    """A number in whole billionths; null if it is too great. Those that a long holds need no decimal arithmetic."""
+    small = F.rint(n * float(BILLION)).cast("bigint").cast(EXACT)
+    return F.when(F.abs(n) < 9e9, small).otherwise(F.try_multiply(n.try_cast("decimal(28,9)"), F.lit(BILLION).cast("decimal(10,0)")).cast(EXACT))
+
+
+def _told(values: DataFrame) -> DataFrame:
+    """Values of all columns (i, is_text, reads, text, ...) with what is told of each: texts are trimmed once, then shaped once, in projections of their own."""
+    c = F.col
+    is_a = lambda r: c("reads") == r
+    own = values.withColumn("t", F.when(c("is_text"), js_trim(c("text"))).otherwise(c("text")))
+    own = own.withColumn("shape", F.when(c("is_text"), shape_of(c("t"), True)))
+    amount = c("shape").isin("NUMBER", "CURRENCY")
+    own = own.withColumn("mark", F.when(amount, decimal_separator(c("t"))))
+    number, instant = F.when(is_a("number") & c("is_text"), to_number(c("t"), True)), F.when(is_a("datetime") & c("is_text"), to_instant(c("t"), True))
+    own = own.withColumns({"places": F.when(amount, decimal_places(c("t"), c("mark"))), "number": number, "instant": instant, "filled": c("t").isNotNull() & (~c("is_text") | (c("t") != ""))})
+    t = c("t")
+    bad = (
+        F.when(is_a("number"), c("number").isNull()).when(is_a("datetime"), c("instant").isNull()).when(is_a("boolean"), ~F.lower(t).isin(PROFILE_BOOLEANS))
+        .when(is_a("guid"), ~t.rlike(GUID)).when(is_a("email"), ~t.rlike(EMAIL_SHAPE)).otherwise(False)
+    )
+    spelling = F.when(c("shape") == "BOOLEAN", F.array_position(F.array(*map(F.lit, BOOLEAN_WORDS)), F.lower(t)).cast("int"))
+    return own.withColumns({"bad": c("filled") & bad, "spelling": spelling, "length": F.when(c("is_text"), F.length("text")).cast("long")})
+
+
 def column_stats(df: DataFrame, columns: Sequence[str] | None = None, reads_as: dict[str, str] | None = None) -> DataFrame:
     """A row of one-pass statistics for each column: counts, lengths, ranges, invalid values, shapes.
 
     ``reads_as`` overrides what a column's values should be: number, datetime, boolean,
     guid, email or text; by default what its type says. Only text can be blank or spell
-    something wrongly. The whole table is read once, a cell a row, and added up by column
-    before anything is shuffled; so a plan is as long for one column as for hundreds.
+    something wrongly. The whole table is read once, a cell a row. Numbers and times are added up by
+    column, texts counted by value, in each task first; then each different text is read once,
+    however often it occurs. So a plan is as long for one column as for hundreds. Means are those
+    of exact sums, unless a number is too great for one.
     """
     names = profilable(df, columns)
     kinds = [kind_of(df.schema[n].dataType) for n in names]
     reads = [(reads_as or {}).get(n, k) for n, k in zip(names, kinds, strict=True)]
-    c = F.col
-
-    def cell(i: int, n: str, k: str) -> Column:
-        v = F.col(f"`{n}`")
-        number = v.cast("double") if k == "number" else F.lit(None).cast("double")
-        instant = v.cast("timestamp_ntz") if k == "datetime" else F.lit(None).cast("timestamp_ntz")
-        return F.struct(F.lit(i).alias("i"), v.cast("string").alias("text"), number.alias("n"), instant.alias("at"))
-
-    cells = df.select(F.explode(F.array(*[cell(i, n, k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))])).alias("c")).select("c.*") if names else None
-    spark = df.sparkSession
+    c, spark = F.col, df.sparkSession
     every = spark.createDataFrame([(i, n, k == "text", r) for i, (n, k, r) in enumerate(zip(names, kinds, reads, strict=True))], "i int, field string, is_text boolean, reads string")
-    if cells is None:
-        cells = spark.createDataFrame([], "i int, text string, n double, at timestamp_ntz")
-    # texts are trimmed once, then shaped once, in projections of their own
-    pick = lambda values: F.element_at(F.array(*map(F.lit, values or [None])), c("i") + 1)
-    own = cells.withColumns({"is_text": pick([k == "text" for k in kinds]), "reads": pick(reads)})
-    own = own.withColumn("t", F.when(c("is_text"), js_trim(c("text"))).otherwise(c("text")))
-    own = own.withColumn("shape", F.when(c("is_text"), shape_of(c("t"), True)))
-    amount = c("shape").isin("NUMBER", "CURRENCY")
-    own = own.withColumn("mark", F.when(amount, decimal_separator(c("t"))))
-    is_a = lambda r: c("reads") == r
-    own = own.withColumns({
-        "places": F.when(amount, decimal_places(c("t"), c("mark"))),
-        "n": F.when(is_a("number"), F.when(c("is_text"), to_number(c("t"), True)).otherwise(c("n"))),
-        "at": F.when(is_a("datetime"), F.when(c("is_text"), to_instant(c("t"), True)).otherwise(c("at"))),
-        "filled": c("t").isNotNull() & (~c("is_text") | (c("t") != "")),
-    })
-    t, filled = c("t"), c("filled")
-    bad = (
-        F.when(is_a("number"), c("n").isNull()).when(is_a("datetime"), c("at").isNull()).when(is_a("boolean"), ~F.lower(t).isin(PROFILE_BOOLEANS))
-        .when(is_a("guid"), ~t.rlike(GUID)).when(is_a("email"), ~t.rlike(EMAIL_SHAPE)).otherwise(False)
-    )
-    own = own.withColumns({"bad": filled & bad, "length": F.when(c("is_text"), F.length("text")), "spelling": F.when(c("shape") == "BOOLEAN", F.pow(F.lit(2), F.array_position(F.array(*map(F.lit, BOOLEAN_WORDS)), F.lower(t))).cast("int"))})
-    count = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
+    cells = _cells(df, names, kinds, reads) if names else spark.createDataFrame([], _CELL)
+    cells = cells.withColumn("units", _billionths(c("n")))
+    values = cells.groupBy("i", "there", "text").agg(F.count("*").alias("cells"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("n").alias("numbers"), F.sum("n").alias("about"), F.count("units").alias("exacts"), F.try_sum("units").alias("units"), F.min("at").alias("first"), F.max("at").alias("last"))
+    told = _told(values.join(F.broadcast(every), "i"))  # a row for each column
+    n = c("cells")
+    total = lambda cond: F.sum(F.when(F.coalesce(cond, F.lit(False)), n).otherwise(0))
+    one = c("number").isNotNull()  # a text that spells a number, as often as it occurs
+    spelt = F.try_multiply(_billionths(c("number")).try_cast("decimal(27,0)"), n.cast("decimal(11,0)")).cast(EXACT)
+    exact, numbers = F.try_sum(F.when(one, spelt).otherwise(c("units"))), F.sum(F.when(one, n).otherwise(c("numbers")))
+    whole = F.sum(F.when(one, F.when(spelt.isNotNull(), n).otherwise(0)).otherwise(c("exacts"))) == numbers
+    about = F.sum(F.when(one, c("number") * n).otherwise(c("about")))
+    mean = F.when(whole & exact.isNotNull(), exact.cast("double") / float(BILLION)).otherwise(about) / F.nullif(numbers, F.lit(0))
     counts = {
-        "examined": F.count("*"), "null_count": count(c("text").isNull()), "blank_count": count(c("is_text") & (t == "")), "whitespace_count": count(c("is_text") & filled & (t != c("text"))),
-        "min_length": F.min("length"), "max_length": F.max("length"), "avg_length": round_half_up(F.avg("length"), 1), "min_number": F.min("n"), "max_number": F.max("n"), "avg_number": round_half_up(F.avg("n"), 6),
-        "max_scale": F.max(F.when(is_a("number"), c("places"))), "min_date": F.min("at"), "max_date": F.max("at"), "invalid_count": count(c("bad")), "invalid_date_count": count(c("bad") & is_a("datetime")),
-        "max_decimals": F.max("places"), "over_two_decimals": count(c("places") > 2), "decimal_marks": F.max(F.when(c("mark") == ".", 1).otherwise(0)) + F.max(F.when(c("mark") == ",", 1).otherwise(0)),
-        "boolean_spellings": F.coalesce(F.bit_count(F.bit_or("spelling")), F.lit(0)), **{f"{s.lower()}_shapes": count(c("shape") == s) for s in SHAPES},
+        "examined": F.sum(n), "null_count": total(~c("there")), "blank_count": total(c("is_text") & (c("t") == "")), "whitespace_count": total(c("is_text") & c("filled") & (c("t") != c("text"))),
+        "min_length": F.min("length").cast("int"), "max_length": F.max("length").cast("int"), "avg_length": round_half_up(F.sum(c("length") * n) / F.nullif(F.sum(F.when(c("length").isNotNull(), n)), F.lit(0)), 1),
+        "min_number": F.min(F.coalesce("number", "low")), "max_number": F.max(F.coalesce("number", "high")), "avg_number": round_half_up(mean, 6),
+        "max_scale": F.max(F.when(c("reads") == "number", c("places"))), "min_date": F.min(F.coalesce("instant", "first")), "max_date": F.max(F.coalesce("instant", "last")), "invalid_count": total(c("bad")), "invalid_date_count": total(c("bad") & (c("reads") == "datetime")),
+        "max_decimals": F.max("places"), "over_two_decimals": total(c("places") > 2), "decimal_marks": F.max(F.when(c("mark") == ".", 1).otherwise(0)) + F.max(F.when(c("mark") == ",", 1).otherwise(0)),
+        "boolean_spellings": F.bit_count(F.coalesce(F.bit_or(F.pow(F.lit(2), c("spelling")).cast("int")), F.lit(0))), **{f"{s.lower()}_shapes": total(c("shape") == s) for s in SHAPES},
     }
-    stats = own.groupBy("i").agg(*[v.alias(k) for k, v in counts.items()])
-    out = every.join(F.broadcast(stats), "i", "left")  # a row for each column
+    out = every.join(F.broadcast(told.groupBy("i").agg(*[v.alias(k) for k, v in counts.items()])), "i", "left")  # a row for each column
     zeros = [k for k in counts if k == "examined" or k.endswith(("_count", "_shapes", "_marks", "_spellings")) or k == "over_two_decimals"]
     return out.fillna(0, zeros).orderBy("i").select("field", *counts, percent(c("null_count"), c("examined")).alias("null_percent"))
 
