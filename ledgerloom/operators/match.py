@@ -17,41 +17,67 @@ STRATEGIES = ("SKIP_EXISTING", "CREATE_ONLY", "UPSERT", "SYNC")
 SPREAD = 1024
 
 
-def _spread_join(rows: DataFrame, other: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
-    """A left join on ``key`` in which null keys, which match nothing, are spread by other columns."""
-    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*spread), F.lit(SPREAD))).otherwise(F.lit(0))
+def spread_join(rows: DataFrame, other: DataFrame, key: str, spread: Sequence[str] = ()) -> DataFrame:
+    """A left join on ``key`` in which null keys, which match nothing, are spread by other columns (all by default)."""
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*([F.col(f"`{c}`") for c in spread or rows.columns])), F.lit(SPREAD))).otherwise(F.lit(0))
     out = rows.withColumn("_salt", salt.cast("int")).join(other.withColumn("_salt", F.lit(0)), [key, "_salt"], "left")
     return out.drop("_salt")
 
 
+def _doubtful(source: DataFrame, source_id: str) -> DataFrame:
+    """source_id, _id_conflict of ids that more than one row has: what is done for one could be meant for another."""
+    own = source.groupBy(F.col(f"`{source_id}`").alias("source_id")).agg(F.count("*").alias("_n"))
+    return own.where("source_id is not null and _n > 1").select("source_id", F.lit("DUPLICATE_SOURCE_ID").alias("_id_conflict"))
+
+
+def _id_conflict() -> Column:
+    return F.when(F.col("source_id").isNull(), "SOURCE_ID_MISSING").otherwise(F.col("_id_conflict"))
+
+
 def with_claims(out: DataFrame) -> DataFrame:
-    """A target goes to the first source row that claims it; the others conflict."""
+    """A target goes to the first source row that claims it; the others conflict. Rows without an id of their own claim nothing."""
+    out = spread_join(out, _doubtful(out, "source_id"), "source_id", ["target_id"])
+    out = out.withColumn("conflict", F.coalesce(_id_conflict(), F.col("conflict"))).withColumn("target_id", F.when(F.col("conflict").isNull(), F.col("target_id")))
     first = out.where("target_id is not null").groupBy("target_id").agg(F.min("source_id").alias("_first"))
-    out = _spread_join(out, first, "target_id", ["source_id"])
+    out = spread_join(out, first, "target_id", ["source_id"])
     late = F.coalesce(F.col("source_id") > F.col("_first"), F.lit(False))
     return out.select("source_id", F.when(~late, F.col("target_id")).alias("target_id"), F.coalesce(F.col("conflict"), F.when(late, "DUPLICATE_SOURCE_KEY")).alias("conflict"))
 
 
 def by_primary_id(source: DataFrame, target: DataFrame, source_id: str, target_id: str) -> DataFrame:
-    """source_id, target_id, conflict: equal ids, whatever their case."""
-    s = source.select(F.col(source_id).alias("source_id"), F.lower(F.col(source_id).cast("string")).alias("_k"))
-    t = target.select(F.col(target_id).alias("target_id"), F.lower(F.col(target_id).cast("string")).alias("_k"))
-    return with_claims(_spread_join(s, t, "_k", ["source_id"]).select("source_id", "target_id", F.lit(None).cast("string").alias("conflict")))
+    """source_id, target_id, conflict for each row of ``source``: equal ids, whatever their case.
+
+    A null id is SOURCE_ID_MISSING, one that several rows have DUPLICATE_SOURCE_ID for them all,
+    and one that differs from several target ids only by case AMBIGUOUS_TARGET_MATCH.
+    """
+    fold = lambda c: F.lower(F.col(f"`{c}`").cast("string"))
+    s = source.select(F.col(f"`{source_id}`").alias("source_id"), fold(source_id).alias("_k"))
+    t = target.select(F.col(f"`{target_id}`").alias("target_id"), fold(target_id).alias("_k")).where("_k is not null").groupBy("_k").agg(F.count("*").alias("_n"), F.min("target_id").alias("target_id"))
+    out = spread_join(s, t, "_k", ["source_id"])
+    several = F.col("_n") > 1
+    return with_claims(out.select("source_id", F.when(~several, F.col("target_id")).alias("target_id"), F.when(several, "AMBIGUOUS_TARGET_MATCH").alias("conflict")))
 
 
 def by_key(source: DataFrame, target: DataFrame, source_id: str, target_id: str, source_key: Sequence[str], target_key: Sequence[str], business: bool = True) -> DataFrame:
-    """source_id, target_id, conflict: equal keys, case and outer white space aside.
+    """source_id, target_id, conflict for each row of ``source``: equal keys, part by part, case and outer white space aside.
 
     A missing part is BUSINESS_KEY_INCOMPLETE (or no match for an alternate key), several
-    targets AMBIGUOUS_TARGET_MATCH, a key seen before DUPLICATE_SOURCE_KEY: never a guess.
+    targets AMBIGUOUS_TARGET_MATCH, a key seen before DUPLICATE_SOURCE_KEY, a null or repeated id as
+    in by_primary_id(): never a guess. Target rows with a missing part match nothing.
     """
-    folded = lambda c: F.lower(js_trim(F.col(f"`{c}`").cast("string")))
-    complete = ~F.exists(F.array(*[F.col(f"`{c}`").cast("string") for c in source_key]), lambda x: is_blank(x))
-    s = source.select(F.col(f"`{source_id}`").alias("source_id"), F.when(complete, F.concat_ws("|", *map(folded, source_key))).alias("_k"))
-    t = target.select(F.col(f"`{target_id}`").alias("target_id"), F.concat_ws("|", *map(folded, target_key)).alias("_k")).groupBy("_k").agg(F.count("*").alias("_n"), F.min("target_id").alias("target_id"))
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    parts = lambda key: F.array(*[F.lower(js_trim(text(c))) for c in key])
+    complete = lambda key: ~F.exists(F.array(*map(text, key)), lambda x: is_blank(x))
+    s = source.select(F.col(f"`{source_id}`").alias("source_id"), F.when(complete(source_key), parts(source_key)).alias("_key"))
+    s = spread_join(s, _doubtful(s, "source_id"), "source_id", ["_key"]).withColumn("_bad", _id_conflict()).drop("_id_conflict")
+    s = s.withColumn("_k", F.when(F.col("_bad").isNull(), F.col("_key")))
+    t = target.where(complete(target_key)).select(F.col(f"`{target_id}`").alias("target_id"), parts(target_key).alias("_k")).groupBy("_k").agg(F.count("*").alias("_n"), F.min("target_id").alias("target_id"))
     first = s.where("_k is not null").groupBy("_k").agg(F.min("source_id").alias("_first"))
-    out = _spread_join(s, first.join(t, "_k", "left"), "_k", ["source_id"])
-    conflict = F.when(F.col("_k").isNull(), "BUSINESS_KEY_INCOMPLETE" if business else None).when(F.col("source_id") > F.col("_first"), "DUPLICATE_SOURCE_KEY").when(F.col("_n") > 1, "AMBIGUOUS_TARGET_MATCH")
+    out = spread_join(s, first.join(t, "_k", "left"), "_k", ["source_id"])
+    conflict = (
+        F.when(F.col("_bad").isNotNull(), F.col("_bad")).when(F.col("_key").isNull(), "BUSINESS_KEY_INCOMPLETE" if business else None)
+        .when(F.col("source_id") > F.col("_first"), "DUPLICATE_SOURCE_KEY").when(F.col("_n") > 1, "AMBIGUOUS_TARGET_MATCH")
+    )
     out = out.withColumn("conflict", conflict)
     return out.select("source_id", F.when(F.col("conflict").isNull(), F.col("target_id")).alias("target_id"), "conflict")
 
@@ -65,10 +91,11 @@ def latest_mapping(identity_map: DataFrame, run_id: str) -> DataFrame:
 
 def resolve_lookup(rows: DataFrame, column: str, mapping: DataFrame, target_ids: DataFrame, into: str) -> DataFrame:
     """``rows`` with the target id that a reference leads to: by the identity map, else the same id in the target."""
-    m = mapping.select(F.col("source_id").alias("_m"), F.col("target_id").alias("_mt"))
-    t = target_ids.select(F.col(target_ids.columns[0]).alias("_t"))
-    out = rows.join(m, F.col(f"`{column}`") == F.col("_m"), "left").join(t, F.col(f"`{column}`") == F.col("_t"), "left")
-    return out.withColumn(into, F.coalesce("_mt", "_t")).drop("_m", "_mt", "_t")
+    own = rows.withColumn("_ref", F.col(f"`{column}`"))
+    m = mapping.select(F.col("source_id").alias("_ref"), F.col("target_id").alias("_mt"))
+    t = target_ids.select(F.col(target_ids.columns[0]).alias("_ref"), F.col(target_ids.columns[0]).alias("_t"))
+    out = spread_join(spread_join(own, m, "_ref"), t, "_ref")
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns if c != into], F.coalesce("_mt", "_t").alias(into))
 
 
 def decide(matched: Column, blocked: Column, conflict: Column, changed: Column, strategy: str) -> Column:
@@ -79,16 +106,26 @@ def decide(matched: Column, blocked: Column, conflict: Column, changed: Column,
     return F.when(blocked, "BLOCKED").when(conflict.isNotNull(), "CONFLICT").when(~matched, "CREATE").otherwise(existing)
 
 
-def preflight(source: DataFrame, target: DataFrame, matches: DataFrame, source_id: str, target_id: str, fields: Sequence[tuple[str, str]], strategy: str, required: Sequence[str] = ()) -> DataFrame:
-    """source_id, target_id, action, changes: what a run would do with each source row, none left out."""
-    s = source.select(F.col(f"`{source_id}`").alias("source_id"), *[F.col(f"`{a}`").cast("string").alias(f"s{i}") for i, (a, _) in enumerate(fields)], F.exists(F.array(*[F.col(f"`{c}`").cast("string") for c in required]), lambda x: is_blank(x)).alias("_blocked") if required else F.lit(False).alias("_blocked"))
-    t = target.select(F.col(f"`{target_id}`").alias("target_id"), F.lit(True).alias("_there"), *[F.col(f"`{b}`").cast("string").alias(f"t{i}") for i, (_, b) in enumerate(fields)])
-    out = s.join(matches, "source_id").join(t, "target_id", "left")
+def preflight(source: DataFrame, target: DataFrame, matches: DataFrame, source_id: str, target_id: str, fields: Sequence[tuple[str, str]], strategy: str, required: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """source_id, target_id, action, changes, conflict and the ``keep`` columns: what a run would do with each source row.
+
+    Every row of ``source`` makes one row, rows without an id and rows that repeat one included: they
+    conflict, whatever the matches say of them. ``target`` has each id once.
+    """
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    blocked = F.exists(F.array(*map(text, required)), lambda x: is_blank(x)) if required else F.lit(False)
+    s = source.select(F.col(f"`{source_id}`").alias("source_id"), *[text(a).alias(f"s{i}") for i, (a, _) in enumerate(fields)], blocked.alias("_blocked"), *[F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)])
+    t = target.select(F.col(f"`{target_id}`").alias("target_id"), F.lit(True).alias("_there"), *[text(b).alias(f"t{i}") for i, (_, b) in enumerate(fields)])
+    one = F.count("*") == 1  # what is known of an id, once
+    known = matches.where("source_id is not null").groupBy("source_id").agg(F.when(one, F.min("target_id")).alias("target_id"), F.when(one, F.min("conflict")).otherwise("DUPLICATE_SOURCE_ID").alias("conflict"))
+    out = spread_join(s, known, "source_id").withColumn("conflict", F.when(F.col("source_id").isNull(), "SOURCE_ID_MISSING").otherwise(F.col("conflict")))
+    out = spread_join(out, t, "target_id", ["source_id"])
     change = lambda i, b: F.when(~normalize(F.col(f"s{i}"), "text").eqNullSafe(normalize(F.col(f"t{i}"), "text")), F.lit(b))
     changes = F.array_sort(F.array_compact(F.array(*[change(i, b) for i, (_, b) in enumerate(fields)])))
     there = F.coalesce("_there", F.lit(False))
     out = out.withColumn("changes", F.when(there, F.array_join(changes, ",")))
-    return out.select("source_id", "target_id", decide(there, F.col("_blocked"), F.col("conflict"), F.col("changes") != "", strategy).alias("action"), "changes")
+    action = decide(there, F.col("_blocked"), F.col("conflict"), F.col("changes") != "", strategy)
+    return out.select("source_id", "target_id", action.alias("action"), "changes", "conflict", *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def action_totals(actions: DataFrame) -> DataFrame:
@@ -102,8 +139,9 @@ def principals(source: DataFrame, target: DataFrame, tiers: Sequence[tuple[str,
     """
     out = source
     for i, (column, _) in enumerate(tiers):
-        t = target.where(~is_blank(F.col(column))).groupBy(F.lower(js_trim(F.col(column))).alias(f"_k{i}")).agg(F.count("*").alias(f"_n{i}"), F.min(target_id).alias(f"_t{i}"))
-        out = out.join(t, F.lower(js_trim(F.col(column))) == F.col(f"_k{i}"), "left")
+        fold = F.lower(js_trim(F.col(f"`{column}`").cast("string")))
+        t = target.where(~is_blank(F.col(f"`{column}`").cast("string"))).groupBy(fold.alias(f"_k{i}")).agg(F.count("*").alias(f"_n{i}"), F.min(target_id).alias(f"_t{i}"))
+        out = spread_join(out.withColumn(f"_k{i}", F.nullif(fold, F.lit(""))), t, f"_k{i}", [source_id])
     hit = lambda i: F.col(f"_n{i}").isNotNull()
     pick = lambda f: F.coalesce(*[F.when(hit(i), f(i)) for i in range(len(tiers))])
     n = pick(lambda i: F.col(f"_n{i}"))

@@ -20,10 +20,10 @@ from .operators import compare, findings, infer, match, profile, relate, rules,
 from .operators import transform as tr
 from .operators.rules import Rule
 from .operators.transform import Step
-from .plans import cron, issues, migrate, sheets
+from .plans import cron, issues, migrate, sheets, write
 from .plans import metadata as md
 from .session import ship_package, work_folder, work_table
-from .sources import files
+from .sources import files, paging
 from .sources import tables as src
 from .streaming import incremental
 
@@ -48,6 +48,7 @@ UNION ALL SELECT o_orderkey + 100000000, o_orderstatus, o_orderpriority, o_custk
     "old_customer": "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS title, CASE WHEN c_custkey % 10 = 0 THEN 'OTHER' ELSE c_mktsegment END AS segment FROM {customer} WHERE c_custkey % 4 <> 0",
     "some_customer": "SELECT * FROM {customer} WHERE c_custkey % 100 <> 0",
     "coded_orders": "SELECT o_orderkey AS order_id, o_custkey AS customer_no, o_orderstatus AS status, CASE WHEN o_orderkey % 500 = 0 THEN 'REF-0' ELSE concat('REF-', CAST(o_orderkey AS STRING)) END AS order_ref, CAST(NULL AS STRING) AS spare FROM {orders}",
+    "odd_customer": "SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN c_custkey - 1 ELSE c_custkey END AS id, c_name, c_mktsegment FROM {customer}",
     "no_region": "SELECT * FROM {region} WHERE r_regionkey < 0",
 }
 
@@ -1209,7 +1210,7 @@ def _profile_sql(table: str, f: str, kind: str) -> str:
     word = f"lower({f}) IN ('true', 'false', 'yes', 'no', 'y', 'n', 't', 'f', 'on', 'off')"
     number, text = (lambda sql: of("number", sql, "CAST(NULL AS DOUBLE)")), (lambda sql, none="CAST(NULL AS INTEGER)": of("text", sql, none))
     return f"""SELECT '{table}' AS table_name, '{f}' AS field, count(*) AS examined, count(*) - count({f}) AS null_count, {text(f"count(*) FILTER ({_trim(f)} = '')", "0")} AS blank_count, {text(f"count(*) FILTER ({_trim(f)} <> '' AND {_trim(f)} <> {f})", "0")} AS whitespace_count,
-{text(f"min(length({f}))")} AS min_length, {text(f"max(length({f}))")} AS max_length, {text(f"floor(avg(length({f})) * 10 + 0.5) / 10", "CAST(NULL AS DOUBLE)")} AS avg_length, {number(f"CAST(min({f}) AS DOUBLE)")} AS min_number, {number(f"CAST(max({f}) AS DOUBLE)")} AS max_number, {number(f"floor(avg(CAST({f} AS DOUBLE)) * 1000000 + 0.5) / 1000000")} AS avg_number, CAST(NULL AS INTEGER) AS max_scale,
+{text(f"min(length({f}))")} AS min_length, {text(f"max(length({f}))")} AS max_length, {text(f"floor(avg(length({f})) * 10 + 0.5) / 10", "CAST(NULL AS DOUBLE)")} AS avg_length, {number(f"CAST(min({f}) AS DOUBLE)")} AS min_number, {number(f"CAST(max({f}) AS DOUBLE)")} AS max_number, {number(f"floor(CAST(sum(CAST({f} AS DECIMAL(38,9))) AS DOUBLE) / count({f}) * 1000000 + 0.5) / 1000000")} AS avg_number, CAST(NULL AS INTEGER) AS max_scale,
 {of("datetime", f"CAST(min({f}) AS TIMESTAMP)", "CAST(NULL AS TIMESTAMP)")} AS min_date, {of("datetime", f"CAST(max({f}) AS TIMESTAMP)", "CAST(NULL AS TIMESTAMP)")} AS max_date, 0 AS invalid_count, 0 AS invalid_date_count, CAST(NULL AS INTEGER) AS max_decimals, 0 AS over_two_decimals, 0 AS decimal_marks, {text(f"count(DISTINCT lower({f})) FILTER ({word})", "0")} AS boolean_spellings,
 0 AS number_shapes, 0 AS currency_shapes, {text(f"count(*) FILTER ({word})", "0")} AS boolean_shapes, 0 AS date_shapes, {text(f"count(*) FILTER ({_trim(f)} <> '' AND NOT {word})", "0")} AS text_shapes, floor((count(*) - count({f})) * 1000.0 / greatest(count(*), 1) + 0.5) / 10.0 AS null_percent,
 count(DISTINCT {f}) AS distinct_count, count({f}) - count(DISTINCT {f}) AS duplicate_count, any_value(g.v) AS distinct_values, any_value(g.d) AS duplicate_groups, any_value(g.c) AS rows_in_collision, any_value(g.l) AS largest_group, 'EXACT' AS basis
@@ -1225,3 +1226,120 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["profile_tables"] = flagship
 ORACLE_SQL["profile_tables"] = " UNION ALL ".join(_profile_sql(n, f, k) for n, columns in _FLAGSHIP.items() for f, k in columns.items())
+
+
+# -- odd ids and keys
+
+_ODD = "WITH s AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM {odd_customer} t), v AS (SELECT s.id AS source_id, CASE WHEN s.id IS NULL THEN 'SOURCE_ID_MISSING' WHEN n > 1 THEN 'DUPLICATE_SOURCE_ID' END AS conflict, o.id AS old, CASE WHEN s.c_name <> o.title OR s.c_mktsegment <> o.segment THEN 'UPDATE' ELSE 'UNCHANGED' END AS existing FROM s LEFT JOIN {old_customer} o ON s.id = o.id) "
+
+
+@query("preflight_odd_ids", _ODD + "SELECT source_id, CASE WHEN conflict IS NULL THEN old END AS target_id, CASE WHEN conflict IS NOT NULL THEN 'CONFLICT' WHEN old IS NULL THEN 'CREATE' ELSE existing END AS action, conflict FROM v")
+def _(t):
+    m = match.by_primary_id(t.odd_customer, t.old_customer, "id", "id")
+    return match.preflight(t.odd_customer, t.old_customer, m, "id", "id", [("c_name", "title"), ("c_mktsegment", "segment")], "UPSERT").select("source_id", "target_id", "action", "conflict")
+
+
+#: Two key parts, split at the mark in one table and before it in the other, for every third customer.
+_PARTS = {
+    "source": "CASE WHEN c_custkey % 3 = 0 THEN concat(c_name, '|') ELSE c_name END AS a, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS b",
+    "target": "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS a, CASE WHEN c_custkey % 3 = 0 THEN concat('|', c_mktsegment) ELSE lower(c_mktsegment) END AS b",
+}
+
+
+@query("match_key_parts", f"WITH s AS (SELECT c_custkey AS source_id, {_PARTS['source']} FROM customer), o AS (SELECT c_custkey AS id, {_PARTS['target']} FROM customer) SELECT source_id, id AS target_id, CASE WHEN s.b IS NULL THEN 'BUSINESS_KEY_INCOMPLETE' END AS conflict FROM s LEFT JOIN o ON lower(s.a) = lower(o.a) AND lower(s.b) = lower(o.b)")
+def _(t):
+    own = lambda side, key: t.customer.selectExpr(f"c_custkey AS {key}", _PARTS[side].split(", CASE")[0], "CASE" + _PARTS[side].split(", CASE")[1])
+    return match.by_key(own("source", "sid"), own("target", "tid"), "sid", "tid", ["a", "b"], ["a", "b"])
+
+
+# -- writes
+
+@query("write_create", "SELECT c_custkey AS source_id, CAST((SELECT max(id) FROM {old_customer} t) + row_number() OVER (ORDER BY c_custkey) AS VARCHAR) AS target_id, 'CREATED' AS outcome FROM customer WHERE c_custkey % 4 = 0")
+def _(t):
+    new = t.customer.where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("source_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("segment"))
+    _, outcomes = write.create(t.old_customer, new, "source_id", "id", ["title", "segment"], True, "create", work_table(t.spark, "create"))
+    return outcomes.select("source_id", F.col("_key").alias("target_id"), "outcome")
+
+
+@query("write_create_supplied", "SELECT id, title, segment FROM {old_customer} t UNION ALL SELECT c_custkey, c_name, NULL FROM customer WHERE c_custkey % 4 = 0")
+def _(t):
+    every = t.customer.select(F.col("c_custkey").alias("source_id"), F.col("c_name").alias("title"))
+    after, _ = write.create(t.old_customer, every, "source_id", "id", ["title"], False, "create", work_table(t.spark, "create"))
+    return after
+
+
+@query("write_update", "SELECT id, seg AS segment, CASE WHEN id % 4 = 0 THEN 'NOT_FOUND' WHEN id % 10 = 1 THEN 'CONFLICT' ELSE 'UPDATED' END AS outcome FROM (SELECT c_custkey AS id, 'NEW' AS seg FROM customer UNION ALL SELECT c_custkey, 'AGAIN' FROM customer WHERE c_custkey % 10 = 1)")
+def _(t):
+    _, outcomes = write.update(t.old_customer, _updates(t), "id", ["segment"], work_table(t.spark, "update"))
+    return outcomes.select("id", "segment", "outcome")
+
+
+@query("write_update_target", "SELECT id, title, CASE WHEN id % 10 = 1 THEN segment ELSE 'NEW' END AS segment FROM {old_customer} t")
+def _(t):
+    return write.update(t.old_customer, _updates(t), "id", ["segment"], work_table(t.spark, "update"))[0]
+
+
+def _updates(t: Inputs) -> DataFrame:
+    every = t.customer.select(F.col("c_custkey").alias("id"), F.lit("NEW").alias("segment"))
+    return every.unionByName(every.where("id % 10 = 1").withColumn("segment", F.lit("AGAIN")))
+
+
+@query("migrate_generated_keys", """WITH n AS (SELECT c_custkey, o.id FROM customer LEFT JOIN {old_customer} o ON o.id = c_custkey)
+SELECT CAST(c_custkey AS VARCHAR) AS source_id, CAST(coalesce(id, (SELECT max(id) FROM n) + row_number() OVER (PARTITION BY id IS NULL ORDER BY CAST(c_custkey AS VARCHAR))) AS VARCHAR) AS target_id, CASE WHEN id IS NULL THEN 'CREATED' ELSE 'UNCHANGED' END AS outcome FROM n""")
+def _(t):
+    e = migrate.Entity("customer", "c_custkey", "id", [("c_name", "title"), ("c_mktsegment", "segment")], match="BUSINESS_KEY", key=[("c_name", "title")], strategy="SKIP_EXISTING", generated=True)
+    _, known = migrate.migrate(t.spark, [e], {"customer": t.customer}, {"customer": t.old_customer}, "run-1", work_table(t.spark, "migrate"))
+    return known.select("source_id", "target_id", "outcome")
+
+
+@query("migrate_audit_stamps", "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 3 = 0 OR c_custkey % 10 = 0 OR c_custkey % 4 = 0 THEN 'clerk ' || c_nationkey ELSE 'old' END AS changed_by, concat('t', CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment WHEN c_custkey % 10 = 0 OR c_custkey % 3 = 0 THEN c_mktsegment ELSE 'old' END) AS changed_on FROM customer")
+def _(t):
+    e = migrate.Entity("customer", "c_custkey", "id", [("c_custkey", "id"), ("c_name", "title"), ("c_mktsegment", "segment")], stamps=[("who", "changed_by"), ("at", "changed_on")])
+    source = t.customer.select("*", F.concat(F.lit("clerk "), "c_nationkey").alias("who"), F.concat(F.lit("t"), "c_mktsegment").alias("at"))
+    target = t.old_customer.select("*", F.lit("old").alias("changed_by"), F.lit("told").alias("changed_on"))
+    out, _ = migrate.migrate(t.spark, [e], {"customer": source}, {"customer": target}, "run-1", work_table(t.spark, "migrate"))
+    return out["customer"].select("id", "changed_by", "changed_on")
+
+
+@query("map_snapshot", "SELECT CAST(l_orderkey AS VARCHAR) AS source_id, CAST(coalesce(max(l_linenumber) FILTER (l_linenumber % 2 = 1), max(l_linenumber)) AS VARCHAR) AS target_id, CASE WHEN count(*) FILTER (l_linenumber % 2 = 1) > 0 THEN 'CREATED' ELSE 'FAILED' END AS outcome FROM lineitem GROUP BY l_orderkey")
+def _(t):
+    line = F.col("l_linenumber")
+    grown = t.lineitem.select(F.lit("r").alias("run_id"), F.lit("orders").alias("table_name"), F.col("l_orderkey").cast("string").alias("source_id"), line.cast("string").alias("target_id"), F.when(line % 2 == 1, "CREATED").otherwise("FAILED").alias("outcome"), F.timestamp_seconds(line).alias("updated_at"), F.lit(None).cast("string").alias("error_code"))
+    return migrate.snapshot(grown).select("source_id", "target_id", "outcome")
+
+
+_PREPARED = f"""SELECT CAST(c_custkey AS VARCHAR) AS source_id, concat_ws(',',
+  CASE WHEN amount = 'n/a' OR amount LIKE '$%' THEN 'ERROR:INVALID_NUMBER:amount' END, 'WARNING:SHORTENED:code',
+  CASE WHEN c_nationkey % 3 = 0 THEN 'WARNING:LOOKUP_UNRESOLVED:c_nationkey' END, CASE WHEN {_blank('email')} THEN 'ERROR:REQUIRED_VALUE_MISSING:email' END,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN 'ERROR:PRINCIPAL_UNRESOLVED:c_mktsegment' END) AS issues,
+  CASE WHEN c_nationkey % 3 <> 0 THEN concat('n', c_nationkey) END AS nation, CASE WHEN c_mktsegment <> 'BUILDING' THEN lower(c_mktsegment) END AS owner FROM {{dirty_customer}} t"""
+
+
+@query("prepare_record", _PREPARED)
+def _(t):
+    fields = [("amount", "amount"), ("email", "email"), ("code", "code"), ("c_nationkey", "nation")]
+    e = migrate.Entity("customer", "c_custkey", "id", fields, {"amount": [Step("TO_DECIMAL")], "code": [Step("TRUNCATE", {"length": 3})]}, {"c_nationkey": "nation"}, required=["email"], lenient=["c_nationkey"], people={"c_mktsegment": "owner"})
+    nations = t.nation.where("n_nationkey % 3 <> 0").select(F.lit("r").alias("run_id"), F.lit("nation").alias("table_name"), F.col("n_nationkey").cast("string").alias("source_id"), F.concat(F.lit("n"), "n_nationkey").alias("target_id"), F.lit("CREATED").alias("outcome"), F.lit(None).cast("timestamp").alias("updated_at"))
+    people = t.customer.select(F.col("c_mktsegment").alias("source_id")).distinct().where("source_id <> 'BUILDING'").withColumn("target_id", F.lower("source_id"))
+    out = migrate.prepare(e, t.dirty_customer, nations, people=people)
+    told = F.array_join(F.transform("issues", lambda x: F.concat_ws(":", x["severity"], x["code"], x["field"])), ",")
+    return out.select(F.col("_sid").alias("source_id"), told.alias("issues"), F.col("v_c_nationkey").alias("nation"), F.col("p_c_mktsegment").alias("owner"))
+
+
+# -- pages
+
+@query("paged_read", "SELECT o_custkey, o_orderkey, r AS place, r // 500 + 1 AS page FROM (SELECT *, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS r FROM orders)")
+def _(t):
+    pages = paging.Pages(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"], 500, work_table(t.spark, "pages"))
+    return pages.numbered()
+
+
+@query("read_page", "SELECT * FROM (SELECT event_id, user_id, event_type FROM events ORDER BY user_id, event_id LIMIT 300 OFFSET 600)")
+def _(t):
+    return paging.Pages(t.events.select("event_id", "user_id", "event_type"), ["user_id", "event_id"], 300, work_table(t.spark, "pages")).page(3)
+
+
+@query("keyset_page", "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey > 40 OR o_custkey = 40 AND o_orderkey > 100 ORDER BY 1, 2 LIMIT 500")
+def _(t):
+    return paging.after(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"], [40, 100], 500)
+
