@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.equality import normalize, values_equal
+from .match import spread_join
 
 PART = "\u001f"
 
@@ -33,7 +34,7 @@ def keyed(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """``df`` with _key and _held: how many rows hold the key (0 for a blank one)."""
     own = df.withColumn("_key", key_of([F.col(f"`{k}`") for k in key]))
     counts = own.where("_key is not null").groupBy("_key").agg(F.count("*").alias("_held"))
-    return own.join(counts, "_key", "left").withColumn("_held", F.coalesce("_held", F.lit(0)))
+    return spread_join(own, counts, "_key").withColumn("_held", F.coalesce("_held", F.lit(0)))
 
 
 def pair(left: DataFrame, right: DataFrame, left_key: Sequence[str], right_key: Sequence[str], fields: Sequence[Field]) -> DataFrame:

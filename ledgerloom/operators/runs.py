@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .match import spread_join
+
 # Failure code, category, and whether trying again is safe without a correction.
 CATEGORIES = {
     "REQUIRED_VALUE_MISSING": ("DATA", "CORRECTION_REQUIRED"), "INVALID_NUMBER": ("DATA", "CORRECTION_REQUIRED"), "INVALID_DATE": ("DATA", "CORRECTION_REQUIRED"),
@@ -62,14 +64,48 @@ def recover_writes(intents: DataFrame, target: DataFrame, intent_key: str, targe
     Updates are repeated. A create is looked for by its evidence: one hit was written,
     none is ABSENT and may be repeated, several are for a person to decide.
     """
-    hits = target.groupBy(F.col(target_key).alias("_k")).agg(F.count("*").alias("_n"))
-    out = intents.join(hits, intents[intent_key] == hits["_k"], "left")
+    hits = target.groupBy(F.col(f"`{target_key}`").alias("_k")).agg(F.count("*").alias("_n")).where("_k is not null")
+    out = spread_join(intents.withColumn("_k", F.col(f"`{intent_key}`")), hits, "_k")
     n, create = F.coalesce("_n", F.lit(0)), F.col("operation") == "CREATE"
-    finding = F.when(F.col(intent_key).isNull(), "UNCLEAR").when(n == 0, "ABSENT").when(n == 1, "PRESENT").otherwise("MULTIPLE")
+    finding = F.when(F.col("_k").isNull(), "UNCLEAR").when(n == 0, "ABSENT").when(n == 1, "PRESENT").otherwise("MULTIPLE")
     action = F.when(~create, "RETRY").when(finding == "PRESENT", "CONFIRM").when(finding == "ABSENT", "RETRY").otherwise("PERSON")
     return out.select("source_id", finding.alias("finding"), action.alias("next"))
 
 
+#: Kinds of evidence that a write left, the surest first.
+EVIDENCE = ("PRESERVED_ID", "ALTERNATE_KEY", "BUSINESS_KEY", "RECORDED_TARGET_ID")
+
+
+def recover_by_evidence(intents: DataFrame, target: DataFrame, target_id: str, by: dict[str, tuple[str, Sequence[str]]]) -> DataFrame:
+    """source_id, evidence, finding, target_id, next for writes whose outcome isn't known, by the first evidence that each has.
+
+    ``by`` names, for each kind of EVIDENCE, the column of ``intents`` with an array of key parts (null
+    where a write left none, or with a null part) and the columns of ``target`` that they are looked
+    for in, as text without regard to case. Each kind is one join of the writes that no surer kind
+    could speak for: a row that one kind finds absent isn't looked for again by a weaker one.
+
+    One hit is CONFIRMED, none may be written again (RETRY), several or no evidence are for a PERSON.
+    Updates are repeated: they change one known row to the same values.
+    """
+    fold = lambda parts: F.when(F.forall(parts, lambda x: x.isNotNull() & (F.trim(x.cast("string")) != "")), F.transform(parts, lambda x: F.lower(F.trim(x.cast("string")))))
+    left = intents.withColumn("_update", F.col("operation") == "UPDATE")
+    done = left.where("_update").select("source_id", F.lit(None).cast("string").alias("evidence"), F.lit("NOT_LOOKED_FOR").alias("finding"), F.lit(None).cast("string").alias("target_id"), F.lit("RETRY").alias("next"))
+    left = left.where("not _update")
+    for kind in [k for k in EVIDENCE if k in by]:
+        column, keys = by[kind]
+        own = left.withColumn("_k", fold(F.col(f"`{column}`")))
+        parts = fold(F.array(*[F.col(f"`{k}`").cast("string") for k in keys]))
+        hits = target.select(parts.alias("_k"), F.col(f"`{target_id}`").cast("string").alias("_t")).where("_k is not null").groupBy("_k").agg(F.count("*").alias("_n"), F.min("_t").alias("_t"))
+        met = own.where("_k is not null").join(hits, "_k", "left")
+        n = F.coalesce("_n", F.lit(0))
+        finding = F.when(n == 0, "ABSENT").when(n == 1, "PRESENT").otherwise("MULTIPLE")
+        action = F.when(n == 0, "RETRY").when(n == 1, "CONFIRM").otherwise("PERSON")
+        done = done.unionByName(met.select("source_id", F.lit(kind).alias("evidence"), finding.alias("finding"), F.when(n == 1, F.col("_t")).alias("target_id"), action.alias("next")))
+        left = own.where("_k is null").drop("_k")
+    none = left.select("source_id", F.lit(None).cast("string").alias("evidence"), F.lit("NO_EVIDENCE").alias("finding"), F.lit(None).cast("string").alias("target_id"), F.lit("PERSON").alias("next"))
+    return done.unionByName(none)
+
+
 def remediation(**issues: DataFrame) -> DataFrame:
     """All issues as one list: origin, and table_name, record_id, field, code, severity, detail where they have them."""
     names = ("table_name", "record_id", "field", "code", "severity", "detail")

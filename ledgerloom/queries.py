@@ -25,7 +25,7 @@ from .plans import metadata as md
 from .session import ship_package, work_folder, work_table
 from .sources import files, paging
 from .sources import tables as src
-from .streaming import incremental
+from .streaming import incremental, state
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
 
@@ -1343,3 +1343,35 @@ def _(t):
 def _(t):
     return paging.after(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"], [40, 100], 500)
 
+
+# -- recovery, sessions and streams
+
+_EVIDENCE = """WITH i AS (SELECT c_custkey AS k, c_name, c_mktsegment, c_custkey % 5 AS m, c_custkey % 13 = 0 AS up FROM customer), v AS (SELECT i.*, o.id, o.segment = i.c_mktsegment AS same FROM i LEFT JOIN {old_customer} o ON o.id = i.k)
+SELECT k AS source_id, CASE WHEN NOT up AND m < 4 THEN ['PRESERVED_ID', 'ALTERNATE_KEY', 'BUSINESS_KEY', 'RECORDED_TARGET_ID'][m + 1] END AS evidence,
+CASE WHEN up THEN 'NOT_LOOKED_FOR' WHEN m = 4 THEN 'NO_EVIDENCE' WHEN id IS NULL OR m = 2 AND NOT same THEN 'ABSENT' ELSE 'PRESENT' END AS finding,
+CASE WHEN NOT up AND m < 4 AND (m <> 2 OR same) THEN CAST(id AS VARCHAR) END AS target_id, CASE WHEN up THEN 'RETRY' WHEN m = 4 THEN 'PERSON' WHEN id IS NULL OR m = 2 AND NOT same THEN 'RETRY' ELSE 'CONFIRM' END AS next FROM v"""
+
+
+@query("recovery_by_evidence", _EVIDENCE)
+def _(t):
+    k, m = F.col("c_custkey"), F.col("c_custkey") % 5
+    parts = lambda n, *columns: F.when(m == n, F.array(*[F.col(c).cast("string") for c in columns]))
+    intents = t.customer.select(k.alias("source_id"), F.when(k % 13 == 0, "UPDATE").otherwise("CREATE").alias("operation"), parts(0, "c_custkey").alias("kept"), parts(1, "c_name").alias("alternate"), parts(2, "c_name", "c_mktsegment").alias("business"), parts(3, "c_custkey").alias("recorded"))
+    by = {"PRESERVED_ID": ("kept", ["id"]), "ALTERNATE_KEY": ("alternate", ["title"]), "BUSINESS_KEY": ("business", ["title", "segment"]), "RECORDED_TARGET_ID": ("recorded", ["id"])}
+    return runs.recover_by_evidence(intents, t.old_customer, "id", by)
+
+
+@query("event_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM e)
+SELECT user_id AS key, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, session""")
+def _(t):
+    return state.sessions(t.events, "ts", "30 minutes", "1 hour", "user_id")
+
+
+@query("stream_newest_mapping", "SELECT CAST(user_id AS VARCHAR) AS source_id, max({'at': ts, 'target': CAST(event_id AS VARCHAR)}).target AS target_id FROM events GROUP BY 1")
+def _(t):
+    pick = {"source_id": "user_id", "target_id": "event_id", "updated_at": "CAST(ts AS TIMESTAMP)"}
+    place = t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{t.dir}/events.parquet")
+    one = place.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile()  # a stream reads folders
+    folder, names = (t.dir, "events.parquet") if one else (f"{t.dir}/events.parquet", "*.parquet")
+    out = state.follow_map(t.spark, folder, t.events.schema, pick, work_folder(t.spark, "newest"), work_folder(t.spark, "newest-checkpoint"), names=names)
+    return out.select("source_id", "target_id")
