@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from .functions import convert
 from .functions import equality as eq
 from .functions import text as tx
-from .operators import compare, findings, infer, match, profile, relate, rules, runs, validate
+from .operators import compare, findings, infer, match, profile, relate, rules, runs, sketches, validate
 from .operators import transform as tr
 from .operators.rules import Rule
 from .operators.transform import Step
@@ -1375,3 +1375,30 @@ def _(t):
     folder, names = (t.dir, "events.parquet") if one else (f"{t.dir}/events.parquet", "*.parquet")
     out = state.follow_map(t.spark, folder, t.events.schema, pick, work_folder(t.spark, "newest"), work_folder(t.spark, "newest-checkpoint"), names=names)
     return out.select("source_id", "target_id")
+
+
+# -- records found, previews
+
+@query("read_xml_found", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment AS \"in.segment\" FROM customer")
+def _(t):
+    path = work_folder(t.spark, "xml")
+    rows = t.customer.select("c_custkey", "c_name", F.struct(F.col("c_mktsegment").alias("segment")).alias("in"))
+    rows.write.format("xml").option("rootTag", "customers").option("rowTag", "client").save(path)
+    return files.read_xml(t.spark, path).select("c_custkey", "c_name", "`in.segment`")
+
+
+@query("sketch_preview", "SELECT 'l_partkey' AS field, count(*) AS rows, true AS distinct_holds, true AS median_holds, 'APPROXIMATE' AS basis FROM lineitem UNION ALL SELECT 'l_quantity', count(*), true, true, 'APPROXIMATE' FROM lineitem UNION ALL SELECT 'l_extendedprice', count(*), true, true, 'APPROXIMATE' FROM lineitem")
+def _(t):
+    columns = ["l_partkey", "l_quantity", "l_extendedprice"]
+    parts = None
+    for k in range(4):  # as if each were a table of its own
+        own = sketches.partials(t.lineitem.where(F.pmod("l_orderkey", F.lit(4)) == k), columns)
+        parts = own if parts is None else parts.unionByName(own)
+    told = sketches.preview(sketches.merged(parts))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("_f"), F.col(c).cast("double").alias("v")) for c in columns])).alias("c")
+    counts = t.lineitem.select(cells).groupBy("c._f", "c.v").agg(F.count("*").alias("n"))
+    exact = counts.join(F.broadcast(told.select("field", "p50")), F.col("_f") == F.col("field")).groupBy("_f").agg(F.count("*").alias("_d"), F.sum(F.when(F.col("v") < F.col("p50"), F.col("n")).otherwise(0)).alias("_below"), F.sum(F.when(F.col("v") <= F.col("p50"), F.col("n")).otherwise(0)).alias("_upto"))
+    out = told.join(exact, F.col("field") == F.col("_f"))
+    c = F.col
+    near = (c("_below") / c("rows") <= 0.5 + c("rank_error")) & (c("_upto") / c("rows") >= 0.5 - c("rank_error"))
+    return out.select("field", "rows", (F.abs(c("distinct_about") - c("_d")) <= c("distinct_error")).alias("distinct_holds"), near.alias("median_holds"), "basis")

@@ -114,9 +114,52 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def read_xml(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    """Records of an element as flat text columns; attributes are named with '@'."""
-    return flatten(spark.read.format("xml").option("rowTag", tag).option("attributePrefix", "@").option("inferSchema", "false").load(path))
+def record_paths(spark: SparkSession, path: str) -> DataFrame:
+    """depth, tag, records: how often each element repeats under one parent, over all documents under a path.
+
+    Each document is read on the task that has it, element by element; what is behind is forgotten, so
+    only the open elements and their counts are held. Type declarations are refused (depth -1).
+    """
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                content = data.as_py()
+                found: Counter = Counter()
+                if b"<!DOCTYPE" in content or b"<!ENTITY" in content:
+                    found[-1, ""] = 1
+                else:
+                    open_counts: list[Counter] = []
+                    for event, element in ElementTree.iterparse(io.BytesIO(content), ("start", "end")):
+                        if event == "start":
+                            if open_counts:
+                                open_counts[-1][element.tag] += 1
+                            open_counts.append(Counter())
+                        else:
+                            for tag, n in open_counts.pop().items():
+                                if n > 1:
+                                    found[len(open_counts), tag] += n
+                            element.clear()
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int32()), pa.array([t for _, t in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["depth", "tag", "n"])
+
+    ship_package(spark)
+    told = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("content").mapInArrow(paths, "depth int, tag string, n long")
+    return told.groupBy("depth", "tag").agg(F.sum("n").alias("records"))
+
+
+def find_record_tag(spark: SparkSession, path: str) -> str:
+    """The element whose repeats are the records: the shallowest that repeats under one parent, then the one with most, in all documents together."""
+    first = record_paths(spark, path).orderBy("depth", F.desc("records"), "tag").first()
+    if first is None:
+        raise ValueError("no repeated element")
+    if first["depth"] < 0:
+        raise ValueError("a document with a type declaration isn't read")
+    return first["tag"].split("}")[-1]
+
+
+def read_xml(spark: SparkSession, path: str, tag: str | None = None) -> DataFrame:
+    """Records of an element, found if it isn't named, as flat text columns; attributes are named with '@'."""
+    return flatten(spark.read.format("xml").option("rowTag", tag or find_record_tag(spark, path)).option("attributePrefix", "@").option("inferSchema", "false").load(path))
 
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
