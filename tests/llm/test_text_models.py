@@ -335,6 +335,20 @@ def test_toxicity_on_labelled_rows(spark):
     assert all(0 <= r.severity <= toxicity.GRADES and 0 <= r.grade <= toxicity.GRADES for r in rows)
 
 
+def test_toxicity_on_rows_it_was_not_fitted_on(spark):
+    """Labelled rows split by a hash of doc_id: a third is kept from the fit, and its severities rank toxic rows before others."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = "crc32(cast(doc_id as string)) % 3 = 1"
+    model = toxicity.fit(docs, labels.where(f"not ({out})"))
+    rows = toxicity.score(docs.join(labels.where(out).select("doc_id"), "doc_id", "left_semi"), model).join(labels.withColumnRenamed("toxic", "label"), "doc_id").collect()
+    bad, good = [r for r in rows if r.label == 1], [r for r in rows if r.label == 0]
+    hit, false = sum(r.toxic for r in bad) / len(bad), sum(r.toxic for r in good) / len(good)
+    before = sum((b.severity > g.severity) + 0.5 * (b.severity == g.severity) for b in bad for g in good) / (len(bad) * len(good))
+    print(f"held out: {len(bad)} toxic and {len(good)} other rows, found {hit:.3f}, false {false:.4f}, ranked right {before:.4f}")
+    assert len(bad) >= 50 and hit >= 0.75 and false <= 0.01 and before >= 0.95
+
+
 def sparse(x):
     r, c = np.nonzero(x)
     return toxicity.Sparse(r, c, x[r, c], x.shape)
