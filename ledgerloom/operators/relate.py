@@ -22,6 +22,10 @@ def affinity(child: str, parent_table: str, parent: str) -> float:
     return 0.8 if t and c.startswith(t) and re.search(r"(id|key|code|no|number|ref)\Z", c) else 0.0
 
 
+#: Up to so many candidates are broadcast (some 10 MB); beyond, values are shuffled to meet them.
+MOST_BROADCAST = 50_000
+
+
 def candidates(tables: dict[str, DataFrame]) -> list[tuple[str, str, str, str, float]]:
     """(child table, child column, parent table, parent column, affinity) of like kinds, over schemas only."""
     out = []
@@ -72,7 +76,7 @@ def discover(tables: dict[str, DataFrame], declared: Sequence[tuple[str, str, st
     cand = spark.createDataFrame([(i, *x, x[:4] in declared) for i, x in enumerate(found)], "i int, child_table string, child_column string, parent_table string, parent_column string, affinity double, known boolean")
     if not found:
         return cand.select("child_table", "child_column", "parent_table", "parent_column", F.lit("").alias("verdict"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("orphan_records"), F.lit(0).cast("long").alias("child_records"))
-    few = F.broadcast(cand)  # a row for each pair of columns with like names
+    few = F.broadcast(cand) if len(found) <= MOST_BROADCAST else cand  # a row for each pair of columns with like names
     of = lambda side, values: values.join(few, (F.col("t") == F.col(f"{side}_table")) & (F.col("c") == F.col(f"{side}_column")))
     child = of("child", _value_counts(tables, {x[:2] for x in found})).where("v is not null").select("i", "v", "n")
     parent = of("parent", _value_counts(tables | (parents or {}), {x[2:4] for x in found}))
