@@ -35,11 +35,12 @@ INFER_TRUE, INFER_FALSE = ["true", "yes", "y", "1", "t"], ["false", "no", "n", "
 INFER_BLANK = ["", "-", "n/a", "na", "null", "nil", "(blank)", "(null)", "#n/a"]
 
 
-def js_trim(c: Column) -> Column:
+def js_trim(c: Column | str) -> Column:
     """Without white space of any script at either end, no-break spaces and byte-order marks included.
 
     Most texts begin and end with an ASCII mark, letter or digit, which is seen sooner than a pattern is tried.
     """
+    c = F.col(c) if isinstance(c, str) else c
     plain = lambda x: F.ascii(x).between(33, 126)
     return F.when(plain(c) & plain(F.right(c, F.lit(1))), c).otherwise(F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", ""))
 
