@@ -7,6 +7,7 @@ import re
 import zipfile
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -162,48 +163,71 @@ def read_xml(spark: SparkSession, path: str, tag: str | None = None) -> DataFram
     return flatten(spark.read.format("xml").option("rowTag", tag or find_record_tag(spark, path)).option("attributePrefix", "@").option("inferSchema", "false").load(path))
 
 
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+#: Rows of a sheet that are held at a time.
+SHEET_ROWS = 2000
 
 
-def workbook_rows(data: bytes, sheet: int = 1) -> list[list[str | None]]:
-    """The cells of one sheet of a workbook as text, row by row."""
+def _elements(source, tag: str) -> Iterator[ElementTree.Element]:
+    """Each element of a tag as soon as it is closed; it is emptied, and forgotten by its parent, before the next."""
+    above: list[ElementTree.Element] = []
+    for event, element in ElementTree.iterparse(source, ("start", "end")):
+        if event == "start":
+            above.append(element)
+            continue
+        above.pop()
+        if element.tag == _NS + tag:
+            yield element
+            (above[-1] if above else element).clear()
+
+
+def workbook_rows(data: bytes, sheet: int = 1) -> Iterator[list[str | None]]:
+    """The cells of one sheet of a workbook as text, a row at a time; the texts that cells share are held."""
+
+    def text_of(e: ElementTree.Element) -> str:
+        return "".join(t.text or "" for t in e.iter(f"{_NS}t"))
+
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         if sum(i.file_size for i in z.infolist()) > MOST_INFLATED:
             raise ValueError("the workbook is too large")
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in s.iter(f"{{{_NS['m']}}}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        out = []
-        for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml")).iterfind(".//m:row", _NS):
-            cells: list[str | None] = []
-            for c in row.iterfind("m:c", _NS):
-                at = 0
-                for ch in re.match(r"[A-Z]*", c.get("r", ""))[0]:
-                    at = at * 26 + ord(ch) - 64
-                cells += [None] * (max(at, 1) - 1 - len(cells))
-                value = c.find("m:v", _NS)
-                if c.get("t") == "inlineStr":
-                    cells.append("".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t")))
-                else:
-                    cells.append(None if value is None else shared[int(value.text)] if c.get("t") == "s" else value.text)
-            out.append(cells)
-        return out
+            with z.open("xl/sharedStrings.xml") as part:
+                shared = [text_of(s) for s in _elements(part, "si")]
+        with z.open(f"xl/worksheets/sheet{sheet}.xml") as part:
+            for row in _elements(part, "row"):
+                cells: list[str | None] = []
+                for c in row.iterfind(f"{_NS}c"):
+                    at = 0
+                    for ch in re.match(r"[A-Z]*", c.get("r", ""))[0]:
+                        at = at * 26 + ord(ch) - 64
+                    cells += [None] * (max(at, 1) - 1 - len(cells))
+                    value = c.find(f"{_NS}v")
+                    if c.get("t") == "inlineStr":
+                        cells.append(text_of(c))
+                    else:
+                        cells.append(None if value is None else shared[int(value.text)] if c.get("t") == "s" else value.text)
+                yield cells
 
 
 def read_xlsx(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
     """One sheet of each workbook under a path as text columns, named by their common header.
 
-    A workbook is one file of bounded size: a task reads each, and only headers reach the driver.
+    A workbook is one zipped file of bounded size, which can only be read from its beginning: a task
+    reads each, SHEET_ROWS rows at a time, and only headers reach the driver.
     """
     ship_package(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for place, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = workbook_rows(data.as_py(), sheet)
-                own = rows[find_header(rows) :]
-                yield pa.RecordBatch.from_arrays([pa.array([place] * len(own), pa.string()), pa.array(range(len(own)), pa.int64()), pa.array(own, pa.list_(pa.string()))], ["path", "place", "cells"])
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows, place = workbook_rows(data.as_py(), sheet), 0
+                head = list(islice(rows, HEADER_ROWS))
+                left = chain(head[find_header(head) :], rows)
+                while own := list(islice(left, SHEET_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(range(place, place + len(own)), pa.int64()), pa.array(own, pa.list_(pa.string()))], ["path", "place", "cells"])
+                    place += len(own)
 
     cells = files.mapInArrow(parse, "path string, place long, cells array<string>")
     headers = [r[0] for r in cells.where("place = 0").select("cells").distinct().limit(2).collect()]

@@ -42,3 +42,25 @@ def test_records_are_found_over_documents(spark, tmp_path):
         (tmp_path / "bad.xml").write_text(bad)
         with pytest.raises(ValueError, match=word):
             files.find_record_tag(spark, str(tmp_path / "bad.xml"))
+
+
+def test_a_sheet_is_read_some_rows_at_a_time(spark, tmp_path):
+    """25,000 rows with shared texts: read in order, a few thousand at a time, in little memory."""
+    import tracemalloc
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    n = 25_000
+    with zipfile.ZipFile(tmp_path / "big.xlsx", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>id</t></si><si><t>na</t><t>me</t></si><si><t>same</t></si></sst>")
+        body = "".join(f'<row><c r="A{i}"><v>{i}</v></c><c r="C{i}" t="s"><v>2</v></c></row>' for i in range(n))
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row>{body}</sheetData></worksheet>')
+    df = files.read_xlsx(spark, str(tmp_path / "big.xlsx"))
+    assert df.columns == ["id", "column_2", "name"] and df.count() == n
+    assert df.agg(F.sum(F.col("id").cast("long")), F.count_distinct("name"), F.count("column_2")).first()[:] == (n * (n - 1) // 2, 1, 0)
+    data = (tmp_path / "big.xlsx").read_bytes()
+    tracemalloc.start()
+    assert sum(1 for _ in files.workbook_rows(data)) == n + 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3_000_000
