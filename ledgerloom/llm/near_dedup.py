@@ -35,6 +35,8 @@ MOST_ROWS, MISSED = 8, 1 / 26_000
 MARGIN = 4.5
 #: Members of one side of a block in step 4, and their shingle hashes (12 MB): about so many at most.
 BLOCK_ROWS, BLOCK_HASHES = 2048, 1_500_000
+#: Different words whose hashes a task keeps, at most.
+MOST_HASHED = 1 << 16
 #: Up to so many ids are broadcast to pick texts (24 MB); beyond, the texts are joined by a shuffle.
 MOST_BROADCAST_IDS = 1_000_000
 
@@ -88,7 +90,7 @@ def sketches(docs: DataFrame, rows: int) -> DataFrame:
     """doc_id, n_shingles, set_key (null for no words), bands, sig, in one pass over whole texts."""
 
     def make():
-        hashed, borrow = Hashed(), _borrow_table()
+        hashed, borrow = Hashed(MOST_HASHED), _borrow_table()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, keys, bands, sigs = [], [], [], []
@@ -119,7 +121,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, wanted: DataFrame | None = None)
     texts = texts.join(F.broadcast(ids) if few else ids, "node", "left_semi")
 
     def make():
-        hashed = Hashed()
+        hashed = Hashed(MOST_HASHED)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             raw = [shingles(text, hashed) for text in batch.column(1).to_pylist()]

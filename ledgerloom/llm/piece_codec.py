@@ -26,9 +26,9 @@ from .common import map_rows
 
 MARK = "▁"
 #: Encodings of words that a task keeps, at most, and of words up to so many characters.
-MOST_WORDS, MOST_CHARS = 400_000, 64
+MOST_WORDS, MOST_CHARS = 150_000, 64
 #: Pairs of pieces whose fit a task keeps, at most.
-MOST_PAIRS = 400_000
+MOST_PAIRS = 150_000
 
 
 def normalizer_is_plain(model: bytes) -> bool:
