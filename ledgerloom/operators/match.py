@@ -19,7 +19,8 @@ SPREAD = 1024
 
 def spread_join(rows: DataFrame, other: DataFrame, key: str, spread: Sequence[str] = ()) -> DataFrame:
     """A left join on ``key`` in which null keys, which match nothing, are spread by other columns (all by default)."""
-    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*([F.col(f"`{c}`") for c in spread or rows.columns])), F.lit(SPREAD))).otherwise(F.lit(0))
+    own = list(spread) or [f.name for f in rows.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]  # these can't be hashed
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in own]), F.lit(SPREAD))).otherwise(F.lit(0))
     none = F.pmod(F.xxhash64(F.col(key)), F.lit(1)).cast("int")  # 0, but not as a constant, which the optimizer would take out of the join's keys
     out = rows.withColumn("_salt", salt.cast("int")).join(other.withColumn("_salt", none), [key, "_salt"], "left")
     return out.drop("_salt")

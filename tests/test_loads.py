@@ -150,3 +150,10 @@ def test_pages_of_any_size(spark, save):
     assert paging.Pages(df.limit(0), ["k"], 10, save).page(1).count() == 0
     with pytest.raises(ValueError):
         paging.Pages(df, ["k"], 0, save)
+
+
+def test_tables_with_maps_are_written(spark, save):
+    """Columns that can't be hashed stay as they are."""
+    target = spark.sql("SELECT 1 AS id, map('a', 1) AS m, 'x' AS t UNION ALL SELECT CAST(NULL AS INT), map('b', 2), 'y'")
+    after, _ = write.update(target, spark.createDataFrame([(1, "z")], "id int, t string"), "id", ["t"], save)
+    assert {(r.id, tuple(r.m.items()), r.t) for r in after.collect()} == {(1, (("a", 1),), "z"), (None, (("b", 2),), "y")}
