@@ -12,12 +12,15 @@ The plan, all on Spark:
 3. Edges are confirmed on full shingle sets, and connected components follow.
 4. A star can miss a link between two members that are both unlike the hub. So
    buckets that still hold several components are searched once more in blocks, only
-   between components: pairs that the signatures leave possible are confirmed on full
-   sets within the block. Nothing is capped, so no link of a shared bucket is lost.
+   between components: first by signatures alone, then the members that have a possible
+   partner meet again with their full sets, and these confirm. Nothing is capped, so no
+   link of a shared bucket is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -112,7 +115,7 @@ def sketches(docs: DataFrame, rows: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """node, hashes: the full shingle sets of the documents that ``ids`` (node) names.
+    """node, set_key, hashes: the full shingle sets of the documents that ``ids`` (node) names.
 
     With ``wanted`` (node, set_key), where rows may repeat a doc_id: one row of each wanted set.
     """
@@ -130,9 +133,9 @@ def full_sets(docs: DataFrame, ids: DataFrame, wanted: DataFrame | None = None)
 
         return step
 
-    sets = map_rows(texts, make, "node long, set_key binary, hashes array<long>")
+    sets = map_rows(texts, make, "node long, set_key binary, hashes array<long>").where("size(hashes) > 0")  # a row without words may repeat the id
     if wanted is None:
-        return sets.drop("set_key")
+        return sets
     return sets.join(wanted, ["node", "set_key"], "left_semi").dropDuplicates(["node", "set_key"])
 
 
@@ -141,15 +144,16 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int, wanted: DataFrame
 
     Each text is shingled once; a set travels once for each pair it is in.
     """
-    pairs = save(pairs, "pairs")
-    ids = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
-    sets = save(full_sets(docs, ids, wanted), "sets")
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    both = pairs.join(left, "a").join(right, "b")
-    inter = F.size(F.array_intersect("ha", "hb"))
-    union = F.size("ha") + F.size("hb") - inter
-    return save(both.where(100 * inter.cast("long") >= percent * union.cast("long")).select("a", "b"), "links")
+    with scratch(docs.sparkSession):
+        pairs = save(pairs, "pairs")
+        ids = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
+        sets = save(full_sets(docs, ids, wanted), "sets")
+        left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
+        right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
+        both = pairs.join(left, "a").join(right, "b")
+        inter = F.size(F.array_intersect("ha", "hb"))
+        union = F.size("ha") + F.size("hb") - inter
+        return save(both.where(100 * inter.cast("long") >= percent * union.cast("long")).select("a", "b"), "links", keep=True)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -185,33 +189,60 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _block_links(percent: int):
-    """For one block pair of one bucket: confirmed links between components, each pair of which needs one.
+def _possible(key: tuple, rows: pd.DataFrame, comp: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For one block pair of one bucket, in order of block and size: a member, and those further on that may be linked with it.
 
-    Signatures rule out most pairs; the others are confirmed on full sets here, so what
-    leaves the block is at most one link for each two components that it joins.
+    They are of other components (``comp``, which may change between steps), and neither sizes nor signatures rule them out.
     """
     s = percent / 100
     least = int(np.ceil(BINS * (s - MARGIN * np.sqrt(s * (1 - s) / BINS))))
+    bucket, i, j = key
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), BINS)
+    bands, n, side = np.stack(rows["bands"].to_numpy()), rows["n_shingles"].to_numpy(), rows["block"].to_numpy()
+    second = 0 if i == j else int(np.searchsorted(side, i, "right"))
+    for x in range(len(rows) if i == j else second):
+        start = x + 1 if i == j else second
+        lo, hi = start + np.searchsorted(n[start:], [int(np.ceil(n[x] * s)), int(n[x] / s) + 1])  # sets of like size only
+        other = np.arange(lo, hi)
+        other = other[comp[lo:hi] != comp[x]]
+        if len(other):
+            other = other[(sig[other] == sig[x]).sum(axis=1) >= least]
+        if len(other):
+            met = (bands[other] == bands[x]).argmax(axis=1)
+            other = other[bands[x][met] == bucket]  # only in the first bucket that the two share
+        if len(other):
+            yield x, other
+
+
+#: What a member of a block is known by, and the order of members in a block.
+_MEMBER = "bucket long, i int, j int, block int, node long, component long, set_key binary, n_shingles long, sig binary, bands array<long>"
+_ORDER = ["block", "n_shingles", "node"]
+
+
+def _block_members(percent: int):
+    """For one block pair of one bucket: the members that have a possible link at all."""
+
+    def members(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(_ORDER, kind="stable")
+        kept = np.zeros(len(rows), bool)
+        for x, other in _possible(key, rows, rows["component"].to_numpy(), percent):
+            kept[x] = kept[other] = True
+        return rows[kept]
+
+    return members
+
+
+def _block_links(percent: int):
+    """For one block pair of one bucket: confirmed links between components, each pair of which needs one.
+
+    What leaves the block is at most one link for each two components that it joins.
+    """
 
     def links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bucket, i, j = key
-        rows = rows.sort_values(["block", "n_shingles", "node"], kind="stable")
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), BINS)
-        bands, sets = np.stack(rows["bands"].to_numpy()), rows["hashes"].to_numpy()
-        node, comp, n, side = (rows[c].to_numpy().copy() for c in ("node", "component", "n_shingles", "block"))
-        second = 0 if i == j else int(np.searchsorted(side, i, "right"))
+        rows = rows.sort_values(_ORDER, kind="stable")
+        sets, node, comp, n = (rows[c].to_numpy().copy() for c in ("hashes", "node", "component", "n_shingles"))
         out = []
-        for x in range(len(rows) if i == j else second):
-            start = x + 1 if i == j else second
-            lo, hi = start + np.searchsorted(n[start:], [int(np.ceil(n[x] * s)), int(n[x] / s) + 1])  # sets of like size only
-            other = np.arange(lo, hi)
-            other = other[comp[lo:hi] != comp[x]]
-            if len(other):
-                other = other[(sig[other] == sig[x]).sum(axis=1) >= least]
-            if len(other):
-                met = (bands[other] == bands[x]).argmax(axis=1)
-                other = other[bands[x][met] == bucket]  # only in the first bucket that the two share
+        for x, other in _possible(key, rows, comp, percent):
             for y in other:
                 if comp[y] == comp[x]:
                     continue
@@ -239,11 +270,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         return save(_near_duplicates(docs, percent), "near_duplicates", keep=True)
 
 
+def _nodes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents without their signatures; the classes of equal sets; a node with its signature for each class."""
+    with scratch(docs.sparkSession):
+        base = save(sketches(docs, band_rows(percent)), "sketches")
+        brief = save(base.select("doc_id", "n_shingles", "set_key"), "brief", keep=True)
+        classes = save(_worded(brief).groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes", keep=True)
+        first = _worded(base).join(classes.select(F.col("node").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi")
+        nodes = save(first.dropDuplicates(["doc_id", "set_key"]).withColumnRenamed("doc_id", "node"), "nodes", keep=True)
+    return brief, classes, nodes
+
+
+def _worded(sketched: DataFrame) -> DataFrame:
+    return sketched.where("n_shingles > 0 and doc_id is not null")
+
+
 def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
-    base = save(sketches(docs, band_rows(percent)), "sketches")
-    worded = base.where("n_shingles > 0 and doc_id is not null")
-    classes = save(worded.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = save(worded.join(classes.select(F.col("node").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"]).withColumnRenamed("doc_id", "node"), "nodes")
+    base, classes, nodes = _nodes(docs, percent)
+    worded = _worded(base)
     # a doc_id with several texts links their classes
     repeated = save(worded.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated")
     wanted, same = None, None
@@ -268,16 +312,18 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     labelled = save(labelled, "labelled")
     split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"), F.sum("n_shingles").alias("hashes")).where("lo <> hi")
     split = save(split.select("bucket", F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("hashes") / BLOCK_HASHES)).cast("int").alias("blocks")), "split")
-    left = save(labelled.drop("n_shingles").join(split, "bucket"), "left")
-    sets = save(full_sets(docs, left.select("node").distinct(), wanted), "sets")
-    about = save(nodes.select("node", "set_key", "n_shingles", "sig", "bands").join(sets, "node" if wanted is None else ["node", "set_key"]).drop("set_key"), "about")
-    left = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = labelled.drop("n_shingles").join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    left = left.select("bucket", "i", "j", "block", "node", "component").join(about, "node")
+    left = save(left.select("bucket", "i", "j", "block", "node", "component"), "left")
+    left = left.join(nodes, "node")
     if wanted is not None:
         left = left.where(F.array_contains("bands", F.col("bucket")))  # the sets of a node that are in the bucket
     wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of our own, as these tasks are short of bytes but not of work
-    found = left.repartition(wide, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
+    block = ["bucket", "i", "j"]
+    left = save(left.repartition(wide, *block).groupBy(*block).applyInPandas(_block_members(percent), _MEMBER), "possible")
+    ids = save(left.select("node").distinct(), "ids")
+    left = left.join(save(full_sets(docs, ids, wanted), "sets"), ["node", "set_key"])
+    found = left.repartition(wide, *block).groupBy(*block).applyInPandas(_block_links(percent), "a long, b long")
     comp = save(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)), "components")
 
     of_class = save(classes.join(comp, "node", "left").select("set_key", F.coalesce("component", "node").alias("component")), "class_components")

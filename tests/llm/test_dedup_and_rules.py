@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pathlib
 import re
 
 import numpy as np
@@ -76,6 +77,45 @@ def test_near_duplicates_chain_and_cluster(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == want
 
 
+def family(rng, size, changed):
+    """Texts that differ from one of 300 words in ``changed`` places each."""
+    centre = [f"w{i}" for i in rng.choice(4000, 300)]
+    out = []
+    for k in range(size):
+        own = list(centre)
+        for at in rng.choice(300, changed, replace=False):
+            own[at] = f"z{k}{at}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_unlike_members_of_buckets_send_no_sets(spark, monkeypatch):
+    """Texts that share buckets but are far from alike are ruled out by signatures, before their sets are made; tables that are done with are gone by then."""
+    texts = family(np.random.default_rng(6), 60, 8)
+    asked, there, full_sets = [], [], near_dedup.full_sets
+
+    def counted(docs, ids, wanted=None):
+        asked.append(ids.count())
+        there.append({p.name.split("-")[0] for p in pathlib.Path(scratch_root(spark).removeprefix("file://")).iterdir()})
+        return full_sets(docs, ids, wanted)
+
+    monkeypatch.setattr(near_dedup, "full_sets", counted)
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.kept for r in got) and len(got) == 60
+    assert asked[0] > 0 and asked[1:] == [0]
+    assert "nodes" in there[1] and not {"sketches", "sets", "pairs"} & there[1]
+
+
+def test_ids_that_repeat_without_words(spark):
+    """A blank row that repeats an id changes nothing for the row with words, in the block search either."""
+    texts = family(np.random.default_rng(4), 60, 4)
+    rows = [*enumerate(texts), *((i, " ") for i in range(60))]
+    want = components(sets(enumerate(texts)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.n_shingles) == sorted(want.items())
+    assert [(r.component_id, r.kept) for r in got if not r.n_shingles and r.doc_id == 5] == [(5, True)]
+
+
 def test_repeated_ids_are_one_document(spark):
     """A doc_id with several texts links the documents that are like either."""
     a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
