@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import (
     CURRENCY_SHAPE, EMAIL_SHAPE, GUID, INFER_BLANK, INFER_FALSE, INFER_TRUE, LEADING_ZERO, PERCENT_SHAPE, PHONE_MARK, PHONE_SHAPE, URL_SHAPE, js_trim,
 )
+from ..session import spread
 
 # Names and spellings that decide what a column is.
 KEY_LIKE = re.compile(r"^(id|key|code|number|no|ref|reference)$|(_|\b)(id|key|code|guid|uuid|number|no|ref|reference)$", re.I)
@@ -48,6 +49,11 @@ def _facts() -> list[Column]:
     ]
 
 
+def _texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as texts, spread so that a task counts a share of their values, however many rows one task reads."""
+    return spread(df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in dict.fromkeys(columns)]))
+
+
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """field, type, rows, held, distinct_values, longest: a row for each column, from all rows in one pass.
 
@@ -57,9 +63,9 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     counted before the shuffle and looked at once.
     """
     names = list(columns or df.columns)
-    t = lambda n: js_trim(F.col(f"`{n}`").cast("string"))
+    t = lambda n: js_trim(F.col(f"`{n}`"))
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.when(~F.lower(t(n)).isin(INFER_BLANK), t(n)).alias("v")) for n in names]))
-    counts = df.select(cells.alias("c")).select("c.*").groupBy("field", "v").agg(F.count("*").alias("n"))
+    counts = _texts(df, names).select(cells.alias("c")).select("c.*").groupBy("field", "v").agg(F.count("*").alias("n"))
     every = df.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], "place int, field string")
     f = every.join(counts.groupBy("field").agg(*_facts()), "field", "left").fillna(0, ["rows", "held", "distinct"])
     text = F.when(F.col("longest") > MEMO_FROM, "Memo").otherwise("String")
@@ -101,8 +107,8 @@ def semantic_types(df: DataFrame, columns: Sequence[str], most_distinct: int | N
     IDENTIFIER (leading zeros) from four fifths of distinct values; CATEGORICAL; else null. The
     last two count the distinct values of an EMAIL column that are none, and their records.
     """
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), js_trim(F.col(f"`{c}`").cast("string")).alias("v")) for c in columns]))
-    long = df.select(cells.alias("c")).select("c.*")
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), js_trim(F.col(f"`{c}`")).alias("v")) for c in columns]))
+    long = _texts(df, columns).select(cells.alias("c")).select("c.*")
     counts = long.where("v is not null and v <> ''").groupBy("field", "v").agg(F.count("*").alias("n"))
     v = F.col("v")
     share = lambda cond: F.avg(F.when(cond, 1.0).otherwise(0.0))

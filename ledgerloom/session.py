@@ -7,7 +7,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -48,3 +49,16 @@ def work_table(spark: SparkSession, label: str):
         return spark.read.schema(df.schema).parquet(path)
 
     return save
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over a shuffle's tasks, for work whose memory grows with the different values in a task.
+
+    What one task reads may be a whole large row group. Rows are dealt by what they hold, so a task
+    that runs again deals as before, and by where they are read, so that equal rows go to several tasks.
+    """
+    wide = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of our own, as small texts are many values
+    at = "_at"
+    while at.lower() in {c.lower() for c in df.columns}:
+        at += "_"
+    return df.withColumn(at, F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in df.columns])).repartition(wide, at).drop(at)
