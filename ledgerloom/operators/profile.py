@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import BOOLEAN_WORDS, EMAIL_SHAPE, GUID, PROFILE_BOOLEANS, decimal_places, decimal_separator, is_blank, js_trim, percent, round_half_up, shape_of, to_instant, to_number
+from ..session import spread
 
 TOP_VALUES, EXAMPLES, MASK = 50, 5, "***"
 SHAPES = ("NUMBER", "CURRENCY", "BOOLEAN", "DATE", "TEXT")
@@ -41,6 +42,10 @@ def as_text(df: DataFrame, name: str) -> Column:
     return F.col(f"`{name}`").cast("string")
 
 
+def _columns(names: Sequence[str]) -> list[Column]:
+    return [F.col(f"`{n}`") for n in dict.fromkeys(names)]
+
+
 #: Numbers are added up exactly in billionths; a mean is rounded once, at six places.
 BILLION, EXACT = 10**9, "decimal(38,0)"
 _CELL = "i int, there boolean, n double, at timestamp_ntz, text string"
@@ -98,7 +103,7 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, reads_as:
     reads = [(reads_as or {}).get(n, k) for n, k in zip(names, kinds, strict=True)]
     c, spark = F.col, df.sparkSession
     every = spark.createDataFrame([(i, n, k == "text", r) for i, (n, k, r) in enumerate(zip(names, kinds, reads, strict=True))], "i int, field string, is_text boolean, reads string")
-    cells = _cells(df, names, kinds, reads) if names else spark.createDataFrame([], _CELL)
+    cells = _cells(spread(df.select(*_columns(names))), names, kinds, reads) if names else spark.createDataFrame([], _CELL)
     cells = cells.withColumn("units", _billionths(c("n")))
     values = cells.groupBy("i", "there", "text").agg(F.count("*").alias("cells"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("n").alias("numbers"), F.sum("n").alias("about"), F.count("units").alias("exacts"), F.try_sum("units").alias("units"), F.min("at").alias("first"), F.max("at").alias("last"))
     told = _told(values.join(F.broadcast(every), "i"))  # a row for each column
@@ -130,6 +135,7 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None, row_id: st
     the least few, in an array that never grows past them.
     """
     names = profilable(df, columns)
+    df = spread(df.select(*_columns(names + [row_id] * bool(row_id))))
     entry = lambda n: F.struct(F.lit(n).alias("field"), as_text(df, n).alias("value"))
     cells = F.explode(F.array(*[entry(n) for n in names]))
     long = df.select(cells.alias("c"), *([F.col(f"`{row_id}`").cast("string").alias("row_id")] if row_id else [])).select("c.*", *(["row_id"] if row_id else []))

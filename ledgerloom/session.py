@@ -61,4 +61,5 @@ def spread(df: DataFrame) -> DataFrame:
     at = "_at"
     while at.lower() in {c.lower() for c in df.columns}:
         at += "_"
-    return df.withColumn(at, F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in df.columns])).repartition(wide, at).drop(at)
+    own = [f.name for f in df.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]  # these can't be hashed
+    return df.withColumn(at, F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in own])).repartition(wide, at).drop(at)

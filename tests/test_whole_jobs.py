@@ -82,7 +82,7 @@ def test_types_are_inferred_without_expanding_rows(spark):
 def test_values_are_counted_in_shares_of_what_a_task_reads(spark):
     """Types and meanings of a table that one task reads: its rows are dealt out before their values are counted."""
     df = spark.range(0, 2000, 1, 1).selectExpr("concat(id, '@a.example') AS `mail.to`", "CAST(id % 3 AS STRING) AS _at", "CAST(NULL AS STRING) AS none")
-    for out in (infer.semantic_types(df, df.columns), infer.infer_types(df)):
+    for out in (infer.semantic_types(df, df.columns), infer.infer_types(df), profile.value_counts(df), profile.column_stats(df)):
         below = plan(out).rpartition("Generate")[2]
         assert "RepartitionByExpression" in below and "Aggregate" not in below
     assert [tuple(r)[:3] for r in infer.semantic_types(df, df.columns).orderBy("field").collect()] == [("_at", "CATEGORICAL", "HIGH"), ("mail.to", "EMAIL", "HIGH"), ("none", "EMPTY", "HIGH")]
